@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, license_scan, tiff_media, token_count, warc
+from . import decontaminate, html_extract, license_scan, minhash, mixing, quality, suffix_dedup, tiff_media, token_count, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,34 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_media.describe(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_license_scan, op5_warc, op6_token_count, op7_tiff_media)}
+    every = (op1_html_extract, op2_decontaminate, op3_license_scan, op4_mixing, op5_warc, op6_token_count, op7_tiff_media, op8_suffix_dedup, op9_quality, op10_minhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": mixing.ORACLE,
         "op5_warc": """
             WITH r AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS len, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
             b AS (SELECT *, max(page_id) OVER (PARTITION BY sha, len) AS top FROM r)
