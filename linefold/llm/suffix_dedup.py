@@ -40,7 +40,8 @@ from .wordhash import U, mix, prefix, span_hash
 LENGTH = 100
 K = 32
 BLOCK = 50_000
-BROADCAST_ROWS = 200_000
+#: Entries (ids, runs, wanted contexts) up to which a side is broadcast: a few MB.
+BROADCAST_ENTRIES = 200_000
 
 
 # -- difference cover suffix sorting ----------------------------------------------------
@@ -63,24 +64,24 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: tuple(s[i:].tolist())), np.int64)
-    t = np.zeros(n + 3, np.int64)
+    t = np.zeros(n + 3, np.int32)
     t[:n] = s
-    at = np.arange(n, dtype=np.int64)
+    at = np.arange(n, dtype=np.int32)
     i1, i2, i0 = at[1::3], at[2::3], at[0::3]
     if n % 3 == 1:  # a dummy suffix keeps the two halves of the names apart
-        i1 = np.append(i1, n)
+        i1 = np.append(i1, np.int32(n))
     sample = np.concatenate([i1, i2])
     triple = _pack([t[sample], t[np.minimum(sample + 1, n + 2)], t[np.minimum(sample + 2, n + 2)]])
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     ranked = triple[order]
-    name = np.empty(len(sample), np.int64)
+    name = np.empty(len(sample), np.int32)
     name[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) + 1
     order12 = order if name.max(initial=0) == len(sample) else suffix_array(name)
-    rank = np.zeros(n + 4, np.int64)
+    rank = np.zeros(n + 4, np.int32)
     rank[sample[order12]] = np.arange(1, len(sample) + 1)
     sa12 = sample[order12]
     sa12 = sa12[sa12 < n]
-    sa0 = i0[np.argsort(_pack([t[i0], rank[i0 + 1]]), kind="stable")]
+    sa0 = i0[np.argsort(_pack([t[i0], rank[i0 + 1]]))]
     # a suffix of class 0 goes behind the smaller ones of either sampled class
     one, two = sa12[sa12 % 3 == 1], sa12[sa12 % 3 == 2]
     k = _pack([np.concatenate([t[one], t[sa0]]), np.concatenate([rank[one + 1], rank[sa0 + 1]])])
@@ -108,11 +109,14 @@ def equal_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     valid = offset + length <= size[owner]
     sa = suffix_array(s)
     sa = sa[valid[sa]]
+    # prefixes of neighbours, eight bytes at a time where they are long enough
+    step = 8 if length >= 8 else 1
+    words = np.lib.stride_tricks.as_strided(buf, (len(buf) - step + 1,), (1,)) if step == 1 else np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
     same = np.zeros(len(sa), bool)
-    span = np.arange(length)
-    for a in range(1, len(sa), 20_000):
-        b = min(len(sa), a + 20_000)
-        same[a:b] = (buf[sa[a - 1 : b - 1, None] + span] == buf[sa[a:b, None] + span]).all(axis=1)
+    same[1:] = True
+    for o in [*range(0, length - step, step), length - step]:
+        at = np.flatnonzero(same)
+        same[at] = words[sa[at - 1] + o] == words[sa[at] + o]
     return owner[sa], offset[sa], np.cumsum(~same)
 
 
@@ -129,31 +133,50 @@ def _slide(v: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(k-gram hash, context hash, first window, last window, anchor) of each anchor of a text."""
+def anchors_of(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(text, k-gram hash, context hash, first window, last window, anchor) of each anchor of the texts."""
+    data = b"".join(texts)
     n = len(data)
+    ends = np.cumsum([len(t) for t in texts])
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, z
+    begins = ends - [len(t) for t in texts]
     sums = prefix(np.frombuffer(data, np.uint8))
     at = np.arange(n - k + 1)
     h = span_hash(sums, at, at + k)
     w = length - k + 1
-    v = (h >> U(32)).astype(np.uint32)
+    v = (h >> U(32)).astype(np.uint32) | np.uint32(1)
     low = _slide(v, w, np.minimum)  # per window
-    # the leftmost smallest position of each window
+    # windows that cross the end of a text are none
+    valid = np.zeros(len(low) + 1, np.int32)
+    long = ends - begins >= length
+    np.add.at(valid, begins[long], 1)
+    np.add.at(valid, ends[long] - length + 1, -1)
+    valid = np.cumsum(valid[:-1]) > 0
+    low[~valid] = 0
     pad = np.zeros(w - 1, np.uint32)
     picked = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), w, np.maximum) == v)
-    nxt = np.searchsorted(picked, np.arange(len(low)))
-    wrong = np.flatnonzero(v[picked[nxt]] != low)
+    windows = np.flatnonzero(valid)
+    if not len(windows):
+        return anchors_of([], length, k)
+    # the leftmost smallest position of each window
+    nxt = np.searchsorted(picked, windows)
+    wrong = np.flatnonzero(v[picked[nxt]] != low[windows])
     while len(wrong):
         nxt[wrong] += 1
-        wrong = wrong[v[picked[nxt[wrong]]] != low[wrong]]
+        wrong = wrong[v[picked[nxt[wrong]]] != low[windows[wrong]]]
     edge = np.flatnonzero(np.concatenate([[True], nxt[1:] != nxt[:-1]]))
-    first, anchor = edge, picked[nxt[edge]]
-    last = np.append(edge[1:], len(low)) - 1
+    first, anchor = windows[edge], picked[nxt[edge]]
+    last = windows[np.append(edge[1:], len(windows)) - 1]
     ctx = mix(span_hash(sums, first, last + length) + (anchor - first).astype(np.uint64))
-    return h[anchor], ctx, first, last, anchor
+    text = np.searchsorted(ends, first, side="right")
+    return text, h[anchor], ctx, first - begins[text], last - begins[text], anchor - begins[text]
+
+
+def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """anchors_of() of one text, without its number."""
+    return anchors_of([data], length, k)[1:]
 
 
 _ANCHOR = "h bigint, ctx bigint, d bigint, first int, last int, anchor int"
@@ -164,41 +187,35 @@ def _anchor_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            group: list[tuple] = []
-            size = 0
             ids = b.column(0).to_numpy(zero_copy_only=False)
+            group: list[bytes] = []
+            size, begin = 0, 0
             for i, t in enumerate(b.column(1).to_pylist()):
-                got = anchors((t or "").encode(), length, k)
-                if len(got[0]):
-                    group.append((*got, np.full(len(got[0]), ids[i])))
-                    size += len(got[0])
-                if size >= 50_000:
-                    yield _pack_rows(group)
-                    group, size = [], 0
-            if group:
-                yield _pack_rows(group)
+                group.append((t or "").encode())
+                size += len(group[-1])
+                # about a cache's worth of text at a time
+                if size >= 60_000 or i + 1 == b.num_rows:
+                    text, h, ctx, first, last, anchor = anchors_of(group, length, k)
+                    cols = [h.view(np.int64), ctx.view(np.int64), ids[begin + text].astype(np.int64), first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "ctx", "d", "first", "last", "anchor"])
+                    group, size, begin = [], 0, i + 1
 
     return texts.select("d", "text").mapInArrow(run, _ANCHOR)
 
 
-def _pack_rows(group: list[tuple]) -> pa.RecordBatch:
-    h, ctx, first, last, anchor, d = (np.concatenate(x) for x in zip(*group, strict=True))
-    cols = [h.view(np.int64), ctx.view(np.int64), d.astype(np.int64), first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "ctx", "d", "first", "last", "anchor"])
-
-
 # -- the steps --------------------------------------------------------------------------------
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the counted rows are few; else the plain frame, which joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _small(df: DataFrame, entries: str = "1") -> DataFrame:
+    """A broadcast hint where the counted entries are few; else the plain frame, which joins by shuffle."""
+    n = df.agg(F.sum(F.expr(entries)).alias("n")).collect()[0]["n"] or 0
+    return F.broadcast(df) if n <= BROADCAST_ENTRIES else df
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(h, hot, d, first, body): the bytes of the wanted contexts. wanted: (d, h, first, last, hot)."""
     lists = materialize(wanted.groupBy("d").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("want")), "sd-want")
-    j = texts.join(_small(lists.withColumnRenamed("d", "wd")), F.col("d") == F.col("wd")).select("d", "text", "want")
+    j = texts.join(_small(lists.withColumnRenamed("d", "wd"), "size(want)"), F.col("d") == F.col("wd")).select("d", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,7 +247,7 @@ def _runs(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array(p[end].astype(np.int32))], names=["d", "first", "last"])
 
 
-def _sorted_blocks(contexts: DataFrame, length: int, block_bytes: int = 3_000_000) -> DataFrame:
+def _sorted_blocks(contexts: DataFrame, length: int, block_bytes: int = 150_000) -> DataFrame:
     """Repeated windows of contexts, found by suffix sorting, as runs (d, first, last).
 
     Rows of one k-gram stand together in a task; a block is closed between k-grams.
@@ -354,7 +371,7 @@ def removed_mask(n: int, whole: bool, runs: list, length: int) -> np.ndarray:
 
 def _marked(docs: DataFrame, length: int, k: int, block: int) -> DataFrame:
     rows, marks = covered(docs, length, k, block)
-    return rows.join(_small(marks.withColumnRenamed("d", "md")), F.col("d") == F.col("md"), "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs", "rest")
+    return rows.join(_small(marks.withColumnRenamed("d", "md"), "1 + size(runs)"), F.col("d") == F.col("md"), "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs", "rest")
 
 
 def report(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
