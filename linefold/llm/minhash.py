@@ -8,10 +8,15 @@ independent MinHash.
 
 Documents with equal sets form a class first, so copies cost one row each.  Classes whose
 sketches agree in a whole band meet in a bucket.  A bucket links its members to its smallest
-one (a star, never all pairs); links are confirmed on the full sets.  Members of one bucket
-that still lie in different components are then compared across components until no
-unverified pair is left, so a hub that fails to link never hides a link between others.
-No cap is set on buckets.
+one (a star, never all pairs); links are confirmed on the full sets.
+
+A hub that fails to link must not hide a link between others.  One bit of each coordinate
+(BITS of them) estimates similarity within 0.03.  Members that are loosely similar to a hub
+(0.4 by the bits) join its cluster; members that are not closely similar to it (0.6) get
+hubs of their own, so two members that link always share a cluster, by the triangle
+inequality of the Jaccard distance.  Inside a cluster, documents of different components
+are compared in blocks on their full sets, and only links leave a block.  No cap is set on
+buckets, clusters or partners.
 
 bands x rows: the chance to miss a pair at the threshold is (1 - threshold^rows)^bands,
 about 2e-8 with 76 x 7 at 0.8.
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
@@ -36,6 +41,11 @@ from .components import connected_components
 from .wordhash import U, mix, shingle_sets
 
 BANDS, ROWS = 76, 7
+BITS = 512
+#: Differing bits: at 0.4, plus six deviations; at 0.6; at the threshold 0.8, plus six deviations.
+LOOSE, CLOSE, LINK = 216, 102, 92
+#: Shingles of a block of a cluster.
+BLOCK_ITEMS = 400_000
 BROADCAST_ROWS = 200_000
 
 
@@ -71,8 +81,13 @@ def band_hashes(key: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def sketch_bits(key: np.ndarray) -> np.ndarray:
+    """BITS bits of a sketch as 64-bit words."""
+    return np.packbits((mix(key[:BITS]) & U(1)).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (128 bits of the set) and the band hashes."""
+    """doc_id, n_shingles, k1, k2 (128 bits of the set), the band hashes and the sketch bits."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -80,15 +95,24 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             sets = shingle_sets([(x or "").encode() for x in b.column(1).to_pylist()], k)
             keys = [set_key(s) if len(s) else (None, None) for s in sets]
-            hashes = [band_hashes(sketch(s, bands * rows), bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            off = np.zeros(len(sets) + 1, np.int32)
-            off[1:] = np.cumsum([len(h) for h in hashes])
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)))
+            sketches = [sketch(s, bands * rows) if len(s) else None for s in sets]
+            lists = _lists([band_hashes(x, bands, rows).view(np.int64) if x is not None else NONE for x in sketches])
+            bits = _lists([sketch_bits(x) if x is not None else NONE for x in sketches])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"]
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), lists, bits],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "bits"],
             )
 
-    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>")
+
+
+NONE = np.zeros(0, np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    off = np.zeros(len(values) + 1, np.int32)
+    off[1:] = np.cumsum([len(v) for v in values])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(values) if values else NONE))
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -138,34 +162,36 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links (verified links of its class)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, n_links (confirmed links that its class was joined by)."""
     sig = materialize(signatures(docs, k, bands, rows), "mh-sig")
     # one row per distinct set; the aggregation folds copies on the map side
-    groups = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    groups = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = materialize(groups.withColumn("cid", F.monotonically_increasing_id()), "mh-classes")
-
-    members = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("cid").alias("rep"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("b_bucket"), "rep")
-    shared = materialize(members.join(buckets, F.col("bucket") == F.col("b_bucket")).select("bucket", "cid", "n", "rep"), "mh-shared")
-    todo = materialize(shared.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct(), "mh-pairs")
-
-    # full sets of the classes that met another in some bucket
-    need = materialize(shared.select("cid").distinct(), "mh-need")
-    wanted = materialize(classes.join(need, "cid").select("cid", F.col("k1").alias("w1"), F.col("k2").alias("w2"), "min_id"), "mh-wanted")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("t_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(_small(wanted), F.col("t_id").eqNullSafe(F.col("min_id"))).select("cid", "w1", "w2", "text")
-    # where an id stands on several texts, only those of the class's own set pass
-    sets = materialize(sets_of(texts, k).groupBy("cid").agg(F.first("elements").alias("elements")), "mh-sets")
-
-    links = done = None
-    while True:
-        found = materialize(verify(todo, sets, percent), "mh-links")
-        links = found if links is None else links.union(found)
-        done = todo if done is None else done.union(todo)
-        roots = materialize(connected_components(links), "mh-roots")
-        todo = materialize(_across(shared, roots, done, percent), "mh-pairs")
-        if todo.isEmpty():
-            break
+    words = classes.select("cid", "n", "bands", *[F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)])
+
+    # stars: each bucket's members against its smallest; sketches join the few pairs, not all bucket rows
+    members = words.select("cid", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("h_bucket"), "a")
+    rays = materialize(members.join(hubs, F.col("bucket") == F.col("h_bucket")).where("cid <> a").select("bucket", "a", F.col("cid").alias("b")), "mh-rays")
+    side = lambda c: words.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.struct(*SKETCH).alias(f"k{c}"))
+    pairs = rays.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("far", differing("ka", "kb"))
+    pairs = materialize(pairs.select("a", "b", "na", "nb", "far"), "mh-pairs")
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    stars = pairs.where((F.col("far") <= LINK) & fits).select("a", "b")
+    apart = rays.join(pairs.where(F.col("far") > CLOSE).select("a", "b"), ["a", "b"], "left_semi").select("bucket", "b")
+    loose = pairs.where(F.col("far") <= LOOSE).select("a", "b").unionByName(_own_hubs(apart.join(words.select(F.col("cid").alias("b"), *SKETCH), "b")))
+    cluster = materialize(connected_components(loose.distinct()), "mh-clusters")
+
+    links = materialize(verify(stars, _sets(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k, "mh-star-sets"), percent), "mh-links")
+    roots = connected_components(links)
+    # clusters of three or more with several components: a pair alone is a star already
+    at = cluster.withColumnRenamed("node", "cid").withColumnRenamed("root", "cluster").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root"))
+    open_ = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select(F.col("cluster").alias("o_cluster"))
+    rest = materialize(at.join(open_, F.col("cluster") == F.col("o_cluster"), "left_semi"), "mh-rest")
+    if not rest.isEmpty():
+        sets = _sets(docs, classes, rest.select("cid"), k, "mh-rest-sets")
+        links = materialize(links.unionByName(_across(rest, words, sets, percent)).distinct(), "mh-links")
+    roots = connected_components(links)
 
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "k1", "k2", "min_id", F.coalesce("root", "cid").alias("root"))
@@ -178,16 +204,98 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return rows_.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Unverified pairs of one bucket in different components whose sizes allow a link."""
-    at = shared.select("bucket", "cid", "n").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("o_bucket"))
-    at = materialize(at.join(open_, F.col("bucket") == F.col("o_bucket"), "left_semi"), "mh-open")
-    x = at.select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = at.select("bucket", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which two sketches (structs of words) differ."""
+    return sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH), F.lit(0))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, name: str) -> DataFrame:
+    """(cid, elements) of some classes, from the texts of their smallest ids."""
+    wanted = materialize(classes.join(cids, "cid").select("cid", F.col("k1").alias("w1"), F.col("k2").alias("w2"), "min_id"), "mh-wanted")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("t_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(_small(wanted), F.col("t_id").eqNullSafe(F.col("min_id"))).select("cid", "w1", "w2", "text")
+    # where an id stands on several texts, only those of the class's own set pass
+    return materialize(sets_of(texts, k).groupBy("cid").agg(F.first("elements").alias("elements")), name)
+
+
+def _own_hubs(rays: DataFrame) -> DataFrame:
+    """Cluster edges (a, b) of members that are not close to their bucket's hub.
+
+    Each bucket's rows stream through one task, against hubs that are found on the way;
+    a row is close to some hub or becomes one.  Memory is that of the hubs of one bucket.
+    """
+    n = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rays.select("bucket", "b", *SKETCH).repartition(n, "bucket").sortWithinPartitions("bucket", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, ids, hubs = None, [], np.zeros((0, len(SKETCH)), np.uint64)
+        for batch in batches:
+            keys, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bits = np.stack([batch.column(i).to_numpy() for i in range(2, 2 + len(SKETCH))], axis=1).view(np.uint64)
+            # runs of one row in a new bucket can have no partner here
+            alone = np.concatenate([keys[1:] != keys[:-1], [False]]) & np.concatenate([[False], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            out: list[tuple[int, int]] = []
+            for i in np.flatnonzero(~alone):
+                if keys[i] != bucket:
+                    bucket, ids, hubs = keys[i], [], np.zeros((0, len(SKETCH)), np.uint64)
+                far = np.bitwise_count(hubs ^ bits[i]).sum(axis=1) if ids else np.zeros(0)
+                out += [(ids[j], int(own[i])) for j in np.flatnonzero(far <= LOOSE)]
+                if not (far <= CLOSE).any():
+                    ids.append(int(own[i]))
+                    hubs = np.vstack([hubs, bits[i : i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(rest: DataFrame, words: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one cluster in different components, found in blocks.
+
+    rest: (cid, cluster, root).  A document gets at most one link per other component and
+    block pair; all pairs whose sketch bits allow the threshold are compared on full sets.
+    """
+    m = rest.join(words.select(F.col("cid").alias("w"), "n", *SKETCH), F.col("cid") == F.col("w")).drop("w")
+    upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("root", "cid").rowsBetween(Window.unboundedPreceding, 0))
+    m = materialize(m.withColumn("block", F.floor((upto - F.col("n")) / BLOCK_ITEMS)), "mh-blocks")
+    blocks = m.groupBy("cluster", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    x, y = blocks.select("cluster", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), blocks.select(F.col("cluster").alias("c2"), F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
+    pairs = x.join(y, (F.col("cluster") == F.col("c2")) & (F.col("i") <= F.col("j"))).where("least(li, lj) <> greatest(hi_i, hj)").select("cluster", "i", "j")
+    full = m.join(sets, "cid").select("cluster", "block", "cid", "root", "n", *SKETCH, "elements")
+    side = lambda c, name: full.join(pairs, (full["cluster"] == pairs["cluster"]) & (full["block"] == pairs[c])).select(full["cluster"], "i", "j", F.lit(name).alias("side"), "cid", "root", "n", *SKETCH, "elements")
+    both = side("i", 0).unionByName(side("j", 1).where("i <> j"))
+
+    def block(table: pa.Table) -> pa.Table:
+        ids, root, n, where = (table[c].to_numpy() for c in ("cid", "root", "n", "side"))
+        bits = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+        elements = [np.frombuffer(e.as_buffer(), np.uint64) for chunk in table["elements"].chunks for e in chunk]
+        left = np.flatnonzero(where == 0)
+        right = np.flatnonzero(where == 1) if (where == 1).any() else left
+        flat = np.concatenate([elements[j] for j in right])
+        off = np.concatenate([[0], np.cumsum(n[right])])
+        out: list[tuple[int, int]] = []
+        for i in left:
+            may = (root[right] != root[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)
+            may &= np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1) <= LINK
+            at = np.flatnonzero(may)
+            if not len(at):
+                continue
+            part = np.concatenate([flat[off[j] : off[j + 1]] for j in at])
+            place = np.minimum(np.searchsorted(elements[i], part), len(elements[i]) - 1)
+            hit = np.concatenate([[0], np.cumsum(elements[i][place] == part)])
+            ends = np.cumsum(n[right[at]])
+            both = hit[ends] - hit[ends - n[right[at]]]
+            ok = at[100 * both >= percent * (n[i] + n[right[at]] - both)]
+            seen = set()
+            for j in right[ok]:
+                if root[j] not in seen:
+                    seen.add(root[j])
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return both.groupBy("cluster", "i", "j").applyInArrow(block, "a bigint, b bigint")
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -332,3 +332,23 @@ def test_quality_odd_rows(spark):
     one = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = Q.score(docs, one).collect()
     assert len(got) == 3 and all(0 < r.score < 1 for r in got) and Q.score(frame(spark, []), one).count() == 0
+
+
+def test_near_duplicates_large_loose_group(spark):
+    # many edited copies of one text: a large component, stragglers, and links between stragglers only
+    rng = random.Random(11)
+    vocab = ["v%d" % i for i in range(400)]
+    base = [rng.choice(vocab) for _ in range(80)]
+    texts = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 2, 4, 9, 16])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append((2 * i, " ".join(w)))
+        if i % 9 == 0:
+            w[rng.randrange(len(w))] = "z"
+            texts.append((2 * i + 1, " ".join(w)))
+    size, root = brute_near(texts, 2, 80)
+    assert len(set(root.values())) > 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), k=2).collect()}
+    assert got == {i: (size[i], root[i]) for i, _ in texts}
