@@ -2,7 +2,8 @@
 
 A record never sits in memory as a whole: it is a run of rows (record id, chunk number,
 bytes), each row with the digest of the payload up to its end.  Joining the bytes of a
-record's rows in chunk order gives a valid WARC/1.1 record.  The table is Parquet in the
+record's rows in chunk order gives a valid compressed WARC/1.1 record: each chunk is a gzip
+member, as in .warc.gz files.  The table is Parquet in the
 shared folder, so that losing an executor loses nothing, and reading it back streams the
 chunks through one running SHA-1 per record.
 
@@ -14,6 +15,7 @@ response.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship
 
 CHUNK = 1 << 18
+#: Repeated payloads up to which their table is broadcast; beyond, the join is a shuffle.
+BROADCAST_ROWS = 100_000
 CHUNK_SCHEMA = "record_id bigint, page_id bigint, chunk_no int, header_bytes int, body binary, payload_end bigint, running_sha1 string, last boolean"
 _KINDS = [("record_id", pa.int64()), ("page_id", pa.int64()), ("chunk_no", pa.int32()), ("header_bytes", pa.int32()), ("body", pa.binary()), ("payload_end", pa.int64()), ("running_sha1", pa.string()), ("last", pa.bool_())]
 
@@ -55,8 +59,8 @@ def parse_header(data: bytes) -> dict[str, str]:
     return {k.lower(): v for k, _, v in (x.partition(": ") for x in head[1:] if x)}
 
 
-def plan_records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """pages(page_id, url, html) with record id, payload length, SHA-1, type and the page referred to."""
+def plan_records(pages: DataFrame, min_revisit: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Pages with record id, payload length and SHA-1; and per repeated payload the page and record that is the response."""
     src = pages.select(pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     rows = src.select("page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").cast("bigint").alias("len"), F.monotonically_increasing_id().alias("record_id"))
     key = rows.select("sha", "len", "page_id", "record_id").where(F.col("len") >= min_revisit)
@@ -70,7 +74,9 @@ def write_archive(pages: DataFrame, min_revisit: int = 1000, chunk: int = CHUNK)
     """Write every page as a record; gives the chunk table as read back from storage."""
     ship(pages.sparkSession)
     rows, best = plan_records(pages, min_revisit)
-    # the digest plan joins on the small side of repeated payloads only
+    # few payloads repeat: their table is broadcast if counted small, so that pages are not shuffled
+    best = materialize(best, "warc-repeats")
+    best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
     j = rows.join(best, (F.col("sha") == F.col("b_sha")) & (F.col("len") == F.col("b_len")), "left").select(
         "record_id", "page_id", "url", "html", "sha", "len",
         F.when(F.col("b_record").isNotNull() & (F.col("b_record") != F.col("record_id")), "revisit").otherwise("response").alias("kind"), "b_page",
@@ -93,7 +99,7 @@ def write_archive(pages: DataFrame, min_revisit: int = 1000, chunk: int = CHUNK)
                     sha.update(part)
                     at += len(part)
                     last = at >= n
-                    body = (head if no == 0 else b"") + bytes(part) + (b"\r\n\r\n" if last else b"")
+                    body = gzip.compress((head if no == 0 else b"") + bytes(part) + (b"\r\n\r\n" if last else b""), 6, mtime=0)
                     rows.append((rid, pid, no, len(head) if no == 0 else 0, body, at, sha.hexdigest() if kind == "response" else digest, last))
                     size += len(body)
                     no += 1
@@ -131,7 +137,7 @@ def read_archive(chunks: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i in range(b.num_rows):
                 no, hb, last = b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(5)[i].as_py()
-                body = memoryview(b.column(3)[i].as_buffer())
+                body = memoryview(gzip.decompress(b.column(3)[i].as_buffer()))
                 if no == 0:
                     head, sha, size = parse_header(bytes(body[:hb])), hashlib.sha1(), 0
                 part = body[hb : len(body) - 4 if last else len(body)]
