@@ -12,12 +12,14 @@ from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import code, folds, graph, match, model, regions
 from ..operators import statistics as S
-from ..runtime import ship
+from ..runtime import materialize, ship
 from ..sources import readers
 from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Ids up to which a side is broadcast, by count.
+BROADCAST_IDS = 500_000
 
 
 def query(f: Query) -> Query:
@@ -44,6 +46,24 @@ def docs_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 
+def pair_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents of pairs, their lines, pairs): what a pair query needs of the corpus, and no more.
+
+    Pairs are a small table of ids, written once; all further work is on the paired documents.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pairs = materialize(regions.copy_pairs(docs), "pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("p_id")).distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    own = docs.join(ids, F.col("doc_id") == F.col("p_id"), "left_semi")
+    return own, regions.explode_lines(own), pairs
+
+
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs with the texts ``before`` and ``after``."""
+    return pairs.join(docs.select(F.col("doc_id").alias("x"), F.col("text").alias("before")), "x").join(docs.select(F.col("doc_id").alias("y"), F.col("text").alias("after")), "y")
+
+
 def sink(tier: str = "all") -> Column:
     """Criterion lines: all, those with a comma; sparse, those with a digit."""
     return F.col("line").contains(",") if tier == "all" else F.col("line").rlike("[0-9]")
@@ -65,9 +85,8 @@ def label_coercion_partition(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def qualify_pairs_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Positive pairs with text on both sides that differ; the first 40 in input order (the cap is the operator)."""
-    docs, lines = docs_lines(spark, sf)
-    pairs = regions.copy_pairs(docs)
-    j = pairs.join(docs.select(F.col("doc_id").alias("x"), F.col("text").alias("before")), "x").join(docs.select(F.col("doc_id").alias("y"), F.col("text").alias("after")), "y")
+    docs, _, pairs = pair_lines(spark, sf)
+    j = with_texts(pairs, docs)
     j = j.join(table(spark, sf, "labels").select(F.col("doc_id").alias("x"), "quality"), "x")
     ok = j.where(T.is_positive(F.col("quality")) & T.has_text(F.col("after")) & (F.col("after") != F.col("before")))
     return ok.orderBy("x").limit(40).select("x", "y", big(F.length("before")).alias("n_before"), big(F.length("after")).alias("n_after"))
@@ -76,8 +95,8 @@ def qualify_pairs_prefix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def skip_accounting(spark: SparkSession, sf: str) -> DataFrame:
     """Why a document yields no usable pair, counted per reason."""
-    docs, lines = docs_lines(spark, sf)
-    pairs = regions.copy_pairs(docs)
+    _, lines, pairs = pair_lines(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     deleted = regions.deleted_lines(lines, pairs).select(F.col("doc_id").alias("del_id")).distinct()
     j = docs.join(pairs, docs["doc_id"] == pairs["x"], "left").join(deleted, F.col("doc_id") == F.col("del_id"), "left")
     reason = F.when(~T.has_text(F.col("text")), "empty").when(F.col("x").isNull(), "no_pair").when(F.col("del_id").isNull(), "insertion_only").otherwise("used")
@@ -230,8 +249,8 @@ def markup_feature_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def multiset_line_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Line counts that differ between a document and its copy."""
-    docs, lines = docs_lines(spark, sf)
-    m = regions.multiset_diff(lines, regions.copy_pairs(docs))
+    _, lines, pairs = pair_lines(spark, sf)
+    m = regions.multiset_diff(lines, pairs)
     return m.groupBy("x", "y").agg(F.sum("n_deleted").alias("n_deleted"), F.sum("n_added").alias("n_added"), F.count("*").alias("n_lines"))
 
 
@@ -239,8 +258,8 @@ def multiset_line_diff(spark: SparkSession, sf: str) -> DataFrame:
 def seq_diff_opcodes(spark: SparkSession, sf: str) -> DataFrame:
     """Sequence-matcher diff of each pair: deleted and added lines, anchors, and fix identifiers."""
     ship(spark)
-    docs, _ = docs_lines(spark, sf)
-    j = regions.copy_pairs(docs).join(docs.select(F.col("doc_id").alias("x"), F.col("text").alias("before")), "x").join(docs.select(F.col("doc_id").alias("y"), F.col("text").alias("after")), "y")
+    docs, _, pairs = pair_lines(spark, sf)
+    j = with_texts(pairs, docs).repartition("x", "y")
     j = j.withColumn("d", code.diff(F.col("before"), F.col("after")))
     ids = lambda c, at: F.flatten(F.transform(at, lambda i: T.idents(F.get(T.lines(F.col(c)), i))))
     fix = F.array_distinct(F.concat(ids("before", F.col("d.deleted")), ids("after", F.col("d.added"))))
@@ -253,8 +272,11 @@ def seq_diff_opcodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_measures(spark: SparkSession, sf: str, tier: str = "all") -> DataFrame:
     """Per pair with deleted lines: n, d, region size, hits, coverage and size ratio of the mention region."""
-    docs, lines = docs_lines(spark, sf)
-    deleted = regions.deleted_lines(lines, regions.copy_pairs(docs))
+    _, lines, pairs = pair_lines(spark, sf)
+    return measures(lines, regions.deleted_lines(lines, pairs), tier)
+
+
+def measures(lines: DataFrame, deleted: DataFrame, tier: str) -> DataFrame:
     region = regions.mention_region(lines, sink(tier)).withColumn("in_region", F.lit(1))
     n = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
     r = region.groupBy("doc_id").agg(F.count("*").alias("r"))
@@ -267,8 +289,10 @@ def pair_measures(spark: SparkSession, sf: str, tier: str = "all") -> DataFrame:
 def region_mention_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage, size ratio, lift and concentration of mention regions, by fix size and criterion tier."""
     parts = []
+    _, lines, pairs = pair_lines(spark, sf)
+    deleted = materialize(regions.deleted_lines(lines, pairs), "deleted")
     for tier in ("all", "sparse"):
-        m = pair_measures(spark, sf, tier)
+        m = measures(lines, deleted, tier)
         stratum = F.when(F.col("d") <= 1, "1").when(F.col("d") <= 5, "2-5").otherwise(">5")
         g = m.groupBy(stratum.alias("stratum")).agg(
             F.count("*").alias("n"), r6(F.avg("cov")).alias("mean_cov"), r6(F.percentile("cov", F.lit(0.5))).alias("median_cov"), r6(F.avg("rsr")).alias("mean_rsr"),
@@ -299,9 +323,9 @@ def region_unit_mapping(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def region_tail_random_expect(spark: SparkSession, sf: str) -> DataFrame:
     """Tail regions and the exact expectation of random lines and random windows of the region's size."""
-    docs, lines = docs_lines(spark, sf)
-    deleted = regions.deleted_lines(lines, regions.copy_pairs(docs))
-    m = pair_measures(spark, sf).where("r > 0").select("doc_id", "n", "d", F.col("r").alias("k"))
+    _, lines, pairs = pair_lines(spark, sf)
+    deleted = materialize(regions.deleted_lines(lines, pairs), "deleted")
+    m = measures(lines, deleted, "all").where("r > 0").select("doc_id", "n", "d", F.col("r").alias("k"))
     j = deleted.join(m, "doc_id")
     i, n, k = F.col("line_idx"), F.col("n"), F.col("k")
     starts = F.least(i, n - k) - F.greatest(F.lit(0), i - k + 1) + 1
@@ -312,14 +336,13 @@ def region_tail_random_expect(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def random_lines_draws(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty seeded draws of k random lines per pair: mean coverage and share of draws that hit."""
-    docs, lines = docs_lines(spark, sf)
-    pairs = regions.copy_pairs(docs)
-    deleted = regions.deleted_lines(lines, pairs).withColumn("gone", F.lit(1))
-    m = pair_measures(spark, sf).where("r > 0").select("doc_id", "d", F.col("r").alias("k"))
+    _, lines, pairs = pair_lines(spark, sf)
+    deleted = materialize(regions.deleted_lines(lines, pairs), "deleted")
+    m = measures(lines, deleted, "all").where("r > 0").select("doc_id", "d", F.col("r").alias("k"))
     draws = lines.select("doc_id", "line_idx").join(m, "doc_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19))))
     h = F.md5(F.concat_ws("/", "doc_id", "draw", "line_idx").cast("binary"))
     taken = draws.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "draw").orderBy(h))).where("rn <= k")
-    hits = taken.join(deleted, ["doc_id", "line_idx"], "left").groupBy("doc_id", "draw", "d").agg(F.count("gone").alias("c"))
+    hits = taken.join(deleted.withColumn("gone", F.lit(1)), ["doc_id", "line_idx"], "left").groupBy("doc_id", "draw", "d").agg(F.count("gone").alias("c"))
     return hits.groupBy("doc_id").agg(r6(F.avg(F.col("c") / F.col("d"))).alias("mean_cov"), r6(F.avg((F.col("c") > 0).cast("double"))).alias("hit_share"))
 
 
@@ -380,7 +403,7 @@ SNIPPETS = [
 def c_statement_units(spark: SparkSession, sf: str) -> DataFrame:
     """Statement units of code: lines, definitions, uses, sink reasons, enclosing predicates."""
     ship(spark)
-    s = spark.createDataFrame(SNIPPETS, "id bigint, code string")
+    s = spark.createDataFrame(SNIPPETS, "id bigint, code string").coalesce(1)  # six constant rows
     u = s.select("id", F.explode(code.statement_units(F.col("code"))).alias("u"))
     join = lambda c: F.array_join(c, ",")
     return u.select("id", big("u.sid").alias("sid"), big("u.start_line").alias("start_line"), big("u.end_line").alias("end_line"), join("u.defs").alias("defs"), join("u.uses").alias("uses"), join("u.reasons").alias("reasons"), "u.is_pred")
@@ -390,7 +413,7 @@ def c_statement_units(spark: SparkSession, sf: str) -> DataFrame:
 def c_backward_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Slices of code under criterion tiers and dependence kinds, forward regions, depths and normal forms."""
     ship(spark)
-    s = spark.createDataFrame(SNIPPETS, "id bigint, code string")
+    s = spark.createDataFrame(SNIPPETS, "id bigint, code string").coalesce(1)  # six constant rows
     c = F.col("code")
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     out = s.select("id", code.backward_slice()(c).alias("b"), code.backward_slice("memory")(c).alias("m"), code.backward_slice("all", ("data",))(c).alias("d"), code.forward_region(c).alias("f"), code.normalized(c).alias("norm"))
@@ -401,9 +424,8 @@ def c_backward_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def efforts(spark: SparkSession, sf: str) -> DataFrame:
-    docs, lines = docs_lines(spark, sf)
-    pairs = regions.copy_pairs(docs)
-    deleted = regions.deleted_lines(lines, pairs)
+    _, lines, pairs = pair_lines(spark, sf)
+    deleted = materialize(regions.deleted_lines(lines, pairs), "deleted")
     own = lines.join(pairs.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
     region = regions.mention_region(own, sink("sparse")).withColumn("in_r", F.lit(True))
     near = regions.nearest_sink(own, sink("sparse")).join(region, ["doc_id", "line_idx"], "left").select("doc_id", "line_idx", "dist", F.coalesce("in_r", F.lit(False)).alias("in_region"))
@@ -530,9 +552,9 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_features(spark: SparkSession, sf: str) -> DataFrame:
     """Per pair: word sets of before, after, and of the sparse region's lines."""
-    docs, _ = docs_lines(spark, sf)
+    docs, _, pairs = pair_lines(spark, sf)
     feats = docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("f"))
-    j = regions.copy_pairs(docs).join(feats.select(F.col("doc_id").alias("x"), F.col("f").alias("before")), "x").join(feats.select(F.col("doc_id").alias("y"), F.col("f").alias("after")), "y")
+    j = pairs.join(feats.select(F.col("doc_id").alias("x"), F.col("f").alias("before")), "x").join(feats.select(F.col("doc_id").alias("y"), F.col("f").alias("after")), "y")
     return j.withColumn("delta", F.array_except("after", "before"))
 
 
@@ -548,8 +570,7 @@ def feature_delta_test_a(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def delta_negative_control(spark: SparkSession, sf: str) -> DataFrame:
     """The same test on pairs that delete no line, restricted to pairs both arms can use."""
-    docs, lines = docs_lines(spark, sf)
-    pairs = regions.copy_pairs(docs)
+    _, lines, pairs = pair_lines(spark, sf)
     gone = regions.deleted_lines(lines, pairs).select(F.col("doc_id").alias("x")).distinct()
     p = pair_features(spark, sf).where(F.size("before") > 0)
     arm = lambda df, name: df.agg(F.lit(name).alias("arm"), F.count("*").alias("n"), F.count_if(F.size("delta") > 0).alias("n_delta"))
