@@ -34,7 +34,11 @@ _TOKEN = re.compile(
 )
 
 
-@dataclass
+_DIRECTIVE = re.compile(r"[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.S)
+_ONE_SPACE, _BLANKS = re.compile(r"\s"), re.compile(r"[^\S\n]+")
+
+
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -64,13 +68,13 @@ def tokens(code: str) -> list[Token]:
     pos = 0
     while pos < len(code):
         start_of_line = pos == 0 or code[pos - 1] == "\n"
-        if start_of_line and (m := re.compile(r"[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.S).match(code, pos)):
+        if start_of_line and (m := _DIRECTIVE.match(code, pos)):
             kind = "pp"
         else:
             m = _TOKEN.match(code, pos)
             kind = m.lastgroup
             if kind == "ws" and (cut := m[0].find("\n")) >= 0 and not m[0].startswith(("/*", "//", "\\")):
-                m = re.compile(r"\s", re.S).match(code, pos) if cut == 0 else re.compile(r"[^\S\n]+").match(code, pos)
+                m = _ONE_SPACE.match(code, pos) if cut == 0 else _BLANKS.match(code, pos)
         n = m[0].count("\n")
         if kind != "ws":
             out.append(Token(kind, m[0].strip() if kind == "pp" else m[0], pos, line, line + n))
