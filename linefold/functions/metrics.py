@@ -72,3 +72,14 @@ def random_order_topk(n: Column, d: Column, k: int) -> Column:
 def always_positive_f1(pos: Column, n: Column) -> Column:
     p = pos.cast("double") / n
     return 2 * p / (1 + p)
+
+
+def random_guess_f1(pos: Column, n: Column) -> Column:
+    """F1 of a fair coin: precision p, recall one half."""
+    p = pos.cast("double") / n
+    return p / (p + 0.5)
+
+
+def insertion_counts(n_deleted: Column, n_anchors: Column) -> list[Column]:
+    """Aggregates: pairs with any insertion, and pairs that only insert."""
+    return [F.count_if(n_anchors > 0).alias("n_with_insertions"), F.count_if((n_anchors > 0) & (n_deleted == 0)).alias("n_insertion_only")]

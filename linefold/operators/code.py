@@ -99,3 +99,25 @@ def functions_of(files: DataFrame, path_col: str = "path", content_col: str = "c
     rows = files.select(F.col(path_col).alias("path"), F.posexplode(file_functions(text)).alias("pos", "f")).select("path", "pos", "f.name", "f.line", F.col("f.text").alias("code"))
     first = rows.groupBy("path", "name").agg(F.min(F.struct("pos", "line", "code")).alias("b"))
     return first.select("path", "name", F.col("b.line").alias("line"), F.col("b.code").alias("code"))
+
+
+def slice_vector(code: Column) -> Column:
+    """Of a function's profiles: sc, scvg, si, ss (profiles, covered lines, identifiers and line span, each over the number of lines)."""
+
+    def f(text: str) -> list[float]:
+        n = max(1, len(text.splitlines()))
+        p = C.profiles(text)
+        lines = {x for v in p for x in (*v["def"], *v["use"])}
+        names = {v["variable"] for v in p} | {d for v in p for d in v["dvars"]}
+        return [len(p) / n, len(lines) / n, len(names) / n, (max(lines) - min(lines) + 1) / n if lines else 0.0]
+
+    return _each("array<double>", f)(code)
+
+
+def profile_features(profiles: Column, variables: Column | None = None) -> Column:
+    """Coarse features of profiles (cf:call, pt:, dv:, var:); of the given variables, or of all where none of them has a profile."""
+    own = profiles if variables is None else F.filter(profiles, lambda p: F.array_contains(variables, p["variable"]))
+    used = F.when(F.size(own) == 0, profiles).otherwise(own)
+    tag = lambda t, xs: F.transform(xs, lambda x: F.concat(F.lit(t), x))
+    each = F.transform(used, lambda p: F.flatten(F.array(tag("cf:", F.map_keys(p["cfuncs"])), tag("pt:", p["pointers"]), tag("dv:", p["dvars"]), F.array(F.concat(F.lit("var:"), p["variable"])))))
+    return F.array_sort(F.array_distinct(F.flatten(each)))

@@ -135,3 +135,22 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFram
             break
         found = found.unionByName(front)
     return found
+
+
+def token_region(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, line_idx) of lines that mention one of tokens(doc_id, tok): the text-scan region of fix variables."""
+    toks = lines.select("doc_id", "line_idx", F.explode(F.array_distinct(T.idents(F.col("line")))).alias("tok"))
+    return toks.join(tokens.select("doc_id", "tok").distinct(), ["doc_id", "tok"], "left_semi").select("doc_id", "line_idx").distinct()
+
+
+def changed_identifiers(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, tok) of x: identifiers on lines that only one side of the pair has; all of x's where there is none."""
+    swapped = pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    own = deleted_lines(lines, pairs).join(lines, ["doc_id", "line_idx"]).select("doc_id", "line")
+    after = lines.join(swapped, lines["doc_id"] == swapped["x"]).select(F.col("y").alias("doc_id"), "line")
+    before = lines.select("doc_id", "line").distinct()
+    added = after.join(before, ["doc_id", "line"], "left_anti")
+    ids = lambda df: df.select("doc_id", F.explode(T.idents(F.col("line"))).alias("tok")).distinct()
+    changed = ids(own.unionByName(added)).distinct()
+    none = pairs.select(F.col("x").alias("doc_id")).join(changed.select("doc_id").distinct(), "doc_id", "left_anti")
+    return changed.unionByName(ids(lines.join(none, "doc_id", "left_semi")))

@@ -361,6 +361,24 @@ def region_set_algebra(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def text_scan_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a document that mention an identifier of the changed lines: size and share."""
+    _, lines, pairs = pair_lines(spark, sf)
+    own = lines.join(pairs.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
+    region = regions.token_region(own, regions.changed_identifiers(lines, pairs)).groupBy("doc_id").agg(F.count("*").alias("r"))
+    n = own.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.join(region, "doc_id", "left").select("doc_id", F.coalesce("r", F.lit(0)).cast("bigint").alias("r"), r6(F.coalesce("r", F.lit(0)) / F.col("n")).alias("rsr"))
+
+
+@query
+def trivial_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 of always positive and of a fair coin, per language."""
+    j = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
+    g = j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("pos"), F.count("*").alias("n"))
+    return g.select("lang", "pos", "n", r6(M.always_positive_f1(F.col("pos"), F.col("n"))).alias("always"), r6(M.random_guess_f1(F.col("pos"), F.col("n"))).alias("coin"))
+
+
 @query
 def closure_depth_strata(spark: SparkSession, sf: str) -> DataFrame:
     """Least hops over a dependence graph of nations, from those of each region; strata 0, 1, 2, >=3, outside."""

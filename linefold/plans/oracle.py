@@ -169,6 +169,19 @@ j AS (SELECT doc_id, a, coalesce(b, []) AS b, p, len(list_intersect(a, coalesce(
 SELECT doc_id, CAST(x AS BIGINT) AS n_chop, CAST(len(a) + len(b) - x AS BIGINT) AS n_union, CAST(len(a) - x AS BIGINT) AS n_only_a, round(x / len(a), 6) AS prec, round(coalesce(x / nullif(len(b), 0), 0), 6) AS rec,
   round(x / (len(a) + len(b) - x), 6) AS jac, md5(array_to_string(list_transform(a, lambda i: p[i + 1]), chr(10))) AS text_md5 FROM j"""
 
+SQL["text_scan_region"] = f"""
+WITH {DELETED}, ad AS (SELECT DISTINCT cp.x AS doc_id, l.line FROM ln l JOIN cp ON l.doc_id = cp.y WHERE NOT EXISTS (SELECT 1 FROM ln b WHERE b.doc_id = cp.x AND b.line = l.line)),
+ch AS (SELECT doc_id, line FROM ad UNION ALL SELECT doc_id, line FROM dl JOIN ln USING (doc_id, line_idx)),
+ct AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) AS tok FROM ch),
+al AS (SELECT DISTINCT ln.doc_id, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) AS tok FROM ln WHERE ln.doc_id IN (SELECT x FROM cp) AND ln.doc_id NOT IN (SELECT doc_id FROM ct)),
+ft AS (SELECT * FROM ct UNION ALL SELECT * FROM al), lt AS (SELECT DISTINCT ln.doc_id, line_idx, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) AS tok FROM ln JOIN cp ON cp.x = ln.doc_id),
+rg AS (SELECT doc_id, count(DISTINCT line_idx) AS r FROM lt JOIN ft USING (doc_id, tok) GROUP BY 1), nn2 AS (SELECT ln.doc_id, count(*) AS n FROM ln JOIN cp ON cp.x = ln.doc_id GROUP BY 1)
+SELECT doc_id, coalesce(r, 0) AS r, round(coalesce(r, 0) / n, 6) AS rsr FROM nn2 LEFT JOIN rg USING (doc_id)"""
+
+SQL["trivial_baselines"] = """
+WITH g AS (SELECT lang, count(*) FILTER (WHERE quality = 1) AS pos, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT lang, pos, n, round(2 * (pos / n) / (1 + pos / n), 6) AS always, round((pos / n) / (pos / n + 0.5), 6) AS coin FROM g"""
+
 SQL["closure_depth_strata"] = """
 WITH RECURSIVE s AS (SELECT n_nationkey AS src, unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS dst FROM nation WHERE n_nationkey % 3 <> 2),
 w AS (SELECT n_regionkey AS grp, n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey % 5 = n_regionkey

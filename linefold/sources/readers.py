@@ -183,3 +183,13 @@ def fix_commits(log: DataFrame) -> DataFrame:
     paths = F.filter("paths", lambda p: p.rlike(r"(?i)\.c$") & ~p.rlike(r"(?i)(^|/)(tests?|testing|examples?|docs?)/"))
     wanted = log.where(~F.col("subject").rlike(r"(?i)^(merge|revert)\b")).select("commit", ids.alias("cves"), paths.alias("paths"))
     return wanted.where((F.size("cves") > 0) & (F.size("paths") > 0))
+
+
+def columns_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a file by its suffix: Parquet's schema, a delimited file's header, or the keys of JSON lines."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).columns
+    if path.endswith((".csv", ".tsv")):
+        return spark.read.option("header", "true").option("sep", "\t" if path.endswith(".tsv") else ",").csv(path).columns
+    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).select(F.json_object_keys("value").alias("k")).collect()
+    return list(first[0]["k"] or []) if first else []

@@ -241,3 +241,32 @@ def test_profiles_gate_and_pairs(spark, tmp_path):
 def test_stream_equals_batch(spark, sf):
     batch = windows.windowed_counts(spark.read.parquet(f"{sf}/events.parquet")).select("start", "event_type", "n").collect()
     assert sorted(batch) == sorted(windows.run_available(spark, f"{sf}/events.parquet").select("start", "event_type", "n").collect())
+
+
+def test_columns_and_runner(spark, sf, tmp_path):
+    from linefold.plans import runner
+
+    (tmp_path / "a.jsonl").write_text('\n{"x": 1, "y": 2}\n')
+    (tmp_path / "a.tsv").write_text("p\tq\n1\t2\n")
+    assert readers.columns_of(spark, str(tmp_path / "a.jsonl")) == ["x", "y"] and readers.columns_of(spark, str(tmp_path / "a.tsv")) == ["p", "q"]
+    assert readers.columns_of(spark, f"{sf}/region.parquet") == ["r_regionkey", "r_name"]
+    bad = lambda s, d: s.range(1).select(F.raise_error(F.lit("no")))
+    done = runner.run_steps(spark, [("one", lambda s, d: s.range(2)), ("two", bad), ("three", lambda s, d: s.range(1))], sf, str(tmp_path / "out"))
+    assert [(d.name, d.error is None) for d in done] == [("one", True), ("two", False)]
+
+
+def test_trivial_f1_and_insertions(spark):
+    r = one(spark.range(1).select(M.always_positive_f1(F.lit(1), F.lit(4)), M.random_guess_f1(F.lit(1), F.lit(4))))
+    assert [round(x, 6) for x in r] == [0.4, round(0.25 / 0.75, 6)]
+    df = spark.createDataFrame([(0, 2), (3, 1), (1, 0)], "d int, a int")
+    assert tuple(one(df.agg(*M.insertion_counts(F.col("d"), F.col("a"))))) == (2, 1)
+
+
+def test_profile_features(spark):
+    from linefold.operators import code
+    from linefold.runtime import ship
+
+    ship(spark)
+    df = spark.createDataFrame([("int f(char *s) {\n  int n = strlen(s);\n  char *p = s;\n  return n;\n}",)], "c string").withColumn("p", code.variable_profiles(F.col("c")))
+    r = one(df.select(code.profile_features(F.col("p")).alias("a"), code.profile_features(F.col("p"), F.array(F.lit("n"))).alias("n"), code.profile_features(F.col("p"), F.array(F.lit("zz"))).alias("z"), code.slice_vector(F.col("c")).alias("v")))
+    assert "cf:strlen" in r.a and "var:s" in r.a and r.n == ["var:n"] and r.z == r.a and len(r.v) == 4 and all(x > 0 for x in r.v)
