@@ -88,7 +88,7 @@ def line_diff(before: str, after: str) -> dict:
     return {"deleted": sorted(deleted), "added": sorted(added), "anchors": sorted(anchors), "blocks": blocks}
 
 
-#: Texts of more lines than this are matched line by line behind their common ends; the matcher itself is quadratic at worst.
+#: The matcher is quadratic at worst; a pair is one row, so long pairs spread over tasks.
 diff = _each("struct<deleted:array<int>,added:array<int>,anchors:array<int>,blocks:array<struct<anchor:int,lines:array<string>>>>", line_diff)
 
 
