@@ -24,26 +24,35 @@ def balanced_sample(rows: DataFrame, label: str, key: str, cap: int, ratio: int
     return positives.unionByName(k(0, pos * ratio))
 
 
-def stratified_folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: str = "fold") -> DataFrame:
-    """rows with ``fold``: per label, places in hash order dealt round.
+def _dealt(rows: DataFrame, by: list[str], h: Column, key: str, n: int) -> DataFrame:
+    """rows with ``fold``: within the columns ``by``, places in the order of the hash h dealt round.
 
     Places are taken in two levels, cells of the hash and places inside a cell, so that a
     label with most of the rows is dealt over many tasks.
     """
-    h = rows.withColumn("fold_h", hash_order(seed, key)).withColumn("fold_cell", F.substring("fold_h", 1, 2))
-    cells = h.groupBy(F.col(label).alias("cell_label"), F.col("fold_cell").alias("cell")).agg(F.count("*").alias("cell_n"))
-    upto = F.sum("cell_n").over(Window.partitionBy("cell_label").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    keyed = rows.withColumn("fold_h", h).withColumn("fold_cell", F.substring("fold_h", 1, 2))
+    cells = keyed.groupBy(*[F.col(c).alias(f"cell_{c}") for c in by], F.col("fold_cell").alias("cell")).agg(F.count("*").alias("cell_n"))
+    own = [f"cell_{c}" for c in by]
+    upto = F.sum("cell_n").over(Window.partitionBy(*own).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     cells = cells.withColumn("cell_before", upto - F.col("cell_n"))
-    place = F.row_number().over(Window.partitionBy(label, "fold_cell").orderBy("fold_h", key))
-    out = h.withColumn("place", place).join(cells, F.col(label).eqNullSafe(F.col("cell_label")) & (F.col("fold_cell") == F.col("cell")))
-    return out.withColumn("fold", F.pmod(F.col("cell_before") + F.col("place") - 1, F.lit(n)).cast("bigint")).drop("fold_h", "fold_cell", "place", "cell_label", "cell", "cell_n", "cell_before")
+    place = F.row_number().over(Window.partitionBy(*by, "fold_cell").orderBy("fold_h", key))
+    on = F.col("fold_cell") == F.col("cell")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"cell_{c}"))
+    out = keyed.withColumn("place", place).join(cells, on)
+    return out.withColumn("fold", F.pmod(F.col("cell_before") + F.col("place") - 1, F.lit(n)).cast("bigint")).drop("fold_h", "fold_cell", "place", "cell", "cell_n", "cell_before", *own)
+
+
+def stratified_folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: str = "fold") -> DataFrame:
+    """rows with ``fold``: per label, places in hash order dealt round."""
+    return _dealt(rows, [label], hash_order(seed, key), key, n)
 
 
 def repeated_folds(rows: DataFrame, label: str, key: str, repeats: int = 30, n: int = 5, seed: str = "fold") -> DataFrame:
     """(repeat, fold) for every row, the repeat in the hash's seed."""
-    many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("repeat", F.col("repeat").cast("bigint"))
-    place = F.row_number().over(Window.partitionBy("repeat", label).orderBy(F.md5(F.concat(F.lit(seed), F.col("repeat").cast("string"), F.lit("/"), F.col(key).cast("string")).cast("binary")), key)) - 1
-    return many.withColumn("fold", F.pmod(place, F.lit(n)).cast("bigint"))
+    many = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))).alias("repeat"))
+    h = F.md5(F.concat(F.lit(seed), F.col("repeat").cast("string"), F.lit("/"), F.col(key).cast("string")).cast("binary"))
+    return _dealt(many, ["repeat", label], h, key, n)
 
 
 def group_folds(rows: DataFrame, group: str, n: int = 5, seed: str = "group") -> DataFrame:

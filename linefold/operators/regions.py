@@ -23,14 +23,26 @@ def copy_pairs(docs: DataFrame, min_length: int = 20, min_shared: int = 2) -> Da
     A line pairs a document with the next holder of that line only, so a line that every
     document has gives as many rows as documents, not as many as pairs.
     """
-    lines = explode_lines(docs).where(F.length("line") > min_length).select("doc_id", "line").distinct()
-    nxt = lines.select("doc_id", F.lead("doc_id").over(Window.partitionBy("line").orderBy("doc_id")).alias("y")).where("y is not null")
-    both = nxt.groupBy(F.col("doc_id").alias("x"), "y").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared)
+    lines = explode_lines(docs).where(F.length("line") > min_length).select("doc_id", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")).distinct()
+    both = next_holder(lines).groupBy(F.col("doc_id").alias("x"), "y").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared)
     digests = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("t"))
     differ = both.join(digests.select(F.col("doc_id").alias("x"), F.col("t").alias("tx")), "x").join(digests.select(F.col("doc_id").alias("y"), F.col("t").alias("ty")), "y").where("tx <> ty")
     return differ.groupBy("x").agg(F.min("y").alias("y"))
 
 
+def next_holder(holders: DataFrame, span: int = 4096) -> DataFrame:
+    """holders(doc_id, key), distinct -> (doc_id, y): the next larger id with the same key, per key.
+
+    In two levels, ranges of ids and then the ranges' ends, so that a key that many
+    documents hold is dealt over many tasks.
+    """
+    h = holders.withColumn("cell", F.floor(F.col("doc_id") / span))
+    inside = h.select("doc_id", F.lead("doc_id").over(Window.partitionBy("key", "cell").orderBy("doc_id")).alias("y"))
+    ends = h.groupBy("key", "cell").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    across = ends.select(F.col("last").alias("doc_id"), F.lead("first").over(Window.partitionBy("key").orderBy("cell")).alias("y"))
+    return inside.unionByName(across).where("y is not null")
+
+
 def deleted_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, line_idx) of lines of x whose text y does not have: an anti join."""
     before = lines.join(pairs, lines["doc_id"] == pairs["x"]).select("doc_id", "y", "line_idx", "line")

@@ -127,19 +127,36 @@ def mean_diff_ci(diffs: DataFrame, value: str = "d", by: tuple[str, ...] = ()) -
     return diffs.groupBy(*by).agg(F.avg(value).alias("mean"), (F.avg(value) - 1.96 * se).alias("lo"), (F.avg(value) + 1.96 * se).alias("hi"), F.stddev_pop(value).alias("std_pop"))
 
 
+def numbered(rows: DataFrame, order: str, out: str = "place") -> DataFrame:
+    """rows with their 0-based place in an order, without one task for all rows.
+
+    A range sort is written; ids grow with partition and place, and the counts of the few
+    partitions give each its offset.
+    """
+    from ..runtime import materialize
+
+    s = materialize(rows.orderBy(order).withColumn("sort_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("sort_id", 33)
+    counts = s.groupBy(part.alias("sort_part")).agg(F.count("*").alias("sort_n"))
+    before = F.sum("sort_n").over(everything().orderBy("sort_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sort_n")
+    counts = counts.select("sort_part", before.alias("sort_before"))
+    j = s.withColumn("sort_own", part).join(counts, F.col("sort_own") == F.col("sort_part"))
+    return j.withColumn(out, F.col("sort_before") + F.col("sort_id") - F.shiftleft(F.col("sort_own"), 33)).drop("sort_id", "sort_own", "sort_part", "sort_before")
+
+
 def resamples(rows: DataFrame, order: str, b: int, seed: str) -> DataFrame:
     """rows drawn b times with replacement: the columns of rows, with ``resample``.
 
     Draw i of resample r takes place md5(seed, r, i) mod n.  Each row is joined to its
     draws, so the work is b times the rows; counts per place are folded first.
     """
-    numbered = rows.withColumn("place", F.row_number().over(everything().orderBy(order)) - 1)
-    n = numbered.count()
+    placed = numbered(rows, order)
+    n = placed.count()
     draws = (
-        numbered.select(F.col("place").alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("resample"))
+        placed.select(F.col("place").alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("resample"))
         .select("resample", F.pmod(salt(seed, F.col("resample"), F.lit("/"), F.col("i")), F.lit(max(1, n))).alias("hit")).groupBy("resample", "hit").agg(F.count("*").alias("times"))
     )
-    return numbered.join(draws, F.col("place") == F.col("hit")).drop("hit", "place")
+    return placed.join(draws, F.col("place") == F.col("hit")).drop("hit", "place")
 
 
 def order_statistics(stats: DataFrame, value: str, b: int, level: float = 0.95) -> DataFrame:

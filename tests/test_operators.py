@@ -270,3 +270,11 @@ def test_profile_features(spark):
     df = spark.createDataFrame([("int f(char *s) {\n  int n = strlen(s);\n  char *p = s;\n  return n;\n}",)], "c string").withColumn("p", code.variable_profiles(F.col("c")))
     r = one(df.select(code.profile_features(F.col("p")).alias("a"), code.profile_features(F.col("p"), F.array(F.lit("n"))).alias("n"), code.profile_features(F.col("p"), F.array(F.lit("zz"))).alias("z"), code.slice_vector(F.col("c")).alias("v")))
     assert "cf:strlen" in r.a and "var:s" in r.a and r.n == ["var:n"] and r.z == r.a and len(r.v) == 4 and all(x > 0 for x in r.v)
+
+
+def test_numbered_and_next_holder(spark):
+    df = spark.range(0, 500, 1, 7).select((F.pmod(F.xxhash64("id"), F.lit(10_000))).alias("v")).distinct()
+    got = [(r.v, r.place) for r in S.numbered(df, "v").orderBy("v").collect()]
+    assert [p for _, p in got] == list(range(len(got)))
+    holders = spark.createDataFrame([(d, k) for k, ds in (("a", [1, 5, 9, 70, 71, 300]), ("b", [2]), ("c", [9, 64])) for d in ds], "doc_id bigint, key string")
+    assert sorted((r.doc_id, r.y) for r in regions.next_holder(holders, 8).collect()) == [(1, 5), (5, 9), (9, 64), (9, 70), (70, 71), (71, 300)]
