@@ -12,6 +12,7 @@ is encoded whole; rows are independent; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,17 @@ MAX_CACHE = 400_000
 MAX_PIECE_CACHED = 64
 
 
+def splits_safely(path: str) -> bool:
+    """Whether split_safe() keeps the tokens: byte-level words by the library's own pattern, nothing normalised or prefixed."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    return bool(plain and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or ()))
+
+
 @functools.lru_cache(maxsize=4)
 def load(path: str):
     """An encoder of piece lists to lengths, by the kind of file."""
@@ -99,9 +111,7 @@ def count(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        # only the byte-level kinds have boundaries that are known to be safe
-        encode, cache = load(str(path)), {}
-        safe = str(path).endswith(".json") and "byte" in str(path).rsplit("/", 1)[-1]
+        encode, cache, safe = load(str(path)), {}, splits_safely(str(path))
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             counts: list[int] = []

@@ -97,6 +97,16 @@ def test_split_keeps_token_counts(text):
     assert "".join(K.split_safe(text)) == text
 
 
+def test_which_tokenizers_split_safely(spark):
+    import public_tokenizers as P
+
+    assert [K.splits_safely(str(P.path(n))) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")] == [True, False, False]
+    docs = spark.createDataFrame([(1, "Two  words <|endoftext|> é"), (2, None)], "doc_id bigint, text string")
+    for n in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        got = {r.doc_id: r.n_tokens for r in K.count(docs, n).collect()}
+        assert got == {1: K.load(str(P.path(n)))(["Two  words <|endoftext|> é"])[0], 2: K.load(str(P.path(n)))([""])[0]}
+
+
 def test_tokens_of_the_table(spark, sf):
     import public_tokenizers as P
     from tokenizers import Tokenizer

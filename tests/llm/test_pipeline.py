@@ -51,3 +51,35 @@ def test_empty_and_repeated_rows(spark):
     twice = frame(spark, [(1, t), (1, t), (None, t), (None, None)])
     got = corpus_pipeline.near_duplicates(spark, twice, sf).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None", "None"]
+
+
+CLASHES = ["d", "k1", "k2", "bands", "bits", "cid", "h", "ctx", "runs", "whole", "rest", "size", "target", "n", "text_", "codes", "score", "held_out", "src_key", "cell", "bad_id", "record_id", "sha", "len", "linefold_pad"]
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from linefold.llm import license_scan, mixing, tiff_media, token_count, warc
+    from linefold.llm import decontaminate, html_extract, minhash, suffix_dedup
+
+    texts = [(1, "a b c d e f g " * 30), (2, "a b c d e f g " * 30), (3, None), (4, "Released under the MIT License.")]
+    plain = frame(spark, texts)
+    wide = plain.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    items = bench(spark, [ITEM])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    runs = [
+        lambda x: license_scan.scan(x).drop("spans"), lambda x: token_count.count(x, "byte_bpe_50k.json"), tiff_media.describe, suffix_dedup.report, lambda x: minhash.near_duplicates(x, k=2),
+        lambda x: quality.score(x, labels), lambda x: mixing.mix(x).drop("takes"), lambda x: decontaminate.find(x, items),
+    ]
+    for run in runs:
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(plain).collect()))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        assert all(r.k1 == 7 and r.linefold_pad == 7 for r in out.collect())
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>" * 200)], "page_id bigint, url string, html string")
+    more = pages.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    assert html_extract.extract(more).collect() == html_extract.extract(pages).collect()
+    assert warc.read_archive(warc.write_archive(more)).collect() == warc.read_archive(warc.write_archive(pages)).collect()
