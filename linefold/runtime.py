@@ -46,6 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/linefold/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; results that still read them become unreadable."""
+    discard(spark, own_dir(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage durably."""
     return materialize_at(df, name)[0]
@@ -54,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As materialize(), and the path, for discard()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linefold/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

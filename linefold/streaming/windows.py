@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir
+from ..runtime import own_dir
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
@@ -25,7 +25,7 @@ def run_available(spark: SparkSession, path: str, width: str = "1 day") -> DataF
     Each micro-batch overwrites the result table with the complete state, so a restarted
     batch cannot count twice.
     """
-    here = f"{shared_dir(spark)}/linefold/stream-{uuid.uuid4().hex}"
+    here = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     folder, name = path.rstrip("/").rsplit("/", 1)
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)

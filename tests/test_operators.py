@@ -278,3 +278,14 @@ def test_numbered_and_next_holder(spark):
     assert [p for _, p in got] == list(range(len(got)))
     holders = spark.createDataFrame([(d, k) for k, ds in (("a", [1, 5, 9, 70, 71, 300]), ("b", [2]), ("c", [9, 64])) for d in ds], "doc_id bigint, key string")
     assert sorted((r.doc_id, r.y) for r in regions.next_holder(holders, 8).collect()) == [(1, 5), (5, 9), (9, 64), (9, 70), (70, 71), (71, 300)]
+
+
+def test_tables_are_written_and_cleared(spark, tmp_path):
+    import os
+
+    from linefold import runtime
+
+    df, path = runtime.materialize_at(spark.range(3), "t")
+    assert df.count() == 3 and runtime.own_dir(spark) in path and os.path.isdir(path.removeprefix("file:"))
+    runtime.discard(spark, path)
+    assert not os.path.isdir(path.removeprefix("file:"))
