@@ -40,8 +40,8 @@ from .wordhash import U, mix, prefix, span_hash
 LENGTH = 100
 K = 32
 BLOCK = 50_000
-#: Entries (ids, runs, wanted contexts) up to which a side is broadcast: a few MB.
-BROADCAST_ENTRIES = 200_000
+#: Ids of copies up to which they are broadcast: a few MB. Beyond, they join by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 # -- difference cover suffix sorting ----------------------------------------------------
@@ -206,16 +206,15 @@ def _anchor_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
 # -- the steps --------------------------------------------------------------------------------
 
 
-def _small(df: DataFrame, entries: str = "1") -> DataFrame:
-    """A broadcast hint where the counted entries are few; else the plain frame, which joins by shuffle."""
-    n = df.agg(F.sum(F.expr(entries)).alias("n")).collect()[0]["n"] or 0
-    return F.broadcast(df) if n <= BROADCAST_ENTRIES else df
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint where the counted rows are few; else the plain frame, which joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(h, hot, d, first, body): the bytes of the wanted contexts. wanted: (d, h, first, last, hot)."""
     lists = materialize(wanted.groupBy("d").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("want")), "sd-want")
-    j = texts.join(_small(lists.withColumnRenamed("d", "wd"), "size(want)"), F.col("d") == F.col("wd")).select("d", "text", "want")
+    j = texts.join(lists.withColumnRenamed("d", "wd"), F.col("d") == F.col("wd")).select("d", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,10 +318,14 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, k: int = K, block: int
     return out
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the other columns as one struct, so that no name of theirs can clash."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*rest, F.lit(0).alias("linefold_pad")).alias("rest"))
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(_others(docs))]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*rest, F.lit(0).alias("pad")).alias("rest"))
 
 
 def covered(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -371,7 +374,7 @@ def removed_mask(n: int, whole: bool, runs: list, length: int) -> np.ndarray:
 
 def _marked(docs: DataFrame, length: int, k: int, block: int) -> DataFrame:
     rows, marks = covered(docs, length, k, block)
-    return rows.join(_small(marks.withColumnRenamed("d", "md"), "1 + size(runs)"), F.col("d") == F.col("md"), "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs", "rest")
+    return rows.join(marks.withColumnRenamed("d", "md"), F.col("d") == F.col("md"), "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs", "rest")
 
 
 def report(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -409,7 +412,6 @@ def keep_text(data: bytes, gone: np.ndarray) -> str:
 def strip(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes removed from text; n_chars, where it is there, follows."""
     j = _marked(docs, length, k, block)
-    plain = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -423,7 +425,7 @@ def strip(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(4)], names=["doc_id", "text", "rest"])
 
     done = j.mapInArrow(run, f"doc_id bigint, text string, rest {j.schema['rest'].dataType.simpleString()}")
-    fields = {c: F.col("rest").getField(c) for c in plain}
+    fields = {c: F.col("rest").getField(f"c{i}") for i, c in enumerate(_others(docs))}
     if "n_chars" in fields:
         fields["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*[F.col(c) if c in ("doc_id", "text") else fields[c].alias(c) for c in docs.columns])
