@@ -16,17 +16,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     execution splits.  Rounds are written to the shared folder, so lineage stays short.
     """
     spark = edges.sparkSession
-    cur, path = materialize_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
+    first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    # a small star first folds nodes with many edges below them, before any edge is turned round
+    cur, path = materialize_at(_small_star(first), "cc")
     for _ in range(max_rounds):
-        # large star: every neighbour above a node goes to the smallest node around it
-        both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: neighbours below a node, and itself, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, large["a"] == least["n"])
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        nxt, nxt_path = materialize_at(small.distinct(), "cc")
+        nxt, nxt_path = materialize_at(_small_star(_large_star(cur)), "cc")
         sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0] for d in (cur, nxt)]
         discard(spark, path)
         cur, path = nxt, nxt_path
@@ -34,3 +28,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def _large_star(cur: DataFrame) -> DataFrame:
+    """Every neighbour above a node goes to the smallest node around it."""
+    both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    return both.join(low, both["a"] == low["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(cur: DataFrame) -> DataFrame:
+    """Neighbours below a node, and itself, go to the smallest of them."""
+    least = cur.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+    small = cur.join(least, cur["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()

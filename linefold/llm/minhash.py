@@ -194,9 +194,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     roots = connected_components(links)
 
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "k1", "k2", "min_id", F.coalesce("root", "cid").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    named = named.join(lowest, "root").join(degree, F.col("cid") == F.col("node"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    # only linked classes need their component's smallest id; hubs' ids stay out of the large join
+    linked = materialize(roots.join(classes.select("cid", "min_id"), F.col("node") == F.col("cid")).select("node", "root", "min_id"), "mh-linked")
+    lowest = linked.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    linked = linked.join(_small(lowest), "root").select("node", "component_id").join(degree.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").drop("linked")
+    named = classes.join(linked, F.col("cid") == F.col("node"), "left").select(
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("node").isNull(), F.col("min_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    )
     named = materialize(named, "mh-named")
     rows_ = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     alone = F.col("n_shingles") == 0
