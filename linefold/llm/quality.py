@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 FOLDS = 5
 
 
@@ -180,7 +182,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, threshol
     """The rows of docs, all columns, whose score reaches the threshold."""
     model = train(docs, labels, max_rows)
     stats = statistics(F.col("text"))
-    # one struct holds the statistics, so that no column name can clash
-    name = "linefold_quality_stats"
-    s = docs.withColumn(name, F.struct(*[c.alias(k) for k, c in stats.items()]))
-    return s.where(model.column({k: F.col(name)[k] for k in stats}) >= threshold).drop(name)
+    own = {k: f"linefold_quality_{k}" for k in stats}
+    s = docs.select("*", *[c.alias(own[k]) for k, c in stats.items()])
+    s = s.select(*[F.col(f"`{c}`") for c in docs.columns], model.column({k: F.col(own[k]) for k in stats}).alias("linefold_quality"))
+    # Written before the filter: pushed below the projection, it would compute every statistic
+    # again in every rule, without the code that shares their common parts.
+    s = materialize(s, "quality-scored")
+    return s.where(F.col("linefold_quality") >= threshold).drop("linefold_quality")
