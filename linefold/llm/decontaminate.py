@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation, native DataFrame operations only.
 
 Words become templates: numbers -> #num, units -> #unit, capitalised names -> #name, the
-rest lower case.  Windows of n template words of the benchmark are hash-joined with those
-of the documents.  Matches of one item along one alignment are then checked for slot
+rest lower case; neighbouring names, or numbers, are one.  Windows of n template words of
+the benchmark are hash-joined with those of the documents.  Matches of one item along one
+alignment, a band of neighbouring diagonals, so that words may be inserted or left out
+and sentences change places within it, are then checked for slot
 consistency: a value of a slot in the item always stands for one value in the document, as
 it does in a re-parameterised question; equal values on all slots mean a verbatim copy.
 
@@ -60,57 +62,81 @@ def _window_hash(codes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(codes, at + j) for j in range(n)])
 
 
-def _windows(ids: DataFrame, id_col: str, n: int) -> DataFrame:
-    """(id, pos, hash) of the windows of n words; ids has the word codes as array ``codes``."""
-    last = F.size("codes") - n
-    return ids.where(F.size("codes") >= n).select(id_col, F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: _window_hash(F.col("codes"), i, n))).alias("pos", "hash"))
+def _starts(tmpl: Column) -> Column:
+    """Where tokens begin: a run of #name or of #num is one token; tmpl must not be empty."""
+    same = lambda i: (i > 0) & F.get(tmpl, i).isin("#name", "#num") & (F.get(tmpl, i) == F.get(tmpl, i - 1))
+    return F.filter(F.sequence(F.lit(0), F.size(tmpl) - 1), lambda i: ~same(i))
 
 
-def _codes(text: Column) -> Column:
-    return F.transform(surfaces(text), lambda w: F.xxhash64(template(w)))
+def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, low, starts, tok): lower-case words, where tokens begin among them, and their templates."""
+    t = texts.where(F.col("text").isNotNull()).select(id_col, surfaces(F.col("text")).alias("words")).where(F.size("words") > 0)
+    t = t.select(id_col, F.transform("words", F.lower).alias("low"), F.transform("words", template).alias("tmpl"))
+    t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl")).alias("starts"))
+    return t.select(id_col, "low", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
 
 
-def _evidence(width: int):
-    """The window of a width at a position: place, hash and number of plain words."""
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def at(i: Column) -> Column:
-        plain = F.size(F.filter(F.slice("tmpl", i + 1, F.lit(width)), lambda w: ~w.startswith("#")))
-        return F.struct(i.alias("ipos"), _window_hash(F.col("codes"), i, width).alias("hash"), plain.alias("plain"))
 
-    return at
+def _windows(coded: DataFrame, width: int, kinds: set[str]) -> DataFrame:
+    """(doc_id, pos, hash) of the windows of a width; pos counts words."""
+
+    def at(codes: str, place) -> Column:  # noqa: ANN001
+        every = F.transform(F.sequence(F.lit(0), F.size(codes) - width), lambda k: F.struct(place(k).alias("pos"), _window_hash(F.col(codes), k, width).alias("hash")))
+        return F.when(F.size(codes) >= width, every).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+
+    of = {"template": at("codes", lambda k: F.get("starts", k)), "words": at("plain", lambda k: k)}
+    return coded.select("doc_id", F.explode(F.concat(*[of[k] for k in sorted(kinds)])).alias("w")).select("doc_id", "w.pos", "w.hash")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
-    """(item_id, ipos, width, hash, total): all windows of an item that carry evidence."""
-    t = benchmark.where(F.col("text").isNotNull()).select("item_id", surfaces(F.col("text")).alias("words"))
-    t = t.select("item_id", F.transform("words", template).alias("tmpl")).where(F.size("tmpl") > 0)
-    t = t.withColumn("codes", F.transform("tmpl", lambda w: F.xxhash64(w))).withColumn("width", F.least(F.size("codes"), F.lit(n)))
+    """(item_id, ipos, kind, width, hash, total): all windows of an item that carry evidence."""
+    t = _tokens(benchmark, "item_id").withColumn("width", F.least(F.size("tok"), F.lit(n)))
+    plain = lambda k: F.size(F.filter(F.slice("tok", k + 1, F.col("width")), lambda w: ~w.startswith("#")))
+    ev = F.filter(F.sequence(F.lit(0), F.size("tok") - F.col("width")), lambda k: plain(k) >= F.least(F.lit(min_literal), F.col("width")))
+    t = t.withColumn("ev", ev).withColumn("codes", _hashed(F.col("tok"))).withColumn("total", F.size("ev").cast("bigint"))
     shapes = []
-    for width in range(1, n + 1):
-        own = t.where(F.col("width") == width)
-        at = F.transform(F.sequence(F.lit(0), F.size("codes") - width), _evidence(width))
-        shapes.append(own.select("item_id", "width", F.explode(at).alias("w")).select("item_id", "width", "w.ipos", "w.hash", "w.plain"))
-    w = reduce(DataFrame.unionByName, shapes)
-    w = w.where(F.col("plain") >= F.least(F.lit(min_literal), F.col("width")))
-    totals = w.groupBy("item_id").agg(F.count("*").alias("total"))
-    return w.join(totals, "item_id").select("item_id", "ipos", "width", "hash", "total")
+    for w in range(1, n + 1):
+        own = t.where(F.col("width") == w).select("item_id", "total", "codes", "starts", F.explode("ev").alias("k"))
+        shapes.append(own.select("item_id", F.get("starts", F.col("k")).alias("ipos"), F.lit("template").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("codes"), F.col("k"), w).alias("hash"), "total"))
+    return reduce(DataFrame.unionByName, shapes)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
-    """(doc_id, item_id, diag, total, width, places): matched item windows along one alignment."""
+    """(doc_id, item_id, group, total, spots): matched windows (ipos, pos) of one alignment.
+
+    An alignment is a diagonal pos - ipos, or a band of neighbouring ones as wide as words
+    may be inserted or left out: bands overlap by half, so diagonals up to a quarter of the
+    item's windows apart (n at least) always share one.
+    """
     wins = materialize(benchmark_windows(benchmark, n, min_literal), "decon-windows")
     count = wins.count()
     hint = F.broadcast if count <= BROADCAST_WINDOWS else (lambda x: x)
-    coded = docs.where(F.col("text").isNotNull()).select("doc_id", _codes(F.col("text")).alias("codes"))
+    coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tok")).alias("codes"), _hashed(F.col("low")).alias("plain"))
+    shapes: dict[int, set[str]] = {}
+    for width, kind in wins.select("width", "kind").distinct().collect():
+        shapes.setdefault(width, set()).add(kind)
     found = []
-    for (width,) in sorted(wins.select("width").distinct().collect()):
-        bench = wins.where(F.col("width") == width).select("item_id", "ipos", "width", F.col("hash").alias("b_hash"), "total")
-        found.append(_windows(coded, "doc_id", width).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "width", "total", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos"))
+    for width, kinds in sorted(shapes.items()):
+        bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total")
+        found.append(_windows(coded, width, kinds).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "total", "ipos", "pos"))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, diag int, total bigint, width int, places array<int>")
-    hits = reduce(DataFrame.unionByName, found)
-    # at most one row per place of an item: the group is bounded by the item's length
-    return hits.groupBy("doc_id", "item_id", "diag").agg(F.max("total").alias("total"), F.max("width").alias("width"), F.collect_set("ipos").alias("places"))
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, group struct<g:int,b:bigint>, total bigint, spots array<struct<ipos:int,pos:int>>")
+    hits = reduce(DataFrame.unionByName, found).withColumn("diag", (F.col("pos") - F.col("ipos")).cast("bigint"))
+    band = F.floor(F.col("diag") / F.greatest(F.lit(n), F.col("total") / 4))
+    group = lambda g, b: F.struct(F.lit(g).alias("g"), b.alias("b"))
+    hits = hits.withColumn("group", F.explode(F.array(group(0, F.col("diag")), group(1, band), group(1, band - 1))))
+    # bounded by the item's length and the band's width
+    return hits.groupBy("doc_id", "item_id", "group").agg(F.max("total").alias("total"), F.collect_set(F.struct("ipos", "pos")).alias("spots"))
+
+
+def _texts(texts: DataFrame, id_col: str, name: str, p: str) -> DataFrame:
+    """Per text the columns of _tokens() and the lower-case text of each token, prefixed."""
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("low"))
+    said = F.transform("starts", lambda s, k: F.array_join(F.slice("low", s + 1, end(k) - s), " "))
+    return _tokens(texts, id_col).select(F.col(id_col).alias(name), *[F.col(c).alias(p + c) for c in ("low", "starts", "tok")], said.alias(p + "said"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5, min_share: float = 0.25, min_literal: int = 3) -> DataFrame:
@@ -118,26 +144,37 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     m = matches(docs, benchmark, n, min_literal)
-    hit = F.size("places").cast("bigint")
-    m = materialize(m.where((hit >= F.least(F.lit(min_windows), F.col("total"))) & (hit >= min_share * F.col("total"))), "decon-matches")
+
+    def enough(spots: str) -> Column:
+        hit = F.size(F.array_distinct(F.transform(spots, lambda x: x["ipos"])))
+        return (hit >= F.least(F.lit(min_windows), F.col("total"))) & (hit >= min_share * F.col("total"))
+
+    m = materialize(m.where(enough("spots")), "decon-matches")
     # words of the few documents and items that remain
     ids = m.select(F.col("doc_id").alias("m_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(200_001).count() <= 200_000 else ids
-    words = docs.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi").select(F.col("doc_id").alias("w_id"), surfaces(F.col("text")).alias("dw"))
-    items = benchmark.select(F.col("item_id").alias("i_id"), surfaces(F.col("text")).alias("iw"))
+    words = _texts(docs.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi"), "doc_id", "w_id", "d_")
+    items = _texts(benchmark, "item_id", "i_id", "i_")
     both = m.join(words, F.col("doc_id") == F.col("w_id")).join(items, F.col("item_id") == F.col("i_id"))
-    spots = F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(i, i + F.col("width") - 1))))
-    slot = lambda w: template(w).startswith("#")
-    pairs = F.array_distinct(
-        F.transform(F.filter("spots", lambda p: slot(F.get("iw", p))), lambda p: F.struct(F.lower(F.get("iw", p)).alias("i"), F.lower(F.get("dw", p + F.col("diag"))).alias("d")))
-    )
-    both = both.withColumn("spots", spots).withColumn("pairs", pairs)
+
+    def seen(x: Column) -> Column:
+        """What stands at a match: equal words, equal templates, and the values of the slots."""
+        i, d = (F.array_position(c, x[p]).cast("int") for c, p in (("i_starts", "ipos"), ("d_starts", "pos")))
+        width, wide = F.least(F.size("i_tok"), F.lit(n)), F.least(F.size("i_low"), F.lit(n))
+        lit = F.slice("i_low", x["ipos"] + 1, wide) == F.slice("d_low", x["pos"] + 1, wide)
+        same = F.when((i > 0) & (d > 0), F.slice("i_tok", F.greatest(i, F.lit(1)), width) == F.slice("d_tok", F.greatest(d, F.lit(1)), width)).otherwise(False)
+        slots = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get("i_tok", i - 1 + j).startswith("#"))
+        pairs = F.transform(slots, lambda j: F.struct(F.get("i_said", i - 1 + j).alias("i"), F.get("d_said", d - 1 + j).alias("d")))
+        return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same, pairs).alias("pairs"))
+
     # of rows that share a doc_id, only those whose words stand at the matched places count
-    fits = F.forall("spots", lambda p: template(F.get("iw", p)) == template(F.get("dw", p + F.col("diag"))))
-    both = both.where(F.coalesce(fits, F.lit(False)))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    verbatim = F.forall("pairs", lambda x: x["i"] == x["d"])
-    good = both.where(consistent).select("doc_id", "item_id", hit.alias("n_windows"), (hit / F.col("total")).alias("share"), (F.col("diag") + F.array_min("places")).cast("bigint").alias("start_word"), verbatim.alias("verbatim"))
+    both = both.withColumn("at", F.filter(F.transform("spots", seen), lambda x: x["same"]))
+    both = both.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", lambda x: x["pairs"]))))
+    both = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))))
+    hit = F.size(F.array_distinct(F.transform("at", lambda x: x["ipos"]))).cast("bigint")
+    first = F.array_min(F.transform("at", lambda x: F.struct(x["ipos"], x["pos"])))["pos"].cast("bigint")
+    verbatim = F.forall("at", lambda x: F.forall(x["pairs"], lambda y: y["i"] == y["d"]))
+    good = both.where(enough("at")).select("doc_id", "item_id", hit.alias("n_windows"), (hit / F.col("total")).alias("share"), first.alias("start_word"), verbatim.alias("verbatim"))
     best = F.max(F.struct("n_windows", (-F.col("start_word")).alias("s"), "share", "verbatim"))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_windows", "b.share", (-F.col("b.s")).alias("start_word"), "b.verbatim")
 

@@ -352,3 +352,16 @@ def test_near_duplicates_large_loose_group(spark):
     assert len(set(root.values())) > 20
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), k=2).collect()}
     assert got == {i: (size[i], root[i]) for i, _ in texts}
+
+
+def test_decontamination_of_longer_names(spark):
+    named = ITEM.replace("Anna", "Anna Maria").replace("12", "40")  # the words behind a name move
+    r = D.find(frame(spark, [(2, "intro. " + named)]), bench(spark, [ITEM])).collect()
+    assert [(x.doc_id, x.share, x.start_word, x.verbatim) for x in r] == [(2, 1.0, 1, False)]
+
+
+def test_decontamination_sums_a_band(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    text = " ".join(x for i in range(0, 60, 11) for x in [*words[i : i + 11], "extra"])  # four windows on each diagonal
+    r = D.find(frame(spark, [(1, text)]), bench(spark, [" ".join(words)])).collect()
+    assert [(x.doc_id, x.n_windows, x.start_word, x.verbatim) for x in r] == [(1, 20, 0, True)]
