@@ -12,7 +12,7 @@ A document counts as contaminated by an item if, along one alignment, at least
 min_share of the item's windows match (and not fewer than min(min_windows, all of them)),
 and the slots are consistent.  Windows with fewer than min_literal plain words are no
 evidence and are left out on the benchmark's side; an item with no other window is compared
-as a whole.
+as a whole: its words, in any case, must stand in the document one after the other.
 
 Defined cases: null or empty texts match nothing; items shorter than n words are one window
 of their whole length and match at that length; rows sharing a doc_id count as one
@@ -37,6 +37,7 @@ UNITS = (
     "tonne tonnes ton tons pound pounds ounce ounces ml litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months "
     "year years percent dollar dollars euro euros cent cents mph kmh watt watts volt volts joule joules degree degrees celsius fahrenheit"
 ).split()
+PAIRS = "array<struct<i:string,d:string>>"
 WORD = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*"
 
 
@@ -92,20 +93,27 @@ def _windows(coded: DataFrame, width: int, kinds: set[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
-    """(item_id, ipos, kind, width, hash, total): all windows of an item that carry evidence."""
+    """(item_id, ipos, kind, width, hash, total, whole): all windows of an item that carry evidence.
+
+    An item without any is whole: all windows of its lower-case words, which must all match.
+    """
     t = _tokens(benchmark, "item_id").withColumn("width", F.least(F.size("tok"), F.lit(n)))
     plain = lambda k: F.size(F.filter(F.slice("tok", k + 1, F.col("width")), lambda w: ~w.startswith("#")))
     ev = F.filter(F.sequence(F.lit(0), F.size("tok") - F.col("width")), lambda k: plain(k) >= F.least(F.lit(min_literal), F.col("width")))
-    t = t.withColumn("ev", ev).withColumn("codes", _hashed(F.col("tok"))).withColumn("total", F.size("ev").cast("bigint"))
+    t = t.withColumn("ev", ev).withColumn("codes", _hashed(F.col("tok"))).withColumn("plain", _hashed(F.col("low"))).withColumn("wide", F.least(F.size("low"), F.lit(n)))
+    t = t.withColumn("whole", F.size("ev") == 0).withColumn("total", F.when(F.col("whole"), F.size("low") - F.col("wide") + 1).otherwise(F.size("ev")).cast("bigint"))
+    places = F.sequence(F.lit(0), F.size("low") - F.col("wide"))
     shapes = []
     for w in range(1, n + 1):
-        own = t.where(F.col("width") == w).select("item_id", "total", "codes", "starts", F.explode("ev").alias("k"))
-        shapes.append(own.select("item_id", F.get("starts", F.col("k")).alias("ipos"), F.lit("template").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("codes"), F.col("k"), w).alias("hash"), "total"))
+        own = t.where(F.col("width") == w).select("item_id", "total", "whole", "codes", "starts", F.explode("ev").alias("k"))
+        shapes.append(own.select("item_id", F.get("starts", F.col("k")).alias("ipos"), F.lit("template").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("codes"), F.col("k"), w).alias("hash"), "total", "whole"))
+        own = t.where((F.col("wide") == w) & F.col("whole")).select("item_id", "total", "whole", "plain", F.explode(places).alias("ipos"))
+        shapes.append(own.select("item_id", "ipos", F.lit("words").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("plain"), F.col("ipos"), w).alias("hash"), "total", "whole"))
     return reduce(DataFrame.unionByName, shapes)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
-    """(doc_id, item_id, group, total, spots): matched windows (ipos, pos) of one alignment.
+    """(doc_id, item_id, group, total, whole, spots): matched windows (ipos, pos) of one alignment.
 
     An alignment is a diagonal pos - ipos, or a band of neighbouring ones as wide as words
     may be inserted or left out: bands overlap by half, so diagonals up to a quarter of the
@@ -120,16 +128,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int
         shapes.setdefault(width, set()).add(kind)
     found = []
     for width, kinds in sorted(shapes.items()):
-        bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total")
-        found.append(_windows(coded, width, kinds).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "total", "ipos", "pos"))
+        bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total", "whole")
+        found.append(_windows(coded, width, kinds).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "total", "whole", "ipos", "pos"))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, group struct<g:int,b:bigint>, total bigint, spots array<struct<ipos:int,pos:int>>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, group struct<g:int,b:bigint>, total bigint, whole boolean, spots array<struct<ipos:int,pos:int>>")
     hits = reduce(DataFrame.unionByName, found).withColumn("diag", (F.col("pos") - F.col("ipos")).cast("bigint"))
     band = F.floor(F.col("diag") / F.greatest(F.lit(n), F.col("total") / 4))
     group = lambda g, b: F.struct(F.lit(g).alias("g"), b.alias("b"))
-    hits = hits.withColumn("group", F.explode(F.array(group(0, F.col("diag")), group(1, band), group(1, band - 1))))
+    bands = F.when(F.col("whole"), F.array(group(0, F.col("diag")))).otherwise(F.array(group(0, F.col("diag")), group(1, band), group(1, band - 1)))
+    hits = hits.withColumn("group", F.explode(bands))
     # bounded by the item's length and the band's width
-    return hits.groupBy("doc_id", "item_id", "group").agg(F.max("total").alias("total"), F.collect_set(F.struct("ipos", "pos")).alias("spots"))
+    return hits.groupBy("doc_id", "item_id", "group").agg(F.max("total").alias("total"), F.max("whole").alias("whole"), F.collect_set(F.struct("ipos", "pos")).alias("spots"))
 
 
 def _texts(texts: DataFrame, id_col: str, name: str, p: str) -> DataFrame:
@@ -147,7 +156,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
 
     def enough(spots: str) -> Column:
         hit = F.size(F.array_distinct(F.transform(spots, lambda x: x["ipos"])))
-        return (hit >= F.least(F.lit(min_windows), F.col("total"))) & (hit >= min_share * F.col("total"))
+        return (hit >= F.least(F.lit(min_windows), F.col("total"))) & (hit >= F.when(F.col("whole"), 1.0).otherwise(min_share) * F.col("total"))
 
     m = materialize(m.where(enough("spots")), "decon-matches")
     # words of the few documents and items that remain
@@ -165,10 +174,10 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
         same = F.when((i > 0) & (d > 0), F.slice("i_tok", F.greatest(i, F.lit(1)), width) == F.slice("d_tok", F.greatest(d, F.lit(1)), width)).otherwise(False)
         slots = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get("i_tok", i - 1 + j).startswith("#"))
         pairs = F.transform(slots, lambda j: F.struct(F.get("i_said", i - 1 + j).alias("i"), F.get("d_said", d - 1 + j).alias("d")))
-        return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same, pairs).alias("pairs"))
+        return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same & ~F.col("whole"), pairs).otherwise(F.array().cast(PAIRS)).alias("pairs"))
 
     # of rows that share a doc_id, only those whose words stand at the matched places count
-    both = both.withColumn("at", F.filter(F.transform("spots", seen), lambda x: x["same"]))
+    both = both.withColumn("at", F.filter(F.transform("spots", seen), lambda x: F.when(F.col("whole"), x["lit"]).otherwise(x["same"])))
     both = both.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", lambda x: x["pairs"]))))
     both = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))))
     hit = F.size(F.array_distinct(F.transform("at", lambda x: x["ipos"]))).cast("bigint")

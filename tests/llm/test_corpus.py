@@ -365,3 +365,11 @@ def test_decontamination_sums_a_band(spark):
     text = " ".join(x for i in range(0, 60, 11) for x in [*words[i : i + 11], "extra"])  # four windows on each diagonal
     r = D.find(frame(spark, [(1, text)]), bench(spark, [" ".join(words)])).collect()
     assert [(x.doc_id, x.n_windows, x.start_word, x.verbatim) for x in r] == [(1, 20, 0, True)]
+
+
+def test_decontamination_of_items_without_evidence(spark):
+    texts = ["What is 17 times 24?", "12 3 45 km 7 8 9 10 11 12 13", "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan"]
+    docs = [(i, f"some words {x} and more") for i, x in enumerate(texts)]
+    docs += [(3, "What is 18 times 24?"), (4, "12 3 45 km 7 8 9 10 11 12 14"), (5, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida and Jan")]
+    got = D.find(frame(spark, docs), bench(spark, texts)).collect()
+    assert sorted((r.doc_id, r.item_id, r.share, r.start_word, r.verbatim) for r in got) == [(i, i, 1.0, 2, True) for i in range(3)]
