@@ -10,7 +10,8 @@ it does in a re-parameterised question; equal values on all slots mean a verbati
 
 A document counts as contaminated by an item if, along one alignment, at least
 min_share of the item's windows match (and not fewer than min(min_windows, all of them)),
-and the slots are consistent.  Windows with fewer than min_literal plain words are no
+and the slots are consistent.  Unless strict, windows of equal words in any case count
+beside the templates and need no consistency; the queries use that.  Windows with fewer than min_literal plain words are no
 evidence and are left out on the benchmark's side; an item with no other window is compared
 as a whole: its words, in any case, must stand in the document one after the other.
 
@@ -92,34 +93,35 @@ def _windows(coded: DataFrame, width: int, kinds: set[str]) -> DataFrame:
     return coded.select("doc_id", F.explode(F.concat(*[of[k] for k in sorted(kinds)])).alias("w")).select("doc_id", "w.pos", "w.hash")
 
 
-def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, strict: bool = True) -> DataFrame:
     """(item_id, ipos, kind, width, hash, total, whole): all windows of an item that carry evidence.
 
     An item without any is whole: all windows of its lower-case words, which must all match.
+    Unless strict, the other items also have lower-case words at the places with evidence.
     """
     t = _tokens(benchmark, "item_id").withColumn("width", F.least(F.size("tok"), F.lit(n)))
     plain = lambda k: F.size(F.filter(F.slice("tok", k + 1, F.col("width")), lambda w: ~w.startswith("#")))
     ev = F.filter(F.sequence(F.lit(0), F.size("tok") - F.col("width")), lambda k: plain(k) >= F.least(F.lit(min_literal), F.col("width")))
     t = t.withColumn("ev", ev).withColumn("codes", _hashed(F.col("tok"))).withColumn("plain", _hashed(F.col("low"))).withColumn("wide", F.least(F.size("low"), F.lit(n)))
     t = t.withColumn("whole", F.size("ev") == 0).withColumn("total", F.when(F.col("whole"), F.size("low") - F.col("wide") + 1).otherwise(F.size("ev")).cast("bigint"))
-    places = F.sequence(F.lit(0), F.size("low") - F.col("wide"))
+    places = F.when(F.col("whole"), F.sequence(F.lit(0), F.size("low") - F.col("wide"))).otherwise(F.transform("ev", lambda k: F.get("starts", k)))
     shapes = []
     for w in range(1, n + 1):
         own = t.where(F.col("width") == w).select("item_id", "total", "whole", "codes", "starts", F.explode("ev").alias("k"))
         shapes.append(own.select("item_id", F.get("starts", F.col("k")).alias("ipos"), F.lit("template").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("codes"), F.col("k"), w).alias("hash"), "total", "whole"))
-        own = t.where((F.col("wide") == w) & F.col("whole")).select("item_id", "total", "whole", "plain", F.explode(places).alias("ipos"))
+        own = t.where((F.col("wide") == w) & (F.col("whole") | F.lit(not strict))).select("item_id", "total", "whole", "plain", F.explode(places).alias("ipos"))
         shapes.append(own.select("item_id", "ipos", F.lit("words").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("plain"), F.col("ipos"), w).alias("hash"), "total", "whole"))
     return reduce(DataFrame.unionByName, shapes)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int = 3) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int = 3, strict: bool = True) -> DataFrame:
     """(doc_id, item_id, group, total, whole, spots): matched windows (ipos, pos) of one alignment.
 
     An alignment is a diagonal pos - ipos, or a band of neighbouring ones as wide as words
     may be inserted or left out: bands overlap by half, so diagonals up to a quarter of the
     item's windows apart (n at least) always share one.
     """
-    wins = materialize(benchmark_windows(benchmark, n, min_literal), "decon-windows")
+    wins = materialize(benchmark_windows(benchmark, n, min_literal, strict), "decon-windows")
     count = wins.count()
     hint = F.broadcast if count <= BROADCAST_WINDOWS else (lambda x: x)
     coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tok")).alias("codes"), _hashed(F.col("low")).alias("plain"))
@@ -148,11 +150,14 @@ def _texts(texts: DataFrame, id_col: str, name: str, p: str) -> DataFrame:
     return _tokens(texts, id_col).select(F.col(id_col).alias(name), *[F.col(c).alias(p + c) for c in ("low", "starts", "tok")], said.alias(p + "said"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5, min_share: float = 0.25, min_literal: int = 3) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, n_windows, share, start_word, verbatim."""
+def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5, min_share: float = 0.25, min_literal: int = 3, strict: bool = True) -> DataFrame:
+    """One row per contaminated document and item: doc_id, item_id, n_windows, share, start_word, verbatim.
+
+    strict=False also counts windows of equal words in any case, whatever the slots say.
+    """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    m = matches(docs, benchmark, n, min_literal)
+    m = matches(docs, benchmark, n, min_literal, strict)
 
     def enough(spots: str) -> Column:
         hit = F.size(F.array_distinct(F.transform(spots, lambda x: x["ipos"])))
@@ -174,10 +179,11 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
         same = F.when((i > 0) & (d > 0), F.slice("i_tok", F.greatest(i, F.lit(1)), width) == F.slice("d_tok", F.greatest(d, F.lit(1)), width)).otherwise(False)
         slots = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get("i_tok", i - 1 + j).startswith("#"))
         pairs = F.transform(slots, lambda j: F.struct(F.get("i_said", i - 1 + j).alias("i"), F.get("d_said", d - 1 + j).alias("d")))
-        return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same & ~F.col("whole"), pairs).otherwise(F.array().cast(PAIRS)).alias("pairs"))
+        return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same & ~F.col("whole") & (F.lit(strict) | ~lit), pairs).otherwise(F.array().cast(PAIRS)).alias("pairs"))
 
     # of rows that share a doc_id, only those whose words stand at the matched places count
-    both = both.withColumn("at", F.filter(F.transform("spots", seen), lambda x: F.when(F.col("whole"), x["lit"]).otherwise(x["same"])))
+    counts = lambda x: F.when(F.col("whole"), x["lit"]).otherwise(x["same"] if strict else x["same"] | x["lit"])
+    both = both.withColumn("at", F.filter(F.transform("spots", seen), counts))
     both = both.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", lambda x: x["pairs"]))))
     both = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))))
     hit = F.size(F.array_distinct(F.transform("at", lambda x: x["ipos"]))).cast("bigint")
@@ -188,7 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_windows", "b.share", (-F.col("b.s")).alias("start_word"), "b.verbatim")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, **how: float | bool) -> DataFrame:
     """The rows of docs, all columns, that no item contaminates; rows without doc_id stay."""
     bad = find(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id")).distinct()
     bad = materialize(bad, "decon-bad")

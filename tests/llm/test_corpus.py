@@ -373,3 +373,10 @@ def test_decontamination_of_items_without_evidence(spark):
     docs += [(3, "What is 18 times 24?"), (4, "12 3 45 km 7 8 9 10 11 12 14"), (5, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida and Jan")]
     got = D.find(frame(spark, docs), bench(spark, texts)).collect()
     assert sorted((r.doc_id, r.item_id, r.share, r.start_word, r.verbatim) for r in got) == [(i, i, 1.0, 2, True) for i in range(3)]
+
+
+def test_decontamination_in_any_case(spark):
+    docs = frame(spark, [(1, "so " + ITEM.upper()), (2, ITEM.lower()), (3, ITEM.title()), (4, "THE OF AND TO IN IS IT " * 30)])
+    got = D.find(docs, bench(spark, [ITEM]), strict=False).collect()
+    assert sorted((r.doc_id, r.share, r.start_word, r.verbatim) for r in got) == [(1, 1.0, 1, True), (2, 1.0, 0, True), (3, 1.0, 0, True)]
+    assert [r.doc_id for r in D.clean(docs, bench(spark, [ITEM]), strict=False).collect()] == [4]
