@@ -11,7 +11,8 @@ it does in a re-parameterised question; equal values on all slots mean a verbati
 A document counts as contaminated by an item if, along one alignment, at least
 min_share of the item's windows match (and not fewer than min(min_windows, all of them)),
 and the slots are consistent.  Unless strict, windows of equal words in any case count
-beside the templates and need no consistency; the queries use that.  Windows with fewer than min_literal plain words are no
+beside the templates and need no consistency, and an inconsistent slot costs only the
+windows that have it; the queries use that.  Windows with fewer than min_literal plain words are no
 evidence and are left out on the benchmark's side; an item with no other window is compared
 as a whole: its words, in any case, must stand in the document one after the other.
 
@@ -38,6 +39,7 @@ UNITS = (
     "tonne tonnes ton tons pound pounds ounce ounces ml litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months "
     "year years percent dollar dollars euro euros cent cents mph kmh watt watts volt volts joule joules degree degrees celsius fahrenheit"
 ).split()
+PLACED = "array<struct<pos:int,hash:bigint>>"
 PAIRS = "array<struct<i:string,d:string>>"
 WORD = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*"
 
@@ -71,25 +73,34 @@ def _starts(tmpl: Column) -> Column:
 
 
 def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
-    """(id, low, starts, tok): lower-case words, where tokens begin among them, and their templates."""
+    """(id, low, tmpl, starts, tok): words in lower case and as templates, where runs begin among them, and the templates with runs as one."""
     t = texts.where(F.col("text").isNotNull()).select(id_col, surfaces(F.col("text")).alias("words")).where(F.size("words") > 0)
     t = t.select(id_col, F.transform("words", F.lower).alias("low"), F.transform("words", template).alias("tmpl"))
     t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl")).alias("starts"))
-    return t.select(id_col, "low", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
+    return t.select(id_col, "low", "tmpl", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
 
 
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _every(codes: str, width: int) -> Column:
+    """Places and hashes of all windows."""
+    every = F.transform(F.sequence(F.lit(0), F.size(codes) - width), lambda k: F.struct(k.alias("pos"), _window_hash(F.col(codes), k, width).alias("hash")))
+    return F.when(F.size(codes) >= width, every).otherwise(F.array().cast(PLACED))
+
+
+def _runs(width: int) -> Column:
+    """The same of the windows in which a run of names or numbers counts as one word; those without a run are left out."""
+    spans = F.filter(F.sequence(F.lit(0), F.size("short") - width), lambda k: F.get("starts", k + width - 1) > F.get("starts", k) + width - 1)
+    every = F.transform(spans, lambda k: F.struct(F.get("starts", k).alias("pos"), _window_hash(F.col("short"), k, width).alias("hash")))
+    return F.when(F.size("short") >= width, every).otherwise(F.array().cast(PLACED))
+
+
 def _windows(coded: DataFrame, width: int, kinds: set[str]) -> DataFrame:
     """(doc_id, pos, hash) of the windows of a width; pos counts words."""
 
-    def at(codes: str, place) -> Column:  # noqa: ANN001
-        every = F.transform(F.sequence(F.lit(0), F.size(codes) - width), lambda k: F.struct(place(k).alias("pos"), _window_hash(F.col(codes), k, width).alias("hash")))
-        return F.when(F.size(codes) >= width, every).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
-
-    of = {"template": at("codes", lambda k: F.get("starts", k)), "words": at("plain", lambda k: k)}
+    of = {"template": _every("codes", width), "words": _every("plain", width), "runs": _runs(width)}
     return coded.select("doc_id", F.explode(F.concat(*[of[k] for k in sorted(kinds)])).alias("w")).select("doc_id", "w.pos", "w.hash")
 
 
@@ -99,19 +110,20 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, st
     An item without any is whole: all windows of its lower-case words, which must all match.
     Unless strict, the other items also have lower-case words at the places with evidence.
     """
-    t = _tokens(benchmark, "item_id").withColumn("width", F.least(F.size("tok"), F.lit(n)))
-    plain = lambda k: F.size(F.filter(F.slice("tok", k + 1, F.col("width")), lambda w: ~w.startswith("#")))
-    ev = F.filter(F.sequence(F.lit(0), F.size("tok") - F.col("width")), lambda k: plain(k) >= F.least(F.lit(min_literal), F.col("width")))
-    t = t.withColumn("ev", ev).withColumn("codes", _hashed(F.col("tok"))).withColumn("plain", _hashed(F.col("low"))).withColumn("wide", F.least(F.size("low"), F.lit(n)))
-    t = t.withColumn("whole", F.size("ev") == 0).withColumn("total", F.when(F.col("whole"), F.size("low") - F.col("wide") + 1).otherwise(F.size("ev")).cast("bigint"))
-    places = F.when(F.col("whole"), F.sequence(F.lit(0), F.size("low") - F.col("wide"))).otherwise(F.transform("ev", lambda k: F.get("starts", k)))
+    t = _tokens(benchmark, "item_id").withColumn("width", F.least(F.size("low"), F.lit(n)))
+    every = F.sequence(F.lit(0), F.size("low") - F.col("width"))
+    plain = lambda i: F.size(F.filter(F.slice("tmpl", i + 1, F.col("width")), lambda w: ~w.startswith("#")))
+    t = t.withColumn("ev", F.filter(every, lambda i: plain(i) >= F.least(F.lit(min_literal), F.col("width"))))
+    t = t.withColumn("whole", F.size("ev") == 0).withColumn("places", F.when(F.col("whole"), every).otherwise(F.col("ev"))).withColumn("total", F.size("places").cast("bigint"))
+    t = t.withColumns({"codes": _hashed(F.col("tmpl")), "short": _hashed(F.col("tok")), "plain": _hashed(F.col("low"))})
+    t = materialize(t, "decon-items")
     shapes = []
-    for w in range(1, n + 1):
-        own = t.where(F.col("width") == w).select("item_id", "total", "whole", "codes", "starts", F.explode("ev").alias("k"))
-        shapes.append(own.select("item_id", F.get("starts", F.col("k")).alias("ipos"), F.lit("template").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("codes"), F.col("k"), w).alias("hash"), "total", "whole"))
-        own = t.where((F.col("wide") == w) & (F.col("whole") | F.lit(not strict))).select("item_id", "total", "whole", "plain", F.explode(places).alias("ipos"))
-        shapes.append(own.select("item_id", "ipos", F.lit("words").alias("kind"), F.lit(w).alias("width"), _window_hash(F.col("plain"), F.col("ipos"), w).alias("hash"), "total", "whole"))
-    return reduce(DataFrame.unionByName, shapes)
+    for w in sorted(x.width for x in t.select("width").distinct().collect()):
+        for kind, at in (("template", _every("codes", w)), ("runs", _runs(w)), ("words", _every("plain", w))):
+            own = t.where((F.col("width") == w) & (F.col("whole") | F.lit(not strict) if kind == "words" else ~F.col("whole")))
+            own = own.select("item_id", "total", "whole", "places", F.explode(at).alias("w")).where(F.array_contains("places", F.col("w.pos")))
+            shapes.append(own.select("item_id", F.col("w.pos").alias("ipos"), F.lit(kind).alias("kind"), F.lit(w).alias("width"), "w.hash", "total", "whole"))
+    return reduce(DataFrame.unionByName, shapes) if shapes else benchmark.sparkSession.createDataFrame([], "item_id bigint, ipos int, kind string, width int, hash bigint, total bigint, whole boolean")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int = 3, strict: bool = True) -> DataFrame:
@@ -124,10 +136,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int
     wins = materialize(benchmark_windows(benchmark, n, min_literal, strict), "decon-windows")
     count = wins.count()
     hint = F.broadcast if count <= BROADCAST_WINDOWS else (lambda x: x)
-    coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tok")).alias("codes"), _hashed(F.col("low")).alias("plain"))
+    coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tmpl")).alias("codes"), _hashed(F.col("tok")).alias("short"), _hashed(F.col("low")).alias("plain"))
     shapes: dict[int, set[str]] = {}
     for width, kind in wins.select("width", "kind").distinct().collect():
-        shapes.setdefault(width, set()).add(kind)
+        shapes.setdefault(width, set()).update({"words"} if kind == "words" else {"template", "runs"})
     found = []
     for width, kinds in sorted(shapes.items()):
         bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total", "whole")
@@ -147,13 +159,15 @@ def _texts(texts: DataFrame, id_col: str, name: str, p: str) -> DataFrame:
     """Per text the columns of _tokens() and the lower-case text of each token, prefixed."""
     end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("low"))
     said = F.transform("starts", lambda s, k: F.array_join(F.slice("low", s + 1, end(k) - s), " "))
-    return _tokens(texts, id_col).select(F.col(id_col).alias(name), *[F.col(c).alias(p + c) for c in ("low", "starts", "tok")], said.alias(p + "said"))
+    return _tokens(texts, id_col).select(F.col(id_col).alias(name), *[F.col(c).alias(p + c) for c in ("low", "tmpl", "starts", "tok")], said.alias(p + "said"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5, min_share: float = 0.25, min_literal: int = 3, strict: bool = True) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_windows, share, start_word, verbatim.
 
-    strict=False also counts windows of equal words in any case, whatever the slots say.
+    strict=False also counts windows of equal words in any case, whatever the slots say, and
+    of the other windows those whose slots agree with most of the alignment; strict=True
+    drops an alignment with any slot that stands for two values.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
@@ -173,19 +187,36 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
 
     def seen(x: Column) -> Column:
         """What stands at a match: equal words, equal templates, and the values of the slots."""
+        width = F.least(F.size("i_low"), F.lit(n))
+        run = lambda c, at, k: F.slice(c, F.greatest(at, F.lit(1)), k)
+        lit = run("i_low", x["ipos"] + 1, width) == run("d_low", x["pos"] + 1, width)
+        word = run("i_tmpl", x["ipos"] + 1, width) == run("d_tmpl", x["pos"] + 1, width)
         i, d = (F.array_position(c, x[p]).cast("int") for c, p in (("i_starts", "ipos"), ("d_starts", "pos")))
-        width, wide = F.least(F.size("i_tok"), F.lit(n)), F.least(F.size("i_low"), F.lit(n))
-        lit = F.slice("i_low", x["ipos"] + 1, wide) == F.slice("d_low", x["pos"] + 1, wide)
-        same = F.when((i > 0) & (d > 0), F.slice("i_tok", F.greatest(i, F.lit(1)), width) == F.slice("d_tok", F.greatest(d, F.lit(1)), width)).otherwise(False)
-        slots = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get("i_tok", i - 1 + j).startswith("#"))
-        pairs = F.transform(slots, lambda j: F.struct(F.get("i_said", i - 1 + j).alias("i"), F.get("d_said", d - 1 + j).alias("d")))
+        runs = (i > 0) & (d > 0) & (i - 1 + width <= F.size("i_tok")) & (run("i_tok", i, width) == run("d_tok", d, width))
+        same = word | runs
+
+        def slots(tmpl: str, said_i: str, said_d: str, i: Column, d: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get(tmpl, i + j).startswith("#"))
+            return F.transform(at, lambda j: F.struct(F.get(said_i, i + j).alias("i"), F.get(said_d, d + j).alias("d")))
+
+        pairs = F.when(word, slots("i_tmpl", "i_low", "d_low", x["ipos"], x["pos"])).otherwise(slots("i_tok", "i_said", "d_said", i - 1, d - 1))
         return F.struct(x["ipos"].alias("ipos"), x["pos"].alias("pos"), lit.alias("lit"), same.alias("same"), F.when(same & ~F.col("whole") & (F.lit(strict) | ~lit), pairs).otherwise(F.array().cast(PAIRS)).alias("pairs"))
 
     # of rows that share a doc_id, only those whose words stand at the matched places count
     counts = lambda x: F.when(F.col("whole"), x["lit"]).otherwise(x["same"] if strict else x["same"] | x["lit"])
     both = both.withColumn("at", F.filter(F.transform("spots", seen), counts))
-    both = both.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", lambda x: x["pairs"]))))
-    both = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))))
+    both = both.withColumn("pairs", F.flatten(F.transform("at", lambda x: x["pairs"])))
+    if strict:
+        kinds = F.array_distinct("pairs")
+        both = both.where(F.size(kinds) == F.size(F.array_distinct(F.transform(kinds, lambda x: x["i"]))))
+    else:
+        # each value stands for the one that most windows give it; windows that say otherwise go
+        often = F.transform(F.array_distinct("pairs"), lambda u: F.struct(u["i"].alias("i"), F.size(F.filter("pairs", lambda y: y == u)).alias("k"), u["d"].alias("d")))
+        both = both.withColumn("often", F.array_sort(often))
+        # sorted by value and count: the last of each value
+        last = F.filter("often", lambda u, j: F.coalesce(F.get("often", j + 1)["i"] != u["i"], F.lit(True)))
+        both = both.withColumn("stands", F.transform(last, lambda u: F.struct(u["i"].alias("i"), u["d"].alias("d"))))
+        both = both.withColumn("at", F.filter("at", lambda x: F.forall(x["pairs"], lambda y: F.array_contains("stands", y))))
     hit = F.size(F.array_distinct(F.transform("at", lambda x: x["ipos"]))).cast("bigint")
     first = F.array_min(F.transform("at", lambda x: F.struct(x["ipos"], x["pos"])))["pos"].cast("bigint")
     verbatim = F.forall("at", lambda x: F.forall(x["pairs"], lambda y: y["i"] == y["d"]))

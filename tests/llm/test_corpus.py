@@ -380,3 +380,12 @@ def test_decontamination_in_any_case(spark):
     got = D.find(docs, bench(spark, [ITEM]), strict=False).collect()
     assert sorted((r.doc_id, r.share, r.start_word, r.verbatim) for r in got) == [(1, 1.0, 1, True), (2, 1.0, 0, True), (3, 1.0, 0, True)]
     assert [r.doc_id for r in D.clean(docs, bench(spark, [ITEM]), strict=False).collect()] == [4]
+
+
+def test_decontamination_with_a_changed_slot(spark):
+    sums = "Alice adds 2 apples to 2 apples that are ripe and puts them into the large green basket near the old door of her house"
+    mixed = ITEM.replace("sells 12 baskets", "sells 40 baskets").replace("Anna", "Boris", 1)
+    docs = frame(spark, [(3, ITEM.replace("Anna", "Boris", 1)), (4, sums.replace("2", "3", 1).replace("2", "5")), (5, mixed), (6, "He said that the farmer sells many baskets of apples " * 3)])
+    got = {(r.doc_id, r.item_id): r for r in D.find(docs, bench(spark, [ITEM, sums]), strict=False).collect()}
+    assert set(got) == {(3, 0), (4, 1), (5, 0)}
+    assert got[3, 0].n_windows == 14 and not got[3, 0].verbatim  # Anna stands for Boris in all windows that are not equal words
