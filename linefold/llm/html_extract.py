@@ -47,13 +47,18 @@ STOP_WORDS = frozenset(
     "zu zum zur al como con del el ella entre era esta este ha hay las lo los más me mi muy no nos o para pero por sin sobre su sus también te tiene todo y ya".split()
 )
 
+#: Parts of compound class names that speak of a page's layout or deny what follows.
+LAYOUT_WORDS = frozenset("no not has have with without is overflow content main page site article post entry body wrap wrapper container layout inner outer row col".split())
+#: Text outside of boilerplate from which a page has an article without its marked wrappers.
+RESCUE_CHARS = 200
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
-def _boiler_attrs(attrs: str) -> bool:
-    if not attrs or ("=" not in attrs and "hidden" not in attrs):
+def _boiler_attrs(attrs: str, tag: str = "div") -> bool:
+    if tag in ("html", "body") or not attrs or ("=" not in attrs and "hidden" not in attrs):
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -63,8 +68,13 @@ def _boiler_attrs(attrs: str) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
             continue
+        if tag == "main":
+            continue
         for w in value.split():
-            if w in BOILER_WORDS or any(x in BOILER_WORDS for x in re.split(r"[-_]+", w)):
+            if w in BOILER_WORDS:
+                return True
+            said = set(re.split(r"[-_]+", w))
+            if tag != "article" and said & BOILER_WORDS and not said & LAYOUT_WORDS:
                 return True
     return False
 
@@ -72,23 +82,32 @@ def _boiler_attrs(attrs: str) -> bool:
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, linked characters, and where they stand."""
     out: list[dict] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main
+    stack: list[tuple[str, int, bool]] = []  # tag, number of a boilerplate element or 0, main
+    wrappers: set[int] = set()  # boilerplate by attributes or as a form: may wrap a whole page
+    marked = 0
     parts: list[str] = []
     linked = 0
     in_link = 0
     raw_until = ""
 
-    def state() -> tuple[bool, bool]:
-        return (any(x[1] for x in stack), any(x[2] for x in stack))
+    def mark(tag: str, attrs: str) -> int:
+        nonlocal marked
+        own = tag in BOILER_TAGS or (tag == "header" and not any(x[2] for x in stack))
+        if not own and not _boiler_attrs(attrs, tag):
+            return 0
+        marked += 1
+        if tag == "form" or not own:
+            wrappers.add(marked)
+        return marked
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                boiler, main = state()
+                marks, main = [x[1] for x in stack if x[1]], any(x[2] for x in stack)
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "body")
-                out.append({"text": text, "linked": linked, "boiler": boiler, "main": main, "tag": tag})
+                out.append({"text": text, "linked": linked, "marks": marks, "main": main, "tag": tag})
             parts.clear()
         linked = 0
 
@@ -127,7 +146,7 @@ def blocks_of(page: str) -> list[dict]:
         if tag not in BLOCK_TAGS:
             if not closing and tag not in VOID_TAGS and _boiler_attrs(m[3]):
                 flush()
-                stack.append((tag, True, False))
+                stack.append((tag, mark(tag, m[3]), False))
             elif closing and any(t == tag for t, _, _ in stack):
                 flush()
                 while stack and stack.pop()[0] != tag:
@@ -147,18 +166,35 @@ def blocks_of(page: str) -> list[dict]:
                 stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        boiler = tag in BOILER_TAGS or _boiler_attrs(m[3])
+        boiler = mark(tag, m[3])
         main = tag in ("article", "main") or bool(m[3] and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", m[3], re.I))
-        if tag == "header":
-            boiler = boiler or not any(x[2] for x in stack)
         stack.append((tag, boiler, main))
     if at < len(page) and not raw_until:
         tail = page[at:]
         parts.append(tail.split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!?]", tail) else tail)
     flush()
+    _unwrap(out, wrappers)
     return out
 
 
+def _unwrap(blocks: list[dict], wrappers: set[int]) -> None:
+    """Decide ``boiler`` of each block; a wrapper of the page's article or of most of its text is no boilerplate.
+
+    Only where no article text stands outside of boilerplate, so comments behind an article stay out.
+    """
+    whole = sum(len(b["text"]) for b in blocks)
+    for x in sorted(wrappers):  # outer ones first
+        free = [b for b in blocks if not b["marks"]]
+        if any(b["main"] for b in free) or sum(len(b["text"]) - b["linked"] for b in free) >= RESCUE_CHARS:
+            break
+        inside = [b for b in blocks if x in b["marks"]]
+        if any(b["main"] for b in inside) or 2 * sum(len(b["text"]) for b in inside) > whole:
+            for b in inside:
+                b["marks"].remove(x)
+    for b in blocks:
+        b["boiler"] = bool(b.pop("marks"))
+
+
 def classify(blocks: list[dict], *, short: int = 70, long: int = 200, link_max: float = 0.5, stop_low: float = 0.10, stop_high: float = 0.25) -> list[bool]:
     """Whether each block is article text."""
     has_main = any(b["main"] and not b["boiler"] for b in blocks)

@@ -171,3 +171,26 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert L.scan(docs).count() == K.count(docs, "byte_bpe_50k.json").count() == T.describe(docs).count() == H.extract(pages).count() == 0
     assert W.read_archive(W.write_archive(pages)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "head, tail",
+    [
+        ("<body class='no-sidebar'>", "</body>"),
+        ("<body class='has-search-form'>", "</body>"),
+        ("<body><div class='content-sidebar-wrap'>", "</div></body>"),
+        ("<body><main class='overflow-hidden'>", "</main></body>"),
+        ("<body><form action=/x>", "</form></body>"),
+        ("<body><div class='widget'>", "</div></body>"),
+    ],
+)
+@pytest.mark.parametrize("inner", ["<p>{0}</p>", "<article><p>{0}</p></article>"])
+def test_wrappers_do_not_hide_the_article(head, tail, inner):
+    long = (LOREM * 4).strip()
+    page = head + "<nav><a href=/x>Home</a></nav>" + inner.format(long) + "<div class=sidebar-box>Buy</div><footer>me</footer>" + tail
+    assert H.extract_text(page) == long
+
+
+def test_comments_stay_out_beside_an_article():
+    long = (LOREM * 4).strip()
+    assert H.extract_text(f"<body><div><p>{long}</p></div><div class=comments-area><article class=comment-body><p>{long * 9}</p></article></div></body>") == long
