@@ -2,7 +2,8 @@
 
 Pass 1 labels each block from its structure, stop-word density, length and link
 density: ``good``, ``bad`` or undecided (``short``, ``near``).  Pass 2 lets undecided
-blocks inherit the label of the nearest decided neighbours.
+blocks inherit the label of the nearest decided neighbours.  Inside article or main the
+thresholds of pass 1 are lower, and each side inherits from itself.
 
 Defined cases: null or empty html gives "" and 0; rows are independent, so repeated
 rows repeat; extra columns of the input are ignored; a page without any good block
@@ -196,19 +197,37 @@ def _unwrap(blocks: list[dict], wrappers: set[int]) -> None:
 
 
 def classify(blocks: list[dict], *, short: int = 70, long: int = 200, link_max: float = 0.5, stop_low: float = 0.10, stop_high: float = 0.25) -> list[bool]:
-    """Whether each block is article text."""
+    """Whether each block is article text.
+
+    What stands in article or main and what stands outside go through the two passes apart,
+    so that undecided blocks inherit from their own side only.
+    """
+    rules = {"short": short, "long": long, "link_max": link_max, "stop_low": stop_low, "stop_high": stop_high}
     has_main = any(b["main"] and not b["boiler"] for b in blocks)
+    keep = [False] * len(blocks)
+    for inside in (True, False) if has_main else (False,):
+        own = [i for i, b in enumerate(blocks) if not has_main or b["main"] == inside]
+        for i, ok in zip(own, _passes([blocks[i] for i in own], inside, not any(keep), **rules), strict=True):
+            keep[i] = ok
+    return keep
+
+
+def _passes(blocks: list[dict], inside: bool, lone: bool, *, short: int, long: int, link_max: float, stop_low: float, stop_high: float) -> list[bool]:
+    """Both passes over blocks of one side; lone: nothing else of the page is article text."""
     labels: list[str] = []
     for b in blocks:
         n = len(b["text"])
         density = b["linked"] / n
-        words = _WORD.findall(b["text"].lower()) if not has_main else []
+        words = _WORD.findall(b["text"].lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b["boiler"] or (has_main and not b["main"]):
+        if b["boiler"]:
             labels.append("bad")
-        elif has_main:
-            # the page names its article: short linked lines inside stay undecided
-            labels.append("short" if density > link_max and n < short else "good")
+        elif inside and density <= link_max:
+            # the page names its article: the thresholds of length and stop words fall away unless links are many
+            labels.append("good" if density <= 0.2 or stops >= stop_low / 2 else "short")
+        elif inside and n < short:
+            # short linked lines inside stay undecided
+            labels.append("short")
         elif density > link_max:
             labels.append("bad")
         elif n < short:
@@ -219,7 +238,7 @@ def classify(blocks: list[dict], *, short: int = 70, long: int = 200, link_max:
             labels.append("near")
         else:
             labels.append("bad" if density > 0.2 else "short")
-    if not any(x == "good" for x in labels):
+    if lone and not any(x == "good" for x in labels):
         labels = ["good" if x == "near" else x for x in labels]
     before: list[tuple[int, str]] = []
     last = (-(10**9), "bad")

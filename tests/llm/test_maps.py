@@ -194,3 +194,12 @@ def test_wrappers_do_not_hide_the_article(head, tail, inner):
 def test_comments_stay_out_beside_an_article():
     long = (LOREM * 4).strip()
     assert H.extract_text(f"<body><div><p>{long}</p></div><div class=comments-area><article class=comment-body><p>{long * 9}</p></article></div></body>") == long
+
+
+def test_passes_run_inside_and_outside_of_the_article():
+    long = (LOREM * 4).strip()
+    links = "".join(f"<a href=/{i}>Another story of the week {i}</a> " for i in range(5))
+    assert H.extract_text(f"<main><h1>Head</h1><p>{long}</p><div>{links}</div><p>short</p></main>") == f"Head {long} short"
+    story = f"<div><p>{long}</p></div><div>tiny</div>"
+    assert long in H.extract_text(f"<body>{story}<article><h2>Card</h2><p>A card.</p></article></body>")
+    assert H.extract_text(f"<body><div>tiny</div><article><p>{long}</p></article><div>by line</div></body>") == long
