@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, native DataFrame operations only.
 
 Words become templates: numbers -> #num, units -> #unit, capitalised names -> #name, the
-rest lower case; neighbouring names, or numbers, are one.  Windows of n template words of
+rest lower case; unless strict, neighbouring names, or numbers, also count as one.  Windows of n template words of
 the benchmark are hash-joined with those of the documents.  Matches of one item along one
 alignment, a band of neighbouring diagonals, so that words may be inserted or left out
 and sentences change places within it, are then checked for slot
@@ -120,6 +120,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, st
     shapes = []
     for w in sorted(x.width for x in t.select("width").distinct().collect()):
         for kind, at in (("template", _every("codes", w)), ("runs", _runs(w)), ("words", _every("plain", w))):
+            if strict and kind == "runs":
+                continue
             own = t.where((F.col("width") == w) & (F.col("whole") | F.lit(not strict) if kind == "words" else ~F.col("whole")))
             own = own.select("item_id", "total", "whole", "places", F.explode(at).alias("w")).where(F.array_contains("places", F.col("w.pos")))
             shapes.append(own.select("item_id", F.col("w.pos").alias("ipos"), F.lit(kind).alias("kind"), F.lit(w).alias("width"), "w.hash", "total", "whole"))
@@ -139,7 +141,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int
     coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tmpl")).alias("codes"), _hashed(F.col("tok")).alias("short"), _hashed(F.col("low")).alias("plain"))
     shapes: dict[int, set[str]] = {}
     for width, kind in wins.select("width", "kind").distinct().collect():
-        shapes.setdefault(width, set()).update({"words"} if kind == "words" else {"template", "runs"})
+        shapes.setdefault(width, set()).update({"words"} if kind == "words" else {"template"} if strict else {"template", "runs"})
     found = []
     for width, kinds in sorted(shapes.items()):
         bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total", "whole")
@@ -167,7 +169,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
 
     strict=False also counts windows of equal words in any case, whatever the slots say, and
     of the other windows those whose slots agree with most of the alignment; strict=True
-    drops an alignment with any slot that stands for two values.
+    drops an alignment with any slot that stands for two values, and takes names in a run,
+    or numbers, one by one.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
@@ -193,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
         word = run("i_tmpl", x["ipos"] + 1, width) == run("d_tmpl", x["pos"] + 1, width)
         i, d = (F.array_position(c, x[p]).cast("int") for c, p in (("i_starts", "ipos"), ("d_starts", "pos")))
         runs = (i > 0) & (d > 0) & (i - 1 + width <= F.size("i_tok")) & (run("i_tok", i, width) == run("d_tok", d, width))
-        same = word | runs
+        same = word if strict else word | runs
 
         def slots(tmpl: str, said_i: str, said_d: str, i: Column, d: Column) -> Column:
             at = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.get(tmpl, i + j).startswith("#"))
