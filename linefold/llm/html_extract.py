@@ -3,18 +3,23 @@
 Pass 1 labels each block from its structure, stop-word density, length and link
 density: ``good``, ``bad`` or undecided (``short``, ``near``).  Pass 2 lets undecided
 blocks inherit the label of the nearest decided neighbours.  Inside article or main the
-thresholds of pass 1 are lower, and each side inherits from itself.
+thresholds of pass 1 are lower, each side inherits from itself, and what has no decided
+neighbour inside is article text.
 
 Defined cases: null or empty html gives "" and 0; rows are independent, so repeated
 rows repeat; extra columns of the input are ignored; a page without any good block
-gives "".  Markup that never closes is closed by the end of the page.
+gives "".  Elements that never close end with the block around them, scripts, styles and
+comments with the page; a tag without ``>`` ends at the next ``<``.  Time is linear in
+the length of the page, whatever it holds.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +58,24 @@ LAYOUT_WORDS = frozenset("no not has have with without is overflow content main
 #: Text outside of boilerplate from which a page has an article without its marked wrappers.
 RESCUE_CHARS = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Whole blocks that call to act instead of telling something.
+CALLS = frozenset(
+    "advertisement|sponsored|click here|buy now|shop now|order now|sign up|sign in|log in|subscribe|subscribe now|read more|learn more|share this|tweet|download now|add to cart|"
+    "continue reading|skip to content|back to top|follow us|jetzt kaufen|weiterlesen|hier klicken|cliquez ici|lire la suite|haga clic|leer más".split("|")
+)
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A tag whose quotes or bracket never close: it ends at the next bracket.
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>?")
+_BLOCK_EDGE = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
+_END_OF = {t: re.compile(rf"</{t}(?:\s[^<>]*)?/?>", re.I) for t in RAW_TAGS}
+INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var video audio".split())
+#: A run of inline tags that no bracket closes.
+_LOOSE_RUN = re.compile(rf"(?:</?(?:{'|'.join(sorted(INLINE_TAGS))})(?=[\s/<])[^<>]*(?=<|\Z))+", re.I)
+#: Tags with unclosed quotes after which the quotes of a page are not trusted any more.
+MAX_BROKEN = 32
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.I)
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
@@ -80,61 +101,131 @@ def _boiler_attrs(attrs: str, tag: str = "div") -> bool:
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of tags; comments and declarations have no name.
+
+    A generator that may be told, by send(), to go on from a later place.
+    """
+    at, n, broken, no_cdata = 0, len(page), 0, False
+    while True:
+        i = page.find("<", at)
+        if i < 0 or i + 1 >= n:
+            return
+        c = page[i + 1]
+        if c == "!" or c == "?":
+            if page.startswith("<!--", i):
+                end = i + 5 if page.startswith("<!-->", i) else page.find("-->", i + 4) + 3
+                end = n if end < i + 4 else end
+            else:
+                end = -1
+                if page.startswith("<![CDATA[", i) and not no_cdata:
+                    end = page.find("]]>", i)
+                    no_cdata = end < 0
+                    end = end + 3 if end >= 0 else -1
+                if end < 0:
+                    end = page.find(">", i) + 1 or n
+            sent = yield i, end, "", False, ""
+        else:
+            m = _TAG.match(page, i) if broken <= MAX_BROKEN else None
+            if m is None:
+                run = _LOOSE_RUN.match(page, i)
+                m = None if run else _LOOSE_TAG.match(page, i)
+                here = run or m
+                # signs of less-than cost nothing; quotes that never close are looked for up to the end
+                broken += bool(here) and any(page.find(q, i, here.end()) >= 0 for q in "\"'")
+                if run:
+                    at = run.end()
+                    yield i, at, "", False, ""
+                    continue
+                if m and not page.endswith(">", i, m.end()) and m[2].lower() not in BLOCK_TAGS | RAW_TAGS | VOID_TAGS | INLINE_TAGS:
+                    m = None  # a sign of less-than in the text
+            if m is None:
+                at = i + 1
+                continue
+            end = m.end()
+            sent = yield i, end, m[2].lower(), bool(m[1]), m[3]
+        at = end if sent is None else sent
+        if sent is not None:
+            yield  # the answer to send()
+
+
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, linked characters, and where they stand."""
     out: list[dict] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number of a boilerplate element or 0, main
-    wrappers: set[int] = set()  # boilerplate by attributes or as a form: may wrap a whole page
-    marked = 0
+    # tag, innermost block tag, innermost boilerplate element or 0, in main; all from the top down
+    stack: list[tuple[str, str, int, bool]] = []
+    opened: Counter[str] = Counter()
+    # boilerplate elements, numbered from 1: the one around, whether it may wrap a whole page, first block, end
+    marks: list[list] = [[0, False, 0, 0]]
+    endless: set[str] = set()  # tags without an end tag in the rest of the page
     parts: list[str] = []
     linked = 0
-    in_link = 0
-    raw_until = ""
-
-    def mark(tag: str, attrs: str) -> int:
-        nonlocal marked
-        own = tag in BOILER_TAGS or (tag == "header" and not any(x[2] for x in stack))
-        if not own and not _boiler_attrs(attrs, tag):
-            return 0
-        marked += 1
-        if tag == "form" or not own:
-            wrappers.add(marked)
-        return marked
+    link: int | None = None  # how many elements were open when the link began
+
+    def push(tag: str, attrs: str, main: bool = False) -> None:
+        _, block, around, inside = stack[-1] if stack else ("", "body", 0, False)
+        own = tag in BOILER_TAGS or (tag == "header" and not inside)
+        if own or _boiler_attrs(attrs, tag):
+            # marked by attributes, or a form: may wrap a whole page
+            marks.append([around, tag == "form" or not own, len(out), -1])
+            around = len(marks) - 1
+        stack.append((tag, tag if tag in BLOCK_TAGS else block, around, inside or main))
+        opened[tag] += 1
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                marks, main = [x[1] for x in stack if x[1]], any(x[2] for x in stack)
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "body")
-                out.append({"text": text, "linked": linked, "marks": marks, "main": main, "tag": tag})
+                _, block, around, inside = stack[-1] if stack else ("", "body", 0, False)
+                out.append({"text": text, "linked": linked, "mark": around, "main": inside, "tag": block})
             parts.clear()
         linked = 0
 
+    def close(tag: str) -> None:
+        """Close the innermost element of that name and all inside it."""
+        nonlocal link
+        while opened[tag]:
+            name, _, around, _ = stack.pop()
+            opened[name] -= 1
+            if around != (stack[-1][2] if stack else 0):
+                marks[around][3] = len(out)
+            if name == tag:
+                break
+        if link is not None and len(stack) < link:
+            link = None
+
+    def say(piece: str) -> None:
+        nonlocal linked
+        parts.append(piece)
+        if link is not None:
+            linked += len(" ".join(_html.unescape(piece).split()))
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if not raw_until and m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(" ".join(_html.unescape(piece).split()))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if raw_until:
+    tags = _tags(page)
+    for start, end, tag, closing, attrs in tags:
+        if start > at:
+            say(page[at:start])
+        at = end
+        if not tag:
             continue
-        if not closing and tag in RAW_TAGS and not (m[3] or "").rstrip().endswith("/"):
+        if not closing and tag in RAW_TAGS and not attrs.rstrip().endswith("/"):
             # the content of these is never article text; jump behind the end tag
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            found = None if tag in endless else _END_OF[tag].search(page, at)
+            if found is None:
+                endless.add(tag)
             if tag in BLOCK_TAGS:
                 flush()
             else:
                 parts.append(" ")
-            at = end.end() if end else len(page)
+            if found:
+                at = found.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                edge = _BLOCK_EDGE.search(page, at)
+                at = edge.start() if edge else len(page)
+            tags.send(at)
             continue
         if tag in RAW_TAGS:
             continue
@@ -142,58 +233,64 @@ def blocks_of(page: str) -> list[dict]:
             parts.append(" ")
             continue
         if tag == "a":
-            in_link = max(0, in_link - 1) if closing else 1
+            link = len(stack) if not closing and "href" in attrs.lower() else None
             continue
         if tag not in BLOCK_TAGS:
-            if not closing and tag not in VOID_TAGS and _boiler_attrs(m[3]):
+            if not closing and tag not in VOID_TAGS and _boiler_attrs(attrs):
                 flush()
-                stack.append((tag, mark(tag, m[3]), False))
-            elif closing and any(t == tag for t, _, _ in stack):
+                push(tag, attrs)
+            elif closing and opened[tag]:
                 flush()
-                while stack and stack.pop()[0] != tag:
-                    pass
+                close(tag)
             continue
         flush()
         if tag in VOID_TAGS:
             continue
         if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
+            close(tag)
             continue
         if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") or tag in HEADING_TAGS:
             # an open paragraph-like element ends where the next begins
-            if stack and stack[-1][0] == "p" or stack and stack[-1][0] == tag:
-                stack.pop()
+            if stack and stack[-1][0] in ("p", tag):
+                close(stack[-1][0])
         elif stack and stack[-1][0] == "p":
-            stack.pop()
-        boiler = mark(tag, m[3])
-        main = tag in ("article", "main") or bool(m[3] and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", m[3], re.I))
-        stack.append((tag, boiler, main))
-    if at < len(page) and not raw_until:
-        tail = page[at:]
-        parts.append(tail.split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!?]", tail) else tail)
+            close("p")
+        push(tag, attrs, tag in ("article", "main") or bool(attrs and _MAIN.search(attrs)))
+    if at < len(page):
+        say(page[at:])
     flush()
-    _unwrap(out, wrappers)
+    _unwrap(out, marks)
     return out
 
 
-def _unwrap(blocks: list[dict], wrappers: set[int]) -> None:
+def _unwrap(blocks: list[dict], marks: list[list]) -> None:
     """Decide ``boiler`` of each block; a wrapper of the page's article or of most of its text is no boilerplate.
 
-    Only where no article text stands outside of boilerplate, so comments behind an article stay out.
+    Wrappers fall from the outermost on, only while no article text stands outside of
+    boilerplate, so comments behind an article stay out.
     """
-    whole = sum(len(b["text"]) for b in blocks)
-    for x in sorted(wrappers):  # outer ones first
-        free = [b for b in blocks if not b["marks"]]
-        if any(b["main"] for b in free) or sum(len(b["text"]) - b["linked"] for b in free) >= RESCUE_CHARS:
-            break
-        inside = [b for b in blocks if x in b["marks"]]
-        if any(b["main"] for b in inside) or 2 * sum(len(b["text"]) for b in inside) > whole:
-            for b in inside:
-                b["marks"].remove(x)
+    size = [0, *accumulate(len(b["text"]) for b in blocks)]
+    mains = [0, *accumulate(b["main"] for b in blocks)]
+    # an element is no hindrance if it and all around it may fall; elements around come first
+    free = [True]
+    for around, wrapper, first, end in marks[1:]:
+        end = len(blocks) if end < 0 else end
+        falls = wrapper and (mains[end] > mains[first] or 2 * (size[end] - size[first]) > size[-1])
+        free.append(falls and free[around])
+    # blocks come free with their innermost element; nothing falls any more once enough is free
+    gain, article = [0] * len(marks), [False] * len(marks)
+    for b in blocks:
+        if free[b["mark"]]:
+            gain[b["mark"]] += len(b["text"]) - b["linked"]
+            article[b["mark"]] |= b["main"]
+    upto, got = 0, gain[0]
+    found = article[0]
+    while upto + 1 < len(marks) and not found and got < RESCUE_CHARS:
+        upto += 1
+        got, found = got + gain[upto], article[upto]
     for b in blocks:
-        b["boiler"] = bool(b.pop("marks"))
+        mark = b.pop("mark")
+        b["boiler"] = mark > upto or not free[mark]
 
 
 def classify(blocks: list[dict], *, short: int = 70, long: int = 200, link_max: float = 0.5, stop_low: float = 0.10, stop_high: float = 0.25) -> list[bool]:
@@ -220,11 +317,12 @@ def _passes(blocks: list[dict], inside: bool, lone: bool, *, short: int, long: i
         density = b["linked"] / n
         words = _WORD.findall(b["text"].lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b["boiler"]:
-            labels.append("bad")
+        if b["boiler"] or " ".join(words) in CALLS:
+            # inside, such blocks say nothing of their neighbours
+            labels.append("out" if inside else "bad")
         elif inside and density <= link_max:
-            # the page names its article: the thresholds of length and stop words fall away unless links are many
-            labels.append("good" if density <= 0.2 or stops >= stop_low / 2 else "short")
+            # the page names its article: half the stop words, or the length of a paragraph with few links, will do
+            labels.append("good" if stops >= stop_low / 2 or (n >= short and density <= 0.2) else "short")
         elif inside and n < short:
             # short linked lines inside stay undecided
             labels.append("short")
@@ -240,30 +338,36 @@ def _passes(blocks: list[dict], inside: bool, lone: bool, *, short: int, long: i
             labels.append("bad" if density > 0.2 else "short")
     if lone and not any(x == "good" for x in labels):
         labels = ["good" if x == "near" else x for x in labels]
+        if "good" not in labels:
+            # a page of short lines only: those in paragraphs of their own are its text
+            labels = ["good" if x == "short" and not b["linked"] and (b["tag"] == "p" or b["tag"] in HEADING_TAGS) else x for x, b in zip(labels, blocks, strict=True)]
+    edge = "good" if inside else "bad"
     before: list[tuple[int, str]] = []
-    last = (-(10**9), "bad")
+    last = (-(10**9), edge)
     for i, x in enumerate(labels):
         if x in ("good", "bad"):
             last = (i, x)
         before.append(last)
-    after: list[tuple[int, str]] = [(10**9, "bad")] * len(labels)
-    nxt = (10**9, "bad")
+    after: list[tuple[int, str]] = [(10**9, edge)] * len(labels)
+    nxt = (10**9, edge)
     for i in range(len(labels) - 1, -1, -1):
         if labels[i] in ("good", "bad"):
             nxt = (i, labels[i])
         after[i] = nxt
     keep = []
     for i, (x, b) in enumerate(zip(labels, blocks, strict=True)):
-        if x in ("good", "bad"):
+        if x in ("good", "bad", "out"):
             keep.append(x == "good")
             continue
         (p, left), (q, right) = before[i], after[i]
         if left == right:
             keep.append(left == "good")
+        elif inside and not b["linked"]:
+            keep.append(True)  # where neighbours disagree, the page's own word for its article decides
         elif b["tag"] in HEADING_TAGS or x == "near":
             keep.append(right == "good" if b["tag"] in HEADING_TAGS else "good" in (left, right))
         else:
-            keep.append((left if i - p < q - i else right if q - i < i - p else "bad") == "good")
+            keep.append((left if i - p < q - i else right if q - i < i - p else edge) == "good")
     return keep
 
 

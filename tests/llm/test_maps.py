@@ -203,3 +203,82 @@ def test_passes_run_inside_and_outside_of_the_article():
     story = f"<div><p>{long}</p></div><div>tiny</div>"
     assert long in H.extract_text(f"<body>{story}<article><h2>Card</h2><p>A card.</p></article></body>")
     assert H.extract_text(f"<body><div>tiny</div><article><p>{long}</p></article><div>by line</div></body>") == long
+
+
+STORY = "The story of the day is that it was told to all of us by the old man in the house, and we heard it with care and with some doubt."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p><a name=top>{s}</p><p>{s}</p>", "{s} {s}"),  # an anchor that never closes is no link
+        ("<p><a href=/x>Top</p><p>{s}</p>", "{s}"),  # a link ends with its block
+        ("<p>{s}</p><button>x<p>{s}</p>", "{s} {s}"),
+        ("<p>{s}</p><svg><path d=1><p>{s}</p>", "{s} {s}"),
+        ("<article><p>{s}</p><p>Click here</p><p>Buy now!</p><p>So be it.</p><p>{s}</p></article>", "{s} So be it. {s}"),
+        ("<p>{s}</p><p>1 <2 and x<y, says {s}</p>", "{s} 1 <2 and x<y, says {s}"),
+        ("<p>{s}</p><img alt='a > b'><p>{s}</p><!-- <p>no</p> --><p title=\"it's > that\">{s}</p>", "{s} {s} {s}"),
+        ("<article><p>Hi there</p></article>", "Hi there"),
+        ("<p>Only a short line.</p>", "Only a short line."),
+        ("<nav><a href=/a>A</a></nav><div><a href=/a>One</a> <a href=/b>Two</a></div><h1>Title</h1><p>{s}</p><ul><li><a href=/c>Next story of the day</a></li></ul><p>Copyright</p>", "Title {s}"),
+    ],
+)
+def test_hand_marked_pages(page, want):
+    assert H.extract_text(page.format(s=STORY * 2)) == want.format(s=STORY * 2)
+
+
+def brute_passes(blocks):
+    """The two passes outside of an article, block by block, as the docstring words them."""
+    first = []
+    for b in blocks:
+        n, words = len(b["text"]), re.findall(r"[^\W\d_]+", b["text"].lower())
+        stops = sum(w in H.STOP_WORDS for w in words) / max(1, len(words))
+        if b["boiler"] or b["linked"] / n > 0.5:
+            first.append("bad")
+        elif n < 70 or stops < 0.10:
+            first.append("short" if n < 70 or b["linked"] / n <= 0.2 else "bad")
+        else:
+            first.append("good" if stops >= 0.25 and n >= 200 else "near")
+    if "good" not in first:
+        first = ["good" if x == "near" else x for x in first]
+    out = []
+    for i, x in enumerate(first):
+        left = next(((i - j, first[j]) for j in range(i - 1, -1, -1) if first[j] in ("good", "bad")), (10**9, "bad"))
+        right = next(((j - i, first[j]) for j in range(i + 1, len(first)) if first[j] in ("good", "bad")), (10**9, "bad"))
+        if x in ("good", "bad"):
+            out.append(x == "good")
+        elif left[1] == right[1]:
+            out.append(left[1] == "good")
+        elif blocks[i]["tag"] in H.HEADING_TAGS:
+            out.append(right[1] == "good")
+        elif x == "near":
+            out.append(True)
+        else:
+            out.append(left[0] != right[0] and min(left, right)[1] == "good")
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.sampled_from([STORY * 2, STORY, "word " * 30, "tiny", "the end of it", "Zebra crossing qqq"]), st.sampled_from([0, 0, 0.3, 1]), st.sampled_from(["p", "h2", "div"]), st.booleans()).map(
+            lambda x: {"text": x[0].strip(), "linked": int(x[1] * len(x[0].strip())), "tag": x[2], "boiler": x[3], "main": False}
+        ),
+        max_size=9,
+    ).filter(lambda bs: any(len(b["text"]) > 100 and not b["boiler"] and not b["linked"] and b["text"].startswith("The") for b in bs))
+)
+def test_passes_against_brute_force(blocks):
+    assert H.classify(blocks) == brute_passes(blocks)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "<a" ', "<button>", "<svg><p>", "<![CDATA[ >", "<div class=ad>x", "<ul><li>", "</div>", "<span class=ad>", "&amp"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        H.extract_text(piece * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 30 * took(4_000) + 0.5
