@@ -3,7 +3,8 @@
 Fuzzy search takes a notice of k allowed edits, splits it into k + 1 pieces (pigeonhole:
 any place within k edits holds one piece unchanged), finds the pieces with an
 Aho-Corasick automaton and verifies each place with the ``regex`` library's bounded
-error matching, which also gives the span.
+error matching, which also gives the span.  Edits may not touch the short words that tell
+notices apart (TELLING): a place counts only if it has those of the notice and no others.
 
 Defined cases: null text counts as empty; no words gives n_words 0, null positions,
 empty labels and score 0; rows are independent; extra columns are ignored.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +40,16 @@ NOTICES = (
     ("licensed under cc by 4 0", "cc-by"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
     ("creative commons attribution", "cc-by"),
     ("creative commons zero", "cc0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
 )
+# Words of two or three letters that make one notice another.
+TELLING = frozenset("sa nc nd mit bsd isc mpl epl gpl".split())
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SEP = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 _WORDS = re.compile(f"[^{_SEP}]+")
@@ -61,6 +69,11 @@ def pieces_of(notice: str, k: int) -> list[tuple[int, str]]:
     return out
 
 
+def telling(span: str) -> list[str]:
+    """The words of a span that tell notices apart."""
+    return sorted(w for w in span.split(" ") if w in TELLING)
+
+
 @functools.lru_cache(maxsize=4)
 def _compiled(notices: tuple, rate: float):
     import ahocorasick
@@ -70,7 +83,7 @@ def _compiled(notices: tuple, rate: float):
     seeds: dict[str, list[tuple[int, int]]] = {}
     for i, (notice, label) in enumerate(notices):
         k = edits_for(notice, rate)
-        pats.append((label, len(notice), k, regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice)}){{e<={k}}}(?![^ ])", regex.V1)))
+        pats.append((label, len(notice), k, regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice)}){{e<={k}}}(?![^ ])", regex.V1), telling(notice)))
         for off, piece in pieces_of(notice, k):
             seeds.setdefault(piece, []).append((i, off))
     for piece, where in seeds.items():
@@ -82,13 +95,14 @@ def _compiled(notices: tuple, rate: float):
 def fuzzy_spans(canonical: str, notices: tuple = NOTICES, rate: float = 0.08) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of notices in text whose words are joined by one space.
 
-    Of overlapping places of one notice, the first with the fewest edits is reported.
+    Of overlapping places of one notice, the first with the fewest edits is reported;
+    notices of one label that hold at one span report it once.
     """
     auto, pats = _compiled(notices, rate)
     windows: dict[int, list[list[int]]] = {}
     for end, where in auto.iter(canonical):
         for i, off in where:
-            _, n, k, _ = pats[i]
+            _, n, k, _, _ = pats[i]
             size = len(pieces_cache(notices[i][0], k)[off])
             start = end - size + 1 - off
             lo, hi = max(0, start - k), min(len(canonical), start + n + k)
@@ -100,11 +114,12 @@ def fuzzy_spans(canonical: str, notices: tuple = NOTICES, rate: float = 0.08) ->
                 w.append([lo, hi])
     out = []
     for i, spans in windows.items():
-        label, n, k, pat = pats[i]
+        label, n, k, pat, own = pats[i]
         for lo, hi in spans:
             for m in pat.finditer(canonical, lo, hi):
-                out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+                if telling(m[0]) == own:
+                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+    return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
 @functools.lru_cache(maxsize=256)
@@ -128,12 +143,10 @@ def scan_text(text: str | None, notices: tuple = NOTICES, rate: float = 0.08) ->
             at = padded.find(f" {phrase} ", at + 1)
     spans = fuzzy_spans(canonical, notices, rate) if words else []
     labels = base | {s[0] for s in spans}
-    lengths = {}
-    for notice, label in notices:
-        lengths[label] = max(lengths.get(label, 0), len(notice))
     best = max((1 - e / max(1, b - a) for _, a, b, e in spans), default=0.0)
     score = 1.0 if base else min(1.0, max(0.0, best))
-    word_at = lambda i: canonical.count(" ", 0, i)
+    ends = list(accumulate(len(w) + 1 for w in words)) if starts or spans else []
+    word_at = lambda i: bisect_right(ends, i)
     return {
         "n_words": len(words),
         "n_base": len(starts),
@@ -143,7 +156,7 @@ def scan_text(text: str | None, notices: tuple = NOTICES, rate: float = 0.08) ->
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(labels)),
         "score": float(score),
-        "spans": [{"label": s[0], "first_word": word_at(s[1]), "end_word": word_at(s[2]) + 1, "edits": s[3]} for s in spans],
+        "spans": [{"label": s[0], "first_word": word_at(s[1]), "end_word": word_at(s[2] - 1) + 1, "edits": s[3]} for s in spans],
     }
 
 

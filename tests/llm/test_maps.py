@@ -282,3 +282,41 @@ def test_hostile_pages_take_linear_time(piece):
 
     took(100)
     assert took(40_000) < 30 * took(4_000) + 0.5
+
+
+@pytest.mark.parametrize("kind", ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"])
+@pytest.mark.parametrize("version", ["4.0", "3.0"])
+def test_each_cc_licence_has_its_own_label(kind, version):
+    assert L.scan_text(f"Text licensed under CC {kind.upper()} {version}, all of it")["labels"] == f"cc-{kind}"
+    assert L.scan_text(f"Text licnsed under CC {kind} 4.0")["labels"] == f"cc-{kind}"
+
+
+def test_notices_give_their_own_label_only():
+    for notice, label in L.NOTICES:
+        f = L.scan_text(f"a {notice} b")
+        assert set(f["labels"].split(",")) == {label} | set(filter(None, f["base_labels"].split(",")))
+    assert L.scan_text("released under the mpl license")["labels"] == L.scan_text("licensed under the isc license")["labels"] == ""
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([*[n for n, _ in L.NOTICES[:13:3]], "mit license", "some words", "é", "x"]), min_size=1, max_size=12))
+def test_word_numbers_against_counting(parts):
+    f = L.scan_text(" ".join(parts))
+    words = " ".join(parts).split()
+    for s in f["spans"]:
+        piece = " ".join(words[s["first_word"] : s["end_word"]])
+        assert any(p.startswith(piece[:8]) for p in parts) and (s["label"], 0, len(piece), s["edits"]) in L.fuzzy_spans(piece)
+    if f["n_base"]:
+        assert " ".join(words[f["first_word"] :]).startswith(("mit license", "general public license"))
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        L.scan_text(" and ".join(["licensed under cc by sa 4 0"] * n))
+        return time.process_time() - began
+
+    took(100)
+    assert took(10_000) < 25 * took(1_000) + 0.5
