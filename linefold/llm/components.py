@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from ..runtime import discard, materialize_at
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of bigint -> (node, root), root the smallest node reachable; nodes without an edge to another are left out.
 
     Each round joins neighbours to the smallest node around them.  Sums and minima per
     node are pre-aggregated, and joins on a hub's id are plain equi-joins, which adaptive
-    execution splits.  Rounds are written to the shared folder, so lineage stays short.
+    execution splits.  Rounds are written to the shared folder, so lineage stays short; they
+    go on until one changes nothing, about log n of them.
     """
     spark = edges.sparkSession
     first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     # a small star first folds nodes with many edges below them, before any edge is turned round
     cur, path = materialize_at(_small_star(first), "cc")
-    for _ in range(max_rounds):
+    while True:
         nxt, nxt_path = materialize_at(_small_star(_large_star(cur)), "cc")
         sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0] for d in (cur, nxt)]
         discard(spark, path)

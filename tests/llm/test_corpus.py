@@ -52,6 +52,13 @@ def test_components(spark):
     assert all(got.get(n, n) == want[n] for n in nodes)
 
 
+def test_components_of_a_long_path(spark):
+    order = list(range(200))
+    random.Random(7).shuffle(order)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(list(zip(order, order[1:])), "a bigint, b bigint")).collect()}
+    assert got == {n: 0 for n in order}
+
+
 def words_of(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
 
