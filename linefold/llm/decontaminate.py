@@ -48,24 +48,18 @@ def surfaces(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def template(word: Column) -> Column:
-    """The template of one word."""
-    low = F.lower(word)
-    first = F.substring(word, 1, 1)
-    rest = F.substring(word, 2, 1_000_000)
+def template(word: Column, low: Column) -> Column:
+    """The template of one word, which must not be empty; low: the word in lower case."""
     return (
-        F.when(first.between("0", "9"), F.lit("#num"))
+        # byte order: "0" to "9" is all that lies between "0" and ":"
+        F.when((word >= "0") & (word < ":"), F.lit("#num"))
         .when(low == word, F.when(word.isin(UNITS), F.lit("#unit")).otherwise(word))
         # one capital, then lower case: a name; words all in capitals are plain
-        .when((rest == F.lower(rest)) & (F.length(word) > 1), F.lit("#name"))
+        .when((F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) & (F.length(word) > 1), F.lit("#name"))
         .otherwise(low)
     )
 
 
-def _window_hash(codes: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(codes, at + j) for j in range(n)])
-
-
 def _starts(tmpl: Column) -> Column:
     """Where tokens begin: a run of #name or of #num is one token; tmpl must not be empty."""
     same = lambda i: (i > 0) & F.get(tmpl, i).isin("#name", "#num") & (F.get(tmpl, i) == F.get(tmpl, i - 1))
@@ -75,7 +69,8 @@ def _starts(tmpl: Column) -> Column:
 def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
     """(id, low, tmpl, starts, tok): words in lower case and as templates, where runs begin among them, and the templates with runs as one."""
     t = texts.where(F.col("text").isNotNull()).select(id_col, surfaces(F.col("text")).alias("words")).where(F.size("words") > 0)
-    t = t.select(id_col, F.transform("words", F.lower).alias("low"), F.transform("words", template).alias("tmpl"))
+    t = t.select(id_col, "words", F.transform("words", F.lower).alias("low"))
+    t = t.select(id_col, "low", F.zip_with("words", "low", template).alias("tmpl"))
     t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl")).alias("starts"))
     return t.select(id_col, "low", "tmpl", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
 
@@ -84,24 +79,55 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _rolled(coded: DataFrame, codes: str, widths: list[int]) -> DataFrame:
+    """coded with a column codes_w per width: hashes of the windows of w codes, in order.
+
+    By doubling: a window's hash comes from those of two shorter ones that cover it, so a
+    window costs a hash of two numbers per step.  Each step is a column of its own.
+    """
+    made = {1: codes}
+
+    def of(w: int) -> str:
+        nonlocal coded
+        if w not in made:
+            half = 1 << ((w - 1).bit_length() - 1)  # the largest power of two below w
+            have = of(half)
+            name = f"{codes}_{w}"
+            coded = coded.withColumn(name, F.zip_with(have, F.slice(have, w - half + 1, F.greatest(F.size(have), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
+            coded = coded.withColumn(name, F.slice(name, 1, F.greatest(F.size(codes) - w + 1, F.lit(0))))
+            made[w] = name
+        return made[w]
+
+    for w in widths:
+        of(w)
+    return coded
+
+
 def _every(codes: str, width: int) -> Column:
-    """Places and hashes of all windows."""
-    every = F.transform(F.sequence(F.lit(0), F.size(codes) - width), lambda k: F.struct(k.alias("pos"), _window_hash(F.col(codes), k, width).alias("hash")))
-    return F.when(F.size(codes) >= width, every).otherwise(F.array().cast(PLACED))
+    """Places and hashes of all windows; see _rolled()."""
+    own = f"{codes}_{width}" if width > 1 else codes
+    places = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.arrays_zip(places.alias("pos"), F.col(own).alias("hash")).cast(PLACED)
 
 
 def _runs(width: int) -> Column:
     """The same of the windows in which a run of names or numbers counts as one word; those without a run are left out."""
+    own = f"short_{width}" if width > 1 else "short"
     spans = F.filter(F.sequence(F.lit(0), F.size("short") - width), lambda k: F.get("starts", k + width - 1) > F.get("starts", k) + width - 1)
-    every = F.transform(spans, lambda k: F.struct(F.get("starts", k).alias("pos"), _window_hash(F.col("short"), k, width).alias("hash")))
-    return F.when(F.size("short") >= width, every).otherwise(F.array().cast(PLACED))
+    every = F.transform(spans, lambda k: F.struct(F.get("starts", k).alias("pos"), F.get(own, k).alias("hash")))
+    return F.when((F.size("short") >= width) & (F.size("short") < F.size("plain")), every).otherwise(F.array().cast(PLACED))
 
 
-def _windows(coded: DataFrame, width: int, kinds: set[str]) -> DataFrame:
-    """(doc_id, pos, hash) of the windows of a width; pos counts words."""
+def _windows(coded: DataFrame, shapes: dict[int, set[str]]) -> DataFrame:
+    """(doc_id, pos, hash) of the windows of all widths and kinds, in one pass; pos counts words.
 
-    of = {"template": _every("codes", width), "words": _every("plain", width), "runs": _runs(width)}
-    return coded.select("doc_id", F.explode(F.concat(*[of[k] for k in sorted(kinds)])).alias("w")).select("doc_id", "w.pos", "w.hash")
+    Hashes of windows of different widths differ like those of different words.
+    """
+    source = {"template": "codes", "words": "plain", "runs": "short"}
+    for kind, codes in source.items():
+        coded = _rolled(coded, codes, sorted(w for w, kinds in shapes.items() if kind in kinds))
+    parts = [_runs(w) if kind == "runs" else _every(source[kind], w) for w, kinds in sorted(shapes.items()) for kind in sorted(kinds)]
+    return coded.select("doc_id", F.explode(F.concat(*parts)).alias("w")).select("doc_id", "w.pos", "w.hash")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, strict: bool = True) -> DataFrame:
@@ -118,7 +144,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, st
     t = t.withColumns({"codes": _hashed(F.col("tmpl")), "short": _hashed(F.col("tok")), "plain": _hashed(F.col("low"))})
     t = materialize(t, "decon-items")
     shapes = []
-    for w in sorted(x.width for x in t.select("width").distinct().collect()):
+    widths = sorted(x.width for x in t.select("width").distinct().collect())
+    for codes in ("codes", "short", "plain"):
+        t = _rolled(t, codes, widths)
+    for w in widths:
         for kind, at in (("template", _every("codes", w)), ("runs", _runs(w)), ("words", _every("plain", w))):
             if strict and kind == "runs":
                 continue
@@ -142,13 +171,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int
     shapes: dict[int, set[str]] = {}
     for width, kind in wins.select("width", "kind").distinct().collect():
         shapes.setdefault(width, set()).update({"words"} if kind == "words" else {"template"} if strict else {"template", "runs"})
-    found = []
-    for width, kinds in sorted(shapes.items()):
-        bench = wins.where(F.col("width") == width).select("item_id", "ipos", F.col("hash").alias("b_hash"), "total", "whole")
-        found.append(_windows(coded, width, kinds).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "total", "whole", "ipos", "pos"))
-    if not found:
+    if not shapes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, group struct<g:int,b:bigint>, total bigint, whole boolean, spots array<struct<ipos:int,pos:int>>")
-    hits = reduce(DataFrame.unionByName, found).withColumn("diag", (F.col("pos") - F.col("ipos")).cast("bigint"))
+    bench = wins.select("item_id", "ipos", F.col("hash").alias("b_hash"), "total", "whole")
+    hits = _windows(coded, shapes).join(hint(bench), F.col("hash") == F.col("b_hash")).select("doc_id", "item_id", "total", "whole", "ipos", "pos")
+    hits = hits.withColumn("diag", (F.col("pos") - F.col("ipos")).cast("bigint"))
     band = F.floor(F.col("diag") / F.greatest(F.lit(n), F.col("total") / 4))
     group = lambda g, b: F.struct(F.lit(g).alias("g"), b.alias("b"))
     bands = F.when(F.col("whole"), F.array(group(0, F.col("diag")))).otherwise(F.array(group(0, F.col("diag")), group(1, band), group(1, band - 1)))
@@ -229,7 +256,14 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how: float | bool) -> DataFrame:
-    """The rows of docs, all columns, that no item contaminates; rows without doc_id stay."""
+    """The rows of docs, all columns, that no item contaminates; rows without doc_id are judged by their text alone."""
     bad = find(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id")).distinct()
     bad = materialize(bad, "decon-bad")
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    out = docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    nameless = docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
+    if nameless.isEmpty():
+        return out
+    digest = F.md5(F.col("text").cast("string").cast("binary"))
+    found = find(nameless.select(digest.alias("doc_id"), "text").distinct(), benchmark, **how)
+    found = materialize(found.select(F.col("doc_id").alias("bad_text")).distinct(), "decon-bad")
+    return out.join(found, F.when(out["doc_id"].isNull(), digest) == found["bad_text"], "left_anti")

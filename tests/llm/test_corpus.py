@@ -361,6 +361,37 @@ def test_near_duplicates_large_loose_group(spark):
     assert got == {i: (size[i], root[i]) for i, _ in texts}
 
 
+def test_decontamination_of_rows_without_id(spark):
+    docs = frame(spark, [(None, "so " + ITEM), (None, None), (None, "quite another text of many plain words that no item has"), (1, ITEM), (2, "")])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in D.clean(docs, bench(spark, [ITEM, "tiny item", "Who wrote Hamlet?"]), strict=False).collect())
+    assert kept == [(0, ""), (0, "quite another text of many plain words that no item has"), (2, "")]
+
+
+def test_decontamination_of_short_items(spark):
+    items = ["12 + 30 * 4 = ?", "Who wrote Hamlet?", "Anna Paid Bob 12 Euro And Carl 30 Euro In Rome", "one two three four five", "x"]
+    docs = [(i, f"Before it, {t} and after.") for i, t in enumerate(items)] + [(9, "nothing that any item says")]
+    got = {(r.doc_id, r.item_id) for r in D.find(frame(spark, docs), bench(spark, items), strict=False).collect()}
+    assert got == {(i, i) for i in range(5)}
+
+
+def test_window_hashes_stand_for_windows(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(3) for _ in range(rng.choice([0, 1, 2, 5, 9, 30]))]) for i in range(20)]
+    widths = [1, 2, 3, 5, 7, 8]
+    df = D._rolled(spark.createDataFrame(rows, "i bigint, c array<bigint>"), "c", widths)
+    seen = {}
+    for r in df.collect():
+        for w in widths:
+            h = r["c"] if w == 1 else r[f"c_{w}"]
+            wins = [tuple(r["c"][k : k + w]) for k in range(len(r["c"]) - w + 1)]
+            assert len(h) == len(wins)
+            for a, b in zip(h, wins):
+                assert seen.setdefault((w, b), a) == a
+    for w in widths:
+        own = [a for (x, _), a in seen.items() if x == w]
+        assert len(own) == len(set(own))
+
+
 def test_decontamination_of_longer_names(spark):
     named = ITEM.replace("Anna", "Anna Maria").replace("12", "40")  # the words behind a name move
     r = D.find(frame(spark, [(2, "intro. " + named)]), bench(spark, [ITEM]), strict=False).collect()
