@@ -35,6 +35,7 @@ _TOKEN = re.compile(
 
 
 _DIRECTIVE = re.compile(r"[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.S)
+_CALLED = re.compile(r"\s*\(")
 _ONE_SPACE, _BLANKS = re.compile(r"\s"), re.compile(r"[^\S\n]+")
 
 
@@ -570,7 +571,7 @@ def normalize(code: str) -> str:
         w = m[0]
         if w in KEYWORDS or w in MEMORY_CALLS or (w.isupper() and len(w) > 1):
             return w
-        table, kind = (fun, "FUN") if re.match(r"\s*\(", code[m.end() :][:64]) else (var, "VAR")
+        table, kind = (fun, "FUN") if _CALLED.match(code, m.end()) else (var, "VAR")
         return table.setdefault(w, f"{kind}{len(table) + 1}")
 
     return re.sub(r"[A-Za-z_]\w*", name, code)

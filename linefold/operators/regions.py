@@ -130,23 +130,25 @@ def effort(ordered: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
     return out.drop("last")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(grp, node, depth): nodes reachable from seeds(grp, node) along edges(grp, src, dst), with least hops.
 
-    Semi-naive: each step joins only what the last one found.  Steps are written to the
-    shared folder, so the plan does not grow with the depth.
+    Semi-naive: each step joins only what the last one found, until nothing is new.  Steps
+    are appended to one table in the shared folder, which is what the next step reads, so
+    neither the plan nor the writing grows with the depth.
     """
-    from ..runtime import materialize
-
-    found = materialize(seeds.select("grp", "node").distinct().withColumn("depth", F.lit(0).cast("bigint")), "closure")
-    front = found
-    for depth in range(1, max_depth + 1):
+    from ..runtime import append, new_path
+
+    path = new_path(edges.sparkSession, "closure")
+    front = append(seeds.select("grp", "node").distinct().withColumn("depth", F.lit(0).cast("bigint")), path)
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        found = edges.sparkSession.read.schema(front.schema).parquet(path)
         step = front.join(edges, (front["grp"] == edges["grp"]) & (front["node"] == edges["src"])).select(front["grp"], F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(found, ["grp", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")), "closure")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found
+        append(step.join(found, ["grp", "node"], "left_anti").select("grp", "node", F.lit(depth).cast("bigint").alias("depth")), path)
+        front = edges.sparkSession.read.schema(front.schema).parquet(path).where(F.col("depth") == depth)
+    return edges.sparkSession.read.schema(front.schema).parquet(path)
 
 
 def token_region(lines: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWNED: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,8 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_dir(spark)}/linefold/{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/linefold/{app}"
+    if app not in _OWNED:
+        at, fs = _on_hadoop(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _OWNED.add(app)
+    return path
+
+
+def _on_hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def clear(spark: SparkSession) -> None:
@@ -56,6 +70,20 @@ def clear(spark: SparkSession) -> None:
     discard(spark, own_dir(spark))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh place for a table; see Scope."""
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for s in _SCOPES:
+        s.append(path)
+    return path
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Add the rows of df to the table at path, which may be new; gives the table."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage durably."""
     return materialize_at(df, name)[0]
@@ -63,15 +91,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As materialize(), and the path, for discard()."""
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    path = new_path(df.sparkSession, name)
+    return append(df, path), path
+
+
+class Scope:
+    """The tables written in a block, so that they can go together once their result stands.
+
+    with Scope(spark) as s:
+        out, path = materialize_at(work(...), "out")
+    s.discard(but=path)
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self.paths)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPES[:] = [s for s in _SCOPES if s is not self.paths]
+
+    def discard(self, but: str = "") -> None:
+        discard(self.spark, *(p for p in self.paths if p != but))
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _on_hadoop(spark, p)
+        fs.delete(at, True)
