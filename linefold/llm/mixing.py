@@ -1,13 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing, native DataFrame operations only.
 
 Each source serves its shuffled documents, pass after pass, at a rate in proportion to its
-target.  A copy of a document has a virtual start and finish time: the words that its
-source has served before and after it, divided by the source's target.  All sources reach
-their targets at virtual time 1, so cutting the globally range-sorted queue at the total
-budget keeps the copies that start before 1, and cuts the one that crosses it.
-
-Running sums are taken in two levels (cells of the shuffle key, then offsets of cells), so
-that a source with a third of all rows is dealt over many tasks.
+target.  A copy of a document has a virtual finish time: the words that its source has
+served when it is done, divided by the source's target in whole words.  The copies of all
+sources are range-sorted by finish time, summed up, and cut at the total budget; what the
+cut queue holds of a document is what the mix takes of it.  All sources reach their targets
+at virtual time 1, and a copy on its way at that time counts as two pieces, so the cut falls
+between pieces and gives each source its target.
+
+Running sums are taken in levels: inside a source, cells of the shuffle key and then offsets
+of cells; along the queue, chunks of the sorted table and then their offsets, and rows only
+in the one chunk that the cut falls into.  So neither a source with a third of all rows nor
+the queue meets in one task.
 
 Defined cases: null text has size 0; a null source is a source of its own, sorted last;
 rows that are equal in every column are interchangeable; an empty table gives no rows; a
@@ -52,36 +56,76 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return ranked.select("src_key", F.col("total").alias("source_size"), F.when(F.col("capped"), F.col("cap")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", cells: int = 3) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and its queue places.
+def shuffled(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", cells: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(documents in the order of their sources, sources): the first with row, doc_id, size, source_size, target, budget, before.
 
-    before: words of its source ahead of it in one pass.  cells: hex digits of the shuffle
-    key that make a cell.
+    budget: whole words of the target.  before: words of its source ahead of it in one pass.
+    cells: hex digits of the shuffle key that make a cell.
     """
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = rows.select(
-        "doc_id", "size",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "size",
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("src_key"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("shuffle_key"),
     ).withColumn("cell", F.substring("shuffle_key", 1, cells))
     rows = materialize(rows, "mix-sizes")
     by_cell = rows.groupBy("src_key", "cell").agg(F.sum("size").alias("cell_size"))
     sources = targets(by_cell.groupBy("src_key").agg(F.sum("cell_size").alias("total")), weights, most)
+    sources = materialize(sources.withColumn("budget", F.floor(F.round("target", 6)).cast("bigint")), "mix-sources")
     upto = Window.partitionBy("src_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = by_cell.withColumn("offset", F.sum("cell_size").over(upto) - F.col("cell_size")).join(sources, "src_key").select("src_key", "cell", "offset", "source_size", "target")
+    offsets = by_cell.withColumn("offset", F.sum("cell_size").over(upto) - F.col("cell_size")).join(sources, "src_key").select("src_key", "cell", "offset", "source_size", "target", "budget")
     inside = Window.partitionBy("src_key", "cell").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["src_key", "cell"]).withColumn("before", F.col("offset") + F.col("upto") - F.col("size"))
-    # whole words of the target; the copy that crosses virtual time 1 gives its first words
-    budget = F.floor(F.round("target", 6))
-    takes = F.transform(
-        F.sequence(F.lit(0), F.lit(most - 1)),
-        lambda e: F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), budget - F.col("before") - e * F.col("source_size"))),
-    )
-    placed = placed.withColumn("takes", takes)
-    return placed.select(
-        "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
-        F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("taken"), "takes", "before",
-    )
+    return placed.select("row", "doc_id", "size", "source_size", "target", "budget", "before"), sources
+
+
+def queue(placed: DataFrame) -> DataFrame:
+    """The range-sorted queue: a row per piece of a copy, with words, finish and place, which grows along it.
+
+    A source sends as many copies as its target may need; what the cut leaves is not known here.
+    """
+    copies = F.greatest(F.lit(1), F.ceil(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).cast("int"))
+    q = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1)))
+    start, budget = F.col("before") + F.col("copy") * F.col("source_size"), F.col("budget")
+    end = start + F.col("size")
+    piece = lambda words, upto: F.struct(words.alias("words"), upto.alias("upto"))
+    q = q.withColumn("p", F.explode(F.when((start < budget) & (end > budget), F.array(piece(budget - start, budget), piece(end - budget, end))).otherwise(F.array(piece(F.col("size"), end)))))
+    upto = F.col("p.upto")
+    finish = F.when(upto == 0, 0.0).otherwise(F.coalesce(upto / F.nullif(budget, F.lit(0)), F.lit(float("inf"))))
+    q = q.select("row", "doc_id", "size", "source_size", "target", "before", "copy", F.col("p.words").alias("words"), upto.alias("upto"), finish.alias("finish"))
+    return materialize(q.orderBy("finish", "row", "copy", "upto").withColumn("place", F.monotonically_increasing_id()), "mix-queue")
+
+
+def cut(q: DataFrame, budget: int, chunk_bits: int = 12) -> DataFrame:
+    """The queue with ``take``: its words up to the budget, along the queue."""
+    chunk = F.shiftright("place", chunk_bits)
+    chunks = q.groupBy(chunk.alias("chunk")).agg(F.sum("words").alias("n"))
+    # places of one partition of the sort share their bits from the 33rd on
+    chunks = chunks.withColumn("part", F.shiftright("chunk", 33 - chunk_bits))
+    upto = lambda w, order: F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    parts = chunks.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select(F.col("part").alias("own"), upto(Window.partitionBy(F.lit(0)), "part").alias("offset"))
+    ahead = chunks.withColumn("inside", upto(Window.partitionBy("part"), "chunk")).join(parts, F.col("part") == F.col("own")).withColumn("ahead", F.col("offset") + F.col("inside"))
+    # one row: the chunk in which the budget runs out
+    at = ahead.where(F.col("ahead") + F.col("n") >= budget).agg(F.min(F.struct("chunk", "ahead")).alias("b")).collect()[0]["b"]
+    if at is None:
+        return q.withColumn("take", F.col("words"))
+    # at most 2 ** chunk_bits rows
+    rows = q.where((F.col("place") >= at["chunk"] << chunk_bits) & (F.col("place") < (at["chunk"] + 1) << chunk_bits)).select("place", F.col("words").alias("n"))
+    rows = rows.withColumn("ahead", upto(Window.partitionBy(F.lit(0)), "place") + at["ahead"])
+    last = rows.where(F.col("ahead") + F.col("n") >= budget).agg(F.min(F.struct("place", (F.lit(budget) - F.col("ahead")).alias("left"))).alias("b")).collect()[0]["b"]
+    return q.withColumn("take", F.when(F.col("place") < last["place"], F.col("words")).when(F.col("place") == last["place"], F.lit(last["left"])).otherwise(F.lit(0)).cast("bigint"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", cells: int = 3) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, takes (by copy) and before, from the cut queue."""
+    placed, sources = shuffled(docs, weights, most, seed, cells)
+    budget = sources.agg(F.coalesce(F.sum("budget"), F.lit(0))).collect()[0][0]
+    q = cut(queue(placed), budget)
+    takes = [F.coalesce(F.sum(F.when(F.col("copy") == e, F.col("take"))), F.lit(0)).cast("bigint").alias(f"t{e}") for e in range(most)]
+    own = ("doc_id", "size", "source_size", "target", "before")
+    per = q.groupBy("row").agg(*[F.first(c).alias(c) for c in own], F.sum("take").alias("taken"), *takes)
+    return per.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", F.array(*[f"t{e}" for e in range(most)]).alias("takes"), "before")
 
 
 def schedule(mixed: DataFrame) -> DataFrame:

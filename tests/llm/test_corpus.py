@@ -309,6 +309,27 @@ def test_mixing_against_brute_force(spark, sizes):
     assert X.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_cuts_the_sorted_queue(spark):
+    rng = random.Random(9)
+    docs = frame(spark, [(i, "w " * rng.randrange(12)) for i in range(300)], {i: f"s{i % 7 // 3}" for i in range(300)})
+    placed, sources = X.shuffled(docs)
+    budget = sources.agg(F.sum("budget")).collect()[0][0]
+    q = X.queue(placed)
+    rows = sorted(q.collect(), key=lambda r: r.place)
+    assert [r.finish for r in rows] == sorted(r.finish for r in rows) and any(r.finish > 1 for r in rows)
+    for some in (0, 1, 17, budget, 10**9):
+        left, want = some, {}
+        for r in rows:
+            want[r.place] = min(r.words, left)
+            left -= want[r.place]
+        for bits in (2, 12):
+            assert {r.place: r["take"] for r in X.cut(q, some, bits).collect()} == want
+    mixed = X.mix(docs)
+    assert {(r.doc_id, r.copy): r["take"] for r in X.cut(q, budget).groupBy("doc_id", "copy").agg(F.sum("take").alias("take")).where("take > 0").collect()} == {
+        (r.doc_id, k): t for r in mixed.collect() for k, t in enumerate(r.takes) if t
+    }
+
+
 # -- quality ------------------------------------------------------------------------------------
 
 
