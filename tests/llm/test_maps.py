@@ -164,6 +164,16 @@ def test_warc_cases(spark):
     # the rows of one record, joined, are the record
     body = gzip.decompress(b"".join(bytes(r.body) for r in chunks.where("page_id = 5").orderBy("chunk_no").collect()))
     assert body.startswith(b"WARC/1.1\r\n") and body.endswith("é".encode() + b"\r\n\r\n")
+    head = lambda p: W.parse_header(gzip.decompress(bytes(chunks.where(f"page_id = {p} and chunk_no = 0").collect()[0].body)).split(b"\r\n\r\n")[0])
+    assert head(1)["warc-refers-to"] == head(2)["warc-record-id"] and head(1)["warc-record-id"].startswith("<urn:uuid:")
+
+
+def test_warc_repeated_page_ids_behind_a_shuffle(spark):
+    big = "y" * 2000
+    pages = spark.createDataFrame([(i % 3, f"u{i}", big) for i in range(40)], "page_id bigint, url string, html string").repartition(4)
+    got = W.read_archive(W.write_archive(pages)).collect()
+    assert len(got) == 40 and sorted((r.record_type, r.refers_to) for r in got if r.record_type == "response") == [("response", None)]
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {2}
 
 
 def test_empty_tables(spark):
