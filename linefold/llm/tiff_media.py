@@ -2,10 +2,16 @@
 
 Reader: little and big endian, strips and tiles, no compression, PackBits, LZW and
 deflate, predictors 1 and 2, 8-bit samples, any number of pages.  Writer: the same but
-big endian.  A page is at most PAGE_ROWS rows high, so no page needs unbounded memory.
+big endian.  Texts become pages of at most PAGE_ROWS rows, so no page needs unbounded
+memory; how a page is packed follows from its height: LZW strips up to LZW_ROWS, PackBits
+strips up to PACKBITS_ROWS, deflate strips with predictor 2 up to TILE_ROWS, and deflate
+tiles beyond.
 
 Defined cases: null text counts as empty and gives one block of 192 spaces; rows are
-independent; a damaged file raises ValueError with the reason; extra columns are ignored.
+independent; extra columns are ignored; a damaged file, a predictor or a sample format that
+the reader does not know, or a page that says it is larger than max_bytes, raises ValueError
+with the reason before memory for it is taken, and explode_pages() gives a row with the
+error behind the pages that could be read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,9 @@ from ..runtime import ship
 BLOCK = 192
 WIDTH, SAMPLES = 64, 3
 PAGE_ROWS = 4096
+LZW_ROWS, PACKBITS_ROWS, TILE_ROWS = 2, 4, 64
+#: Samples of a page that the reader takes memory for.
+MAX_BYTES = 1 << 28
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
@@ -32,9 +41,9 @@ _FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 # -- codecs ---------------------------------------------------------------------
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, limit: int = MAX_BYTES) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < limit:
         c = data[i]
         i += 1
         if c < 128:
@@ -65,11 +74,11 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int = MAX_BYTES) -> bytes:
     """TIFF's LZW: most significant bit first, code width grows one code early."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out = list(first), []
-    width, prev, bits, have = 9, None, 0, 0
+    width, prev, bits, have, size_out = 9, None, 0, 0, 0
     for byte in data:
         bits = (bits << 8) | byte
         have += 8
@@ -84,6 +93,8 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 257:
             break
         if prev is None:
+            if code > 255:
+                raise ValueError("LZW code out of range")
             entry = table[code]
         else:
             if code < len(table):
@@ -98,6 +109,9 @@ def lzw_decode(data: bytes) -> bytes:
                 width += 1
         out.append(entry)
         prev = entry
+        size_out += len(entry)
+        if size_out >= limit:
+            break
     return b"".join(out)
 
 
@@ -142,15 +156,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(kind: int, data: bytes) -> bytes:
+def _decode(kind: int, data: bytes, limit: int) -> bytes:
+    """At least limit bytes, where the data hold as many; never much more."""
     if kind == NONE:
         return data
     if kind == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, limit)
     if kind == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, limit)
     if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, limit)
     raise ValueError(f"compression {kind} is not supported")
 
 
@@ -228,6 +243,8 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
             if kind not in _FORMATS:
                 continue
             where = at + 10 + 12 * i
+            if _SIZES[kind] * count > len(data):
+                raise ValueError(f"tag {tag} is longer than the file")
             if _SIZES[kind] * count > 4:
                 (where,) = struct.unpack_from(e + "I", data, where)
             tags[tag] = list(struct.unpack_from(f"{e}{count}{_FORMATS[kind]}", data, where))
@@ -235,39 +252,50 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
 
 
-def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
+def read_page(data: bytes, tags: dict[int, list[int]], max_bytes: int = MAX_BYTES) -> np.ndarray:
     """The samples of one page: (rows, columns, samples), uint8."""
-    w, h, s = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    if any(x != 8 for x in tags.get(258, [1])) or tags.get(284, [1])[0] != 1:
-        raise ValueError("only interleaved 8-bit samples are supported")
-    kind, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
-    img = np.zeros((h, w, s), np.uint8)
-
-    def block(off: int, size: int, bh: int, bw: int) -> np.ndarray:
-        raw = np.frombuffer(_decode(kind, data[off : off + size]), np.uint8)
-        if raw.size < bh * bw * s:
-            raise ValueError("a strip or tile is too short")
-        b = raw[: bh * bw * s].reshape(bh, bw, s)
-        return np.cumsum(b, axis=1, dtype=np.uint8) if predictor == 2 else b
-
+    one = lambda tag, default=None: (tags.get(tag) or [default])[0]
+    w, h, s = one(256), one(257), one(277, 1)
+    if not w or not h or not s:
+        raise ValueError("a page without width, height or samples")
+    if any(x != 8 for x in tags.get(258, [1])) or one(284, 1) != 1 or one(339, 1) != 1:
+        raise ValueError("only interleaved unsigned 8-bit samples are supported")
+    kind, predictor = one(259, 1), one(317, 1)
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor} is not supported")
     if 324 in tags:
-        tw, th = tags[322][0], tags[323][0]
-        across = -(-w // tw)
-        for i, (off, size) in enumerate(zip(tags[324], tags[325], strict=True)):
-            y, x = (i // across) * th, (i % across) * tw
-            b = block(off, size, th, tw)
-            img[y : y + th, x : x + tw] = b[: h - y, : w - x]
+        bw, bh, offsets, sizes = one(322), one(323), tags[324], tags.get(325, [])
     else:
-        rows = min(tags.get(278, [h])[0], h)
-        for i, (off, size) in enumerate(zip(tags[273], tags[279], strict=True)):
-            y = i * rows
-            img[y : y + rows] = block(off, size, min(rows, h - y), w)
+        bw, bh, offsets, sizes = w, min(one(278, h), h), tags.get(273, []), tags.get(279, [])
+    if not bw or not bh:
+        raise ValueError("strips or tiles without a size")
+    across, down = -(-w // bw), -(-h // bh)
+    if max(w * h * s, bw * bh * s) > max_bytes:
+        raise ValueError(f"a page of {w} x {h} x {s} is larger than {max_bytes} bytes")
+    if len(offsets) != len(sizes) or len(offsets) != across * down:
+        raise ValueError("strips or tiles are missing")
+    img = np.empty((h, w, s), np.uint8)
+    for i, (off, size) in enumerate(zip(offsets, sizes, strict=True)):
+        y, x = i // across * bh, i % across * bw
+        # the last strip ends with the page, tiles are whole
+        rows = bh if 324 in tags else min(bh, h - y)
+        raw = np.frombuffer(_decode(kind, data[off : off + size], rows * bw * s), np.uint8)
+        if raw.size < rows * bw * s:
+            raise ValueError("a strip or tile is too short")
+        b = raw[: rows * bw * s].reshape(rows, bw, s)
+        if predictor == 2:
+            b = np.cumsum(b, axis=1, dtype=np.uint8)
+        img[y : y + rows, x : x + bw] = b[: h - y, : w - x]
     return img
 
 
-def read_pages(data: bytes) -> Iterator[np.ndarray]:
-    for tags in directories(data):
-        yield read_page(data, tags)
+def read_pages(data: bytes, max_bytes: int = MAX_BYTES) -> Iterator[np.ndarray]:
+    """The pages of a file in order; ValueError with the reason at the first that is damaged."""
+    try:
+        for tags in directories(data):
+            yield read_page(data, tags, max_bytes)
+    except (struct.error, zlib.error) as e:
+        raise ValueError(f"damaged file: {e}") from e
 
 
 def explode_pages(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
@@ -287,7 +315,7 @@ def explode_pages(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
                 try:
                     for no, img in enumerate(read_pages(data)):
                         rows.append((i, no, img.shape[1], img.shape[0], img.shape[2], float(img.mean()) if img.size else 0.0, hashlib.sha256(img.tobytes()).hexdigest(), None))
-                except (ValueError, struct.error, KeyError, zlib.error) as e:
+                except ValueError as e:
                     rows.append((i, no + 1, None, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
@@ -301,9 +329,30 @@ def pad(data: bytes, block: int = BLOCK) -> bytes:
     return data.ljust(max(block, -(-len(data) // block) * block), b" ")
 
 
+def packing_of(rows: int) -> dict[str, int]:
+    """How a file whose first page has so many rows is packed."""
+    if rows <= LZW_ROWS:
+        return {"compression": LZW, "predictor": 1}
+    if rows <= PACKBITS_ROWS:
+        return {"compression": PACKBITS, "predictor": 1}
+    return {"compression": DEFLATE, "predictor": 2, "tile": TILE_ROWS if rows > TILE_ROWS else 0}
+
+
 def to_tiff(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
     img = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, SAMPLES)
-    return write_tiff([img[y : y + page_rows] for y in range(0, len(img), page_rows)])
+    return write_tiff([img[y : y + page_rows] for y in range(0, len(img), page_rows)], **packing_of(min(len(img), page_rows)))
+
+
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, media): each text as a TIFF file, for explode_pages() and other readers."""
+    ship(docs.sparkSession)
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_tiff(pad((t or "").encode())) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def feature_of(pages: list[np.ndarray]) -> str:

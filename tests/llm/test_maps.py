@@ -142,6 +142,62 @@ def test_tiff_documents(spark):
     assert got[4].media_sha256 == got[5].media_sha256 and got[6].n_pages > 1
 
 
+def retag(data, changes):
+    """The file with the first value of some tags changed; all values of this size stand in the entry itself."""
+    import struct
+
+    data = bytearray(data)
+    (at,) = struct.unpack_from("<I", data, 4)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, _ = struct.unpack_from("<HHI", data, at + 2 + 12 * i)
+        if tag in changes:
+            struct.pack_into({3: "<H", 4: "<I"}[kind], data, at + 10 + 12 * i, changes[tag])
+    return bytes(data)
+
+
+def test_tiff_damage_gives_an_error_row(spark):
+    img = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    strips, tiles = T.write_tiff([img], T.LZW, 1), T.write_tiff([img], tile=16)
+    bad = {
+        1: retag(tiles, {322: 0}), 2: retag(strips, {256: 4_000_000_000}), 3: retag(strips, {317: 3}), 4: retag(strips, {278: 0}), 5: strips[:8] + b"\xff" * 6 + strips[14:], 6: strips[:-20], 7: b"II*\0" + b"\xff" * 4,
+        8: retag(strips, {259: 7}), 9: b"", 10: retag(tiles, {323: 0}), 11: retag(strips, {277: 0}), 12: T.write_tiff([img])[:8] + b"junk" * 4 + T.write_tiff([img])[24:], 13: retag(strips, {257: 9}), 14: retag(strips, {273: 10**9}),
+    }
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in bad.items()] + [(99, bytearray(strips))], "id bigint, data binary")
+    got = {r.id: r for r in T.explode_pages(df, "id", "data").collect()}
+    assert got[99].error is None and got[99].sha256 == hashlib.sha256(img.tobytes()).hexdigest()
+    assert set(got) == {99, *bad} and all(got[i].error and got[i].sha256 is None for i in bad)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_tiff_random_damage_never_crashes(data):
+    img = np.arange(192, dtype=np.uint8).reshape(8, 8, 3)
+    raw = bytearray(T.write_tiff([img, img], data.draw(st.sampled_from([T.NONE, T.LZW, T.PACKBITS, T.DEFLATE])), data.draw(st.sampled_from([1, 2])), 3, data.draw(st.sampled_from([0, 16]))))
+    for _ in range(data.draw(st.integers(1, 4))):
+        raw[data.draw(st.integers(0, len(raw) - 1))] = data.draw(st.integers(0, 255))
+    try:
+        for p in T.read_pages(bytes(raw), 1 << 20):
+            assert p.dtype == np.uint8
+    except ValueError:
+        pass
+
+
+def test_tiff_media_column_and_query_agree(spark):
+    rows = [(1, None), (2, "ab" * 150), (3, "aaaa" * 160), (4, "word " * 300), (5, "é word " * 4000), (6, "x" * 192 * 4100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    media = {r.doc_id: bytes(r.media) for r in T.media_column(docs).collect()}
+    kinds = {i: next(T.directories(m)) for i, m in media.items()}
+    assert [kinds[i][259][0] for i in range(1, 7)] == [T.LZW, T.LZW, T.PACKBITS, T.DEFLATE, T.DEFLATE, T.DEFLATE] and 324 in kinds[5] and 273 in kinds[4]
+    pages = T.explode_pages(T.media_column(docs), "doc_id", "media").collect()
+    assert {(r.id, r.page_no) for r in pages} == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (6, 1)} and not any(r.error for r in pages)
+    for r in T.describe(docs).collect():
+        payload = T.pad((dict(rows)[r.doc_id] or "").encode())
+        x = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(float)
+        means = x.sum(axis=(0, 2)) / (x.shape[0] * 3)
+        bits = "".join("1" if m > means.mean() else "0" for m in means)
+        assert r.feature == f"{int(bits, 2):016x}" and r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and r.media_bytes == len(media[r.doc_id])
+
+
 def test_tiff_pages_and_damage(spark):
     img = np.zeros((3, 4, 1), np.uint8)
     df = spark.createDataFrame([(1, bytearray(T.write_tiff([img, img]))), (2, bytearray(b"junk")), (3, None)], "id bigint, data binary")
