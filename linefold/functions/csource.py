@@ -414,6 +414,24 @@ def depths(units: list[Unit], seeds: list[int], kinds: tuple[str, ...] = ("data"
     return depth
 
 
+def measures(code: str) -> dict:
+    """Slices of a function under the criterion tiers and dependence kinds, and its deepest unit, from one reading."""
+    n, units = len(split_lines(code)), statements(code)
+    whole = list(range(n))
+    out = {"n_lines": n, "status": "whole", "sinks": [], "kept": whole, "data": whole, "memory": whole, "memory_status": "whole", "depth": 0, "n_units": len(units)}
+    if not units:
+        return out
+    spans = lambda ids: sorted({x for u in units if u.sid in ids for x in range(u.start_line, u.end_line + 1) if x < n})
+    every, memory = criteria(units), criteria(units, "memory")
+    last = [units[-1].sid]
+    depth = depths(units, every or last)
+    kept = spans(depth)
+    out |= {"sinks": spans(every), "status": ("matched" if every else "fallback") if kept else "whole", "kept": kept or whole, "depth": max(depth.values())}
+    out["data"] = spans(depths(units, every or last, ("data",))) or whole
+    out["memory"] = spans(depths(units, memory or last)) or whole
+    return out | {"memory_status": "matched" if memory else "fallback"}
+
+
 def slice_lines(code: str, tier: str = "all", kinds: tuple[str, ...] = ("data", "control")) -> tuple[list[int], list[int], str]:
     """(0-based lines of the backward slice, lines of the sinks, status).
 

@@ -69,6 +69,15 @@ def random_order_topk(n: Column, d: Column, k: int) -> Column:
     return 1 - miss
 
 
+def random_order_cdf(n: Column, d: Column, most: int) -> Column:
+    """For k = 0..most, the chance that the first k of n lines in random order hold one of d: 1 - prod (n - d - j) / (n - j)."""
+    step = lambda a, j: F.when(j >= n, a["p"]).otherwise(a["p"] * F.greatest(F.lit(0), n - d - j) / (n - j).cast("double"))
+    start = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(0.0)).alias("out"))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(most - 1)), start, lambda a, j: F.struct(step(a, j).alias("p"), F.concat(a["out"], F.array(1 - step(a, j))).alias("out")), lambda a: a["out"]
+    )
+
+
 def always_positive_f1(pos: Column, n: Column) -> Column:
     p = pos.cast("double") / n
     return 2 * p / (1 + p)

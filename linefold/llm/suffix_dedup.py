@@ -8,15 +8,16 @@ smaller id, or earlier in the same one.  Strings are judged on the input.
    Equal windows pick equal k-grams at equal offsets, so a window whose k-gram stands only
    once in the corpus cannot repeat.  This prunes exactly and deals the work by content.
    An anchor's context is the union of the windows that pick it.
-3. Equal contexts.  All but the earliest place of a context repeat whole.
+3. Equal contexts, by 128-bit digests.  All but the earliest place of a context repeat whole.
 4. Difference cover.  The different contexts around one k-gram go to one task, which
    suffix-sorts them: sort the sampled triples (positions 1 and 2 mod 3), name them,
    recurse on the names while names tie, sort the rest by (first byte, rank behind it),
    merge, and compare the L-byte prefixes of neighbours in suffix order.  Of equal windows
    the earliest stays.  Where more than BLOCK contexts share a k-gram, their windows are
-   aggregated by hash instead, which no group size can hold up.
+   aggregated by 128-bit digest instead, which no group size can hold up.
 
-Nothing that grows with the corpus is collected to the driver or meets in one task.
+Nothing that grows with the corpus is collected to the driver or meets in one task: keys of
+joins that stand on very many rows are dealt over salts (see _dealt_join).
 
 Defined cases: null text counts as empty; texts shorter than L lose nothing; rows that
 repeat an id with the same text are the same document; different texts under one id, or
@@ -40,6 +41,8 @@ from .wordhash import U, mix, prefix, span_hash
 LENGTH = 100
 K = 32
 BLOCK = 50_000
+#: A key of a join is hot beyond this many rows, or beyond this share of all, whichever is more.
+HOT_ROWS, HOT_SHARE = 4096, 1e-5
 #: Ids of copies up to which they are broadcast: a few MB. Beyond, they join by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -134,15 +137,16 @@ def _slide(v: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 
 
 def anchors_of(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, k-gram hash, context hash, first window, last window, anchor) of each anchor of the texts."""
+    """(text, k-gram hash, two context hashes, first window, last window, anchor) of each anchor of the texts."""
     data = b"".join(texts)
     n = len(data)
     ends = np.cumsum([len(t) for t in texts])
     if n < length:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64), z, z, z
     begins = ends - [len(t) for t in texts]
-    sums = prefix(np.frombuffer(data, np.uint8))
+    buf = np.frombuffer(data, np.uint8)
+    sums = prefix(buf)
     at = np.arange(n - k + 1)
     h = span_hash(sums, at, at + k)
     w = length - k + 1
@@ -170,16 +174,18 @@ def anchors_of(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np
     first, anchor = windows[edge], picked[nxt[edge]]
     last = windows[np.append(edge[1:], len(windows)) - 1]
     ctx = mix(span_hash(sums, first, last + length) + (anchor - first).astype(np.uint64))
+    ctx2 = span_hash(prefix(buf, 1), first, last + length, 1)
     text = np.searchsorted(ends, first, side="right")
-    return text, h[anchor], ctx, first - begins[text], last - begins[text], anchor - begins[text]
+    return text, h[anchor], ctx, ctx2, first - begins[text], last - begins[text], anchor - begins[text]
 
 
 def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """anchors_of() of one text, without its number."""
-    return anchors_of([data], length, k)[1:]
+    """anchors_of() of one text, without its number and the second context hash."""
+    _, h, ctx, _, *places = anchors_of([data], length, k)
+    return h, ctx, *places
 
 
-_ANCHOR = "h bigint, ctx bigint, d bigint, first int, last int, anchor int"
+_ANCHOR = "h bigint, ctx bigint, ctx2 bigint, d bigint, first int, last int, anchor int"
 
 
 def _anchor_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
@@ -195,9 +201,9 @@ def _anchor_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
                 size += len(group[-1])
                 # about a cache's worth of text at a time
                 if size >= 60_000 or i + 1 == b.num_rows:
-                    text, h, ctx, first, last, anchor = anchors_of(group, length, k)
-                    cols = [h.view(np.int64), ctx.view(np.int64), ids[begin + text].astype(np.int64), first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "ctx", "d", "first", "last", "anchor"])
+                    text, h, ctx, ctx2, first, last, anchor = anchors_of(group, length, k)
+                    cols = [h.view(np.int64), ctx.view(np.int64), ctx2.view(np.int64), ids[begin + text].astype(np.int64), first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "ctx", "ctx2", "d", "first", "last", "anchor"])
                     group, size, begin = [], 0, i + 1
 
     return texts.select("d", "text").mapInArrow(run, _ANCHOR)
@@ -280,38 +286,58 @@ def _sorted_blocks(contexts: DataFrame, length: int, block_bytes: int = 150_000)
     return dealt.mapInArrow(run, "d bigint, first int, last int")
 
 
-def _hashed_windows(contexts: DataFrame, length: int) -> DataFrame:
+def _hashed_windows(contexts: DataFrame, length: int, hot: int) -> DataFrame:
     """As _sorted_blocks(), for k-grams with very many contexts: windows meet in aggregations only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, d, first, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums = prefix(np.frombuffer(body, np.uint8))
+                buf = np.frombuffer(body, np.uint8)
                 at = np.arange(len(body) - length + 1)
-                w = span_hash(sums, at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), pa.array(w.view(np.int64)), pa.array(np.full(len(at), d)), pa.array((first + at).astype(np.int32))], names=["h", "w", "d", "p"])
-
-    rows = contexts.select("h", "d", "first", "body").mapInArrow(run, "h bigint, w bigint, d bigint, p int")
-    earliest = rows.groupBy("h", "w").agg(F.min(F.struct("d", "p")).alias("e"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("eh"), F.col("w").alias("ew"), F.col("e.d").alias("ed"), F.col("e.p").alias("ep"))
-    later = rows.join(earliest, (F.col("h") == F.col("eh")) & (F.col("w") == F.col("ew"))).where((F.col("d") != F.col("ed")) | (F.col("p") != F.col("ep")))
+                w = [span_hash(prefix(buf, i), at, at + length, i).view(np.int64) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), *map(pa.array, w), pa.array(np.full(len(at), d)), pa.array((first + at).astype(np.int32))], names=["h", "w", "w2", "d", "p"])
+
+    rows = contexts.select("h", "d", "first", "body").mapInArrow(run, "h bigint, w bigint, w2 bigint, d bigint, p int")
+    rows = materialize(rows, "sd-hot")
+    earliest = rows.groupBy("h", "w", "w2").agg(F.min(F.struct("d", "p")).alias("e"), F.count("*").alias("n")).where("n > 1")
+    earliest = materialize(earliest.select("h", "w", "w2", F.col("e.d").alias("ed"), F.col("e.p").alias("ep"), "n"), "sd-hot-heads")
+    later = _dealt_join(rows, earliest, ["h", "w", "w2"], "n", hot, ["d", "p"]).where((F.col("d") != F.col("ed")) | (F.col("p") != F.col("ep")))
     return later.select("d", F.col("p").alias("first"), F.col("p").alias("last"))
 
 
+def _dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, hot: int, spread: list[str]) -> DataFrame:
+    """rows joined to keys on equal columns ``on``; keys has each key once, and in n how many rows it meets.
+
+    Keys with more than hot rows are dealt over ceil(n / hot) salts, by a hash of the rows'
+    columns ``spread``, so that no key meets in one task.  Such keys are at most (all rows /
+    hot) and known by count: they are broadcast, to tell their rows which salts there are.
+    """
+    salts = F.when(F.col(n) > hot, F.ceil(F.col(n) / hot).cast("int")).otherwise(1)
+    wide = F.broadcast(keys.where(F.col(n) > hot).select(*[F.col(c).alias(f"wide_{c}") for c in on], salts.alias("salts")))
+    same = lambda p: [F.col(c) == F.col(f"{p}_{c}") for c in on]
+    rows = rows.join(wide, same("wide"), "left").withColumn("salt", F.pmod(F.xxhash64(*spread), F.coalesce("salts", F.lit(1)))).drop("salts", *[f"wide_{c}" for c in on])
+    keys = keys.select(*[F.col(c).alias(f"key_{c}") if c in on else F.col(c) for c in keys.columns], F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))).alias("key_salt"))
+    return rows.join(keys, [*same("key"), F.col("salt") == F.col("key_salt")]).drop("salt", "key_salt", *[f"key_{c}" for c in on])
+
+
 def repeated_runs(texts: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
     """(d, first, last): runs of window starts of texts(d, text), d unique, that also start earlier."""
     rows = _anchor_rows(texts, length, k)
-    often = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("h").alias("oh"))
-    hits = materialize(rows.join(often, F.col("h") == F.col("oh")).select("h", "ctx", "d", "first", "last"), "sd-hits")
-    heads = hits.groupBy("h", "ctx").agg(F.min(F.struct("d", "first", "last")).alias("e"))
-    heads = materialize(heads.select(F.col("h").alias("eh"), F.col("ctx").alias("ec"), F.col("e.d").alias("ed"), F.col("e.first").alias("ef"), F.col("e.last").alias("el")), "sd-heads")
-    whole = hits.join(heads, (F.col("h") == F.col("eh")) & (F.col("ctx") == F.col("ec"))).where((F.col("d") != F.col("ed")) | (F.col("first") != F.col("ef"))).select("d", "first", "last")
-    kinds = heads.groupBy("eh").agg(F.count("*").alias("c")).where("c > 1").select(F.col("eh").alias("ch"), (F.col("c") > block).alias("hot"))
-    wanted = heads.join(kinds, F.col("eh") == F.col("ch")).select(F.col("ed").alias("d"), F.col("eh").alias("h"), F.col("ef").alias("first"), F.col("el").alias("last"), "hot")
-    contexts = _contexts(texts, wanted, length)
-    contexts = materialize(contexts, "sd-contexts")
+    often = materialize(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "sd-often")
+    # so that at most 1 / HOT_SHARE keys are hot
+    hot = max(HOT_ROWS, int(HOT_SHARE * (often.agg(F.sum("m")).collect()[0][0] or 0)))
+    hits = materialize(_dealt_join(rows, often, ["h"], "m", hot, ["d", "first"]).select("h", "ctx", "ctx2", "d", "first", "last"), "sd-hits")
+    heads = hits.groupBy("h", "ctx", "ctx2").agg(F.min(F.struct("d", "first", "last")).alias("e"), F.count("*").alias("n"))
+    heads = materialize(heads.select("h", "ctx", "ctx2", F.col("e.d").alias("ed"), F.col("e.first").alias("ef"), F.col("e.last").alias("el"), "n"), "sd-heads")
+    again = heads.where("n > 1").drop("el")
+    whole = _dealt_join(hits, again, ["h", "ctx", "ctx2"], "n", hot, ["d", "first"]).where((F.col("d") != F.col("ed")) | (F.col("first") != F.col("ef"))).select("d", "first", "last")
+    kinds = materialize(heads.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").withColumn("hot", F.col("c") > block), "sd-kinds")
+    places = heads.select("h", F.col("ed").alias("d"), F.col("ef").alias("first"), F.col("el").alias("last"))
+    wanted = _dealt_join(places, kinds, ["h"], "c", hot, ["d", "first"]).select("d", "h", "first", "last", "hot")
+    contexts = materialize(_contexts(texts, wanted, length), "sd-contexts")
     parts = [whole, _sorted_blocks(contexts.where("not hot"), length)]
     if not contexts.where("hot").isEmpty():
-        parts.append(_hashed_windows(contexts.where("hot"), length))
+        parts.append(_hashed_windows(contexts.where("hot"), length, hot))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,10 +7,10 @@ import numpy as np
 U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[32, *range(9, 14)]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_POW: list[np.ndarray] = []
+#: Multipliers and byte codes of two independent hashes.
+_P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for seed in (20240501, 20240502)]
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,30 +22,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2^64."""
-    if not _POW or len(_POW[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse, modulo 2^64."""
+    if which not in _POW or len(_POW[which][0]) < n:
         size = max(n, 1 << 16)
-        p = np.full(size, _P, np.uint64)
+        p = np.full(size, _P[which], np.uint64)
         p[0] = 1
-        q = np.full(size, pow(_P, -1, 1 << 64), np.uint64)
+        q = np.full(size, pow(_P[which], -1, 1 << 64), np.uint64)
         q[0] = 1
-        _POW[:] = [np.multiply.accumulate(p), np.multiply.accumulate(q)]
-    return _POW[0], _POW[1]
+        _POW[which] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    return _POW[which]
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+def prefix(buf: np.ndarray, which: int = 0) -> np.ndarray:
     """Sums s[i] over buf[:i] of byte code times power; see span_hash()."""
-    p, _ = powers(len(buf) + 1)
+    p, _ = powers(len(buf) + 1, which)
     s = np.empty(len(buf) + 1, np.uint64)
     s[0] = 0
-    np.cumsum(_BYTES[buf] * p[: len(buf)], out=s[1:])
+    np.cumsum(_BYTES[which][buf] * p[: len(buf)], out=s[1:])
     return s
 
 
-def span_hash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def span_hash(s: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of buf[a:b], equal for equal bytes wherever they stand."""
-    _, q = powers(len(s))
+    _, q = powers(len(s), which)
     return mix((s[b] - s[a]) * q[a] + (b - a).astype(np.uint64))
 
 

@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from ..functions import csource as C
 from ..runtime import ship
@@ -24,7 +23,7 @@ UNITS = "array<struct<sid:int,at:int,start_line:int,end_line:int,is_pred:boolean
 def _each(kind: str, f: Callable) -> Callable[..., Column]:
     """A pandas UDF over one or more string columns that calls f per distinct row of a batch."""
 
-    def batch(it: Iterator) -> Iterator[pd.Series]:
+    def batch(it: Iterator) -> Iterator:
         memo = functools.lru_cache(maxsize=4096)(f)
         for cols in it:
             cols = cols if isinstance(cols, tuple) else (cols,)
@@ -32,7 +31,9 @@ def _each(kind: str, f: Callable) -> Callable[..., Column]:
             yield pd.DataFrame(found) if kind.startswith("struct") else pd.Series(found, dtype=object)
 
     def call(*cols: Column) -> Column:
-        return F.pandas_udf(batch, kind, PandasUDFType.SCALAR_ITER)(*cols)
+        # the hints that Spark reads: a series or a tuple of them, and a frame for structs
+        batch.__annotations__ = {"it": Iterator[pd.Series if len(cols) == 1 else tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame if kind.startswith("struct") else pd.Series]}
+        return F.pandas_udf(batch, kind)(*cols)
 
     return call
 
@@ -62,6 +63,12 @@ def backward_slice(tier: str = "all", kinds: tuple[str, ...] = ("data", "control
     return _each("struct<kept:array<int>,sinks:array<int>,status:string>", f)
 
 
+#: All measures of a function at once, so that it is read once; see csource.measures().
+slice_measures = _each(
+    "struct<n_lines:int,status:string,sinks:array<int>,kept:array<int>,data:array<int>,memory:array<int>,memory_status:string,depth:int,n_units:int>", C.measures
+)
+
+
 def slice_depths(code: Column) -> Column:
     """Per unit reached: its lines and the least hops from a sink."""
 

@@ -41,6 +41,60 @@ def tfidf(tokens: DataFrame, vocab: DataFrame | None = None, n_docs: int | None
     return w.join(length, "doc").select("doc", "tok", (F.col("w") / F.col("l")).alias("weight"))
 
 
+def train_fit_tfidf(terms: DataFrame, folds: DataFrame, size: int = 2000) -> DataFrame:
+    """TF-IDF of terms(doc, tok, tf) as each fold's training rows give it, for all rows.
+
+    folds: (doc, repeat, fold, label), the fold in which a row is a test row.  Vocabulary
+    (the size most frequent terms, ties by name) and document frequencies come from the
+    training rows alone.  Gives (repeat, fold, doc, label, test, at, weights): places in the
+    vocabulary and weights of unit length, empty where no term is known.
+    """
+    last = folds.agg(F.max("fold")).collect()[0][0]
+    many = folds.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last or 0)).cast("bigint"))))
+    many = many.select("repeat", "fold", "doc", "label", (F.col("own") == F.col("fold")).alias("test"))
+    t = terms.join(many.select("repeat", "fold", "doc", "test"), "doc")
+    fit = t.where(~F.col("test")).groupBy("repeat", "fold", "tok").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    n = many.where(~F.col("test")).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("repeat", "fold").orderBy(F.col("total").desc(), "tok"))
+    vocab = fit.withColumn("at", place - 1).where(F.col("at") < size).join(n, ["repeat", "fold"])
+    vocab = vocab.select("repeat", "fold", "tok", "at", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = t.join(vocab, ["repeat", "fold", "tok"]).select("repeat", "fold", "doc", F.struct("at", (F.col("tf") * F.col("idf")).alias("w")).alias("s"))
+    rows = w.groupBy("repeat", "fold", "doc").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    rows = rows.select("repeat", "fold", "doc", F.transform("s", lambda x: x["at"]).alias("at"), length.alias("length"), F.transform("s", lambda x: x["w"]).alias("w"))
+    rows = rows.select("repeat", "fold", "doc", "at", F.transform("w", lambda x: x / F.col("length")).alias("weights"))
+    j = many.join(rows, ["repeat", "fold", "doc"], "left")
+    return j.select("repeat", "fold", "doc", "label", "test", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
+
+
+def sparse_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """rows(rep, repeat, fold, doc, label, test, at, weights) -> (rep, repeat, fold, row_id, label, score) of the test rows.
+
+    One model per (rep, repeat, fold) in a task of its own: the rows of a fold are a sample of
+    bounded size (folds.balanced_sample).  The penalty does not change under a rotation, so
+    the model is fitted in the space that the training rows span.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc")
+        width = 1 + max((int(a.max()) for a in pdf["at"] if len(a)), default=0)
+        x = np.zeros((len(pdf), width))
+        for i, (a, w) in enumerate(zip(pdf["at"], pdf["weights"], strict=True)):
+            x[i, a] = w
+        y, test = pdf["label"].to_numpy(float), pdf["test"].to_numpy(bool)
+        out = pdf.loc[test, ["rep", "repeat", "fold", "doc", "label"]].rename(columns={"doc": "row_id"})
+        if not (~test).any() or y[~test].min() == y[~test].max():
+            out["score"] = y[~test].mean() if (~test).any() else 0.5
+            return out
+        _, s, vt = np.linalg.svd(x[~test], full_matrices=False)
+        axes = vt[s > 1e-10].T
+        beta = _logistic(x[~test] @ axes, y[~test], c)
+        out["score"] = 1 / (1 + np.exp(-np.clip(x[test] @ axes @ beta[:-1] + beta[-1], -60, 60)))
+        return out
+
+    return rows.groupBy("rep", "repeat", "fold").applyInPandas(fit, "rep string, repeat bigint, fold bigint, row_id bigint, label int, score double")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 60) -> np.ndarray:
     """Balanced L2 logistic regression by Newton steps; the last weight is the free intercept."""
     n, pos = len(y), y.sum()

@@ -168,3 +168,15 @@ def changed_identifiers(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     changed = ids(own.unionByName(added)).distinct()
     none = pairs.select(F.col("x").alias("doc_id")).join(changed.select("doc_id").distinct(), "doc_id", "left_anti")
     return changed.unionByName(ids(lines.join(none, "doc_id", "left_semi")))
+
+
+def graph_slice(nodes: DataFrame, edges: DataFrame, seed_kinds: tuple[str, ...] = ("call",), follow: tuple[str, ...] = ("reaching", "controls", "child"), drop: tuple[str, ...] = ("parameter", "method")) -> DataFrame:
+    """(grp, node, line, depth): what seed nodes reach in a program graph, without nodes of the dropped kinds.
+
+    nodes(grp, node, line, kind), edges(grp, src, dst, kind), a graph per grp: the slice that
+    an external analyser's graph gives, as a fixed point over the followed kinds of edges.
+    """
+    seeds = nodes.where(F.col("kind").isin(*seed_kinds)).select("grp", "node")
+    found = closure(edges.where(F.col("kind").isin(*follow)).select("grp", "src", "dst"), seeds)
+    kept = nodes.where(~F.col("kind").isin(*drop)).select("grp", "node", "line")
+    return found.join(kept, ["grp", "node"]).select("grp", "node", "line", "depth")

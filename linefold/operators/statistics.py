@@ -20,11 +20,10 @@ def everything() -> WindowSpec:
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average rank of value: ties share the mean of their places.
 
-    Values are counted first; the running count goes over distinct values only.
+    Values are counted first; the running count goes over distinct values only, in two levels.
     """
     per = df.groupBy(F.col(value).alias("rank_v")).agg(F.count("*").alias("rank_n"))
-    upto = F.sum("rank_n").over(everything().orderBy("rank_v").rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn(out, upto - (F.col("rank_n") - 1) / 2.0).drop("rank_n")
+    per = running(per, ["rank_v"], ["rank_n"]).select("rank_v", (F.col("rank_n_upto") - (F.col("rank_n") - 1) / 2.0).alias(out))
     return df.join(per, F.col(value) == F.col("rank_v")).drop("rank_v")
 
 
@@ -59,14 +58,18 @@ def cliffs_delta(a: DataFrame, b: DataFrame, value: str = "v") -> DataFrame:
 
 
 def spearman(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row: n, rho and the two-sided p of t = rho sqrt((n - 2) / (1 - rho^2)); 0 where rho is 1 or -1."""
     r = average_rank(average_rank(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")), "a", "ra"), "b", "rb")
-    return r.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    s = r.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    free, left = (F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho")
+    t = F.when(left <= 0, F.lit(float("inf"))).otherwise(F.col("rho") * F.sqrt(free / F.nullif(left, F.lit(0.0))))
+    return s.withColumn("p", student_two_sided(t, free))
 
 
-def mcnemar(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """One row from paired correctness flags: n11, n10, n01, n00 and the exact two-sided p."""
+def mcnemar(pairs: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group from paired correctness flags: n11, n10, n01, n00 and the exact two-sided p."""
     x, y = F.col(a), F.col(b)
-    c = pairs.agg(F.count_if(x & y).alias("n11"), F.count_if(x & ~y).alias("n10"), F.count_if(~x & y).alias("n01"), F.count_if(~x & ~y).alias("n00"))
+    c = pairs.groupBy(*by).agg(F.count_if(x & y).alias("n11"), F.count_if(x & ~y).alias("n10"), F.count_if(~x & y).alias("n01"), F.count_if(~x & ~y).alias("n00"))
 
     @F.pandas_udf(DoubleType())
     def exact(k: pd.Series, n: pd.Series) -> pd.Series:
@@ -127,6 +130,47 @@ def mean_diff_ci(diffs: DataFrame, value: str = "d", by: tuple[str, ...] = ()) -
     return diffs.groupBy(*by).agg(F.avg(value).alias("mean"), (F.avg(value) - 1.96 * se).alias("lo"), (F.avg(value) + 1.96 * se).alias("hi"), F.stddev_pop(value).alias("std_pop"))
 
 
+def running(rows: DataFrame, order: list[str], values: list[str], down: bool = False) -> DataFrame:
+    """rows with a column v_upto per value: its sum over the rows up to and with this one, without one task for all rows.
+
+    A range sort is written; ids grow with partition and place, so the sums of the few
+    partitions give each its offset, and a partition is summed up on its own.  Nulls come
+    first, or last if down.  Rows that are equal in ``order`` are taken in any order.
+    """
+    from ..runtime import materialize
+
+    keys = [F.col(c).desc() if down else F.col(c).asc() for c in order]
+    s = materialize(rows.orderBy(*keys).withColumn("sort_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("sort_id", 33)
+    sums = s.groupBy(part.alias("sort_part")).agg(*[F.sum(v).alias(f"sort_{v}") for v in values])
+    before = everything().orderBy("sort_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sort_part", *[F.coalesce(F.sum(f"sort_{v}").over(before), F.lit(0)).alias(f"sort_{v}") for v in values])
+    inside = Window.partitionBy("sort_own").orderBy("sort_id").rowsBetween(Window.unboundedPreceding, 0)
+    j = s.withColumn("sort_own", part)
+    j = j.select("*", *[F.sum(v).over(inside).alias(f"{v}_upto") for v in values]).join(sums, F.col("sort_own") == F.col("sort_part"))
+    return j.select(*rows.columns, *[(F.col(f"{v}_upto") + F.col(f"sort_{v}")).alias(f"{v}_upto") for v in values])
+
+
+def quantiles(per: DataFrame, points: list[float]) -> DataFrame:
+    """(point, value): linear quantiles of values counted in per(score, n), for a constant list of points.
+
+    The value at place h = point * (N - 1), between its neighbours; no task sees more than
+    its part of the distinct values.
+    """
+    upto = running(per.select("score", "n"), ["score"], ["n"])
+    total = per.agg(F.sum("n")).collect()[0][0]
+    if not total:
+        return per.select(F.lit(0.0).alias("point"), F.col("score").cast("double").alias("value")).limit(0)
+    at = [(float(p), int(p * (total - 1)), min(int(p * (total - 1)) + 1, total - 1), p * (total - 1) - int(p * (total - 1))) for p in points]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (_, lo, hi, _) in enumerate(at) for k in (lo, hi)])
+    # places [n_upto - n, n_upto) hold this value
+    hit = upto.select("score", F.explode(F.filter(wanted, lambda w: (w["k"] >= F.col("n_upto") - F.col("n")) & (w["k"] < F.col("n_upto")))).alias("w"))
+    both = hit.groupBy(F.col("w.i").alias("i")).agg(F.min("score").cast("double").alias("lo"), F.max("score").cast("double").alias("hi"))
+    share = F.array(*[F.lit(f) for *_, f in at])
+    point = F.array(*[F.lit(p) for p, *_ in at])
+    return both.select(F.get(point, F.col("i")).alias("point"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.get(share, F.col("i"))).alias("value"))
+
+
 def numbered(rows: DataFrame, order: str, out: str = "place") -> DataFrame:
     """rows with their 0-based place in an order, without one task for all rows.
 
@@ -159,13 +203,19 @@ def resamples(rows: DataFrame, order: str, b: int, seed: str) -> DataFrame:
     return placed.join(draws, F.col("place") == F.col("hit")).drop("hit", "place")
 
 
-def order_statistics(stats: DataFrame, value: str, b: int, level: float = 0.95) -> DataFrame:
-    """lo, hi: places int(2.5% b) and int(97.5% b) - 1 of the sorted resample statistics."""
+def order_statistics(stats: DataFrame, value: str, b: int, level: float = 0.95, linear: bool = False) -> DataFrame:
+    """lo, hi: places int(2.5% b) and int(97.5% b) - 1 of the sorted resample statistics, or the interpolated percentiles.
+
+    The b statistics of a resampling are one row each, so their array is bounded by b.
+    """
+    if linear:
+        q = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+        return stats.agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     lo, hi = int((1 - level) / 2 * b), int((1 + level) / 2 * b) - 1
     s = stats.agg(F.sort_array(F.collect_list(value)).alias("s"))
     return s.select(F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(hi)).alias("hi"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, order: str, b: int = 1000, seed: str = "boot") -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, order: str, b: int = 1000, seed: str = "boot", linear: bool = False) -> DataFrame:
     means = resamples(rows.select(order, value), order, b, seed).groupBy("resample").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
-    return order_statistics(means, "m", b)
+    return order_statistics(means, "m", b, linear=linear)

@@ -873,3 +873,6 @@ def _per_fold(scores: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return region_mention_coverage(spark, sf)
+
+
+from . import study  # noqa: E402, F401  (registers its queries)

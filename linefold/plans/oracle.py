@@ -342,3 +342,6 @@ SQL["ranked_comparison"] = """WITH j AS (SELECT quality = 1 AS y, length(text) >
 r AS (SELECT 'length' AS name, 2 * count(*) FILTER (WHERE a AND y) / (2 * count(*) FILTER (WHERE a AND y) + count(*) FILTER (WHERE a <> y)) AS f1 FROM j UNION ALL SELECT 'no_digits', 2 * count(*) FILTER (WHERE b AND y) / (2 * count(*) FILTER (WHERE b AND y) + count(*) FILTER (WHERE b <> y)) FROM j
   UNION ALL SELECT 'no_pipe', 2 * count(*) FILTER (WHERE c AND y) / (2 * count(*) FILTER (WHERE c AND y) + count(*) FILTER (WHERE c <> y)) FROM j UNION ALL SELECT 'unavailable', NULL)
 SELECT row_number() OVER (ORDER BY f1 DESC NULLS LAST, name) AS rank, name, round(f1, 6) AS f1 FROM r"""
+
+
+from . import study_oracle  # noqa: E402, F401  (adds its texts)

@@ -220,6 +220,16 @@ def test_suffix_dedup_odd_rows(spark):
     assert S.report(frame(spark, [(1, t)])).collect()[0].n_removed == len(t) - 4
 
 
+@pytest.mark.parametrize("block", [1, 50_000])
+def test_suffix_dedup_with_hot_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    rng = random.Random(11)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40))) + shared[rng.randrange(60) :] + str(i) * rng.randrange(9)) for i in range(40)]
+    want = brute_removed(texts, 100)
+    assert {r.doc_id: tuple(r)[1:] for r in S.report(frame(spark, texts), block=block).collect()} == want
+
+
 # -- decontamination -------------------------------------------------------------------------
 
 
