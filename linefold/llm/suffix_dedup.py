@@ -455,3 +455,18 @@ def strip(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK)
     if "n_chars" in fields:
         fields["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*[F.col(c) if c in ("doc_id", "text") else fields[c].alias(c) for c in docs.columns])
+
+
+#: op8_suffix_dedup in DuckDB: all windows of 100 bytes, those that also start earlier, and what they cover.
+ORACLE = r"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, b[p + 1:p + 100] AS s FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS p FROM t)),
+f AS (SELECT s, min({'d': doc_id, 'p': p}) AS f FROM w GROUP BY 1 HAVING count(*) > 1),
+l AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE f.d <> doc_id OR f.p <> p),
+o AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM l)),
+g AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM o GROUP BY doc_id, run),
+k AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS a, lo AS z, hi - lo AS gone FROM g
+      UNION ALL SELECT doc_id, coalesce(max(hi), 0), octet_length(any_value(b)), NULL FROM t LEFT JOIN g USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(any_value(b)) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, count(gone) AS n_spans, sha256(unhex(string_agg(hex(b[a + 1:z]), '' ORDER BY z, a))) AS kept_sha256
+FROM k JOIN t USING (doc_id) GROUP BY doc_id
+"""
