@@ -14,9 +14,10 @@ A hub that fails to link must not hide a link between others.  One bit of each c
 (BITS of them) estimates similarity within 0.03.  Members that are loosely similar to a hub
 (0.4 by the bits) join its cluster; members that are not closely similar to it (0.6) get
 hubs of their own, so two members that link always share a cluster, by the triangle
-inequality of the Jaccard distance.  Inside a cluster, documents of different components
-are compared in blocks on their full sets, and only links leave a block.  No cap is set on
-buckets, clusters or partners.
+inequality of the Jaccard distance; closely similar ones (LINK) are confirmed like stars.
+Inside a cluster, documents of different components are compared in blocks on their full
+sets, and only links leave a block; the cluster's largest component is compared with the
+others, never with itself.  No cap is set on buckets, clusters or partners.
 
 bands x rows: the chance to miss a pair at the threshold is (1 - threshold^rows)^bands,
 about 2e-8 with 76 x 7 at 0.8.
@@ -44,8 +45,8 @@ BANDS, ROWS = 76, 7
 BITS = 512
 #: Differing bits: at 0.4, plus six deviations; at 0.6; at the threshold 0.8, plus six deviations.
 LOOSE, CLOSE, LINK = 216, 102, 92
-#: Shingles of a block of a cluster.
-BLOCK_ITEMS = 400_000
+#: Shingles of a block of a cluster: a twelfth of the cluster, within these bounds.
+BLOCK_ITEMS = (40_000, 400_000)
 BROADCAST_ROWS = 200_000
 
 
@@ -179,12 +180,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     stars = pairs.where((F.col("far") <= LINK) & fits).select("a", "b")
     apart = rays.join(pairs.where(F.col("far") > CLOSE).select("a", "b"), ["a", "b"], "left_semi").select("bucket", "b")
-    loose = pairs.where(F.col("far") <= LOOSE).select("a", "b").unionByName(_own_hubs(apart.join(words.select(F.col("cid").alias("b"), *SKETCH), "b")))
+    own = materialize(_own_hubs(apart.join(words.select(F.col("cid").alias("b"), *SKETCH), "b")), "mh-hubs")
+    stars = stars.unionByName(own.where(F.col("far") <= LINK).select("a", "b")).distinct()
+    loose = pairs.where(F.col("far") <= LOOSE).select("a", "b").unionByName(own.select("a", "b"))
     cluster = materialize(connected_components(loose.distinct()), "mh-clusters")
 
     links = materialize(verify(stars, _sets(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k, "mh-star-sets"), percent), "mh-links")
     roots = connected_components(links)
-    # clusters of three or more with several components: a pair alone is a star already
+    # clusters of three or more with several components: a pair alone has been confirmed already
     at = cluster.withColumnRenamed("node", "cid").withColumnRenamed("root", "cluster").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root"))
     open_ = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select(F.col("cluster").alias("o_cluster"))
     rest = materialize(at.join(open_, F.col("cluster") == F.col("o_cluster"), "left_semi"), "mh-rest")
@@ -226,7 +229,7 @@ def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, name: st
 
 
 def _own_hubs(rays: DataFrame) -> DataFrame:
-    """Cluster edges (a, b) of members that are not close to their bucket's hub.
+    """Cluster edges (a, b, far) of members that are not close to their bucket's hub.
 
     Each bucket's rows stream through one task, against hubs that are found on the way;
     a row is close to some hub or becomes one.  Memory is that of the hubs of one bucket.
@@ -241,18 +244,18 @@ def _own_hubs(rays: DataFrame) -> DataFrame:
             bits = np.stack([batch.column(i).to_numpy() for i in range(2, 2 + len(SKETCH))], axis=1).view(np.uint64)
             # runs of one row in a new bucket can have no partner here
             alone = np.concatenate([keys[1:] != keys[:-1], [False]]) & np.concatenate([[False], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for i in np.flatnonzero(~alone):
                 if keys[i] != bucket:
                     bucket, ids, hubs = keys[i], [], np.zeros((0, len(SKETCH)), np.uint64)
                 far = np.bitwise_count(hubs ^ bits[i]).sum(axis=1) if ids else np.zeros(0)
-                out += [(ids[j], int(own[i])) for j in np.flatnonzero(far <= LOOSE)]
+                out += [(ids[j], int(own[i]), int(far[j])) for j in np.flatnonzero(far <= LOOSE)]
                 if not (far <= CLOSE).any():
                     ids.append(int(own[i]))
                     hubs = np.vstack([hubs, bits[i : i + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "far"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, far bigint")
 
 
 def _across(rest: DataFrame, words: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,12 +264,22 @@ def _across(rest: DataFrame, words: DataFrame, sets: DataFrame, percent: int) ->
     rest: (cid, cluster, root).  A document gets at most one link per other component and
     block pair; all pairs whose sketch bits allow the threshold are compared on full sets.
     """
-    m = rest.join(words.select(F.col("cid").alias("w"), "n", *SKETCH), F.col("cid") == F.col("w")).drop("w")
-    upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("root", "cid").rowsBetween(Window.unboundedPreceding, 0))
-    m = materialize(m.withColumn("block", F.floor((upto - F.col("n")) / BLOCK_ITEMS)), "mh-blocks")
-    blocks = m.groupBy("cluster", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    x, y = blocks.select("cluster", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), blocks.select(F.col("cluster").alias("c2"), F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
-    pairs = x.join(y, (F.col("cluster") == F.col("c2")) & (F.col("i") <= F.col("j"))).where("least(li, lj) <> greatest(hi_i, hj)").select("cluster", "i", "j")
+    m = materialize(rest.join(words.select(F.col("cid").alias("w"), "n", *SKETCH), F.col("cid") == F.col("w")).drop("w"), "mh-members")
+    # per cluster its largest component, and how many blocks that and the others make
+    by_root = m.groupBy("cluster", "root").agg(F.sum("n").alias("s"))
+    per = by_root.groupBy("cluster").agg(F.max(F.struct("s", "root")).alias("most"), F.sum("s").alias("total"))
+    low, high = BLOCK_ITEMS
+    size = F.greatest(F.lit(low), F.least(F.lit(high), F.col("total") / 12))
+    blocks_of = lambda items: F.greatest(F.lit(1), F.ceil(items / size)).cast("int")
+    # a small cluster is one block
+    one = lambda count, n: F.when(F.col("total") <= low, n).otherwise(count)
+    per = per.select(F.col("cluster").alias("p_cluster"), F.col("most.root").alias("main"), one(blocks_of(F.col("most.s")), 0).alias("n_main"), one(blocks_of(F.col("total") - F.col("most.s")), 1).alias("n_other"))
+    per = _small(materialize(per, "mh-blocks"))
+    dealt = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    m = m.join(per, F.col("cluster") == F.col("p_cluster")).withColumn("block", F.when((F.col("n_main") > 0) & (F.col("root") == F.col("main")), F.col("n_other") + dealt("n_main")).otherwise(dealt("n_other")))
+    # the other components' blocks with each other and with those of the largest one, which come behind them
+    pairs = per.select(F.col("p_cluster").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias("i"), (F.col("n_other") + F.col("n_main") - 1).alias("last"))
+    pairs = pairs.select("cluster", "i", F.explode(F.sequence("i", "last")).alias("j"))
     full = m.join(sets, "cid").select("cluster", "block", "cid", "root", "n", *SKETCH, "elements")
     side = lambda c, name: full.join(pairs, (full["cluster"] == pairs["cluster"]) & (full["block"] == pairs[c])).select(full["cluster"], "i", "j", F.lit(name).alias("side"), "cid", "root", "n", *SKETCH, "elements")
     both = side("i", 0).unionByName(side("j", 1).where("i <> j"))
@@ -314,3 +327,20 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if ids.where("n > 1").isEmpty():
         return out
     return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
+
+#: op10_minhash in DuckDB: links by the rarest shingles of each set (a link must share one of them), then components.
+ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT g, count(*) AS f FROM s GROUP BY 1),
+r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+p AS (SELECT * FROM r WHERE k <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+i AS (SELECT a, b, count(*) AS i FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+m AS (SELECT a AS node, a AS root FROM u UNION SELECT b, root FROM m JOIN u ON a = node),
+c1 AS (SELECT node, min(root) AS root FROM m GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c1 ON node = doc_id
+"""

@@ -51,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80).drop("n_links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.ORACLE,
+        "op8_suffix_dedup": suffix_dedup.ORACLE,
+        "op10_minhash": minhash.ORACLE,
         "op5_warc": """
             WITH r AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS len, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
             b AS (SELECT *, max(page_id) OVER (PARTITION BY sha, len) AS top FROM r)

@@ -100,6 +100,19 @@ def test_near_duplicates_against_brute_force(spark, k, seed):
         assert (r.n_shingles, r.component_id, r.kept) == (size[r.doc_id], root[r.doc_id], root[r.doc_id] == r.doc_id), r
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ITEMS", (30, 200))
+    texts = near_texts(8)
+    # a template whose copies link to it and seldom to each other, and its hub is a copy
+    rng = random.Random(3)
+    base = ["t%d" % i for i in range(100)]
+    for i in range(40):
+        texts.append((len(texts), " ".join(w if j % 20 or rng.random() < 0.2 else f"c{i}" for j, w in enumerate(base))))
+    texts.append((len(texts), " ".join(base)))
+    size, root = brute_near(texts, 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), k=2).collect()} == {i: (size[i], root[i]) for i, _ in texts}
+
+
 def test_near_duplicates_of_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
@@ -458,3 +471,21 @@ def test_decontamination_with_a_changed_slot(spark):
     got = {(r.doc_id, r.item_id): r for r in D.find(docs, bench(spark, [ITEM, sums]), strict=False).collect()}
     assert set(got) == {(3, 0), (4, 1), (5, 0)}
     assert got[3, 0].n_windows == 14 and not got[3, 0].verbatim  # Anna stands for Boris in all windows that are not equal words
+
+
+@pytest.mark.parametrize("name", ["op4_mixing", "op5_warc", "op8_suffix_dedup", "op10_minhash"])
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    from linefold.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    r = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    df = queries.queries()[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    flat = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
+    want = sorted(tuple(flat(x[names.index(c)]) for c in sorted(names)) for x in r.fetchall())
+    assert sorted(tuple(flat(x[c]) for c in sorted(names)) for x in df.collect()) == want
