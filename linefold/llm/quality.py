@@ -20,8 +20,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-
 FOLDS = 5
 
 
@@ -185,7 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, threshol
     own = {k: f"linefold_quality_{k}" for k in stats}
     s = docs.select("*", *[c.alias(own[k]) for k, c in stats.items()])
     s = s.select(*[F.col(f"`{c}`") for c in docs.columns], model.column({k: F.col(own[k]) for k in stats}).alias("linefold_quality"))
-    # Written before the filter: pushed below the projection, it would compute every statistic
-    # again in every rule, without the code that shares their common parts.
-    s = materialize(s, "quality-scored")
+    # Filters are not pushed below an observation.  Below the projection, this one would compute
+    # every statistic again in every rule, without the code that shares their common parts.
+    s = s.observe("linefold_quality_scored", F.count(F.lit(1)).alias("rows"))
     return s.where(F.col("linefold_quality") >= threshold).drop("linefold_quality")
