@@ -27,6 +27,52 @@ def nearest_containment(queries: DataFrame, signatures: DataFrame) -> DataFrame:
     return queries.select("q").distinct().join(best, "q", "left").select("q", "s", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def nearest_containment_in_blocks(queries: DataFrame, signatures: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """As nearest_containment(), for queries(q, feats), signatures(s, feats) with distinct features in arrays.
+
+    Queries without any feature are left out.  The signatures travel in blocks of at most
+    ``block`` features as an inverted index; each query is answered where it stands, so
+    nothing of the size of queries times signatures is ever made.
+    """
+    spark = queries.sparkSession
+    sized = signatures.select("s", F.size("feats").cast("bigint").alias("n")).where("n > 0")
+    placed = running(sized, ["s"], ["n"]).select(F.col("s").alias("own"), F.floor((F.col("n_upto") - F.col("n")) / block).alias("block"))
+    dealt = signatures.join(placed, F.col("s") == F.col("own")).select("block", "s", "feats")
+    n_blocks = 1 + (placed.agg(F.max("block")).collect()[0][0] or 0)
+    asked = queries.select("q", "feats").where(F.size("feats") > 0)
+    parts = []
+    for at in range(n_blocks):
+        # one block of the signatures, bounded by its features
+        rows = dealt.where(F.col("block") == at).select("s", "feats").orderBy("s").collect()
+        index: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for f in r["feats"]:
+                index.setdefault(f, []).append(i)
+        held = spark.sparkContext.broadcast((np.array([r["s"] for r in rows], np.int64), np.array([len(r["feats"]) for r in rows], float), {f: np.array(v, np.int32) for f, v in index.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, size, index = held.value
+            none = np.zeros(0, np.int32)
+            for b in batches:
+                found, score = [], []
+                for feats in b.column(1).to_pylist():
+                    hits = [index[f] for f in feats if f in index]
+                    c = np.bincount(np.concatenate(hits) if hits else none, minlength=len(ids)) / size if len(ids) else np.zeros(0)
+                    k = int(c.argmax()) if len(c) else -1
+                    found.append(int(ids[k]) if hits else None)
+                    score.append(float(c[k]) if hits else 0.0)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["q", "s", "score"])
+
+        parts.append(asked.mapInArrow(run, "q bigint, s bigint, score double"))
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = F.max(F.struct("score", (-F.col("s")).alias("m")))
+    return every.groupBy("q").agg(best.alias("b")).select("q", (-F.col("b.m")).alias("s"), F.col("b.score").alias("score"))
+
+
 def nearest_jaccard(queries: DataFrame, signatures: DataFrame) -> DataFrame:
     """As nearest_containment(), by Jaccard similarity."""
     ns, nq = signatures.groupBy("s").agg(F.count("*").alias("ns")), queries.groupBy("q").agg(F.count("*").alias("nq"))

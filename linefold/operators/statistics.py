@@ -171,6 +171,29 @@ def quantiles(per: DataFrame, points: list[float]) -> DataFrame:
     return both.select(F.get(point, F.col("i")).alias("point"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.get(share, F.col("i"))).alias("value"))
 
 
+def grouped_quantiles(rows: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+    """(by..., q): linear quantiles of value per group, an array in the order of points; nulls do not count.
+
+    Values are counted per group and put in one order, so no task holds a group.  by may be
+    empty: one row, or none for an empty table.
+    """
+    from ..runtime import materialize
+
+    per = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(c) for c in by], F.col(value).alias("gq_v")).agg(F.count("*").alias("gq_n"))
+    u = materialize(running(per, [*by, "gq_v"], ["gq_n"]), "quantiles")
+    g = u.groupBy(*[F.col(c).alias(f"gq_{c}") for c in by]).agg(F.min(F.col("gq_n_upto") - F.col("gq_n")).alias("gq_start"), F.sum("gq_n").alias("gq_total"))
+    j = u.join(F.broadcast(g)) if not by else u.join(g, [F.col(c).eqNullSafe(F.col(f"gq_{c}")) for c in by])  # without groups, one row
+    end = F.col("gq_n_upto") - F.col("gq_start")
+    places = []
+    for i, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("gq_total") - 1)
+        low = F.floor(at)
+        places += [F.struct(F.lit(i).alias("i"), k.alias("k"), (at - low).alias("f")) for k in (low, F.least(low + 1, F.col("gq_total") - 1))]
+    hit = j.select(*by, "gq_v", F.explode(F.filter(F.array(*places), lambda w: (w["k"] >= end - F.col("gq_n")) & (w["k"] < end))).alias("w"))
+    both = hit.groupBy(*by, F.col("w.i").alias("i")).agg((F.min("gq_v") + (F.max("gq_v") - F.min("gq_v")) * F.max("w.f")).cast("double").alias("v"))
+    return both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
+
+
 def numbered(rows: DataFrame, order: str, out: str = "place") -> DataFrame:
     """rows with their 0-based place in an order, without one task for all rows.
 

@@ -12,7 +12,7 @@ from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import code, folds, graph, match, model, regions
 from ..operators import statistics as S
-from ..runtime import materialize, ship
+from ..runtime import materialize, once, ship
 from ..sources import readers
 from ..streaming import windows
 
@@ -49,10 +49,10 @@ def docs_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def pair_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents of pairs, their lines, pairs): what a pair query needs of the corpus, and no more.
 
-    Pairs are a small table of ids, written once; all further work is on the paired documents.
+    Pairs are a small table of ids, written once per application and state of the files; all further work is on the paired documents.
     """
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = materialize(regions.copy_pairs(docs), "pairs")
+    pairs = once(docs, "pairs", regions.copy_pairs)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("p_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     own = docs.join(ids, F.col("doc_id") == F.col("p_id"), "left_semi")
@@ -169,9 +169,10 @@ def extract_ids_sorted(spark: SparkSession, sf: str) -> DataFrame:
 def line_explode_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per document: mean, quartiles, shares over thresholds, per language."""
     d = table(spark, sf, "documents").select("lang", F.size(T.lines(F.col("text"))).alias("n"))
-    q = F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_lines"), q.alias("q"), (F.avg((F.col("n") >= 10).cast("double")) * 100).alias("pct10"))
-    return g.select("lang", "n_docs", r6("mean_lines").alias("mean_lines"), *[r6(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], r6("pct10").alias("pct10"))
+    d = materialize(d, "line-counts")
+    q = S.grouped_quantiles(d, ["lang"], "n", [0.25, 0.5, 0.75]).withColumnRenamed("lang", "q_lang")
+    g = d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_lines"), (F.avg((F.col("n") >= 10).cast("double")) * 100).alias("pct10"))
+    return g.join(q, F.col("lang").eqNullSafe(F.col("q_lang")), "left").select("lang", "n_docs", r6("mean_lines").alias("mean_lines"), *[r6(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], r6("pct10").alias("pct10"))
 
 
 @query
@@ -292,14 +293,14 @@ def region_mention_coverage(spark: SparkSession, sf: str) -> DataFrame:
     _, lines, pairs = pair_lines(spark, sf)
     deleted = materialize(regions.deleted_lines(lines, pairs), "deleted")
     for tier in ("all", "sparse"):
-        m = measures(lines, deleted, tier)
-        stratum = F.when(F.col("d") <= 1, "1").when(F.col("d") <= 5, "2-5").otherwise(">5")
-        g = m.groupBy(stratum.alias("stratum")).agg(
-            F.count("*").alias("n"), r6(F.avg("cov")).alias("mean_cov"), r6(F.percentile("cov", F.lit(0.5))).alias("median_cov"), r6(F.avg("rsr")).alias("mean_rsr"),
-            r6(F.avg("cov") / F.nullif(F.avg("rsr"), F.lit(0.0))).alias("concentration"), F.count_if(F.col("r") > 0).alias("n_region"),
-        )
-        parts.append(g.withColumn("tier", F.lit(tier)))
-    return parts[0].unionByName(parts[1])
+        parts.append(measures(lines, deleted, tier).withColumn("tier", F.lit(tier)))
+    stratum = F.when(F.col("d") <= 1, "1").when(F.col("d") <= 5, "2-5").otherwise(">5")
+    m = materialize(parts[0].unionByName(parts[1]).withColumn("stratum", stratum), "measures")
+    median = S.grouped_quantiles(m, ["tier", "stratum"], "cov", [0.5])
+    g = m.groupBy("tier", "stratum").agg(
+        F.count("*").alias("n"), r6(F.avg("cov")).alias("mean_cov"), r6(F.avg("rsr")).alias("mean_rsr"), r6(F.avg("cov") / F.nullif(F.avg("rsr"), F.lit(0.0))).alias("concentration"), F.count_if(F.col("r") > 0).alias("n_region")
+    )
+    return g.join(median, ["tier", "stratum"]).select("stratum", "n", "mean_cov", r6(F.col("q")[0]).alias("median_cov"), "mean_rsr", "concentration", "n_region", "tier")
 
 
 @query
@@ -477,7 +478,9 @@ def strata_fix_size(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by number of lines (1, 2-5, more): means, medians."""
     o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("d"), F.avg("l_discount").alias("disc"), F.sum("l_quantity").alias("qty"))
     s = F.when(F.col("d") <= 1, "1").when(F.col("d") <= 5, "2-5").otherwise(">5")
-    return o.groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), r6(F.avg("disc")).alias("mean_disc"), r6(F.percentile("qty", F.lit(0.5))).alias("median_qty"))
+    o = materialize(o.withColumn("stratum", s), "orders")
+    q = S.grouped_quantiles(o, ["stratum"], "qty", [0.5])
+    return o.groupBy("stratum").agg(F.count("*").alias("n"), r6(F.avg("disc")).alias("mean_disc")).join(q, "stratum").select("stratum", "n", "mean_disc", r6(F.col("q")[0]).alias("median_qty"))
 
 
 @query
@@ -485,8 +488,7 @@ def strata_nearest_rank_quartile(spark: SparkSession, sf: str) -> DataFrame:
     """Length quartiles by floor nearest rank, bins closed above."""
     d = table(spark, sf, "documents").select("doc_id", big(F.length("text")).alias("n"))
     counts = d.groupBy("n").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(F.lit(0))
-    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(w))
+    upto = S.running(counts, ["n"], ["c"]).withColumnRenamed("c_upto", "upto").join(F.broadcast(counts.agg(F.sum("c").alias("total"))))  # one row
     cut = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))), F.col("n")))
     cuts = upto.agg(cut(0.25).alias("c1"), cut(0.5).alias("c2"), cut(0.75).alias("c3"))
     j = d.join(F.broadcast(cuts))  # one row
@@ -498,7 +500,7 @@ def strata_nearest_rank_quartile(spark: SparkSession, sf: str) -> DataFrame:
 def quartile_digitize(spark: SparkSession, sf: str) -> DataFrame:
     """Linear quartiles and bins closed below, with means per bin."""
     line = table(spark, sf, "lineitem").select("l_extendedprice", "l_discount")
-    q = line.agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    q = S.grouped_quantiles(line, [], "l_extendedprice", [0.25, 0.5, 0.75])
     j = line.join(F.broadcast(q))  # one row
     x = F.col("l_extendedprice")
     b = F.when(x < F.col("q")[0], 0).when(x < F.col("q")[1], 1).when(x < F.col("q")[2], 2).otherwise(3)
@@ -508,11 +510,11 @@ def quartile_digitize(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def quantile_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles and shares over thresholds of region coverage."""
-    m = pair_measures(spark, sf)
-    q = F.percentile("cov", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    m = materialize(pair_measures(spark, sf), "measures")
+    q = S.grouped_quantiles(m, [], "cov", [0.25, 0.5, 0.75])
     pct = lambda c: r6(F.avg(c.cast("double")) * 100)
-    g = m.agg(F.count("*").alias("n"), q.alias("q"), pct(F.col("cov") >= 0.999).alias("full"), pct(F.col("cov") >= 0.9).alias("most"), pct(F.col("cov") <= 0.25).alias("little"))
-    return g.select("n", *[r6(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "full", "most", "little")
+    g = m.agg(F.count("*").alias("n"), pct(F.col("cov") >= 0.999).alias("full"), pct(F.col("cov") >= 0.9).alias("most"), pct(F.col("cov") <= 0.25).alias("little"))
+    return g.join(F.broadcast(q), F.lit(True), "left").select("n", *[r6(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "full", "most", "little")
 
 
 @query
@@ -597,9 +599,10 @@ def delta_negative_control(spark: SparkSession, sf: str) -> DataFrame:
 
 def benchmark_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's nearest benchmark item by containment, and whether it holds the item's text."""
-    words = lambda df, k: df.select(F.col(k), F.explode(F.array_distinct(T.words(F.col("text")))).alias("feat"))
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
-    near = match.nearest_containment(words(docs, "doc_id").withColumnRenamed("doc_id", "q"), words(items, "item_id").withColumnRenamed("item_id", "s"))
+    ship(spark)
+    words = F.array_distinct(T.words(F.col("text")))
+    near = match.nearest_containment_in_blocks(docs.select(F.col("doc_id").alias("q"), words.alias("feats")), items.select(F.col("item_id").alias("s"), words.alias("feats")))
     j = near.join(docs.select(F.col("doc_id").alias("q"), F.col("text").alias("dt")), "q").join(items.select(F.col("item_id").alias("s"), F.col("text").alias("it")), "s", "left")
     return j.select("q", "s", "score", F.coalesce(F.col("dt").contains(F.col("it")), F.lit(False)).alias("actual"))
 
@@ -617,7 +620,8 @@ def nearest_signature_tau_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def best_tau_and_fp_reduction(spark: SparkSession, sf: str) -> DataFrame:
     """The threshold of best F1, and how many false positives it saves against the lowest one."""
-    s = match.tau_sweep(benchmark_scores(spark, sf).withColumn("score", F.round("score", 9)), TAUS).persist()
+    s = match.tau_sweep(benchmark_scores(spark, sf).withColumn("score", F.round("score", 9)), TAUS)
+    s = materialize(s, "sweep")
     b, low = match.best_tau(s), s.agg(F.max_by("fp", -F.col("tau")).alias("fp_low"), F.max_by(M.always_positive_f1(F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), -F.col("tau")).alias("always_f1"))
     return b.join(low).select("tau", r6("f1").alias("f1"), "fp", "fp_low", r6(T.ratio(F.col("fp_low") - F.col("fp"), F.col("fp_low"))).alias("fp_reduction"), r6("always_f1").alias("always_f1"))
 
