@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import csource as C
+from ..functions.markup import xml_features
 from ..runtime import ship
 
 UNITS = "array<struct<sid:int,at:int,start_line:int,end_line:int,is_pred:boolean,defs:array<string>,uses:array<string>,reasons:array<string>,enclosing:array<int>>>"
@@ -48,6 +49,7 @@ def _units(code: str) -> list[dict]:
 statement_units = _each(UNITS, _units)
 parameter_names = _each("array<string>", C.parameters)
 line_features = _each("array<struct<line:int,feat:string>>", lambda c: [{"line": a, "feat": b} for a, b in C.features(c)])
+xml_line_features = _each("array<struct<line:int,feat:string>>", lambda x: [{"line": a, "feat": b} for a, b in xml_features(x)])
 variable_profiles = _each("array<struct<variable:string,def:array<int>,use:array<int>,dvars:array<string>,pointers:array<string>,cfuncs:map<string,int>>>", C.profiles)
 forward_region = _each("array<int>", C.forward_lines)
 walk = _each("array<struct<step:int,line:int,uses:array<string>,added_data:array<int>,added_control:array<int>>>", C.trace)
@@ -121,6 +123,21 @@ def slice_vector(code: Column) -> Column:
     return _each("array<double>", f)(code)
 
 
+def versions_delta(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """pairs with what a change does to the features of the slices: phi_before, phi_after, phi_removed, phi_added and phi_shared, how many stay.
+
+    Both sides are sliced alike; features are those of the slices' lines, sorted.
+    """
+    sides = {"before": before, "after": after}
+    out = pairs.withColumns({f"kept_{k}": slice_measures(F.col(c))["kept"] for k, c in sides.items()} | {f"feats_{k}": line_features(F.col(c)) for k, c in sides.items()})
+    # slices count lines from 0, features from 1
+    phi = lambda k: F.transform(F.filter(f"feats_{k}", lambda f: F.array_contains(f"kept_{k}", f["line"] - 1)), lambda f: f["feat"])
+    out = out.withColumns({f"phi_{k}": F.array_sort(F.array_distinct(phi(k))) for k in sides}).drop(*[f"{p}_{k}" for p in ("kept", "feats") for k in sides])
+    return out.withColumns(
+        {"phi_removed": F.array_sort(F.array_except("phi_before", "phi_after")), "phi_added": F.array_sort(F.array_except("phi_after", "phi_before")), "phi_shared": F.size(F.array_intersect("phi_before", "phi_after"))}
+    )
+
+
 def profile_features(profiles: Column, variables: Column | None = None) -> Column:
     """Coarse features of profiles (cf:call, pt:, dv:, var:); of the given variables, or of all where none of them has a profile."""
     own = profiles if variables is None else F.filter(profiles, lambda p: F.array_contains(variables, p["variable"]))

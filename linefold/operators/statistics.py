@@ -191,7 +191,8 @@ def grouped_quantiles(rows: DataFrame, by: list[str], value: str, points: list[f
         places += [F.struct(F.lit(i).alias("i"), k.alias("k"), (at - low).alias("f")) for k in (low, F.least(low + 1, F.col("gq_total") - 1))]
     hit = j.select(*by, "gq_v", F.explode(F.filter(F.array(*places), lambda w: (w["k"] >= end - F.col("gq_n")) & (w["k"] < end))).alias("w"))
     both = hit.groupBy(*by, F.col("w.i").alias("i")).agg((F.min("gq_v") + (F.max("gq_v") - F.min("gq_v")) * F.max("w.f")).cast("double").alias("v"))
-    return both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
+    # two rows at most per point and group
+    return both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q")).where(F.size("q") > 0)
 
 
 def numbered(rows: DataFrame, order: str, out: str = "place") -> DataFrame:

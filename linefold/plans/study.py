@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import code, match, model, regions, representations
+from ..operators import code, embeddings, match, model, regions, representations
 from ..operators import statistics as S
 from ..runtime import materialize, ship
 from .catalogue import _detection, big, efforts, fold_metrics, line_shares, pair_lines, quality_scores, query, r6, table
@@ -82,6 +82,45 @@ def reference_graph_slice(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("grp").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("line")).cast("array<string>"), ",").alias("lines"))
 
 
+@query
+def xml_code_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Abstract features from the XML markup of a table of functions: places, functions and lines per feature."""
+    ship(spark)
+    at = lambda text: F.concat(F.lit(f'<{text} pos:start="'), (F.col("k") + 2).cast("string"), F.lit(':3">'))
+    name = lambda c: F.concat(F.lit("<name>v"), F.col(c).cast("string"), F.lit("</name>"))
+    op = lambda t: F.concat(at("operator"), F.lit(f"{t}</operator>"))
+    number = lambda v: F.concat(at('literal type="number"'), F.lit(f"{v}</literal>"))
+    sets = lambda *what: F.concat(F.lit("<expr_stmt><expr>"), name("k"), op("="), *what, F.lit("</expr></expr_stmt>"))
+    kind = F.col("kind")
+    xml = (
+        F.when(kind == 0, sets(name("j")))
+        .when(kind == 1, sets(name("j"), op("+"), name("i")))
+        .when(kind == 2, F.concat(at("if"), F.lit("<condition>"), name("j"), op("&gt;"), number(3), F.lit("</condition>"), sets(name("i")), F.lit("</if>")))
+        .otherwise(F.concat(at("call"), F.lit("<name>memcpy</name><argument_list>"), name("j"), name("i"), number(4), F.lit("</argument_list></call>")))
+    )
+    rows = order_statements(spark, sf).select("id", F.struct("k", xml.alias("x")).alias("s")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["x"]), "\n").alias("body"))
+    unit = F.concat(F.lit('<unit xmlns:pos="urn:pos"><function><type><name>int</name></type><name>f</name><block>'), F.col("body"), F.lit("</block></function></unit>"))
+    f = rows.select("id", F.explode(code.xml_line_features(unit)).alias("f")).select("id", "f.line", "f.feat")
+    return f.groupBy("feat").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_functions"), F.sum("line").cast("bigint").alias("lines"))
+
+
+@query
+def version_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions against their versions without the last statement: how many slice features a change removes, adds and keeps."""
+    ship(spark)
+    f = order_functions(spark, sf)
+    before = F.regexp_replace("code", r"\n[^\n]*\n\}\n$", "\n}\n")
+    d = code.versions_delta(f.select("id", before.alias("before"), F.col("code").alias("after")))
+    return d.groupBy(big(F.size("phi_removed")).alias("removed"), big(F.size("phi_added")).alias("added")).agg(F.count("*").alias("n"), F.sum("phi_shared").alias("shared"))
+
+
+@query
+def frozen_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a frozen encoder: each different text once, cut to 512 tokens, the mean over real tokens."""
+    e = embeddings.embed(table(spark, sf, "documents"), embeddings.hashed_encoder)
+    return e.select(F.col("id").alias("doc_id"), *[r6(F.col("embedding")[i]).alias(f"e{i}") for i in range(4)])
+
+
 # -- detection ------------------------------------------------------------------------------------------------
 
 

@@ -78,3 +78,9 @@ SQL["best_f1_grids"] = f"WITH {_QS} " + " UNION ALL ".join([
 
 SQL["pair_order"] = "SELECT conv_id, turn, row_number() OVER (ORDER BY role, conv_id, turn) - 1 AS place FROM conversations"
 SQL["xml_paths"] = """SELECT CAST(n_regionkey AS BIGINT) AS region, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS key_sum, bool_or(n_nationkey = 0) AS has_first FROM nation GROUP BY 1"""
+SQL["xml_code_features"] = f"""WITH {_ITEMS}, f AS (SELECT o, k + 2 AS line, unnest(CASE t WHEN 0 THEN ['op:='] WHEN 1 THEN ['op:=', 'op:+'] WHEN 2 THEN ['ctrl:if', 'op:>', 'lit:number', 'op:='] ELSE ['call', 'callee:memcpy', 'lit:number'] END) AS feat FROM st
+  UNION ALL SELECT DISTINCT o, -1, 'type:int' FROM st)
+SELECT feat, count(*) AS n, count(DISTINCT o) AS n_functions, CAST(sum(line) AS BIGINT) AS lines FROM f GROUP BY 1"""
+SQL["frozen_embeddings"] = """WITH a AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\r\\f\\v]+')[1:512] AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS w FROM a),
+e AS (SELECT doc_id, """ + ", ".join(f"avg(CAST('0x' || substr(md5(w), {1 + 2 * i}, 2) AS INTEGER) / 255) AS e{i}" for i in range(4)) + """ FROM t GROUP BY 1)
+SELECT doc_id, """ + ", ".join(f"round(coalesce(e{i}, 0), 6) AS e{i}" for i in range(4)) + """ FROM a LEFT JOIN e USING (doc_id)"""
