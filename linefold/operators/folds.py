@@ -30,7 +30,7 @@ def _dealt(rows: DataFrame, by: list[str], h: Column, key: str, n: int) -> DataF
     Places are taken in two levels, cells of the hash and places inside a cell, so that a
     label with most of the rows is dealt over many tasks.
     """
-    keyed = rows.withColumn("fold_h", h).withColumn("fold_cell", F.substring("fold_h", 1, 2))
+    keyed = rows.withColumn("fold_h", h).withColumn("fold_cell", F.substring("fold_h", 1, 3))
     cells = keyed.groupBy(*[F.col(c).alias(f"cell_{c}") for c in by], F.col("fold_cell").alias("cell")).agg(F.count("*").alias("cell_n"))
     own = [f"cell_{c}" for c in by]
     upto = F.sum("cell_n").over(Window.partitionBy(*own).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))

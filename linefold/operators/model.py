@@ -72,7 +72,8 @@ def sparse_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
 
     One model per (rep, repeat, fold) in a task of its own: the rows of a fold are a sample of
     bounded size (folds.balanced_sample).  The penalty does not change under a rotation, so
-    the model is fitted in the space that the training rows span.
+    the model is fitted in the space that the training rows span.  A column ``dense``, where
+    rows have it, goes beside the weights, standardised on the training rows.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,6 +83,10 @@ def sparse_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
         for i, (a, w) in enumerate(zip(pdf["at"], pdf["weights"], strict=True)):
             x[i, a] = w
         y, test = pdf["label"].to_numpy(float), pdf["test"].to_numpy(bool)
+        if "dense" in pdf and (~test).any():
+            d = np.vstack(pdf["dense"].to_numpy()).astype(float)
+            m, sd = d[~test].mean(axis=0), d[~test].std(axis=0)
+            x = np.hstack([(d - m) / np.where(sd > 0, sd, 1), x])
         out = pdf.loc[test, ["rep", "repeat", "fold", "doc", "label"]].rename(columns={"doc": "row_id"})
         if not (~test).any() or y[~test].min() == y[~test].max():
             out["score"] = y[~test].mean() if (~test).any() else 0.5

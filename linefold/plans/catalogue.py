@@ -845,36 +845,6 @@ def _detection(spark: SparkSession, sf: str) -> DataFrame:
     return folds.repeated_folds(s, "label", "doc_id", repeats=2)
 
 
-@query
-def lr_cv_detection(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression over hashed TF-IDF, repeated stratified folds: per fold average precision."""
-    ship(spark)
-    rows = _detection(spark, sf)
-    toks = table(spark, sf, "documents").join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("pos", "tok"))
-    x = model.hashed_features(model.tfidf(toks), "weight", 64)
-    data = rows.join(x, F.col("doc_id") == F.col("doc")).select(F.col("doc_id").alias("row_id"), F.lit("text").alias("rep"), "repeat", "fold", "label", "features")
-    return _per_fold(model.cross_validated_scores(data))
-
-
-@query
-def fusion_cv(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings beside hashed TF-IDF, standardised on the training rows."""
-    ship(spark)
-    rows = _detection(spark, sf)
-    toks = table(spark, sf, "documents").join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("pos", "tok"))
-    x = model.hashed_features(model.tfidf(toks), "weight", 32)
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
-    data = rows.join(x, F.col("doc_id") == F.col("doc")).join(e, F.col("doc_id") == F.col("v")).select(F.col("doc_id").alias("row_id"), F.lit("fused").alias("rep"), "repeat", "fold", "label", model.fuse(F.col("embedding"), F.col("features")).alias("features"))
-    return _per_fold(model.cross_validated_scores(data, standardize=True))
-
-
-def _per_fold(scores: DataFrame) -> DataFrame:
-    w = Window.partitionBy("rep", "repeat", "fold").orderBy(F.col("score").desc(), "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = scores.withColumn("tp", F.sum("label").over(w)).withColumn("k", F.count("*").over(w))
-    g = s.groupBy("rep", "repeat", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"), r6(F.sum(F.when(F.col("label") == 1, F.col("tp") / F.col("k"))) / F.nullif(F.sum("label"), F.lit(0))).alias("ap"), *[r6(M.f1(F.count_if((F.col("score") >= 0.5) & (F.col("label") == 1)), F.count_if((F.col("score") >= 0.5) & (F.col("label") == 0)), F.count_if((F.col("score") < 0.5) & (F.col("label") == 1)))).alias("f1")])
-    return g
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return region_mention_coverage(spark, sf)
 

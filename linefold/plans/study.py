@@ -140,6 +140,30 @@ def tfidf_train_fit(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("repeat", "fold").agg(F.count("w").alias("n_terms"), F.count_distinct("doc").alias("n_docs"), F.round(F.sum("w"), 4).alias("total"), r6(F.max("w")).alias("top"))
 
 
+@query
+def lr_cv_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic regression over train-fit TF-IDF, repeated stratified folds: average precision and F1 per fold."""
+    ship(spark)
+    rows, terms = detection_grams(spark, sf)
+    w = model.train_fit_tfidf(terms, rows.select(F.col("doc_id").alias("doc"), "repeat", "fold", "label"))
+    return rounded(per_fold(model.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
+
+
+@query
+def fusion_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings, standardised on the training rows, beside train-fit TF-IDF; documents without an embedding are left out."""
+    ship(spark)
+    rows, terms = detection_grams(spark, sf)
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
+    own = rows.join(e.select("v"), F.col("doc_id") == F.col("v"), "left_semi").select(F.col("doc_id").alias("doc"), "repeat", "fold", "label")
+    w = model.train_fit_tfidf(terms, own).join(e, F.col("doc") == F.col("v")).drop("v")
+    return rounded(per_fold(model.sparse_scores(w.withColumn("rep", F.lit("fused")))))
+
+
+def rounded(folds: DataFrame) -> DataFrame:
+    return folds.select("rep", "repeat", "fold", "n", "n_pos", r6("ap").alias("ap"), r6("f1").alias("f1"))
+
+
 @query
 def detection_study(spark: SparkSession, sf: str) -> DataFrame:
     """Balanced logistic regression over train-fit TF-IDF, per representation: mean and deviation of F1 and average precision over folds."""
