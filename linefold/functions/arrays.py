@@ -31,7 +31,8 @@ def region_or_whole(region: Column, n: Column) -> Column:
 
 
 def region_text(lines: Column, region: Column, empty: str = " ") -> Column:
-    kept = F.array_join(F.transform(F.array_sort(F.array_distinct(region)), lambda i: F.get(lines, i.cast("int"))), "\n")
+    # lines stand outside of the lambda, where they are split once and not for every line kept
+    kept = F.array_join(F.filter(lines, lambda _, i: F.array_contains(region, i)), "\n")
     return F.when(F.size(region) == 0, F.lit(empty)).otherwise(kept)
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 PAD, UNK = 0, 1
 
 
@@ -49,15 +51,25 @@ def train_fit_tfidf(terms: DataFrame, folds: DataFrame, size: int = 2000) -> Dat
     training rows alone.  Gives (repeat, fold, doc, label, test, at, weights): places in the
     vocabulary and weights of unit length, empty where no term is known.
     """
+    terms = materialize(terms, "terms")
     last = folds.agg(F.max("fold")).collect()[0][0]
-    many = folds.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last or 0)).cast("bigint"))))
+    each_fold = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last or 0)).cast("bigint"))).alias("fold")
+    many = folds.withColumnRenamed("fold", "own").select("repeat", "doc", "label", "own", each_fold)
     many = many.select("repeat", "fold", "doc", "label", (F.col("own") == F.col("fold")).alias("test"))
-    t = terms.join(many.select("repeat", "fold", "doc", "test"), "doc")
-    fit = t.where(~F.col("test")).groupBy("repeat", "fold", "tok").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    # counted per fold once; what a fold trains on is the whole less its own
+    own = materialize(terms.join(folds.select("doc", "repeat", "fold"), "doc").groupBy("repeat", "fold", "tok").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), "fold-terms")
+    whole = own.groupBy("repeat", "tok").agg(F.sum("total").alias("all_total"), F.sum("df").alias("all_df"), F.max("total").alias("most"))
+    # size terms have at least so many places in every training set: a term with fewer in all is in no vocabulary
+    least = whole.withColumn("k", F.row_number().over(Window.partitionBy("repeat").orderBy((F.col("all_total") - F.col("most")).desc(), "tok"))).where(F.col("k") == size)
+    least = least.select(F.col("repeat").alias("r"), (F.col("all_total") - F.col("most")).alias("least"))
+    cand = materialize(whole.join(least, F.col("repeat") == F.col("r"), "left").where(F.col("all_total") >= F.coalesce("least", F.lit(0))).select("repeat", "tok", "all_total", "all_df"), "fold-candidates")
+    fit = cand.select("*", each_fold).join(own, ["repeat", "fold", "tok"], "left")
+    fit = fit.select("repeat", "fold", "tok", (F.col("all_total") - F.coalesce("total", F.lit(0))).alias("total"), (F.col("all_df") - F.coalesce("df", F.lit(0))).alias("df")).where("df > 0")
     n = many.where(~F.col("test")).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("repeat", "fold").orderBy(F.col("total").desc(), "tok"))
     vocab = fit.withColumn("at", place - 1).where(F.col("at") < size).join(n, ["repeat", "fold"])
     vocab = vocab.select("repeat", "fold", "tok", "at", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    t = terms.join(cand.select("tok").distinct(), "tok", "left_semi").join(many.select("repeat", "fold", "doc"), "doc")
     w = t.join(vocab, ["repeat", "fold", "tok"]).select("repeat", "fold", "doc", F.struct("at", (F.col("tf") * F.col("idf")).alias("w")).alias("s"))
     rows = w.groupBy("repeat", "fold", "doc").agg(F.array_sort(F.collect_list("s")).alias("s"))
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))

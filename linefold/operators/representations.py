@@ -23,12 +23,6 @@ def criterion() -> Column:
     return F.col("line").rlike(CRITERION)
 
 
-def text_grams(text: Column) -> Column:
-    """The words of a text and the pairs of neighbours."""
-    w = T.words(text)
-    return F.concat(w, T.bigrams(w))
-
-
 def abstract_features(line: Column) -> Column:
     """Features of a line that do not name its words: numbers, signs, lengths of identifiers."""
     of = lambda t: (
@@ -42,7 +36,9 @@ def _counted(tokens: DataFrame) -> DataFrame:
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return _counted(docs.select(F.col("doc_id").alias("doc"), F.explode(text_grams(F.col("text"))).alias("tok")))
+    # words are a column of their own: inside the lambda of the pairs they would be found again for every pair
+    w = docs.select(F.col("doc_id").alias("doc"), T.words(F.col("text")).alias("w"))
+    return _counted(w.select("doc", F.explode(F.concat("w", T.bigrams(F.col("w")))).alias("tok")))
 
 
 def _region_text(docs: DataFrame, region: DataFrame) -> DataFrame:

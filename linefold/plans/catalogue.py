@@ -262,8 +262,9 @@ def seq_diff_opcodes(spark: SparkSession, sf: str) -> DataFrame:
     docs, _, pairs = pair_lines(spark, sf)
     j = with_texts(pairs, docs).repartition("x", "y")
     j = j.withColumn("d", code.diff(F.col("before"), F.col("after")))
-    ids = lambda c, at: F.flatten(F.transform(at, lambda i: T.idents(F.get(T.lines(F.col(c)), i))))
-    fix = F.array_distinct(F.concat(ids("before", F.col("d.deleted")), ids("after", F.col("d.added"))))
+    # the lines are split outside of the lambdas, once per text
+    ids = lambda c, at: F.flatten(F.transform(F.filter(T.lines(F.col(c)), lambda _, i: F.array_contains(at, i)), T.idents))
+    fix = F.array_distinct(F.concat(ids("before", "d.deleted"), ids("after", "d.added")))
     fix = A.or_whole(fix, F.array_distinct(T.idents(F.col("before"))))
     return j.select("x", "y", big(F.size("d.deleted")).alias("n_deleted"), big(F.size("d.added")).alias("n_added"), big(F.size("d.anchors")).alias("n_anchors"), big(F.size(fix)).alias("n_fix_idents"))
 
@@ -838,11 +839,11 @@ def ranked_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return every.select(big(rank).alias("rank"), "name", r6("f1").alias("f1"))
 
 
-def _detection(spark: SparkSession, sf: str) -> DataFrame:
+def _detection(spark: SparkSession, sf: str, repeats: int = 2) -> DataFrame:
     """The detection set: a balanced sample of labelled documents with repeated stratified folds."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     s = folds.balanced_sample(labels.withColumn("label", 1 - F.col("label")), "label", "doc_id", 500)
-    return folds.repeated_folds(s, "label", "doc_id", repeats=2)
+    return folds.repeated_folds(s, "label", "doc_id", repeats=repeats)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,7 +57,7 @@ SQL["corrected_t_p"] = f"""WITH {_FOLDS}, tv AS (SELECT count(*) AS j, count(*)
 SELECT j, round(t, 6) AS t, round(1 - inside, 6) AS p FROM sm"""
 SQL["mcnemar_p"] = """WITH j AS (SELECT source, (length(text) > 1500) = (quality = 1) AS a, (NOT regexp_matches(text, '[0-9]')) = (quality = 1) AS b FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT source, count(*) FILTER (WHERE a AND NOT b) AS n10, count(*) FILTER (WHERE NOT a AND b) AS n01 FROM j GROUP BY 1)
-SELECT source, n10, n01, round(least(1, 2 * (SELECT sum(exp(lgamma(n10 + n01 + 1) - lgamma(k + 1) - lgamma(n10 + n01 - k + 1) - (n10 + n01) * ln(2))) FROM range(least(n10, n01) + 1) z(k))), 6) AS p FROM c"""
+SELECT source, n10, n01, round(least(1, 2 * (SELECT sum(exp(lgamma(n10 + n01 + 1) - lgamma(k + 1) - lgamma(n10 + n01 - k + 1) - (n10 + n01) * ln(2))) FROM range(least(n10, n01) + 1) z(k))) + 1e-9, 6) AS p FROM c"""
 
 SQL["bootstrap_mean_ci_linear"] = f"""WITH g AS (SELECT source, round(avg(n_chars), 3) AS v, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM documents GROUP BY 1),
 d AS (SELECT r, {salt("'boot' || r || '/' || i")} % n AS hit FROM g, range(1000) z(r)), m AS (SELECT r, avg(v) AS m FROM d JOIN g ON g.i = d.hit GROUP BY 1)
