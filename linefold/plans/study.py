@@ -18,7 +18,9 @@ from .catalogue import _detection, big, efforts, fold_metrics, line_shares, pair
 def order_statements(spark: SparkSession, sf: str) -> DataFrame:
     """(id, k, kind, i, j): line items as the statements of a function per order, numbered from 1; i and j are below k."""
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), big(k).alias("k"), (F.col("l_partkey") % 4).alias("kind"), F.floor("l_quantity").cast("bigint").alias("q"), F.col("l_suppkey").alias("s"))
+    # one shuffle for numbering and for the functions; a given number of parts is not made fewer, as few bytes here are much work
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    t = items.select(F.col("l_orderkey").alias("id"), big(k).alias("k"), (F.col("l_partkey") % 4).alias("kind"), F.floor("l_quantity").cast("bigint").alias("q"), F.col("l_suppkey").alias("s"))
     return t.select("id", "k", "kind", (F.col("q") % F.col("k")).alias("i"), (F.col("s") % F.col("k")).alias("j"))
 
 
