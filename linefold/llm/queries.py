@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, minhash, mixing, quality, ranked_search, suffix_dedup, tiff_media, token_count, warc
+from . import decontaminate, hard_negatives, html_extract, language_id, license_scan, minhash, mixing, quality, ranked_search, suffix_dedup, tiff_media, token_count, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80).drop("n_links")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_html_extract, op2_decontaminate, op3_license_scan, op4_mixing, op5_warc, op6_token_count, op7_tiff_media, op8_suffix_dedup, op9_quality, op10_minhash, op13_ranked_search)
+    every = (op1_html_extract, op2_decontaminate, op3_license_scan, op4_mixing, op5_warc, op6_token_count, op7_tiff_media, op8_suffix_dedup, op9_quality, op10_minhash, op11_language_id, op12_hard_negatives, op13_ranked_search)
     return {f.__name__: f for f in every}
 
 
@@ -68,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE,
         "op8_suffix_dedup": suffix_dedup.ORACLE,
         "op10_minhash": minhash.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
         "op13_ranked_search": ranked_search.ORACLE,
         "op5_warc": """
             WITH r AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS len, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
