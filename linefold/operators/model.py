@@ -1,9 +1,7 @@
-"""TF-IDF, vocabularies, logistic regression over folds, feature fusion."""
+"""TF-IDF and vocabularies; logistic regression over folds is in logistic."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,99 +75,3 @@ def train_fit_tfidf(terms: DataFrame, folds: DataFrame, size: int = 2000) -> Dat
     rows = rows.select("repeat", "fold", "doc", "at", F.transform("w", lambda x: x / F.col("length")).alias("weights"))
     j = many.join(rows, ["repeat", "fold", "doc"], "left")
     return j.select("repeat", "fold", "doc", "label", "test", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
-
-
-def sparse_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
-    """rows(rep, repeat, fold, doc, label, test, at, weights) -> (rep, repeat, fold, row_id, label, score) of the test rows.
-
-    One model per (rep, repeat, fold) in a task of its own: the rows of a fold are a sample of
-    bounded size (folds.balanced_sample).  The penalty does not change under a rotation, so
-    the model is fitted in the space that the training rows span.  A column ``dense``, where
-    rows have it, goes beside the weights, standardised on the training rows.
-    """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc")
-        width = 1 + max((int(a.max()) for a in pdf["at"] if len(a)), default=0)
-        x = np.zeros((len(pdf), width))
-        for i, (a, w) in enumerate(zip(pdf["at"], pdf["weights"], strict=True)):
-            x[i, a] = w
-        y, test = pdf["label"].to_numpy(float), pdf["test"].to_numpy(bool)
-        if "dense" in pdf and (~test).any():
-            d = np.vstack(pdf["dense"].to_numpy()).astype(float)
-            m, sd = d[~test].mean(axis=0), d[~test].std(axis=0)
-            x = np.hstack([(d - m) / np.where(sd > 0, sd, 1), x])
-        out = pdf.loc[test, ["rep", "repeat", "fold", "doc", "label"]].rename(columns={"doc": "row_id"})
-        if not (~test).any() or y[~test].min() == y[~test].max():
-            out["score"] = y[~test].mean() if (~test).any() else 0.5
-            return out
-        _, s, vt = np.linalg.svd(x[~test], full_matrices=False)
-        axes = vt[s > 1e-10].T
-        beta = _logistic(x[~test] @ axes, y[~test], c)
-        out["score"] = 1 / (1 + np.exp(-np.clip(x[test] @ axes @ beta[:-1] + beta[-1], -60, 60)))
-        return out
-
-    return rows.groupBy("rep", "repeat", "fold").applyInPandas(fit, "rep string, repeat bigint, fold bigint, row_id bigint, label int, score double")
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Balanced L2 logistic regression by Newton steps; the last weight is the free intercept."""
-    n, pos = len(y), y.sum()
-    w = np.where(y == 1, n / (2 * max(1, pos)), n / (2 * max(1, n - pos)))
-    x1 = np.hstack([x, np.ones((n, 1))])
-    reg = np.full(x1.shape[1], 1 / c)
-    reg[-1] = 1e-9
-    beta = np.zeros(x1.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -60, 60)))
-        g = x1.T @ (w * (p - y)) + reg * beta
-        h = (x1 * (w * p * (1 - p))[:, None]).T @ x1 + np.diag(reg)
-        step = np.linalg.solve(h, g)
-        beta -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
-def cross_validated_scores(rows: DataFrame, features: str = "features", standardize: bool = False) -> DataFrame:
-    """rows(row_id, rep, repeat, fold, label, features) -> (rep, repeat, fold, row_id, label, score).
-
-    One model per (rep, repeat, fold), each in a task of its own: the training rows of a
-    fold are a sample of bounded size (folds.balanced_sample), dense or hashed features.
-    A fold whose training rows have one class gives its share of that class.
-    """
-    n_folds = rows.agg(F.max("fold")).collect()[0][0]
-    if n_folds is None:
-        return rows.sparkSession.createDataFrame([], "rep string, repeat bigint, fold bigint, row_id bigint, label int, score double")
-    many = rows.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_folds)).cast("bigint"))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        x = np.vstack(pdf[features].to_numpy()).astype(float)
-        y = pdf["label"].to_numpy(float)
-        test = (pdf["own"] == pdf["fold"]).to_numpy()
-        if standardize:
-            m, s = x[~test].mean(axis=0), x[~test].std(axis=0)
-            x = (x - m) / np.where(s > 0, s, 1)
-        if (~test).sum() == 0 or y[~test].min() == y[~test].max():
-            score = np.full(test.sum(), y[~test].mean() if (~test).any() else 0.5)
-        else:
-            beta = _logistic(x[~test], y[~test])
-            score = 1 / (1 + np.exp(-np.clip(x[test] @ beta[:-1] + beta[-1], -60, 60)))
-        out = pdf.loc[test, ["rep", "repeat", "fold", "row_id", "label"]].copy()
-        out["score"] = score
-        return out
-
-    return many.groupBy("rep", "repeat", "fold").applyInPandas(fit, "rep string, repeat bigint, fold bigint, row_id bigint, label int, score double")
-
-
-def hashed_features(tokens: DataFrame, weights: str, size: int) -> DataFrame:
-    """(doc, features): token weights summed into ``size`` places by hash, as a dense array."""
-    cell = tokens.groupBy("doc", F.pmod(F.xxhash64("tok"), F.lit(size)).cast("int").alias("at")).agg(F.sum(weights).alias("w"))
-    per = cell.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
-    return per.select("doc", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("features"))
-
-
-def fuse(a: Column, b: Column) -> Column:
-    """Dense and sparse representations side by side."""
-    return F.concat(F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: x.cast("double")))

@@ -130,25 +130,34 @@ def mean_diff_ci(diffs: DataFrame, value: str = "d", by: tuple[str, ...] = ()) -
     return diffs.groupBy(*by).agg(F.avg(value).alias("mean"), (F.avg(value) - 1.96 * se).alias("lo"), (F.avg(value) + 1.96 * se).alias("hi"), F.stddev_pop(value).alias("std_pop"))
 
 
-def running(rows: DataFrame, order: list[str], values: list[str], down: bool = False) -> DataFrame:
-    """rows with a column v_upto per value: its sum over the rows up to and with this one, without one task for all rows.
+def in_order(rows: DataFrame, order: list[str], down: bool = False) -> DataFrame:
+    """rows in one order, written: sort_id grows with it, and sort_part is the part of the range sort that a row is in.
 
-    A range sort is written; ids grow with partition and place, so the sums of the few
-    partitions give each its offset, and a partition is summed up on its own.  Nulls come
-    first, or last if down.  Rows that are equal in ``order`` are taken in any order.
+    Nulls come first, or last if down.  Rows that are equal in ``order`` are taken in any order.
     """
     from ..runtime import materialize
 
     keys = [F.col(c).desc() if down else F.col(c).asc() for c in order]
     s = materialize(rows.orderBy(*keys).withColumn("sort_id", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("sort_id", 33)
-    sums = s.groupBy(part.alias("sort_part")).agg(*[F.sum(v).alias(f"sort_{v}") for v in values])
-    before = everything().orderBy("sort_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sort_part", *[F.coalesce(F.sum(f"sort_{v}").over(before), F.lit(0)).alias(f"sort_{v}") for v in values])
-    inside = Window.partitionBy("sort_own").orderBy("sort_id").rowsBetween(Window.unboundedPreceding, 0)
-    j = s.withColumn("sort_own", part)
-    j = j.select("*", *[F.sum(v).over(inside).alias(f"{v}_upto") for v in values]).join(sums, F.col("sort_own") == F.col("sort_part"))
-    return j.select(*rows.columns, *[(F.col(f"{v}_upto") + F.col(f"sort_{v}")).alias(f"{v}_upto") for v in values])
+    return s.withColumn("sort_part", F.shiftright("sort_id", 33))
+
+
+def running_in_order(s: DataFrame, values: list[str]) -> DataFrame:
+    """What in_order() gives, with a column v_upto per value: its sum over the rows up to and with this one.
+
+    The sums of the few parts give each its offset, and a part is summed up on its own.
+    """
+    sums = s.groupBy(F.col("sort_part").alias("sums_of")).agg(*[F.sum(v).alias(f"sort_{v}") for v in values])
+    before = everything().orderBy("sums_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sums_of", *[F.coalesce(F.sum(f"sort_{v}").over(before), F.lit(0)).alias(f"sort_{v}") for v in values])
+    inside = Window.partitionBy("sort_part").orderBy("sort_id").rowsBetween(Window.unboundedPreceding, 0)
+    j = s.select("*", *[F.sum(v).over(inside).alias(f"{v}_upto") for v in values]).join(sums, F.col("sort_part") == F.col("sums_of"))
+    return j.select(*s.columns, *[(F.col(f"{v}_upto") + F.col(f"sort_{v}")).alias(f"{v}_upto") for v in values])
+
+
+def running(rows: DataFrame, order: list[str], values: list[str], down: bool = False) -> DataFrame:
+    """rows with a column v_upto per value: its sum over the rows up to and with this one, without one task for all rows."""
+    return running_in_order(in_order(rows, order, down), values).drop("sort_id", "sort_part")
 
 
 def quantiles(per: DataFrame, points: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import code, embeddings, match, model, regions, representations
+from ..operators import code, embeddings, logistic, match, model, regions, representations
 from ..operators import statistics as S
 from ..runtime import materialize, ship
 from .catalogue import _detection, big, efforts, fold_metrics, line_shares, pair_lines, quality_scores, query, r6, table
@@ -148,7 +148,7 @@ def lr_cv_detection(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     rows, terms = detection_grams(spark, sf)
     w = model.train_fit_tfidf(terms, rows.select(F.col("doc_id").alias("doc"), "repeat", "fold", "label"))
-    return rounded(per_fold(model.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
+    return rounded(per_fold(logistic.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
 
 
 @query
@@ -159,7 +159,7 @@ def fusion_cv(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
     own = rows.join(e.select("v"), F.col("doc_id") == F.col("v"), "left_semi").select(F.col("doc_id").alias("doc"), "repeat", "fold", "label")
     w = model.train_fit_tfidf(terms, own).join(e, F.col("doc") == F.col("v")).drop("v")
-    return rounded(per_fold(model.sparse_scores(w.withColumn("rep", F.lit("fused")))))
+    return rounded(per_fold(logistic.sparse_scores(w.withColumn("rep", F.lit("fused")))))
 
 
 def rounded(folds: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def detection_study(spark: SparkSession, sf: str) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    f = per_fold(model.sparse_scores(every))
+    f = per_fold(logistic.sparse_scores(every))
     return f.groupBy("rep").agg(F.count("*").alias("n_folds"), *[r6(agg(c)).alias(f"{c}_{n}") for c in ("f1", "ap") for n, agg in (("mean", F.avg), ("std", F.stddev_pop))])
 
 

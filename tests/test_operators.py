@@ -123,18 +123,6 @@ def test_average_precision_and_thresholds(spark):
     assert one(match.best_tau(match.tau_sweep(s, [0.05, 0.01]))).tau == 0.01  # the lowest on ties
 
 
-def test_nearest(spark):
-    q = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z")], "q bigint, feat string")
-    s = spark.createDataFrame([(7, "a"), (7, "c"), (8, "b"), (9, "a"), (9, "b"), (9, "d")], "s bigint, feat string")
-    assert [tuple(r) for r in match.nearest_containment(q, s).orderBy("q").collect()] == [(1, 8, 1.0), (2, None, 0.0)]
-    assert [tuple(r)[:2] for r in match.nearest_jaccard(q, s).orderBy("q").collect()] == [(1, 9), (2, None)]
-    v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(9)] + [(50, [0.0, 0.0])], "s bigint, v array<double>")
-    got = {r.q: (r.s, r.score) for r in match.nearest_cosine(v.withColumnRenamed("s", "q").where("q < 3"), v, block=2).collect()}
-    for i in range(3):
-        want = max(((math.cos(i - j), -j) for j in range(9) if j != i))
-        assert got[i] == (-want[1], pytest.approx(want[0]))
-
-
 def test_regions(spark):
     docs = spark.createDataFrame([(1, "a b\nx, a\nq\nr\nb a"), (2, "no sink")], "doc_id bigint, text string")
     lines = regions.explode_lines(docs)
@@ -193,11 +181,6 @@ def test_tfidf_and_models(spark):
     v = model.vocabulary(toks, 1)
     assert one(v).tok == "a"
     assert {r.doc: r.ids for r in model.encode_ids(toks, v, 4).collect()} == {1: [2, 2, 1, 0], 2: [1, 0, 0, 0]}
-    rng = random.Random(2)
-    rows = [(i, "r", 0, i % 5, int(i % 3 == 0), [float(i % 3 == 0) + rng.random(), rng.random()]) for i in range(90)]
-    sc = model.cross_validated_scores(spark.createDataFrame(rows, "row_id bigint, rep string, repeat bigint, fold bigint, label int, features array<double>"))
-    r = one(match.average_precision(sc.select("score", (F.col("label") == 1).alias("actual"))))
-    assert r.ap > 0.95 and sc.count() == 90
 
 
 def test_jsonl_and_sources(spark, tmp_path):

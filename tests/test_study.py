@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linefold import cli
 from linefold.functions import csource
 from linefold.functions.markup import xml_features
-from linefold.operators import code, embeddings, match, model, representations
+from linefold.operators import code, embeddings, logistic, match, model, representations
 from linefold.operators import statistics as S
 from linefold.sources import archives, documents
 
@@ -187,7 +187,7 @@ def test_train_fit_against_direct_computation(spark):
         assert np.allclose(x, want[r.fold][r.doc]) and r.test == ((r.doc // 3) % 5 == r.fold)
     # the scores, by gradient descent on the same objective
     y = np.array([k % 3 == 0 for k in range(60)], float)
-    scores = {(r.fold, r.row_id): r.score for r in model.sparse_scores(rows.withColumn("rep", F.lit("x"))).collect()}
+    scores = {(r.fold, r.row_id): r.score for r in logistic.sparse_scores(rows.withColumn("rep", F.lit("x"))).collect()}
     assert len(scores) == 60
     f = 0
     test = np.array([(k // 3) % 5 == f for k in range(60)])
@@ -240,17 +240,6 @@ def test_threshold_grids_against_brute_force(spark, grid):
     assert r.f1 == pytest.approx(best) and r.threshold == pytest.approx(min(t for t in cuts if f1(t) == best))
 
 
-def test_containment_in_blocks(spark):
-    rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in range(40)]
-    q = [(k, [str(w) for w in set(rng.choice(words, 12))]) for k in range(30)] + [(99, [])]
-    s = [(k, [str(w) for w in set(rng.choice(words, 5))]) for k in range(25)] + [(98, ["none"]), (97, [])]
-    qs, ss = spark.createDataFrame(q, "q bigint, feats array<string>"), spark.createDataFrame(s, "s bigint, feats array<string>")
-    want = {tuple(r) for r in match.nearest_containment(qs.select("q", F.explode("feats").alias("feat")), ss.select("s", F.explode("feats").alias("feat"))).collect()}
-    for block in (7, 1000):
-        assert {tuple(r) for r in match.nearest_containment_in_blocks(qs, ss, block).collect()} == want
-
-
 def test_command_lines(spark, sf, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "c_slice_table" in capsys.readouterr().out
     assert cli.main(["run", "nope", "--data", sf]) == 2
