@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 _OWNED: set[str] = set()
 _SCOPES: list[list[str]] = []
-_MADE: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,14 +53,15 @@ def own_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/linefold/{app}"
     if app not in _OWNED:
-        at, fs = _on_hadoop(spark, path)
+        at, fs = on_hadoop(spark, path)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
         _OWNED.add(app)
     return path
 
 
-def _on_hadoop(spark: SparkSession, path: str):
+def on_hadoop(spark: SparkSession, path: str):
+    """The path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -97,24 +96,6 @@ def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return append(df, path), path
 
 
-def once(df: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """make(df), written once per application for the files that df reads, as long as they do not change."""
-    spark = df.sparkSession
-    files = []
-    for f in sorted(df.inputFiles()):
-        at, fs = _on_hadoop(spark, f)
-        files.append((f, fs.getFileStatus(at).getModificationTime()))
-    key = (spark.sparkContext.applicationId, name, tuple(files), tuple(df.columns))
-    if key in _MADE:
-        out, path = _MADE[key]
-        at, fs = _on_hadoop(spark, path)
-        if fs.exists(at):
-            return out
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"  # outlives any scope
-    _MADE[key] = append(make(df), path), path
-    return _MADE[key][0]
-
-
 class Scope:
     """The tables written in a block, so that they can go together once their result stands.
 
@@ -141,5 +122,5 @@ class Scope:
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     for p in paths:
-        at, fs = _on_hadoop(spark, p)
+        at, fs = on_hadoop(spark, p)
         fs.delete(at, True)

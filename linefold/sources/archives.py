@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
+from . import zipped
 
 MEMBERS = "archive string, member string, content binary, sha256 string, length bigint, error string"
 _NAMES = ["archive", "member", "content", "sha256", "length", "error"]
@@ -68,10 +69,19 @@ def members(data: bytes, name: str, wanted: tuple[str, ...], max_bytes: int) ->
 def read_archives(spark: SparkSession, path: str, wanted: tuple[str, ...] = ("*",), max_bytes: int = 1 << 28) -> DataFrame:
     """(archive, member, content, sha256, length, error): a row per fitting member of all archives below a folder.
 
-    Archives are dealt over tasks whole (a file is at most 2 GB, as Spark's binary files
-    are); damaged ones give one row with the error and those members that could be read.
+    Members are dealt over tasks by their place in the archive, see zipped; damaged archives
+    give one row with the error and those members that could be read.
     """
     ship(spark)
+    names = zipped.archive_files(spark, path)
+    if not names or not zipped.readable(names[0]):
+        return _read_whole(spark, path, wanted, max_bytes)
+    chunks = zipped.read_chunks(spark, path, wanted, chunk_bytes=max_bytes + 1, split_bytes=max_bytes + 1, max_bytes=max_bytes)
+    return chunks.select("archive", "member", F.col("data").alias("content"), F.sha2("data", 256).alias("sha256"), F.octet_length("data").cast("bigint").alias("length"), "error")
+
+
+def _read_whole(spark: SparkSession, path: str, wanted: tuple[str, ...], max_bytes: int) -> DataFrame:
+    """As read_archives() for a store that only Spark reads: a task holds an archive, at most 2 GB as Spark's binary files are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{zip,tar,gz,tgz,bz2,xz}").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
