@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import salt
+from ..runtime import materialize
+from .statistics import numbered
 
 
 def hash_order(seed: str, key: str) -> Column:
@@ -60,30 +61,44 @@ def group_folds(rows: DataFrame, group: str, n: int = 5, seed: str = "group") ->
     return rows.withColumn("fold", F.pmod(salt(seed, F.coalesce(F.col(group).cast("string"), F.lit(""))), F.lit(n)))
 
 
-def stratified_group_folds(rows: DataFrame, group: str, label: str, n: int = 5) -> DataFrame:
-    """Greedy: groups by falling spread of label counts go to the fold that keeps labels evenest.
+def greedy(groups: list[tuple[int, int]], held: list[list[int]], total: tuple[int, int]) -> list[int]:
+    """Folds of groups (pos, neg), one after another: each to the fold where the squared shares of both labels grow least.
 
-    The greedy pass sees one row per group and label, not the rows.
+    held: (pos, neg) of every fold so far, kept up to date.  Ties go to the fold with fewer
+    rows, then to the first.  Whole numbers: exact at every size.
     """
-    counts = rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(spread=pdf[["pos", "neg"]].std(axis=1)).sort_values(["spread", "g"], ascending=[False, True])
-        total = pdf[["pos", "neg"]].sum().clip(lower=1)
-        held = [[0.0, 0.0] for _ in range(n)]
-        folds = []
-        for p, q in zip(pdf["pos"], pdf["neg"], strict=True):
-            def cost(k: int, p=p, q=q) -> tuple:
-                a = [(h[0] + (p if j == k else 0)) / total["pos"] for j, h in enumerate(held)]
-                b = [(h[1] + (q if j == k else 0)) / total["neg"] for j, h in enumerate(held)]
-                return (round(pd.Series(a).std(ddof=0) + pd.Series(b).std(ddof=0), 12), sum(held[k]), k)
-
-            k = min(range(n), key=cost)
-            held[k][0] += p
-            held[k][1] += q
-            folds.append(k)
-        return pd.DataFrame({"g": pdf["g"], "fold": folds})
-
-    table = counts.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: deal(pdf[["g", "pos", "neg"]]), "g string, fold bigint")
-    table = table.withColumnRenamed("g", "fold_group")
-    return rows.join(table, F.col(group).cast("string").eqNullSafe(F.col("fold_group"))).drop("fold_group")
+    pos, neg = max(1, total[0]), max(1, total[1])
+    out = []
+    for p, q in groups:
+        k = min(range(len(held)), key=lambda i: (held[i][0] * p * neg * neg + held[i][1] * q * pos * pos, sum(held[i]), i))
+        held[k][0] += p
+        held[k][1] += q
+        out.append(k)
+    return out
+
+
+def stratified_group_folds(rows: DataFrame, group: str, label: str, n: int = 5, heavy: int = 1000) -> DataFrame:
+    """rows with ``fold``: no group is split, and folds are even in the labels 0 and 1; rows of other labels go with their group and do not count.
+
+    Groups with more than 1 / heavy of all rows, fewer than ``heavy``, are dealt exactly, one
+    after another, to the fold that they upset least.  The long tail goes before them: by
+    falling size, then falling positives, dealt round in one order over all groups.  Sizes
+    fall along that order, so folds of the tail differ by at most one group of its largest
+    size in rows, and by at most the sum of its different sizes in positives; the heavy groups
+    then even this out.
+    """
+    g = F.col(group).cast("string")
+    counts = materialize(rows.groupBy(g.alias("g")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "group-counts")
+    pos, neg = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).collect()[0]
+    size = F.col("pos") + F.col("neg")
+    large = (size * heavy) > pos + neg
+    tail = numbered(counts.where(~large).withColumn("key", F.struct((-size).alias("size"), (-F.col("pos")).alias("pos"), "g")), "key")
+    tail = materialize(tail.select("g", F.pmod("place", F.lit(n)).cast("bigint").alias("fold"), "pos", "neg"), "group-tail")
+    held = [[0, 0] for _ in range(n)]
+    for r in tail.groupBy("fold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect():
+        held[r["fold"]] = [r["pos"], r["neg"]]
+    # fewer than ``heavy`` groups: each has more than that part of the rows
+    top = counts.where(large).orderBy(size.desc(), F.col("pos").desc(), F.col("g").asc_nulls_first()).collect()
+    dealt = [(r["g"], k) for r, k in zip(top, greedy([(r["pos"], r["neg"]) for r in top], held, (pos, neg)), strict=True)]
+    table = tail.select(F.col("g").alias("fold_group"), "fold").unionByName(rows.sparkSession.createDataFrame(dealt, "fold_group string, fold bigint"))
+    return rows.join(table, g.eqNullSafe(F.col("fold_group"))).drop("fold_group")

@@ -1,12 +1,8 @@
-"""Nearest signatures by inverted index, threshold sweeps, ranked metrics."""
+"""Threshold sweeps and ranked metrics over scores; nearest signatures are in nearest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -14,104 +10,6 @@ from ..functions import text as T
 from .statistics import quantiles, running
 
 
-def nearest_containment(queries: DataFrame, signatures: DataFrame) -> DataFrame:
-    """queries(q, feat), signatures(s, feat), both distinct -> (q, s, score): the best signature of each query.
-
-    score = |sig and query| / |sig|; the smallest s wins ties; queries without a common
-    feature get (null, 0).  An equi-join on the feature instead of all pairs.
-    """
-    size = signatures.groupBy("s").agg(F.count("*").alias("n"))
-    common = queries.join(signatures, "feat").groupBy("q", "s").agg(F.count("*").alias("c"))
-    scored = common.join(size, "s").withColumn("score", F.col("c") / F.col("n"))
-    best = scored.groupBy("q").agg(F.max(F.struct("score", (-F.col("s")).alias("m"))).alias("b")).select("q", (-F.col("b.m")).alias("s"), F.col("b.score").alias("score"))
-    return queries.select("q").distinct().join(best, "q", "left").select("q", "s", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def nearest_containment_in_blocks(queries: DataFrame, signatures: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """As nearest_containment(), for queries(q, feats), signatures(s, feats) with distinct features in arrays.
-
-    Queries without any feature are left out.  The signatures travel in blocks of at most
-    ``block`` features as an inverted index; each query is answered where it stands, so
-    nothing of the size of queries times signatures is ever made.
-    """
-    spark = queries.sparkSession
-    sized = signatures.select("s", F.size("feats").cast("bigint").alias("n")).where("n > 0")
-    placed = running(sized, ["s"], ["n"]).select(F.col("s").alias("own"), F.floor((F.col("n_upto") - F.col("n")) / block).alias("block"))
-    dealt = signatures.join(placed, F.col("s") == F.col("own")).select("block", "s", "feats")
-    n_blocks = 1 + (placed.agg(F.max("block")).collect()[0][0] or 0)
-    asked = queries.select("q", "feats").where(F.size("feats") > 0)
-    parts = []
-    for at in range(n_blocks):
-        # one block of the signatures, bounded by its features
-        rows = dealt.where(F.col("block") == at).select("s", "feats").orderBy("s").collect()
-        index: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for f in r["feats"]:
-                index.setdefault(f, []).append(i)
-        held = spark.sparkContext.broadcast((np.array([r["s"] for r in rows], np.int64), np.array([len(r["feats"]) for r in rows], float), {f: np.array(v, np.int32) for f, v in index.items()}))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, size, index = held.value
-            none = np.zeros(0, np.int32)
-            for b in batches:
-                found, score = [], []
-                for feats in b.column(1).to_pylist():
-                    hits = [index[f] for f in feats if f in index]
-                    c = np.bincount(np.concatenate(hits) if hits else none, minlength=len(ids)) / size if len(ids) else np.zeros(0)
-                    k = int(c.argmax()) if len(c) else -1
-                    found.append(int(ids[k]) if hits else None)
-                    score.append(float(c[k]) if hits else 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["q", "s", "score"])
-
-        parts.append(asked.mapInArrow(run, "q bigint, s bigint, score double"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = F.max(F.struct("score", (-F.col("s")).alias("m")))
-    return every.groupBy("q").agg(best.alias("b")).select("q", (-F.col("b.m")).alias("s"), F.col("b.score").alias("score"))
-
-
-def nearest_jaccard(queries: DataFrame, signatures: DataFrame) -> DataFrame:
-    """As nearest_containment(), by Jaccard similarity."""
-    ns, nq = signatures.groupBy("s").agg(F.count("*").alias("ns")), queries.groupBy("q").agg(F.count("*").alias("nq"))
-    common = queries.join(signatures, "feat").groupBy("q", "s").agg(F.count("*").alias("c"))
-    scored = common.join(ns, "s").join(nq, "q").withColumn("score", F.col("c") / (F.col("ns") + F.col("nq") - F.col("c")))
-    best = scored.groupBy("q").agg(F.max(F.struct("score", (-F.col("s")).alias("m"))).alias("b")).select("q", (-F.col("b.m")).alias("s"), F.col("b.score").alias("score"))
-    return nq.select("q").join(best, "q", "left").select("q", "s", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def nearest_cosine(queries: DataFrame, base: DataFrame, block: int = 512) -> DataFrame:
-    """queries(q, v), base(s, v) -> (q, s, score): the nearest other vector by cosine, smallest s on ties.
-
-    A stated query set against all rows: queries travel in blocks of matrix form, each
-    base partition answers with its best per query, and the best of those is kept.
-    """
-    numbered = queries.withColumn("blk", F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)))).cast("bigint"))
-    blocks = numbered.groupBy("blk").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-    chunks = base.groupBy(F.pmod(F.xxhash64("s"), F.greatest(F.lit(1), F.ceil(F.lit(base.count() / (8 * block))))).alias("chunk")).agg(F.collect_list(F.struct("s", "v")).alias("ss"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(rows: list[dict]) -> np.ndarray:
-            m = np.array([r["v"] for r in rows], float)
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-        for b in batches:
-            for qs, ss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ss = sorted(ss, key=lambda r: r["s"])
-                qi, si = np.array([r["q"] for r in qs]), np.array([r["s"] for r in ss])
-                sim = np.round(matrix(qs) @ matrix(ss).T, 9)
-                sim[qi[:, None] == si[None, :]] = -2
-                at = sim.argmax(axis=1)
-                keep = np.flatnonzero(sim[np.arange(len(qi)), at] > -2)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[keep]), pa.array(si[at[keep]]), pa.array(sim[keep, at[keep]])], names=["q", "s", "score"])
-
-    pairs = blocks.crossJoin(chunks).select("qs", "ss").mapInArrow(run, "q bigint, s bigint, score double")
-    return pairs.groupBy("q").agg(F.max(F.struct("score", (-F.col("s")).alias("m"))).alias("b")).select("q", (-F.col("b.m")).alias("s"), F.col("b.score").alias("score"))
-
-
 def tau_sweep(scores: DataFrame, taus: list[float]) -> DataFrame:
     """scores(score, actual boolean) -> one row per threshold with its confusion matrix and metrics.
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import code, folds, graph, match, model, regions
+from ..operators import code, folds, graph, match, model, nearest, regions
 from ..operators import statistics as S
-from ..runtime import materialize, once, ship
+from ..runtime import materialize, ship
 from ..sources import readers
 from ..streaming import windows
 
@@ -44,15 +44,13 @@ def docs_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return docs, regions.explode_lines(docs)
 
 
-
-
 def pair_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents of pairs, their lines, pairs): what a pair query needs of the corpus, and no more.
 
-    Pairs are a small table of ids, written once per application and state of the files; all further work is on the paired documents.
+    Pairs are a small table of ids, written before use; all further work is on the paired documents.
     """
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = once(docs, "pairs", regions.copy_pairs)
+    pairs = materialize(regions.copy_pairs(docs), "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("p_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     own = docs.join(ids, F.col("doc_id") == F.col("p_id"), "left_semi")
@@ -601,9 +599,8 @@ def delta_negative_control(spark: SparkSession, sf: str) -> DataFrame:
 def benchmark_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's nearest benchmark item by containment, and whether it holds the item's text."""
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
-    ship(spark)
     words = F.array_distinct(T.words(F.col("text")))
-    near = match.nearest_containment_in_blocks(docs.select(F.col("doc_id").alias("q"), words.alias("feats")), items.select(F.col("item_id").alias("s"), words.alias("feats")))
+    near = nearest.by_overlap(docs.select(F.col("doc_id").alias("q"), words.alias("feats")), items.select(F.col("item_id").alias("s"), words.alias("feats")))
     j = near.join(docs.select(F.col("doc_id").alias("q"), F.col("text").alias("dt")), "q").join(items.select(F.col("item_id").alias("s"), F.col("text").alias("it")), "s", "left")
     return j.select("q", "s", "score", F.coalesce(F.col("dt").contains(F.col("it")), F.lit(False)).alias("actual"))
 
@@ -630,8 +627,8 @@ def best_tau_and_fp_reduction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def nearest_jaccard_text(spark: SparkSession, sf: str) -> DataFrame:
     """Each benchmark item's nearest document by Jaccard similarity of word sets."""
-    words = lambda df, k, n: df.select(F.col(k).alias(n), F.explode(F.array_distinct(T.words(F.col("text")))).alias("feat"))
-    near = match.nearest_jaccard(words(table(spark, sf, "benchmark"), "item_id", "q"), words(table(spark, sf, "documents"), "doc_id", "s"))
+    words = lambda df, k, n: df.select(F.col(k).alias(n), F.array_distinct(T.words(F.col("text"))).alias("feats"))
+    near = nearest.by_overlap(words(table(spark, sf, "benchmark"), "item_id", "q"), words(table(spark, sf, "documents"), "doc_id", "s"), jaccard=True)
     return near.select(F.col("q").alias("item_id"), r6("score").alias("score"))
 
 
@@ -640,7 +637,7 @@ def nearest_jaccard_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest other vector of every vector whose id is divisible by 20, among all."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    near = match.nearest_cosine(q, e.select(F.col("vec_id").alias("s"), F.col("embedding").alias("v")))
+    near = nearest.by_angle(q, e.select(F.col("vec_id").alias("s"), F.col("embedding").alias("v")))
     return near.select(F.col("q").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
@@ -850,4 +847,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return region_mention_coverage(spark, sf)
 
 
-from . import study  # noqa: E402, F401  (registers its queries)
+from . import joins, study  # noqa: E402, F401  (register their queries)

@@ -344,4 +344,4 @@ r AS (SELECT 'length' AS name, 2 * count(*) FILTER (WHERE a AND y) / (2 * count(
 SELECT row_number() OVER (ORDER BY f1 DESC NULLS LAST, name) AS rank, name, round(f1, 6) AS f1 FROM r"""
 
 
-from . import study_oracle  # noqa: E402, F401  (adds its texts)
+from . import joins_oracle, study_oracle  # noqa: E402, F401  (add their texts)
