@@ -33,7 +33,7 @@ BLOCK_TAGS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe noframes xmp svg math object select button".split())
+RAW_TAGS = frozenset("script style textarea noscript template iframe noframes xmp svg select button".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head title search".split())
 HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role attributes that mark boilerplate.
@@ -53,8 +53,16 @@ STOP_WORDS = frozenset(
     "zu zum zur al como con del el ella entre era esta este ha hay las lo los más me mi muy no nos o para pero por sin sobre su sus también te tiene todo y ya".split()
 )
 
+#: Those of them that an article's own sections are named after too, as in legal-analysis: inside an article, parts of names
+#: with these are a vote beside the text's density, no verdict.
+DOUBTFUL_WORDS = frozenset(
+    "ad banner consent copyright disclaimer discussion hidden legal login menu notice notices overlay promotion recommendations related replies respond "
+    "search share sharing signup social subscription tags topbar widget widgets".split()
+)
 #: Parts of compound class names that speak of a page's layout or deny what follows.
 LAYOUT_WORDS = frozenset("no not has have with without is overflow content main page site article post entry body wrap wrapper container layout inner outer row col".split())
+#: Those that say whose comments follow, and deny nothing of them.
+OWNERS = frozenset("page article post entry".split())
 #: Text outside of boilerplate from which a page has an article without its marked wrappers.
 RESCUE_CHARS = 200
 
@@ -65,40 +73,45 @@ CALLS = frozenset(
 )
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The first quote of a tag.
+_QUOTE = re.compile(r"<[^<>\"']*+([\"'])")
 #: A tag whose quotes or bracket never close: it ends at the next bracket.
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>?")
 _BLOCK_EDGE = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 _END_OF = {t: re.compile(rf"</{t}(?:\s[^<>]*)?/?>", re.I) for t in RAW_TAGS}
-INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var video audio".split())
+INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math object q s samp small span strike strong sub sup time tt u var video audio".split())
 #: A run of inline tags that no bracket closes.
 _LOOSE_RUN = re.compile(rf"(?:</?(?:{'|'.join(sorted(INLINE_TAGS))})(?=[\s/<])[^<>]*(?=<|\Z))+", re.I)
-#: Tags with unclosed quotes after which the quotes of a page are not trusted any more.
-MAX_BROKEN = 32
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.I)
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
-def _boiler_attrs(attrs: str, tag: str = "div") -> bool:
+def _boiler_attrs(attrs: str, tag: str = "div") -> tuple[bool, bool]:
+    """Whether attributes mark boilerplate, and whether they only may: by a part of a name that articles use as well."""
+    may = False
     if tag in ("html", "body") or not attrs or ("=" not in attrs and "hidden" not in attrs):
-        return False
+        return False, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return True, False
             continue
         if tag == "main":
             continue
         for w in value.split():
             if w in BOILER_WORDS:
-                return True
+                return True, False
             said = set(re.split(r"[-_]+", w))
-            if tag != "article" and said & BOILER_WORDS and not said & LAYOUT_WORDS:
-                return True
-    return False
+            denied = said & (LAYOUT_WORDS - OWNERS if said & {"comment", "comments"} else LAYOUT_WORDS)
+            if tag != "article" and said & BOILER_WORDS and not denied:
+                if said & BOILER_WORDS - DOUBTFUL_WORDS:
+                    return True, False
+                may = True
+    return False, may
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -106,7 +119,8 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 
     A generator that may be told, by send(), to go on from a later place.
     """
-    at, n, broken, no_cdata = 0, len(page), 0, False
+    at, n, no_cdata = 0, len(page), False
+    last = {q: page.rfind(q) for q in "\"'"}
     while True:
         i = page.find("<", at)
         if i < 0 or i + 1 >= n:
@@ -126,13 +140,12 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                     end = page.find(">", i) + 1 or n
             sent = yield i, end, "", False, ""
         else:
-            m = _TAG.match(page, i) if broken <= MAX_BROKEN else None
+            quote = _QUOTE.match(page, i)
+            # a quote that is the page's last of its kind never closes: it is not looked for up to the end
+            m = None if quote and last[quote[1]] == quote.start(1) else _TAG.match(page, i)
             if m is None:
                 run = _LOOSE_RUN.match(page, i)
                 m = None if run else _LOOSE_TAG.match(page, i)
-                here = run or m
-                # signs of less-than cost nothing; quotes that never close are looked for up to the end
-                broken += bool(here) and any(page.find(q, i, here.end()) >= 0 for q in "\"'")
                 if run:
                     at = run.end()
                     yield i, at, "", False, ""
@@ -152,8 +165,9 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, linked characters, and where they stand."""
     out: list[dict] = []
-    # tag, innermost block tag, innermost boilerplate element or 0, in main; all from the top down
-    stack: list[tuple[str, str, int, bool]] = []
+    # tag, innermost block tag, innermost boilerplate element or 0, in main, innermost doubtful element or 0; all from the top down
+    stack: list[tuple[str, str, int, bool, int]] = []
+    doubts = 0
     opened: Counter[str] = Counter()
     # boilerplate elements, numbered from 1: the one around, whether it may wrap a whole page, first block, end
     marks: list[list] = [[0, False, 0, 0]]
@@ -163,13 +177,18 @@ def blocks_of(page: str) -> list[dict]:
     link: int | None = None  # how many elements were open when the link began
 
     def push(tag: str, attrs: str, main: bool = False) -> None:
-        _, block, around, inside = stack[-1] if stack else ("", "body", 0, False)
+        nonlocal doubts
+        _, block, around, inside, doubt = stack[-1] if stack else ("", "body", 0, False, 0)
         own = tag in BOILER_TAGS or (tag == "header" and not inside)
-        if own or _boiler_attrs(attrs, tag):
+        marked, may = _boiler_attrs(attrs, tag)
+        if may and inside and not own and not marked:
+            doubts += 1
+            doubt = doubt or doubts
+        elif own or marked or may:
             # marked by attributes, or a form: may wrap a whole page
             marks.append([around, tag == "form" or not own, len(out), -1])
             around = len(marks) - 1
-        stack.append((tag, tag if tag in BLOCK_TAGS else block, around, inside or main))
+        stack.append((tag, tag if tag in BLOCK_TAGS else block, around, inside or main, doubt))
         opened[tag] += 1
 
     def flush() -> None:
@@ -177,8 +196,8 @@ def blocks_of(page: str) -> list[dict]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                _, block, around, inside = stack[-1] if stack else ("", "body", 0, False)
-                out.append({"text": text, "linked": linked, "mark": around, "main": inside, "tag": block})
+                _, block, around, inside, doubt = stack[-1] if stack else ("", "body", 0, False, 0)
+                out.append({"text": text, "linked": linked, "mark": around, "main": inside, "tag": block, "doubt": doubt})
             parts.clear()
         linked = 0
 
@@ -186,7 +205,7 @@ def blocks_of(page: str) -> list[dict]:
         """Close the innermost element of that name and all inside it."""
         nonlocal link
         while opened[tag]:
-            name, _, around, _ = stack.pop()
+            name, _, around, *_ = stack.pop()
             opened[name] -= 1
             if around != (stack[-1][2] if stack else 0):
                 marks[around][3] = len(out)
@@ -236,7 +255,7 @@ def blocks_of(page: str) -> list[dict]:
             link = len(stack) if not closing and "href" in attrs.lower() else None
             continue
         if tag not in BLOCK_TAGS:
-            if not closing and tag not in VOID_TAGS and _boiler_attrs(attrs):
+            if not closing and tag not in VOID_TAGS and any(_boiler_attrs(attrs)):
                 flush()
                 push(tag, attrs)
             elif closing and opened[tag]:
@@ -312,19 +331,21 @@ def classify(blocks: list[dict], *, short: int = 70, long: int = 200, link_max:
 def _passes(blocks: list[dict], inside: bool, lone: bool, *, short: int, long: int, link_max: float, stop_low: float, stop_high: float) -> list[bool]:
     """Both passes over blocks of one side; lone: nothing else of the page is article text."""
     labels: list[str] = []
+    said = []
     for b in blocks:
-        n = len(b["text"])
-        density = b["linked"] / n
         words = _WORD.findall(b["text"].lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b["boiler"] or " ".join(words) in CALLS:
+        said.append((len(b["text"]), b["linked"] / len(b["text"]), sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0, " ".join(words)))
+    # a doubtful element is the article's own if a paragraph of prose stands in it
+    prose = {b.get("doubt", 0) for b, (n, density, stops, _) in zip(blocks, said, strict=True) if n >= short and stops >= stop_low and density <= 0.2}
+    for b, (n, density, stops, words) in zip(blocks, said, strict=True):
+        if b["boiler"] or words in CALLS or b.get("doubt", 0) not in prose | {0}:
             # inside, such blocks say nothing of their neighbours
             labels.append("out" if inside else "bad")
         elif inside and density <= link_max:
             # the page names its article: half the stop words, or the length of a paragraph with few links, will do
             labels.append("good" if stops >= stop_low / 2 or (n >= short and density <= 0.2) else "short")
-        elif inside and n < short:
-            # short linked lines inside stay undecided
+        elif inside and (n < short or (b["tag"] == "p" and stops >= stop_low)):
+            # short linked lines inside, and linked paragraphs of prose, stay undecided
             labels.append("short")
         elif density > link_max:
             labels.append("bad")
