@@ -16,7 +16,7 @@ import functools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,25 +31,58 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
     ("gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
+    ("lesser general public license", "lgpl"),
+    ("affero general public license", "agpl"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
     ("licensed under the bsd license", "bsd"),
     ("mozilla public license", "mpl"),
     ("eclipse public license", "epl"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by nd 4 0", "cc-by-nd"),
-    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
-    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
-    ("creative commons attribution", "cc-by"),
     ("creative commons zero", "cc0"),
+    ("cc0 1 0 universal", "cc0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("boost software license version 1 0", "bsl"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("python software foundation license", "psf"),
+    ("sil open font license", "ofl"),
+    ("open database license", "odbl"),
+    ("artistic license 2 0", "artistic"),
+    ("gnu free documentation license", "gfdl"),
 )
-# Words of two or three letters that make one notice another.
-TELLING = frozenset("sa nc nd mit bsd isc mpl epl gpl".split())
+# Identifiers behind "spdx license identifier", their label.
+SPDX = (
+    ("mit", "mit"), ("apache 2 0", "apache"), ("gpl 2 0", "gpl"), ("gpl 3 0", "gpl"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"),
+    ("mpl 2 0", "mpl"), ("epl 2 0", "epl"), ("isc", "isc"), ("cc0 1 0", "cc0"), ("unlicense", "unlicense"),
+)
+# The terms of a Creative Commons licence, short and as their names are written.
+CC_TERMS = {
+    "nc": ("noncommercial", "non commercial"),
+    "nd": ("noderivatives", "no derivatives", "noderivs", "no derivs", "no derivative works"),
+    "sa": ("sharealike", "share alike"),
+}
+CC_KINDS = ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd"))
+# Short words that make one notice another.
+TELLING = frozenset("sa nc nd mit bsd isc mpl epl gpl lgpl agpl cc0".split())
+
+
+def cc_notices() -> Iterator[tuple[str, str]]:
+    """The short and long names of the Creative Commons licences, in every spelling of their terms."""
+    for kind in CC_KINDS:
+        label = "-".join(("cc-by", *kind))
+        short = " ".join(("cc by", *kind))
+        yield f"licensed under {short} 4 0", label
+        yield f"spdx license identifier {short} 4 0", label
+        if kind:
+            yield f"{short} 4 0", label
+        for names in product(*(CC_TERMS[t] for t in kind)):
+            yield " ".join(("creative commons attribution", *names)), label
+
+
+#: All notices of a scan.
+EVERY = (*NOTICES, *((f"spdx license identifier {x}", label) for x, label in SPDX), *cc_notices())
+#: What goes on a name: a shorter name before it is not meant.
+_GOES_ON = re.compile(r" (?:sa|nc|nd|non ?commercial|share ?alike|no ?deriv\w*)(?![^ ])")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SEP = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 _WORDS = re.compile(f"[^{_SEP}]+")
@@ -92,11 +125,12 @@ def _compiled(notices: tuple, rate: float):
     return auto, pats
 
 
-def fuzzy_spans(canonical: str, notices: tuple = NOTICES, rate: float = 0.08) -> list[tuple[str, int, int, int]]:
+def fuzzy_spans(canonical: str, notices: tuple = EVERY, rate: float = 0.08) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of notices in text whose words are joined by one space.
 
     Of overlapping places of one notice, the first with the fewest edits is reported;
-    notices of one label that hold at one span report it once.
+    notices of one label that hold at one span report it once.  Where places of different
+    labels overlap, the longest notice wins: a name that another one goes on from is not meant.
     """
     auto, pats = _compiled(notices, rate)
     windows: dict[int, list[list[int]]] = {}
@@ -117,9 +151,27 @@ def fuzzy_spans(canonical: str, notices: tuple = NOTICES, rate: float = 0.08) ->
         label, n, k, pat, own = pats[i]
         for lo, hi in spans:
             for m in pat.finditer(canonical, lo, hi):
-                if telling(m[0]) == own:
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
+                if telling(m[0]) == own and not (label.startswith("cc-") and _GOES_ON.match(canonical, m.end())):
+                    out.append((n, label, m.start(), m.end(), sum(m.fuzzy_counts)))
+    return longest(out)
+
+
+def longest(found: list[tuple[int, str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """(label, start, end, edits) of places (length of the notice, ...) that no longer notice of another label overlaps."""
+    found = sorted(set(found), key=lambda x: (x[2], x[3], x[1]))
+    reach = max((x[3] - x[2] for x in found), default=0)
+    out, first = {}, 0
+    for n, label, start, end, edits in found:
+        while found[first][2] + reach < start:
+            first += 1
+        beaten = False
+        for m, other, a, b, _ in islice(found, first, None):
+            if a >= end:
+                break
+            beaten = beaten or (b > start and other != label and m > n)
+        if not beaten:
+            out[label, start, end] = min(edits, out.get((label, start, end), edits))
+    return sorted(((*k, e) for k, e in out.items()), key=lambda x: (x[1], x[2], x[0]))
 
 
 @functools.lru_cache(maxsize=256)
@@ -127,7 +179,7 @@ def pieces_cache(notice: str, k: int) -> dict[int, str]:
     return dict(pieces_of(notice, k))
 
 
-def scan_text(text: str | None, notices: tuple = NOTICES, rate: float = 0.08) -> dict:
+def scan_text(text: str | None, notices: tuple = EVERY, rate: float = 0.08) -> dict:
     """Words, base places, labels, score and fuzzy spans (in words) of one text."""
     low = (text or "").translate(_LOWER)
     words = _WORDS.findall(low)
@@ -166,7 +218,7 @@ SCHEMA = (
 )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple = NOTICES, rate: float = 0.08) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple = EVERY, rate: float = 0.08) -> DataFrame:
     """One row per document: id and the fields of scan_text()."""
     ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
