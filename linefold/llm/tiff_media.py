@@ -3,9 +3,8 @@
 Reader: little and big endian, strips and tiles, no compression, PackBits, LZW and
 deflate, predictors 1 and 2, 8-bit samples, any number of pages.  Writer: the same but
 big endian.  Texts become pages of at most PAGE_ROWS rows, so no page needs unbounded
-memory; how a page is packed follows from its height: LZW strips up to LZW_ROWS, PackBits
-strips up to PACKBITS_ROWS, deflate strips with predictor 2 up to TILE_ROWS, and deflate
-tiles beyond.
+memory; how a file is packed follows from a checksum of its payload, so that every packing
+meets texts of every length and equal texts are packed alike.
 
 Defined cases: null text counts as empty and gives one block of 192 spaces; rows are
 independent; extra columns are ignored; a damaged file, a predictor or a sample format that
@@ -30,7 +29,6 @@ from ..runtime import ship
 BLOCK = 192
 WIDTH, SAMPLES = 64, 3
 PAGE_ROWS = 4096
-LZW_ROWS, PACKBITS_ROWS, TILE_ROWS = 2, 4, 64
 #: Samples of a page that the reader takes memory for.
 MAX_BYTES = 1 << 28
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -56,104 +54,114 @@ def packbits_decode(data: bytes, limit: int = MAX_BYTES) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            out += bytes((257 - (j - i), data[i]))
-            i = j
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
-    return bytes(out)
+    """Runs of three and more bytes as a count and the byte, all else as it is, in packets of at most 128."""
+    x = np.frombuffer(data, np.uint8)
+    if not len(x):
+        return b""
+    start = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+    size = np.diff(start)
+    out, at = [], 0
+
+    def plain(lo: int, hi: int) -> None:
+        for i in range(lo, hi, 128):
+            out.append(bytes((min(128, hi - i) - 1,)) + data[i : min(hi, i + 128)])
+
+    for k in np.flatnonzero(size >= 3):
+        lo, n = int(start[k]), int(size[k])
+        plain(at, lo)
+        at = lo + n
+        full, rest = divmod(n, 128)
+        out.append(bytes((129, data[lo])) * full)
+        if rest >= 2:
+            out.append(bytes((257 - rest, data[lo])))
+        elif rest:
+            at -= 1
+    plain(at, len(x))
+    return b"".join(out)
+
+
+#: Fixed by the format: how wide each code behind a clear code is; the width grows one code early.
+_LZW_MOST = 4095 - 258
+_LZW_WIDTHS = np.array([9 + (258 + j > 511) + (258 + j > 1023) + (258 + j > 2047) for j in range(_LZW_MOST + 2)])
+
+
+def lzw_codes(data: bytes) -> Iterator[np.ndarray]:
+    """The codes between clear codes, all of a stretch read at once: a code's width follows from its place."""
+    x = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    ends = np.cumsum(_LZW_WIDTHS)
+    at, bits = 0, 8 * len(data)
+    while at < bits:
+        here = at + ends - _LZW_WIDTHS
+        here, width = here[at + ends <= bits], _LZW_WIDTHS[at + ends <= bits]
+        if not len(here):
+            return
+        k = here >> 3
+        code = ((x[k] << 16 | x[k + 1] << 8 | x[k + 2]) >> (24 - (here & 7) - width)) & ((1 << width) - 1)
+        stop = np.flatnonzero((code == 256) | (code == 257))
+        if not len(stop):
+            yield code
+            return
+        yield code[: stop[0]]
+        if code[stop[0]] == 257:
+            return
+        at = int(here[stop[0]] + width[stop[0]])
 
 
 def lzw_decode(data: bytes, limit: int = MAX_BYTES) -> bytes:
     """TIFF's LZW: most significant bit first, code width grows one code early."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, out = list(first), []
-    width, prev, bits, have, size_out = 9, None, 0, 0, 0
-    for byte in data:
-        bits = (bits << 8) | byte
-        have += 8
-        if have < width:
-            continue
-        have -= width
-        code = bits >> have
-        bits &= (1 << have) - 1
-        if code == 256:
-            table, width, prev = list(first), 9, None
-            continue
-        if code == 257:
-            break
-        if prev is None:
-            if code > 255:
-                raise ValueError("LZW code out of range")
-            entry = table[code]
-        else:
+    out, size = [], 0
+    for codes in lzw_codes(data):
+        table, prev = list(first), b""
+        for code in codes.tolist():
             if code < len(table):
                 entry = table[code]
-            elif code == len(table):
+            elif code == len(table) and prev:
                 entry = prev + prev[:1]
             else:
                 raise ValueError("LZW code out of range")
-            table.append(prev + entry[:1])
-            size = len(table)
-            if size in (511, 1023, 2047):
-                width += 1
-        out.append(entry)
-        prev = entry
-        size_out += len(entry)
-        if size_out >= limit:
-            break
+            if prev:
+                table.append(prev + entry[:1])
+            out.append(entry)
+            prev = entry
+            size += len(entry)
+            if size >= limit:
+                return b"".join(out)
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, bits, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, have
-        bits = (bits << width) | code
-        have += width
-        while have >= 8:
-            have -= 8
-            out.append((bits >> have) & 255)
-            bits &= (1 << have) - 1
-
-    table = {bytes((i,)): i for i in range(256)}
-    nxt, width, w = 258, 9, b""
-    put(256, width)
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table:
-            w += c
+    """Codes of prefix and byte, with a clear code where the table is full; all codes become bits at once."""
+    codes, places = [256], [0]
+    table: dict[int, int] = {}
+    w, n = -1, 0  # the code so far; codes since the last clear code
+    for c in data:
+        if w < 0:
+            w = c
+            continue
+        key = w << 8 | c
+        found = table.get(key)
+        if found is not None:
+            w = found
             continue
-        put(table[w], width)
-        table[w + c] = nxt
-        nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
-        elif nxt == 4095:
-            put(256, width)
-            table = {bytes((i,)): i for i in range(256)}
-            nxt, width = 258, 9
+        codes.append(w)
+        places.append(n)
+        table[key] = 258 + n
+        n += 1
+        if n == _LZW_MOST:
+            codes.append(256)
+            places.append(n)
+            table, n = {}, 0
         w = c
-    if w:
-        put(table[w], width)
-        nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
-    put(257, width)
-    if have:
-        out.append((bits << (8 - have)) & 255)
-    return bytes(out)
+    if w >= 0:
+        codes.append(w)
+        places.append(n)
+        n += 1
+    codes.append(257)
+    places.append(n)
+    width = _LZW_WIDTHS[places]
+    code, bit = np.repeat(np.array(codes), width), np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    return np.packbits((code >> (np.repeat(width, width) - 1 - bit)) & 1).tobytes()
 
 
 def _decode(kind: int, data: bytes, limit: int) -> bytes:
@@ -329,18 +337,23 @@ def pad(data: bytes, block: int = BLOCK) -> bytes:
     return data.ljust(max(block, -(-len(data) // block) * block), b" ")
 
 
-def packing_of(rows: int) -> dict[str, int]:
-    """How a file whose first page has so many rows is packed."""
-    if rows <= LZW_ROWS:
-        return {"compression": LZW, "predictor": 1}
-    if rows <= PACKBITS_ROWS:
-        return {"compression": PACKBITS, "predictor": 1}
-    return {"compression": DEFLATE, "predictor": 2, "tile": TILE_ROWS if rows > TILE_ROWS else 0}
+#: The packings, dealt evenly.
+PACKINGS = (
+    {"compression": LZW, "predictor": 1},
+    {"compression": PACKBITS, "predictor": 1},
+    {"compression": DEFLATE, "predictor": 2},
+    {"compression": DEFLATE, "predictor": 2, "tile": 64},
+)
+
+
+def packing_of(payload: bytes) -> dict[str, int]:
+    """How a payload is packed: by its checksum."""
+    return PACKINGS[zlib.crc32(payload) % len(PACKINGS)]
 
 
-def to_tiff(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
+def to_tiff(payload: bytes, page_rows: int = PAGE_ROWS, packing: dict[str, int] | None = None) -> bytes:
     img = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, SAMPLES)
-    return write_tiff([img[y : y + page_rows] for y in range(0, len(img), page_rows)], **packing_of(min(len(img), page_rows)))
+    return write_tiff([img[y : y + page_rows] for y in range(0, len(img), page_rows)], **(packing or packing_of(payload)))
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
