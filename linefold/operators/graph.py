@@ -1,44 +1,57 @@
-"""Line graphs: sequential, shared-identifier and control edges, normalisation, propagation."""
+"""Line graphs: sequential, shared-identifier and control edges, normalisation, propagation.
+
+A document's graph is an array in its row, so nothing is shuffled and nothing joined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def line_graph(lines: DataFrame, header: Column, max_nodes: int = 80, ahead: int = 3) -> DataFrame:
-    """(doc_id, a, b), a < b: edges between the first max_nodes lines of a document.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often, and in whatever lambda, body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def later(text: Column, header: Callable[[Column], Column], max_nodes: int = 80, ahead: int = 3) -> Column:
+    """The graph of a text's first max_nodes lines: for each line the later ones that it has edges to.
 
     Sequential neighbours, lines that share an identifier, and header lines with the next
     ``ahead``.  max_nodes is the graph's defined size; it also bounds the shared edges.
     """
-    nodes = lines.where(F.col("line_idx") < max_nodes)
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
-    steps = nodes.select("doc_id", F.col("line_idx").alias("a"), header.alias("h"), *[F.lead("line_idx", k).over(w).alias(f"n{k}") for k in range(1, ahead + 1)])
-    seq = steps.where("n1 is not null").select("doc_id", "a", F.col("n1").alias("b"))
-    ctl = steps.where("h").select("doc_id", "a", F.explode(F.array(*[f"n{k}" for k in range(1, ahead + 1)])).alias("b")).where("b is not null")
-    toks = nodes.select("doc_id", F.col("line_idx"), F.explode(F.array_distinct(T.idents(F.col("line")))).alias("tok"))
-    x, y = toks.select("doc_id", "tok", F.col("line_idx").alias("a")), toks.select("doc_id", "tok", F.col("line_idx").alias("b"))
-    shared = x.join(y, ["doc_id", "tok"]).where("a < b").select("doc_id", "a", "b")
-    return seq.unionByName(ctl).unionByName(shared).distinct()
-
-
-def normalized_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, a, b, w): both directions and self loops, weighted 1 / sqrt(d_a d_b)."""
-    loops = nodes.select("doc_id", F.col("node").alias("a"), F.col("node").alias("b"))
-    full = edges.select("doc_id", "a", "b").unionByName(edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops).distinct()
-    degree = full.groupBy("doc_id", "a").agg(F.count("*").alias("d"))
-    j = full.join(degree, ["doc_id", "a"]).withColumnRenamed("d", "da").join(degree.select("doc_id", F.col("a").alias("b"), F.col("d").alias("db")), ["doc_id", "b"])
-    return j.select("doc_id", "a", "b", (1 / F.sqrt(F.col("da") * F.col("db"))).alias("w"))
-
-
-def propagate(adjacency: DataFrame, values: DataFrame) -> DataFrame:
-    """values(doc_id, node, x) -> (doc_id, node, x): the weighted sum over neighbours."""
-    j = adjacency.join(values.select("doc_id", F.col("node").alias("b"), "x"), ["doc_id", "b"])
-    return j.groupBy("doc_id", F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-
-
-def pool(values: DataFrame) -> DataFrame:
-    return values.groupBy("doc_id").agg(F.avg("x").alias("mean_x"), F.max("x").alias("max_x"))
+
+    def edges(nodes: Column) -> Column:
+        told = F.transform(nodes, lambda line: F.struct(F.array_distinct(T.idents(line)).alias("toks"), header(line).alias("head")))
+        return let(told, lambda t: F.transform(t, lambda x, i: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: (j > i) & ((j == i + 1) | (x["head"] & (j <= i + ahead)) | F.arrays_overlap(x["toks"], F.get(t, j)["toks"])))))
+
+    return F.when(F.size(T.lines(text)) > 0, let(F.slice(T.lines(text), 1, max_nodes), edges)).otherwise(F.array().cast("array<array<int>>"))
+
+
+def around(later_nodes: Column) -> Column:
+    """Both directions and loops: for each node all that it has an edge with, and itself."""
+
+    def near(up: Column) -> Column:
+        return F.transform(up, lambda own, i: F.concat(F.filter(F.sequence(F.lit(0), i), lambda j: (j == i) | F.array_contains(F.get(up, j), i)), own))
+
+    return let(later_nodes, near)
+
+
+def weights(near: Column) -> Column:
+    """For each node the normalised weights of around(), in its order: 1 / sqrt(d_a d_b)."""
+    return let(F.transform(near, lambda n: F.size(n).cast("double")), lambda d: F.transform(near, lambda n, i: F.transform(n, lambda j: 1 / F.sqrt(F.get(d, i) * F.get(d, j)))))
+
+
+def spread(near: Column, x: Column) -> Column:
+    """One step of propagation: for each node the weighted sum of x over around()."""
+    return let(F.struct(near.alias("n"), x.alias("x")), lambda s: F.zip_with(s["n"], weights(s["n"]), lambda n, w: F.aggregate(F.zip_with(n, w, lambda j, v: v * F.get(s["x"], j)), F.lit(0.0), lambda a, y: a + y)))
+
+
+def line_graph(docs: DataFrame, header: Callable[[Column], Column], max_nodes: int = 80, ahead: int = 3) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, a, b), a < b: the edges of every document's graph as rows."""
+    up = docs.select("doc_id", F.posexplode(later(F.col("text"), header, max_nodes, ahead)).alias("a", "up"))
+    return up.select("doc_id", F.col("a").cast("bigint").alias("a"), F.explode(F.col("up").cast("array<bigint>")).alias("b"))

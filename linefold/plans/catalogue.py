@@ -118,21 +118,22 @@ def fingerprint_sha(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-GATE_COLUMNS = [
-    ("fixes", "func_before"), ("fixes", "func_after"), ("fixes", "vul"), ("fixes", "CWE ID"), ("fixes", "project"), ("texts", "doc_id"), ("texts", "text"), ("texts", "lang"),
-    ("faces", "image"), ("faces", "label"), ("mixed", "text"), ("mixed", "image"), ("odd", "zzz"),
-]
+GATE_TABLES = ("customer", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
 GATE_MARKERS = [
-    ("code", 1, "funcbefore"), ("code", 1, "funcafter"), ("code", 1, "vul"), ("code", 1, "cweid"), ("text", 2, "text"), ("text", 2, "sentence"), ("text", 2, "lang"),
-    ("image", 3, "image"), ("image", 3, "pixels"), ("tabular", 4, "label"),
+    ("code", 1, "funcbefore"), ("code", 1, "funcafter"), ("code", 1, "vul"), ("text", 2, "text"), ("text", 2, "sentence"), ("text", 2, "lang"), ("text", 2, "html"),
+    ("vector", 3, "embedding"), ("image", 4, "image"), ("image", 4, "pixels"), ("tabular", 5, "label"), ("tabular", 5, "quality"), ("tabular", 5, "cacctbal"),
+]
+GATE_REQUIRED = [
+    ("code", "before", "funcbefore"), ("code", "label", "vul"), ("text", "text", "text"), ("text", "id", "docid"), ("text", "id", "itemid"), ("text", "order", "turn"), ("text", "order", "docid"),
+    ("vector", "id", "vecid"), ("vector", "vector", "embedding"), ("vector", "group", "group"), ("tabular", "label", "quality"), ("tabular", "label", "cmktsegment"), ("tabular", "split", "split"),
 ]
-GATE_REQUIRED = [("code", "before", "funcbefore"), ("code", "label", "vul"), ("code", "label", "target"), ("text", "text", "text"), ("text", "id", "id"), ("text", "id", "docid"), ("image", "image", "image"), ("image", "label", "label")]
 
 
 @query
 def schema_gate_modality(spark: SparkSession, sf: str) -> DataFrame:
-    """Modality of a column list by marker hits, and the required columns it lacks."""
-    return readers.schema_gate(spark.createDataFrame(GATE_COLUMNS, "dataset string, col string"), spark.createDataFrame(GATE_MARKERS, "modality string, prio int, marker string"), spark.createDataFrame(GATE_REQUIRED, "modality string, need string, alias string"))
+    """Modality of each table by marker hits among its columns, and the required columns it lacks."""
+    columns = [(t, c) for t in GATE_TABLES for c in readers.columns_of(spark, f"{sf}/{t}.parquet")]
+    return readers.schema_gate(spark.createDataFrame(columns, "dataset string, col string"), spark.createDataFrame(GATE_MARKERS, "modality string, prio int, marker string"), spark.createDataFrame(GATE_REQUIRED, "modality string, need string, alias string"))
 
 
 @query
@@ -407,22 +408,18 @@ def textual_reaching_definitions(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_edges"), F.count_if(F.col("nb") == 0).alias("n_fallback"))
 
 
-SNIPPETS = [
-    (1, "int sum(int *a, int n) {\n  int s = 0;\n  for (int i = 0; i < n; i++) {\n    s += a[i];\n  }\n  return s;\n}\n"),
-    (2, "void copy(char *dst, const char *src) {\n  int n;\n  n = strlen(src);\n  if (n > 10) {\n    log_it();\n    n = 10;\n  }\n  memcpy(dst, src, n);\n}\n"),
-    (3, "int pick(int k) {\n  int r;\n  switch (k) {\n  case 1:\n    r = 2;\n    break;\n  default:\n    r = 0;\n  }\n  do {\n    r--;\n  } while (r > 0);\nout:\n  return r;\n}\n"),
-    (4, ""),
-    (5, "not code at all"),
-    (6, "static void f(struct s *p)\n{\n  int x = 1;\n  if (!p)\n    return;\n  else {\n    p->v = x;\n  }\n#ifdef A\n  g(p);\n#endif\n}\n"),
-]
+def _functions(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, code): the table of functions that the slicing queries read."""
+    from .study import order_functions
+
+    return order_functions(spark, sf)
 
 
 @query
 def c_statement_units(spark: SparkSession, sf: str) -> DataFrame:
     """Statement units of code: lines, definitions, uses, sink reasons, enclosing predicates."""
     ship(spark)
-    s = spark.createDataFrame(SNIPPETS, "id bigint, code string").coalesce(1)  # six constant rows
-    u = s.select("id", F.explode(code.statement_units(F.col("code"))).alias("u"))
+    u = _functions(spark, sf).select("id", F.explode(code.statement_units(F.col("code"))).alias("u"))
     join = lambda c: F.array_join(c, ",")
     return u.select("id", big("u.sid").alias("sid"), big("u.start_line").alias("start_line"), big("u.end_line").alias("end_line"), join("u.defs").alias("defs"), join("u.uses").alias("uses"), join("u.reasons").alias("reasons"), "u.is_pred")
 
@@ -431,10 +428,9 @@ def c_statement_units(spark: SparkSession, sf: str) -> DataFrame:
 def c_backward_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Slices of code under criterion tiers and dependence kinds, forward regions, depths and normal forms."""
     ship(spark)
-    s = spark.createDataFrame(SNIPPETS, "id bigint, code string").coalesce(1)  # six constant rows
     c = F.col("code")
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    out = s.select("id", code.backward_slice()(c).alias("b"), code.backward_slice("memory")(c).alias("m"), code.backward_slice("all", ("data",))(c).alias("d"), code.forward_region(c).alias("f"), code.normalized(c).alias("norm"))
+    out = _functions(spark, sf).select("id", code.backward_slice()(c).alias("b"), code.backward_slice("memory")(c).alias("m"), code.backward_slice("all", ("data",))(c).alias("d"), code.forward_region(c).alias("f"), code.normalized(c).alias("norm"))
     return out.select("id", text("b.kept").alias("slice"), text("b.sinks").alias("sinks"), "b.status", text("m.kept").alias("memory_slice"), text("d.kept").alias("data_slice"), text("f").alias("forward"), text(F.array_intersect("f", "b.kept")).alias("chop"), "norm")
 
 
@@ -641,34 +637,33 @@ def nearest_jaccard_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("q").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+def _graph(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text, up): the line graph of every document as arrays."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.withColumn("up", graph.later(F.col("text"), lambda line: line.rlike("[0-9]")))
+
+
 @query
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Line graphs of documents: edges per kind of size."""
-    _, lines = docs_lines(spark, sf)
-    e = graph.line_graph(lines, sink("sparse"))
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.sum(F.col("b") - F.col("a")).alias("span"))
-
-
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    _, lines = docs_lines(spark, sf)
-    edges = graph.line_graph(lines, sink("sparse"))
-    nodes = lines.where("line_idx < 80").select("doc_id", F.col("line_idx").alias("node"), big(F.length("line")).alias("len"))
-    return lines, graph.normalized_adjacency(edges, nodes), nodes
+    total = lambda of: F.aggregate(F.transform("up", of), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    span = total(lambda own, i: F.aggregate(own, F.lit(0).cast("bigint"), lambda a, j: a + j - i))
+    return _graph(spark, sf).select("doc_id", total(lambda own: F.size(own)).alias("n_edges"), span.alias("span")).where("n_edges > 0")
 
 
 @query
 def normalized_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of the normalised adjacency, summed per document."""
-    _, adj, _ = _graph(spark, sf)
-    return adj.groupBy("doc_id").agg(F.count("*").alias("n"), r6(F.sum("w")).alias("weight"))
+    w = _graph(spark, sf).select("doc_id", F.flatten(graph.let(graph.around(F.col("up")), graph.weights)).alias("w")).where(F.size("w") > 0)
+    return w.select("doc_id", big(F.size("w")).alias("n"), r6(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("weight"))
 
 
 @query
 def propagate_mean_max(spark: SparkSession, sf: str) -> DataFrame:
     """One propagation step of line lengths, pooled by mean and maximum."""
-    _, adj, nodes = _graph(spark, sf)
-    p = graph.pool(graph.propagate(adj, nodes.select("doc_id", "node", F.col("len").cast("double").alias("x"))))
-    return p.select("doc_id", F.round("mean_x", 4).alias("mean_x"), F.round("max_x", 4).alias("max_x"))
+    lengths = F.transform(F.slice(T.lines(F.col("text")), 1, 80), lambda line: F.length(line).cast("double"))
+    x = _graph(spark, sf).where(F.size("up") > 0).select("doc_id", graph.spread(graph.around(F.col("up")), lengths).alias("x"))
+    return x.select("doc_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x"), 4).alias("mean_x"), F.round(F.array_max("x"), 4).alias("max_x"))
 
 
 # -- statistics -----------------------------------------------------------------------------------------------------

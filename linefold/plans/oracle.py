@@ -76,8 +76,15 @@ SELECT pair_key, min({'c': conv_id, 't': turn}).c AS conv_id, min({'c': conv_id,
 
 SQL["fingerprint_sha"] = "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1"
 
-SQL["schema_gate_modality"] = """
-SELECT * FROM (VALUES ('fixes', 'code', CAST(4 AS BIGINT), ''), ('texts', 'text', CAST(2 AS BIGINT), ''), ('faces', 'image', CAST(1 AS BIGINT), ''), ('mixed', 'text', CAST(1 AS BIGINT), 'id'), ('odd', 'unknown', CAST(0 AS BIGINT), '')) v(dataset, modality, hits, missing)"""
+_MARKERS = "('code', 1, 'funcbefore'), ('code', 1, 'funcafter'), ('code', 1, 'vul'), ('text', 2, 'text'), ('text', 2, 'sentence'), ('text', 2, 'lang'), ('text', 2, 'html'), ('vector', 3, 'embedding'), ('image', 4, 'image'), ('image', 4, 'pixels'), ('tabular', 5, 'label'), ('tabular', 5, 'quality'), ('tabular', 5, 'cacctbal')"
+_NEEDS = "('code', 'before', 'funcbefore'), ('code', 'label', 'vul'), ('text', 'text', 'text'), ('text', 'id', 'docid'), ('text', 'id', 'itemid'), ('text', 'order', 'turn'), ('text', 'order', 'docid'), ('vector', 'id', 'vecid'), ('vector', 'vector', 'embedding'), ('vector', 'group', 'group'), ('tabular', 'label', 'quality'), ('tabular', 'label', 'cmktsegment'), ('tabular', 'split', 'split')"
+SQL["schema_gate_modality"] = f"""
+WITH h AS (SELECT DISTINCT table_name AS dataset, regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g') AS c FROM information_schema.columns WHERE table_name IN ('customer', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations', 'events')),
+m AS (SELECT * FROM (VALUES {_MARKERS}) v(modality, prio, marker)), r AS (SELECT * FROM (VALUES {_NEEDS}) v(modality, need, alias)),
+t AS (SELECT dataset, modality, prio, count(*) AS hits FROM h JOIN m ON marker = c GROUP BY 1, 2, 3),
+b AS (SELECT dataset, modality, hits FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY hits DESC, prio) = 1),
+l AS (SELECT dataset, string_agg(need, ',' ORDER BY need) AS missing FROM (SELECT DISTINCT b.dataset, r.need FROM b JOIN r USING (modality)) n WHERE NOT EXISTS (SELECT 1 FROM b JOIN r USING (modality) JOIN h ON h.dataset = b.dataset AND h.c = r.alias WHERE b.dataset = n.dataset AND r.need = n.need) GROUP BY 1)
+SELECT d.dataset, coalesce(modality, 'unknown') AS modality, coalesce(hits, 0) AS hits, coalesce(missing, '') AS missing FROM (SELECT DISTINCT dataset FROM h) d LEFT JOIN b USING (dataset) LEFT JOIN l USING (dataset)"""
 
 SQL["manifest_resolution"] = "SELECT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS key, count(*) AS n, min(p_partkey) AS first_part, min(p_brand) AS brand FROM part GROUP BY 1"
 

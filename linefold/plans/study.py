@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import code, embeddings, logistic, match, model, regions, representations
+from ..operators import code, embeddings, folds, logistic, match, model, regions, representations
 from ..operators import statistics as S
 from ..runtime import materialize, ship
 from .catalogue import _detection, big, efforts, fold_metrics, line_shares, pair_lines, quality_scores, query, r6, table
@@ -151,6 +151,17 @@ def lr_cv_detection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(per_fold(logistic.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
 
 
+@query
+def lr_cv_uncapped(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on every labelled document, without a sample: five folds, all fitted where their rows lie."""
+    ship(spark)
+    labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("label")).where("label IS NOT NULL")
+    rows = materialize(folds.repeated_folds(labels, "label", "doc_id", repeats=1), "detection-all")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi")
+    w = model.train_fit_tfidf(representations.terms(docs, "WHOLE_TEXT"), rows.select(F.col("doc_id").alias("doc"), "repeat", "fold", "label"))
+    return rounded(per_fold(logistic.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
+
+
 @query
 def fusion_cv(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings, standardised on the training rows, beside train-fit TF-IDF; documents without an embedding are left out."""

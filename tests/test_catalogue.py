@@ -6,7 +6,7 @@ import pytest
 from linefold.plans import catalogue, oracle
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"seq_diff_opcodes", "c_statement_units", "c_backward_slice", "lr_cv_detection", "fusion_cv", "detection_study", "version_deltas"}
+ROWS_ONLY = {"seq_diff_opcodes", "c_statement_units", "c_backward_slice", "lr_cv_detection", "lr_cv_uncapped", "fusion_cv", "detection_study", "version_deltas"}
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -152,14 +153,27 @@ def test_closure_with_a_cycle(spark):
 
 
 def test_graph(spark):
-    lines = spark.createDataFrame([(1, 0, "a 1"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d a")], "doc_id int, line_idx bigint, line string")
-    e = graph.line_graph(lines, F.col("line").rlike("[0-9]"))
-    assert sorted((r.a, r.b) for r in e.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (2, 3)]
-    nodes = lines.select("doc_id", F.col("line_idx").alias("node"))
-    adj = graph.normalized_adjacency(e, nodes)
-    w = {(r.a, r.b): r.w for r in adj.collect()}
-    assert len(w) == 14 and w[0, 1] == w[1, 0] == pytest.approx(1 / math.sqrt(4 * 3)) and w[3, 3] == pytest.approx(1 / 3)
-    assert one(graph.pool(graph.propagate(adj, nodes.withColumn("x", F.lit(1.0))))).max_x > 0
+    rng = random.Random(5)
+    texts = ["a 1\nb\nc\nd a", "", "one line", "\n".join(" ".join(rng.choice(["x", "y", "zed", "7", "w9"]) for _ in range(rng.randint(0, 3))) for _ in range(95))]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id int, text string")
+    head = lambda line: line.rlike("[0-9]")
+    rows = {}
+    for r in graph.line_graph(docs, head).collect():
+        rows.setdefault(r.doc_id, set()).add((r.a, r.b))
+    assert rows[0] == {(0, 1), (0, 2), (0, 3), (1, 2), (2, 3)} and set(rows) == {0, 3}
+    out = docs.where("text is not null").select("doc_id", graph.around(graph.later(F.col("text"), head)).alias("near"), F.transform(F.slice(T.lines(F.col("text")), 1, 80), lambda x: F.length(x).cast("double")).alias("x"))
+    out = {r.doc_id: r for r in out.select("doc_id", "near", graph.weights(F.col("near")).alias("w"), graph.spread(F.col("near"), F.col("x")).alias("y")).collect()}
+    for k, t in enumerate(texts):
+        lines = t.split("\n")[:80] if t else []
+        ids = [set(re.findall(T.IDENT, x)) for x in lines]
+        n = len(lines)
+        edges = {(a, b) for a in range(n) for b in range(a + 1, n) if b == a + 1 or (re.search("[0-9]", lines[a]) and b <= a + 3) or ids[a] & ids[b]}
+        assert rows.get(k, set()) == edges
+        near = [[b for b in range(n) if a == b or (a, b) in edges or (b, a) in edges] for a in range(n)]
+        assert out[k].near == near
+        for a in range(n):
+            assert out[k].w[a] == pytest.approx([1 / math.sqrt(len(near[a]) * len(near[b])) for b in near[a]])
+            assert out[k].y[a] == pytest.approx(sum(len(lines[b]) / math.sqrt(len(near[a]) * len(near[b])) for b in near[a]))
 
 
 def test_folds(spark):
