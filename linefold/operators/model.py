@@ -51,27 +51,26 @@ def train_fit_tfidf(terms: DataFrame, folds: DataFrame, size: int = 2000) -> Dat
     """
     terms = materialize(terms, "terms")
     last = folds.agg(F.max("fold")).collect()[0][0]
-    each_fold = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last or 0)).cast("bigint"))).alias("fold")
-    many = folds.withColumnRenamed("fold", "own").select("repeat", "doc", "label", "own", each_fold)
-    many = many.select("repeat", "fold", "doc", "label", (F.col("own") == F.col("fold")).alias("test"))
-    # counted per fold once; what a fold trains on is the whole less its own
-    own = materialize(terms.join(folds.select("doc", "repeat", "fold"), "doc").groupBy("repeat", "fold", "tok").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), "fold-terms")
-    whole = own.groupBy("repeat", "tok").agg(F.sum("total").alias("all_total"), F.sum("df").alias("all_df"), F.max("total").alias("most"))
+    n_folds = int(last or 0) + 1
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n_folds - 1).cast("bigint"))
+    # a row per term: counted per fold in arrays, as what a fold trains on is the whole less its own
+    at = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == k, c)), F.lit(0)) for k in range(n_folds)])
+    per = terms.join(folds.select("doc", "repeat", "fold"), "doc").groupBy("repeat", "tok").agg(F.sum("tf").alias("total"), F.count("*").alias("df"), at(F.col("tf")).alias("totals"), at(F.lit(1)).alias("dfs"))
+    per = materialize(per.withColumn("least", F.col("total") - F.array_max("totals")), "fold-terms")
     # size terms have at least so many places in every training set: a term with fewer in all is in no vocabulary
-    least = whole.withColumn("k", F.row_number().over(Window.partitionBy("repeat").orderBy((F.col("all_total") - F.col("most")).desc(), "tok"))).where(F.col("k") == size)
-    least = least.select(F.col("repeat").alias("r"), (F.col("all_total") - F.col("most")).alias("least"))
-    cand = materialize(whole.join(least, F.col("repeat") == F.col("r"), "left").where(F.col("all_total") >= F.coalesce("least", F.lit(0))).select("repeat", "tok", "all_total", "all_df"), "fold-candidates")
-    fit = cand.select("*", each_fold).join(own, ["repeat", "fold", "tok"], "left")
-    fit = fit.select("repeat", "fold", "tok", (F.col("all_total") - F.coalesce("total", F.lit(0))).alias("total"), (F.col("all_df") - F.coalesce("df", F.lit(0))).alias("df")).where("df > 0")
-    n = many.where(~F.col("test")).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
+    bar = per.withColumn("k", F.row_number().over(Window.partitionBy("repeat").orderBy(F.col("least").desc(), "tok"))).where(F.col("k") == size).select(F.col("repeat").alias("r"), F.col("least").alias("bar"))
+    cand = per.join(bar, F.col("repeat") == F.col("r"), "left").where(F.col("total") >= F.coalesce("bar", F.lit(0)))
+    rest = lambda whole, own: F.col(whole) - F.get(own, F.col("fold").cast("int"))
+    fit = cand.withColumn("fold", F.explode(every)).select("repeat", "fold", "tok", rest("total", "totals").alias("total"), rest("df", "dfs").alias("df")).where("df > 0")
+    n = folds.groupBy("repeat").agg(F.count("*").alias("whole"), at(F.lit(1)).alias("own")).withColumn("fold", F.explode(every)).select("repeat", "fold", rest("whole", "own").alias("n"))
     place = F.row_number().over(Window.partitionBy("repeat", "fold").orderBy(F.col("total").desc(), "tok"))
     vocab = fit.withColumn("at", place - 1).where(F.col("at") < size).join(n, ["repeat", "fold"])
-    vocab = vocab.select("repeat", "fold", "tok", "at", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    t = terms.join(cand.select("tok").distinct(), "tok", "left_semi").join(many.select("repeat", "fold", "doc"), "doc")
-    w = t.join(vocab, ["repeat", "fold", "tok"]).select("repeat", "fold", "doc", F.struct("at", (F.col("tf") * F.col("idf")).alias("w")).alias("s"))
-    rows = w.groupBy("repeat", "fold", "doc").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    entry = F.struct("fold", "at", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocab = materialize(vocab.groupBy("repeat", "tok").agg(F.collect_list(entry).alias("in")), "fold-vocabulary")
+    known = terms.join(vocab, "tok").groupBy("repeat", "doc").agg(F.collect_list(F.struct("tf", "in")).alias("terms"))
+    rows = folds.select("repeat", "doc", "label", F.col("fold").alias("own")).join(known, ["repeat", "doc"], "left").withColumn("fold", F.explode(every))
+    own = F.flatten(F.transform(F.coalesce("terms", F.array().cast(known.schema["terms"].dataType)), lambda t: F.transform(F.filter(t["in"], lambda e: e["fold"] == F.col("fold")), lambda e: F.struct(e["at"].alias("at"), (t["tf"] * e["idf"]).alias("w")))))
+    rows = rows.select("repeat", "fold", "doc", "label", (F.col("own") == F.col("fold")).alias("test"), F.array_sort(own).alias("s"))
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    rows = rows.select("repeat", "fold", "doc", F.transform("s", lambda x: x["at"]).alias("at"), length.alias("length"), F.transform("s", lambda x: x["w"]).alias("w"))
-    rows = rows.select("repeat", "fold", "doc", "at", F.transform("w", lambda x: x / F.col("length")).alias("weights"))
-    j = many.join(rows, ["repeat", "fold", "doc"], "left")
-    return j.select("repeat", "fold", "doc", "label", "test", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
+    rows = rows.select("repeat", "fold", "doc", "label", "test", F.transform("s", lambda x: x["at"]).alias("at"), length.alias("length"), F.transform("s", lambda x: x["w"]).alias("w"))
+    return rows.select("repeat", "fold", "doc", "label", "test", "at", F.when(F.col("length") > 0, F.transform("w", lambda x: x / F.col("length"))).otherwise(F.array().cast("array<double>")).alias("weights"))
