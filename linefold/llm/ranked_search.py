@@ -32,7 +32,6 @@ from ..runtime import materialize, ship
 
 #: Bytes that belong to terms, lower-cased; all others become a space.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -55,8 +54,17 @@ class Index:
 
 
 def corpus_statistics(docs: DataFrame, text: str = "text") -> Statistics:
-    n = F.regexp_count(docs[text], F.lit(_TERM)).cast("bigint")
-    r = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))).collect()[0]
+    """Counted where the texts lie, as the index counts them; a row per task comes back to be summed up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = n_terms = 0
+        for b in batches:
+            for t in b.column(0):
+                n = len(terms_of(t.as_py()))
+                n_docs, n_terms = n_docs + (n > 0), n_terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs], pa.int64()), pa.array([n_terms], pa.int64())], names=["n_docs", "n_terms"])
+
+    r = docs.select(docs[text]).mapInArrow(run, "n_docs bigint, n_terms bigint").agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).collect()[0]
     return Statistics(int(r[0]), int(r[1]))
 
 
