@@ -1,6 +1,8 @@
 """The operators that look at the whole corpus, against brute force on small fixtures."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -489,3 +491,159 @@ def test_queries_against_sql(spark, sf, name):
     flat = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
     want = sorted(tuple(flat(x[names.index(c)]) for c in sorted(names)) for x in r.fetchall())
     assert sorted(tuple(flat(x[c]) for c in sorted(names)) for x in df.collect()) == want
+
+
+# -- decontamination in the query's own mode, against a plain computation ------------------------------
+
+
+def plain_find(docs, items, n, min_windows=5, min_share=0.25, min_literal=3):
+    """docs, items [(id, text)] -> {(doc, item): (n_windows, share, start_word, verbatim)}, window by window."""
+    import regex
+
+    def template(w):
+        low = w.lower()
+        if w[0].isascii() and w[0].isdigit():
+            return "#num"
+        if low == w:
+            return "#unit" if w in D.UNITS else w
+        return "#name" if w[1:] == low[1:] and len(w) > 1 else low
+
+    def read(text):
+        words = regex.findall(r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*", text or "")
+        low, tmpl = [w.lower() for w in words], [template(w) for w in words]
+        starts = [k for k in range(len(words)) if not (k and tmpl[k] in ("#name", "#num") and tmpl[k] == tmpl[k - 1])]
+        said = [" ".join(low[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=False)]
+        return {"low": low, "tmpl": tmpl, "starts": starts, "tok": [tmpl[k] for k in starts], "said": said}
+
+    def runs(t, w):
+        if len(t["tok"]) >= len(t["low"]):
+            return
+        for k in range(len(t["tok"]) - w + 1):
+            if t["starts"][k + w - 1] > t["starts"][k] + w - 1:
+                yield t["starts"][k], tuple(t["tok"][k : k + w])
+
+    out = {}
+    for item, text in items:
+        i = read(text)
+        if not i["low"]:
+            continue
+        w = min(n, len(i["low"]))
+        cut = lambda t, c, p, w=w: tuple(t[c][p : p + w])
+        every = range(len(i["low"]) - w + 1)
+        evidence = [p for p in every if sum(not x.startswith("#") for x in cut(i, "tmpl", p)) >= min(min_literal, w)]
+        whole = not evidence
+        places = set(every if whole else evidence)
+        bench = {(p, cut(i, "low", p)) for p in places}
+        if not whole:
+            bench |= {(p, cut(i, "tmpl", p)) for p in places} | {(p, x) for p, x in runs(i, w) if p in places}
+        total = len(places)
+        for doc, content in docs:
+            d = read(content)
+            mine = {(p, cut(d, c, p)) for p in range(len(d["low"]) - w + 1) for c in ("low", "tmpl")} | set(runs(d, w))
+            spots = {(a, b) for a, x in bench for b, y in mine if x == y}
+            groups = {}
+            for a, b in spots:
+                band = math.floor((b - a) / max(n, total / 4))
+                for g in [(0, b - a)] if whole else [(0, b - a), (1, band), (1, band - 1)]:
+                    groups.setdefault(g, set()).add((a, b))
+            enough = lambda at, total=total, whole=whole: len({a for a, *_ in at}) >= min(min_windows, total) and len({a for a, *_ in at}) >= (1.0 if whole else min_share) * total
+            for at in groups.values():
+                if not enough(at):
+                    continue
+                kept = []
+                for a, b in at:
+                    lit, word = cut(i, "low", a) == cut(d, "low", b), cut(i, "tmpl", a) == cut(d, "tmpl", b)
+                    run = False
+                    if a in i["starts"] and b in d["starts"]:
+                        x, y = i["starts"].index(a), d["starts"].index(b)
+                        run = x + w <= len(i["tok"]) and i["tok"][x : x + w] == d["tok"][y : y + w]
+                    if not (lit if whole else lit or word or run):
+                        continue
+                    pairs = []
+                    if not whole and not lit:
+                        if word:
+                            pairs = [(i["low"][a + j], d["low"][b + j]) for j in range(w) if i["tmpl"][a + j].startswith("#")]
+                        else:
+                            pairs = [(i["said"][x + j], d["said"][y + j]) for j in range(w) if i["tok"][x + j].startswith("#")]
+                    kept.append((a, b, pairs))
+                count = collections.Counter(p for *_, ps in kept for p in ps)
+                stands = {}
+                for (v, u), k in count.items():
+                    stands[v] = max(stands.get(v, (0, "")), (k, u))
+                kept = [x for x in kept if all(stands[v][1] == u for v, u in x[2])]
+                if not enough(kept):
+                    continue
+                hit, first = len({a for a, *_ in kept}), min((a, b) for a, b, _ in kept)[1]
+                row = (hit, -first, hit / total, all(v == u for *_, ps in kept for v, u in ps))
+                out[doc, item] = max(out.get((doc, item), row), row)
+    return {k: (h, s, -f, v) for k, (h, f, s, v) in out.items()}
+
+
+def test_decontamination_against_a_plain_computation(spark):
+    rng = random.Random(12)
+    plain = "the of river runs over quiet stone while people carry water into some large house before winter".split()
+    slots = ["Anna", "Boris", "Carla", "12", "7.5", "300", "km", "hours", "Paris", "Rome"]
+    sentence = lambda n: [rng.choice(plain) if rng.random() < 0.7 else rng.choice(slots) for _ in range(n)]
+    items = [(k, sentence(rng.choice([3, 6, 12, 25, 40]))) for k in range(14)]
+    items += [(50, ["Anna", "12", "Boris", "7.5", "km", "Paris"]), (51, [])]
+    docs = []
+    for k in range(90):
+        words = list(rng.choice(items)[1])
+        how = k % 6
+        if how == 1:  # another value for each slot, always the same
+            swap = dict(zip(slots, rng.sample(slots[:3], 3) + rng.sample(slots[3:6], 3) + slots[6:8] + rng.sample(slots[8:], 2), strict=True))
+            words = [swap.get(w, w) for w in words]
+        elif how == 2:  # a new value at every place
+            words = [rng.choice([s for s in slots if s[0].isdigit() == w[0].isdigit() and s not in ("km", "hours")]) if w in slots and w not in ("km", "hours") else w for w in words]
+        elif how == 3:  # words put in and left out
+            words = [x for w in words for x in ([w, rng.choice(plain)] if rng.random() < 0.1 else [] if rng.random() < 0.05 else [w])]
+        elif how == 4:  # a name becomes two
+            words = [x for w in words for x in (["Anna", "Maria"] if w == "Anna" else [w.upper() if rng.random() < 0.1 else w])]
+        elif how == 5:
+            words = sentence(30)
+        docs.append((k, " ".join(sentence(rng.randint(0, 12)) + words + sentence(rng.randint(0, 12)))))
+    docs += [(200, ""), (201, None)]
+    items = [(k, " ".join(w)) for k, w in items]
+    want = plain_find(docs, items, 5)
+    got = D.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), n=5, strict=False).collect()
+    assert len(want) > 30
+    assert {(r.doc_id, r.item_id): (r.n_windows, pytest.approx(r.share), r.start_word, r.verbatim) for r in got} == want
+
+
+def test_slots_decide_in_the_query_mode(spark):
+    """A copy with one new value for each name and number is found; one with a new value at every place is not."""
+    rng = random.Random(3)
+    words = "river stone water house winter people carry quiet large over into while runs before after under".split()
+    names = ["Anna", "Boris", "Carla", "David"]
+    item = [x for k in range(24) for x in (rng.choice(words), rng.choice(names))]
+    same = [{"Anna": "Xenia", "Boris": "Yann", "Carla": "Zoe", "David": "Wim"}.get(w, w) for w in item]
+    new = [rng.choice(["Xenia", "Yann", "Zoe", "Wim", "Vera", "Uwe", "Tom", "Sven"]) if w in names else w for w in item]
+    docs = [(1, "so it is that " + " ".join(same)), (2, "so it is that " + " ".join(new)), (3, " ".join(item))]
+    got = {r.doc_id: r for r in D.find(frame(spark, docs), bench(spark, [" ".join(item)]), strict=False).collect()}
+    assert set(got) == {1, 3} and got[1].share == 1.0 and not got[1].verbatim and got[3].verbatim
+
+
+# -- quality: the fit against the conditions of its optimum, the column against the rules ---------------
+
+
+def test_rules_are_a_lasso_optimum(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.6) & (x[:, 1] < 0.5) | (rng.random(600) < 0.1)).astype(float)
+    names = ["a", "b", "c", "d"]
+    penalty = 2e-3
+    m = Q.fit_rules(x, y, names, penalty=penalty, steps=6000)
+    assert m.rules
+    holds = lambda r: np.all([x[:, names.index(c)] <= cut if low else x[:, names.index(c)] > cut for c, low, cut in r.terms], axis=0)
+    f = np.stack([holds(r) for r in m.rules], axis=1).astype(float)
+    z = m.intercept + f @ np.array([r.weight for r in m.rules])
+    p = 1 / (1 + np.exp(-z))
+    assert abs((p - y).mean()) < 1e-3  # the free intercept
+    s = (f - f.mean(axis=0)) / f.std(axis=0)
+    slope = s.T @ (p - y) / len(y)
+    w = np.array([r.weight for r in m.rules]) * f.std(axis=0)
+    big = np.abs(w) > 0.02
+    assert big.any() and np.abs(slope[big] + penalty * np.sign(w[big])).max() < 5e-4  # rules that count are at the bound
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    got = [r[0] for r in df.select(m.column({c: F.col(c) for c in names})).collect()]
+    assert np.allclose(got, p)
