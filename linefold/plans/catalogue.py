@@ -12,7 +12,7 @@ from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import code, folds, graph, match, model, nearest, regions
 from ..operators import statistics as S
-from ..runtime import materialize, ship
+from ..runtime import materialize, ship, spread
 from ..sources import readers
 from ..streaming import windows
 
@@ -40,7 +40,7 @@ def r6(c: Column | str) -> Column:
 
 
 def docs_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return docs, regions.explode_lines(docs)
 
 
@@ -49,7 +49,7 @@ def pair_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 
     Pairs are a small table of ids, written before use; all further work is on the paired documents.
     """
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     pairs = materialize(regions.copy_pairs(docs), "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("p_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
@@ -594,7 +594,7 @@ def delta_negative_control(spark: SparkSession, sf: str) -> DataFrame:
 
 def benchmark_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's nearest benchmark item by containment, and whether it holds the item's text."""
-    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    docs, items = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf, "benchmark")
     words = F.array_distinct(T.words(F.col("text")))
     near = nearest.by_overlap(docs.select(F.col("doc_id").alias("q"), words.alias("feats")), items.select(F.col("item_id").alias("s"), words.alias("feats")))
     j = near.join(docs.select(F.col("doc_id").alias("q"), F.col("text").alias("dt")), "q").join(items.select(F.col("item_id").alias("s"), F.col("text").alias("it")), "s", "left")
@@ -624,7 +624,7 @@ def best_tau_and_fp_reduction(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_jaccard_text(spark: SparkSession, sf: str) -> DataFrame:
     """Each benchmark item's nearest document by Jaccard similarity of word sets."""
     words = lambda df, k, n: df.select(F.col(k).alias(n), F.array_distinct(T.words(F.col("text"))).alias("feats"))
-    near = nearest.by_overlap(words(table(spark, sf, "benchmark"), "item_id", "q"), words(table(spark, sf, "documents"), "doc_id", "s"), jaccard=True)
+    near = nearest.by_overlap(words(table(spark, sf, "benchmark"), "item_id", "q"), words(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "s"), jaccard=True)
     return near.select(F.col("q").alias("item_id"), r6("score").alias("score"))
 
 
@@ -639,7 +639,7 @@ def nearest_jaccard_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text, up): the line graph of every document as arrays."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return docs.withColumn("up", graph.later(F.col("text"), lambda line: line.rlike("[0-9]")))
 
 
