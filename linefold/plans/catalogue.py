@@ -428,10 +428,9 @@ def c_statement_units(spark: SparkSession, sf: str) -> DataFrame:
 def c_backward_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Slices of code under criterion tiers and dependence kinds, forward regions, depths and normal forms."""
     ship(spark)
-    c = F.col("code")
-    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    out = _functions(spark, sf).select("id", code.backward_slice()(c).alias("b"), code.backward_slice("memory")(c).alias("m"), code.backward_slice("all", ("data",))(c).alias("d"), code.forward_region(c).alias("f"), code.normalized(c).alias("norm"))
-    return out.select("id", text("b.kept").alias("slice"), text("b.sinks").alias("sinks"), "b.status", text("m.kept").alias("memory_slice"), text("d.kept").alias("data_slice"), text("f").alias("forward"), text(F.array_intersect("f", "b.kept")).alias("chop"), "norm")
+    text = lambda a: F.array_join((F.col(a) if isinstance(a, str) else a).cast("array<string>"), ",")
+    v = _functions(spark, sf).select("id", code.slice_views("code").alias("v"))
+    return v.select("id", text("v.kept").alias("slice"), text("v.sinks").alias("sinks"), "v.status", text("v.memory").alias("memory_slice"), text("v.data").alias("data_slice"), text("v.forward").alias("forward"), text(F.array_intersect("v.forward", "v.kept")).alias("chop"), "v.norm")
 
 
 # -- orders and effort ---------------------------------------------------------------------------------------

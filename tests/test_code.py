@@ -30,6 +30,35 @@ def test_units_of_a_loop():
     assert C.parameters(SUM) == ["a", "n"]
 
 
+ODD = ("", "junk", "int f(int a)\n{\n  return a;\n}\n", SUM, COPY, "void g() { /* a\n b */ g(); }", "int h(char *p)\n{\n#if A\n  *p = 1;\n#endif\n  s = \"x\\\n y\";\n}\n", "int F(int a) {\r\n  a = F(a - 1);\r\n}")
+
+
+def test_one_reading_gives_every_slice(spark):
+    """All slices, the forward region and the normal form come from one reading, whatever the function's name."""
+    many = [(i, x and x.replace("sum", f"sum{i}")) for i, x in enumerate((*ODD, SUM, None))]
+    for r in spark.createDataFrame(many, "i int, code string").select("i", "code", code.slice_views("code").alias("v")).collect():
+        x = r.code or ""
+        kept, sinks, status = C.slice_lines(x)
+        assert (r.v.kept, r.v.sinks, r.v.status) == (kept, sinks, status), x
+        assert (r.v.memory, r.v.data) == (C.slice_lines(x, "memory")[0], C.slice_lines(x, "all", ("data",))[0]), x
+        assert (r.v.forward, r.v.norm) == (C.forward_lines(x), C.normalize(x)), x
+    assert C.nameless(many[3][1]) == C.nameless(many[8][1]) != many[3][1]
+    assert C.nameless(ODD[7]) == ODD[7] and C.nameless(ODD[5]) == ODD[5]  # the name stands twice
+
+
+def test_equal_lines_and_statements_are_read_once(monkeypatch):
+    """Time per function must not hold a scan and an analysis of lines that were met before."""
+    body = "".join(f"  once{k} = once{k} + 1;\n" for k in range(20))
+    first = C.statements("int f(int a)\n{\n" + body + "}\n")
+    seen = []
+    scan, judge = C._scan, C._analyse
+    monkeypatch.setattr(C, "_scan", lambda x: seen.append(x) or scan(x))
+    monkeypatch.setattr(C, "_analyse", lambda t, u: seen.append(t) or judge(t, u))
+    again = C.statements("int f(int a)\n{\n\n" + body + "}\n")
+    assert seen == [] or seen == [""]
+    assert [(u.start_line + 1, u.defs, u.uses, u.reasons) for u in first] == [(u.start_line, u.defs, u.uses, u.reasons) for u in again]
+
+
 def test_units_of_branches():
     got = units("void f(int a) {\n  if (a)\n    b = 1;\n  else {\n    c = 2;\n    d = 3;\n  }\n  do {\n    a--;\n  } while (a);\nend:\n  switch (a) {\n  case 1:\n    x = 1;\n    break;\n  default:\n    y = 2;\n  }\n}\n")
     assert [(g[0], g[1], g[4]) for g in got] == [(1, 1, True), (2, 2, False), (3, 6, False), (9, 9, True), (8, 8, False), (11, 11, True), (12, 14, False), (15, 16, False)]
