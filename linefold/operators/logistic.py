@@ -93,6 +93,29 @@ class Steps:
         self.trial = self.x + self.scale * self.way
 
 
+def remembered(weights: int, most: int = 150, numbers: int = 8_000_000) -> int:
+    """How many moves to keep of so many weights: every step is a pass over the rows, and with 8 moves it takes several times the steps of 150."""
+    return max(8, min(most, numbers // (2 * max(1, weights))))
+
+
+def _descend(fitted: np.ndarray, size: int, once: Callable[[list[int], np.ndarray], dict[int, np.ndarray]], c: float, tolerance: float, most_steps: int) -> np.ndarray:
+    """The weights of each fold that can be fitted, side by side; once(live, trials) gives by place in live the gradient and, last, the loss over its rows."""
+    every = [Steps(size, remembered(len(fitted) * size)) for _ in fitted]
+    for s, ok in zip(every, fitted, strict=True):
+        s.done = not ok
+    free = np.full(size, 1 / c)
+    free[-1] = 0.0
+    for _ in range(most_steps):
+        live = [i for i, s in enumerate(every) if not s.done]
+        if not live:
+            break
+        got = once(live, np.stack([every[i].trial for i in live]))
+        for i, j in enumerate(live):
+            s, v = every[j], got[i]
+            s.take(float(v[-1] + (free * s.trial**2).sum() / 2), v[:-1] + free * s.trial, tolerance)
+    return np.stack([s.x for s in every])
+
+
 def _margins(b: Rows, w: np.ndarray, k: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """What each row gets from the weights w[k]: dense part, sparse part, intercept."""
     d = dense.shape[1]
@@ -157,19 +180,12 @@ def _scores_of(src: DataFrame, facts: list, d: int, size: int, c: float, toleran
     def evened(b: Rows, k: np.ndarray) -> np.ndarray:
         return (b.dense - mean[k]) / spread[k] if d else b.dense
 
-    every = [Steps(size) for _ in facts]
-    for s, ok in zip(every, fitted, strict=True):
-        s.done = not ok
-    free = np.full(size, 1 / c)
-    free[-1] = 0.0
     fit_on = src.where(~F.col("test"))
-    for _ in range(most_steps):
-        live = [i for i, s in enumerate(every) if not s.done]
-        if not live:
-            break
+
+    def once(live: list[int], trials: np.ndarray) -> dict[int, np.ndarray]:
         place = np.full(len(facts), -1)
         place[live] = np.arange(len(live))
-        held = sc.broadcast(np.stack([every[i].trial for i in live]))  # at most most_weights numbers
+        held = sc.broadcast(trials)  # at most most_weights numbers
 
         def add(total: dict[int, np.ndarray], batch: pa.RecordBatch, held=held, place=place) -> None:
             b = Rows(batch, number)
@@ -191,10 +207,9 @@ def _scores_of(src: DataFrame, facts: list, d: int, size: int, c: float, toleran
 
         got = summed(fit_on, add)
         held.destroy()
-        for i, j in enumerate(live):
-            s, v = every[j], got[i]
-            s.take(float(v[-1] + (free * s.trial**2).sum() / 2), v[:-1] + free * s.trial, tolerance)
-    weights = sc.broadcast(np.stack([s.x for s in every]))
+        return got
+
+    weights = sc.broadcast(_descend(fitted, size, once, c, tolerance, most_steps))
     share = np.where(n > 0, pos / np.maximum(1, n), 0.5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,3 +222,99 @@ def _scores_of(src: DataFrame, facts: list, d: int, size: int, c: float, toleran
             yield out.filter(pa.array(b.key >= 0))
 
     return src.where("test").mapInArrow(score, schema)
+
+
+class Counts:
+    """A batch of shared rows as flat arrays, with the norm of each row under each fold."""
+
+    def __init__(self, batch: pa.RecordBatch, n_folds: int) -> None:
+        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        self.fold, self.label = c["fold"].to_numpy(zero_copy_only=False), c["label"].to_numpy(zero_copy_only=False).astype(float)
+        self.at, self.tf = c["at"].flatten().to_numpy(), c["tf"].flatten().to_numpy()
+        self.row = np.repeat(np.arange(batch.num_rows), np.diff(c["at"].offsets.to_numpy()))
+        self.scale = c["scale"].flatten().to_numpy().reshape(batch.num_rows, n_folds)
+
+
+def shared_scores(rows: DataFrame, idf: DataFrame, c: float = 1.0, tolerance: float = 1e-6, most_steps: int = 300) -> DataFrame:
+    """As sparse_scores(), of what train_fit_counts() gives: (repeat, fold, row_id, label, score) of the test rows.
+
+    A row is kept, read and sent to Python once for all folds of its repeat; what a fold makes
+    of its counts is worked out from the fold's idf, a vector.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    by: dict[int, list] = {}
+    for r in idf.orderBy("repeat", "at").collect():  # at most folds times vocabulary a repeat
+        by.setdefault(r["repeat"], []).append(r["idf"])
+    src = rows.select(F.col("repeat").cast("bigint").alias("repeat"), F.col("fold").cast("bigint").alias("fold"), "doc", F.col("label").cast("int").alias("label"), "at", "tf")
+    src = materialize(src.repartition("doc"), "shared-rows")
+    facts: dict[int, list] = {}
+    for r in src.groupBy("repeat", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect():  # a row per fold
+        facts.setdefault(r["repeat"], []).append(r)
+    schema = f"repeat bigint, fold bigint, row_id {src.schema['doc'].dataType.simpleString()}, label int, score double"
+    out = spark.createDataFrame([], schema)
+    for k in sorted(facts):
+        weight = np.array(by.get(k, []), float)
+        n_folds = weight.shape[1] if len(weight) else 1 + max(r["fold"] for r in facts[k])
+        part = _shared_scores_of(src.where(F.col("repeat") == k), facts[k], weight.reshape(-1, n_folds).T, c, tolerance, most_steps, schema)
+        out = out.unionByName(part)
+    return out
+
+
+def _shared_scores_of(src: DataFrame, facts: list, idf: np.ndarray, c: float, tolerance: float, most_steps: int, schema: str) -> DataFrame:
+    sc = src.sparkSession.sparkContext
+    n_folds, width = idf.shape
+    own = np.zeros((n_folds, 2))
+    for r in facts:
+        own[r["fold"]] = r["n"], r["pos"]
+    n, pos = (own.sum(axis=0) - own).T
+    fitted = (pos > 0) & (pos < n)
+    weigh = np.stack([n / (2 * np.maximum(1, n - pos)), n / (2 * np.maximum(1, pos))])
+    given = sc.broadcast(idf)
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """rows with one over their length in each fold, 0 for rows without a known term."""
+        for batch in batches:
+            at, tf, rows = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy(), batch.num_rows
+            row = np.repeat(np.arange(rows), np.diff(batch.column(3).offsets.to_numpy()))
+            length = np.stack([np.sqrt(np.bincount(row, (tf * v[at]) ** 2, rows)) for v in given.value], axis=1)
+            scale = np.divide(1.0, length, out=np.zeros_like(length), where=length > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n_folds), pa.array(scale.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "scale"])
+
+    rows = src.select("fold", "doc", "label", "at", "tf")
+    rows = materialize(rows.mapInArrow(scaled, f"fold bigint, doc {rows.schema['doc'].dataType.simpleString()}, label int, at array<int>, tf array<double>, scale array<double>"), "scaled-rows")
+    columns = rows.select("fold", "label", "at", "tf", "scale")
+
+    def once(live: list[int], trials: np.ndarray) -> dict[int, np.ndarray]:
+        held = sc.broadcast(trials)  # a row per fold
+
+        def add(total: dict[int, np.ndarray], batch: pa.RecordBatch) -> None:
+            b = Counts(batch, n_folds)
+            for i, k in enumerate(live):
+                w, v, s = held.value[i], given.value[k], b.scale[:, k]
+                z = np.bincount(b.row, (v * w[:-1])[b.at] * b.tf, len(s)) * s + w[-1]
+                even = np.where(b.fold != k, weigh[b.label.astype(int), k], 0.0)
+                pull = even * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - b.label)
+                g = np.empty(width + 2)
+                g[:width] = v * np.bincount(b.at, (pull * s)[b.row] * b.tf, width)
+                g[width], g[width + 1] = pull.sum(), (even * (np.logaddexp(0, z) - b.label * z)).sum()
+                total[i] = total[i] + g if i in total else g
+
+        got = summed(columns, add)
+        held.destroy()
+        return got
+
+    weights = sc.broadcast(_descend(fitted, width + 1, once, c, tolerance, most_steps))
+    share = np.where(n > 0, pos / np.maximum(1, n), 0.5)
+    repeat = facts[0]["repeat"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Counts(batch, n_folds)
+            w = weights.value
+            z = np.bincount(b.row, (given.value * w[:, :-1])[b.fold[b.row], b.at] * b.tf, len(b.fold)) * b.scale[np.arange(len(b.fold)), b.fold] + w[b.fold, -1]
+            p = np.where(fitted[b.fold], 1 / (1 + np.exp(-np.clip(z, -700, 700))), share[b.fold])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), repeat)), batch.column(0), batch.column(1), batch.column(2), pa.array(p)], names=["repeat", "fold", "row_id", "label", "score"])
+
+    return rows.mapInArrow(score, schema)

@@ -157,9 +157,10 @@ def lr_cv_uncapped(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("label")).where("label IS NOT NULL")
     rows = materialize(folds.repeated_folds(labels, "label", "doc_id", repeats=1), "detection-all")
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi")
-    w = model.train_fit_tfidf(representations.terms(docs, "WHOLE_TEXT"), rows.select(F.col("doc_id").alias("doc"), "repeat", "fold", "label"))
-    return rounded(per_fold(logistic.sparse_scores(w.withColumn("rep", F.lit("WHOLE_TEXT")))))
+    # dealt by document, so that its terms are counted where it lies
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi").repartition("doc_id")
+    w = model.train_fit_counts(representations.terms(docs, "WHOLE_TEXT"), rows.select(F.col("doc_id").alias("doc"), "repeat", "fold", "label"))
+    return rounded(per_fold(logistic.shared_scores(*w).withColumn("rep", F.lit("WHOLE_TEXT"))))
 
 
 @query

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linefold import memo
-from linefold.operators import contain, folds, logistic, nearest, spans
+from linefold.operators import contain, folds, logistic, model, nearest, spans
 from linefold.plans import study
 from linefold.sources import sinks, xml, zipped
 
@@ -122,6 +122,34 @@ def test_all_folds_at_once_equal_direct_solutions(spark, with_dense):
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
 
 
+def test_shared_rows_score_like_rows_of_each_fold(spark):
+    """One row per text for all folds gives the scores that a row per text and fold gives."""
+    rng = np.random.default_rng(4)
+    terms = spark.createDataFrame([(k, f"t{t}", int(rng.integers(1, 4))) for k in range(90) for t in rng.choice(60, 12, False).tolist()] + [(90, "alone", 1)], "doc bigint, tok string, tf bigint")
+    # two repeats; row 90 has no known term, row 91 none at all; in repeat 1 most labels are 1
+    label = lambda k, r: int(k % 3 == 0) if r == 0 else int((k * 7) % 3 != 0 or k % 2 == 0)
+    dealt = spark.createDataFrame([(k, r, (k * 7) % 4, label(k, r)) for k in range(92) for r in range(2)], "doc bigint, repeat bigint, fold bigint, label int")
+    want = logistic.sparse_scores(model.train_fit_tfidf(terms, dealt, size=40).withColumn("rep", F.lit("x")))
+    want = {(r.repeat, r.fold, r.row_id): (r.label, r.score) for r in want.collect()}
+    got = {(r.repeat, r.fold, r.row_id): (r.label, r.score) for r in logistic.shared_scores(*model.train_fit_counts(terms, dealt, size=40)).collect()}
+    assert got.keys() == want.keys() and len(got) == 184
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_few_passes_where_curvatures_differ():
+    """Every step is a pass over all rows: with too few remembered moves the limit of steps comes before the optimum."""
+    curve = np.logspace(0, 3, 120)  # 321 steps with 8 remembered moves
+    passes = []
+
+    def once(live, trials):
+        passes.append(len(live))
+        return {i: np.append(curve * (w - 1), (curve * (w - 1) ** 2).sum() / 2) for i, w in enumerate(trials)}
+
+    x = logistic._descend(np.array([True, False, True]), 120, once, 1e9, 1e-6, 300)
+    assert np.allclose(x[[0, 2]], 1, atol=1e-6) and (x[1] == 0).all() and len(passes) < 250
+    assert logistic.remembered(10_000) == 150 and logistic.remembered(1_000_000) == 8
+
+
 def test_folds_without_rows_or_features(spark):
     schema = "rep string, repeat bigint, fold bigint, doc bigint, label int, test boolean, at array<int>, weights array<double>"
     assert logistic.sparse_scores(spark.createDataFrame([], schema)).collect() == []
