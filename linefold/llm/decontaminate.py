@@ -60,18 +60,23 @@ def template(word: Column, low: Column) -> Column:
     )
 
 
-def _starts(tmpl: Column) -> Column:
-    """Where tokens begin: a run of #name or of #num is one token; tmpl must not be empty."""
-    same = lambda i: (i > 0) & F.get(tmpl, i).isin("#name", "#num") & (F.get(tmpl, i) == F.get(tmpl, i - 1))
+def _starts(tmpl: Column, name: Column, num: Column) -> Column:
+    """Where tokens begin: a run of #name or of #num is one token; tmpl, templates or their hashes, must not be empty."""
+    same = lambda i: (i > 0) & (F.get(tmpl, i) == F.get(tmpl, i - 1)) & ((F.get(tmpl, i) == name) | (F.get(tmpl, i) == num))
     return F.filter(F.sequence(F.lit(0), F.size(tmpl) - 1), lambda i: ~same(i))
 
 
-def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
-    """(id, low, tmpl, starts, tok): words in lower case and as templates, where runs begin among them, and the templates with runs as one."""
+def _words(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, low, tmpl): words in lower case and as templates; texts without a word are left out."""
     t = texts.where(F.col("text").isNotNull()).select(id_col, surfaces(F.col("text")).alias("words")).where(F.size("words") > 0)
     t = t.select(id_col, "words", F.transform("words", F.lower).alias("low"))
-    t = t.select(id_col, "low", F.zip_with("words", "low", template).alias("tmpl"))
-    t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl")).alias("starts"))
+    return t.select(id_col, "low", F.zip_with("words", "low", template).alias("tmpl"))
+
+
+def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
+    """_words() with starts and tok: where runs begin among them, and the templates with runs as one."""
+    t = _words(texts, id_col)
+    t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl"), F.lit("#name"), F.lit("#num")).alias("starts"))
     return t.select(id_col, "low", "tmpl", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
 
 
@@ -79,6 +84,13 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _coded(docs: DataFrame) -> DataFrame:
+    """(doc_id, starts, codes, short, plain): hashes of the templates, of those with runs as one, and of the words; runs are found by hashes."""
+    t = _words(docs, "doc_id").select("doc_id", _hashed(F.col("tmpl")).alias("codes"), _hashed(F.col("low")).alias("plain"))
+    t = t.select("doc_id", "codes", "plain", _starts(F.col("codes"), F.xxhash64(F.lit("#name")), F.xxhash64(F.lit("#num"))).alias("starts"))
+    return t.select("doc_id", "starts", "codes", F.transform("starts", lambda i: F.get("codes", i)).alias("short"), "plain")
+
+
 def _rolled(coded: DataFrame, codes: str, widths: list[int]) -> DataFrame:
     """coded with a column codes_w per width: hashes of the windows of w codes, in order.
 
@@ -167,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, min_literal: int
     wins = materialize(benchmark_windows(benchmark, n, min_literal, strict), "decon-windows")
     count = wins.count()
     hint = F.broadcast if count <= BROADCAST_WINDOWS else (lambda x: x)
-    coded = _tokens(docs, "doc_id").select("doc_id", "starts", _hashed(F.col("tmpl")).alias("codes"), _hashed(F.col("tok")).alias("short"), _hashed(F.col("low")).alias("plain"))
+    coded = _coded(docs)
     shapes: dict[int, set[str]] = {}
     for width, kind in wins.select("width", "kind").distinct().collect():
         shapes.setdefault(width, set()).update({"words"} if kind == "words" else {"template"} if strict else {"template", "runs"})
@@ -211,7 +223,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, min_windows: int = 5
     # words of the few documents and items that remain
     ids = m.select(F.col("doc_id").alias("m_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(200_001).count() <= 200_000 else ids
-    words = _texts(docs.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi"), "doc_id", "w_id", "d_")
+    # written apart: the condition that a text has words would move below the join, and split all texts again
+    some = materialize(docs.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi"), "decon-texts")
+    words = _texts(some, "doc_id", "w_id", "d_")
     items = _texts(benchmark, "item_id", "i_id", "i_")
     both = m.join(words, F.col("doc_id") == F.col("w_id")).join(items, F.col("item_id") == F.col("i_id"))
 

@@ -444,6 +444,21 @@ def test_decontamination_of_longer_names(spark):
     assert [(x.doc_id, x.share, x.start_word, x.verbatim) for x in r] == [(2, 1.0, 1, False)]
 
 
+def test_only_texts_with_matches_are_split_twice(spark, monkeypatch):
+    """The texts whose matches are looked at lie apart: else a condition on their words would split every text again."""
+    written = {}
+    monkeypatch.setattr(D, "materialize", lambda df, name, own=D.materialize: written.setdefault(name, own(df, name)))
+    docs = frame(spark, [(1, "intro. " + ITEM), *((k, f"plain words of text number {k} and nothing else in it") for k in range(2, 30))])
+    assert [x.doc_id for x in D.find(docs, bench(spark, [ITEM]), strict=False).collect()] == [1]
+    assert [x.doc_id for x in written["decon-texts"].collect()] == [1]
+
+
+def test_runs_are_found_by_hashes_as_by_templates(spark):
+    docs = frame(spark, [(1, "Anna Maria Lee sold 3 4 kg to Bob 7 Cat and 5 km or NASA Eve Eve"), (2, "one"), (3, "Tom Tim"), (4, "... !"), (5, None)])
+    want = {r.doc_id: r for r in D._tokens(docs, "doc_id").select("doc_id", "starts", D._hashed(F.col("tmpl")).alias("codes"), D._hashed(F.col("tok")).alias("short"), D._hashed(F.col("low")).alias("plain")).collect()}
+    assert {r.doc_id: r for r in D._coded(docs).collect()} == want and len(want) == 3
+
+
 def test_decontamination_sums_a_band(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     text = " ".join(x for i in range(0, 60, 11) for x in [*words[i : i + 11], "extra"])  # four windows on each diagonal
