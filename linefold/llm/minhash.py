@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
-from .components import connected_components
+from .components import components_of, connected_components
 from .wordhash import U, mix, shingle_sets
 
 BANDS, ROWS = 76, 7
@@ -183,18 +183,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = materialize(_own_hubs(apart.join(words.select(F.col("cid").alias("b"), *SKETCH), "b")), "mh-hubs")
     stars = stars.unionByName(own.where(F.col("far") <= LINK).select("a", "b")).distinct()
     loose = pairs.where(F.col("far") <= LOOSE).select("a", "b").unionByName(own.select("a", "b"))
-    cluster = materialize(connected_components(loose.distinct()), "mh-clusters")
-
     links = materialize(verify(stars, _sets(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k, "mh-star-sets"), percent), "mh-links")
-    roots = connected_components(links)
+    cluster, roots = components_of([loose, links])
     # clusters of three or more with several components: a pair alone has been confirmed already
     at = cluster.withColumnRenamed("node", "cid").withColumnRenamed("root", "cluster").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root"))
     open_ = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select(F.col("cluster").alias("o_cluster"))
     rest = materialize(at.join(open_, F.col("cluster") == F.col("o_cluster"), "left_semi"), "mh-rest")
     if not rest.isEmpty():
         sets = _sets(docs, classes, rest.select("cid"), k, "mh-rest-sets")
-        links = materialize(links.unionByName(_across(rest, words, sets, percent)).distinct(), "mh-links")
-    roots = connected_components(links)
+        # they join different components, so no link is found again; the stars found so far stand for the links inside them
+        across = materialize(_across(rest, words, sets, percent).distinct(), "mh-across")
+        if not across.isEmpty():
+            links = links.unionByName(across)
+            roots = connected_components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
 
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     # only linked classes need their component's smallest id; hubs' ids stay out of the large join

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from linefold.llm import minhash as M
 from linefold.llm import mixing as X
 from linefold.llm import quality as Q
 from linefold.llm import suffix_dedup as S
-from linefold.llm.components import connected_components
+from linefold.llm.components import components_of, connected_components
 from linefold.llm.wordhash import shingle_sets
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -61,6 +62,43 @@ def test_components_of_a_long_path(spark):
     assert got == {n: 0 for n in order}
 
 
+def jobs_of(spark, work):
+    """How many jobs the driver had to plan for work()."""
+    sc = spark.sparkContext
+    group = f"jobs-{uuid.uuid4()}"
+    sc.setJobGroup(group, group)
+    try:
+        work()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_stars_take_no_round(spark):
+    stars = spark.createDataFrame([(10 * i, 10 * i + j) for i in range(20) for j in range(1, 9)], "a bigint, b bigint")
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "a bigint, b bigint")
+    few = jobs_of(spark, lambda: connected_components(stars))
+    # a first fold and one look at it; it took 16 while a round showed that nothing changes
+    assert 0 < few <= 8, few
+    assert jobs_of(spark, lambda: connected_components(path)) > few
+
+
+def test_components_of_several_graphs(spark):
+    rng = random.Random(11)
+    high = 2**60
+    graphs = [[(high + rng.randrange(150), high + rng.randrange(150)) for _ in range(n)] for n in (90, 40, 0)]
+    frames = [spark.createDataFrame(g, "a bigint, b bigint") for g in graphs]
+    for g, found in zip(graphs, components_of(frames[:2]) + components_of(frames[2:]), strict=True):
+        want = roots_of({x for e in g for x in e}, g)
+        got = {r.node: r.root for r in found.collect()}
+        assert all(got.get(n, n) == want[n] for n in want) and set(got) == {x for e in g if e[0] != e[1] for x in e}
+    one = components_of([frames[0], frames[1]])
+    assert [dict(f.dtypes) for f in one] == [{"node": "bigint", "root": "bigint"}] * 2
+    # both take the rounds of the longer one
+    both, alone = jobs_of(spark, lambda: components_of(frames[:2])), [jobs_of(spark, lambda f=f: connected_components(f)) for f in frames[:2]]
+    assert both < sum(alone)
+
+
 def words_of(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
 
