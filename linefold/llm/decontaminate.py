@@ -23,6 +23,7 @@ document; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,15 +49,15 @@ def surfaces(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def template(word: Column, low: Column) -> Column:
-    """The template of one word, which must not be empty; low: the word in lower case."""
+def template(word: Column, low: Column, of: Callable[[Column], Column] = lambda w: w) -> Column:
+    """The template of one word, which must not be empty, or what of() makes of it; low: the word in lower case."""
     return (
         # byte order: "0" to "9" is all that lies between "0" and ":"
-        F.when((word >= "0") & (word < ":"), F.lit("#num"))
-        .when(low == word, F.when(word.isin(UNITS), F.lit("#unit")).otherwise(word))
+        F.when((word >= "0") & (word < ":"), of(F.lit("#num")))
+        .when(low == word, F.when(word.isin(UNITS), of(F.lit("#unit"))).otherwise(of(word)))
         # one capital, then lower case: a name; words all in capitals are plain
-        .when((F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) & (F.length(word) > 1), F.lit("#name"))
-        .otherwise(low)
+        .when((F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) & (F.length(word) > 1), of(F.lit("#name")))
+        .otherwise(of(low))
     )
 
 
@@ -66,16 +67,16 @@ def _starts(tmpl: Column, name: Column, num: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(tmpl) - 1), lambda i: ~same(i))
 
 
-def _words(texts: DataFrame, id_col: str) -> DataFrame:
-    """(id, low, tmpl): words in lower case and as templates; texts without a word are left out."""
+def _low(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, words, low): words as they stand and in lower case; texts without a word are left out."""
     t = texts.where(F.col("text").isNotNull()).select(id_col, surfaces(F.col("text")).alias("words")).where(F.size("words") > 0)
-    t = t.select(id_col, "words", F.transform("words", F.lower).alias("low"))
-    return t.select(id_col, "low", F.zip_with("words", "low", template).alias("tmpl"))
+    return t.select(id_col, "words", F.transform("words", F.lower).alias("low"))
 
 
 def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
-    """_words() with starts and tok: where runs begin among them, and the templates with runs as one."""
-    t = _words(texts, id_col)
+    """(id, low, tmpl, starts, tok): the templates of the words, where runs begin among them, and the templates with runs as one."""
+    t = _low(texts, id_col)
+    t = t.select(id_col, "low", F.zip_with("words", "low", lambda w, x: template(w, x)).alias("tmpl"))
     t = t.select(id_col, "low", "tmpl", _starts(F.col("tmpl"), F.lit("#name"), F.lit("#num")).alias("starts"))
     return t.select(id_col, "low", "tmpl", "starts", F.transform("starts", lambda i: F.get("tmpl", i)).alias("tok"))
 
@@ -86,7 +87,8 @@ def _hashed(words: Column) -> Column:
 
 def _coded(docs: DataFrame) -> DataFrame:
     """(doc_id, starts, codes, short, plain): hashes of the templates, of those with runs as one, and of the words; runs are found by hashes."""
-    t = _words(docs, "doc_id").select("doc_id", _hashed(F.col("tmpl")).alias("codes"), _hashed(F.col("low")).alias("plain"))
+    t = _low(docs, "doc_id")
+    t = t.select("doc_id", F.zip_with("words", "low", lambda w, x: template(w, x, F.xxhash64)).alias("codes"), _hashed(F.col("low")).alias("plain"))
     t = t.select("doc_id", "codes", "plain", _starts(F.col("codes"), F.xxhash64(F.lit("#name")), F.xxhash64(F.lit("#num"))).alias("starts"))
     return t.select("doc_id", "starts", "codes", F.transform("starts", lambda i: F.get("codes", i)).alias("short"), "plain")
 
@@ -133,13 +135,55 @@ def _runs(width: int) -> Column:
 def _windows(coded: DataFrame, shapes: dict[int, set[str]]) -> DataFrame:
     """(doc_id, pos, hash) of the windows of all widths and kinds, in one pass; pos counts words.
 
-    Hashes of windows of different widths differ like those of different words.
+    Hashes of windows of different widths differ like those of different words.  They are
+    those of _rolled(), but the widest, most of them, are made per place, where Spark
+    compiles them: functions over arrays are not compiled, and took most of the time.
+    Arrays hold the shorter ones, and parts of the widest beyond eight words, as the Java
+    compiler leaves out methods that are too long.
     """
-    source = {"template": "codes", "words": "plain", "runs": "short"}
-    for kind, codes in source.items():
-        coded = _rolled(coded, codes, sorted(w for w, kinds in shapes.items() if kind in kinds))
-    parts = [_runs(w) if kind == "runs" else _every(source[kind], w) for w, kinds in sorted(shapes.items()) for kind in sorted(kinds)]
-    return coded.select("doc_id", F.explode(F.concat(*parts)).alias("w")).select("doc_id", "w.pos", "w.hash")
+    widths = sorted(shapes)
+    part = max(1, (1 << (widths[-1] - 1).bit_length()) // 8)
+    held = sorted({*widths[:-1], part} - {1})
+    source = {kind: codes for kind, codes in (("template", "codes"), ("words", "plain"), ("runs", "short")) if any(kind in kinds for kinds in shapes.values())}
+    for codes in source.values():
+        coded = _rolled(coded, codes, held)
+    none = F.array().cast("array<bigint>")
+
+    def joined(w: int) -> Column:
+        """The hashes of w words of each kind, one kind behind the other, each as long as its words."""
+        own = {codes: F.col(f"{codes}_{w}" if w > 1 else codes) for codes in source.values()}
+        pad = lambda c: F.concat(own[c], F.array_repeat(F.lit(0).cast("bigint"), F.size(c) - F.size(own[c]))) if w > 1 else own[c]
+        return F.concat(*[F.when(F.size("short") < F.size("plain"), pad(c)).otherwise(none) if c == "short" else pad(c) for c in source.values()])
+
+    size = [F.when(F.size("short") < F.size("plain"), F.size("short")).otherwise(0) if c == "short" else F.size(c) for c in source.values()]
+    ends = [reduce(Column.__add__, size[: k + 1]).alias(f"end_{k}") for k in range(len(size))]
+    t = coded.select("doc_id", "starts", *ends, *[joined(w).alias(f"all_{w}") for w in (1, *held)])
+    last = len(size) - 1
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.col(f"end_{last}") - 1)).alias("j"))
+
+    def by_kind(of: Callable[[int], Column]) -> Column:
+        return reduce(lambda rest, k: F.when(F.col("j") < F.col(f"end_{k}"), of(k)).otherwise(rest), range(last - 1, -1, -1), of(last))
+
+    kinds = list(source)
+    at = by_kind(lambda k: F.col("j") - (F.col(f"end_{k - 1}") if k else F.lit(0)))
+
+    def code(j: Column, w: int) -> Column:
+        if w == 1 or w in held:
+            return F.get(f"all_{w}", j)
+        half = 1 << ((w - 1).bit_length() - 1)
+        return F.xxhash64(code(j, half), code(j + (w - half), half))
+
+    def stands(k: int, w: int) -> Column:
+        """Whether the window lies within its kind; of the windows of tokens, only those with a run are new."""
+        if kinds[k] not in shapes[w]:
+            return F.lit(False)
+        within = F.col("j") + w <= F.col(f"end_{k}")
+        return within & (F.get("starts", F.col("at") + (w - 1)) > F.get("starts", "at") + (w - 1)) if kinds[k] == "runs" else within
+
+    t = t.withColumn("at", at)
+    hashes = [F.when(by_kind(lambda k, w=w: stands(k, w)), code(F.col("j"), w)) for w in widths]
+    pos = by_kind(lambda k: F.get("starts", "at") if kinds[k] == "runs" else F.col("at"))
+    return t.select("doc_id", pos.alias("pos"), (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("hash")).where(F.col("hash").isNotNull())
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, min_literal: int = 3, strict: bool = True) -> DataFrame:

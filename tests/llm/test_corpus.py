@@ -497,6 +497,35 @@ def test_runs_are_found_by_hashes_as_by_templates(spark):
     assert {r.doc_id: r for r in D._coded(docs).collect()} == want and len(want) == 3
 
 
+def test_windows_are_hashed_where_spark_compiles(spark):
+    """The windows of all widths and kinds; those of eight words, the query's, without a function over arrays."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        n = rng.choice([1, 2, 3, 7, 8, 9, 15, 40])
+        codes = [rng.randrange(4) for _ in range(n)]
+        starts = [k for k in range(n) if not (k and codes[k] == codes[k - 1] and codes[k] < 2)]
+        rows.append((i, starts, codes, [codes[k] for k in starts], [rng.randrange(4) for _ in range(n)]))
+    coded = spark.createDataFrame(rows, "doc_id bigint, starts array<int>, codes array<bigint>, short array<bigint>, plain array<bigint>")
+    every = {"template", "words", "runs"}
+    for shapes in ({8: every}, {8: {"template"}, 2: {"words"}}, {1: every, 3: {"words"}, 5: every, 8: every}, {12: every, 7: {"words"}, 1: {"words"}}, {20: every, 2: every}):
+        held = coded
+        for c in ("codes", "short", "plain"):
+            held = D._rolled(held, c, sorted(shapes))
+        want = collections.Counter()
+        for r in held.collect():
+            of = lambda c, w, r=r: enumerate(r[c if w == 1 else f"{c}_{w}"])
+            for w, kinds in shapes.items():
+                for kind, c in (("template", "codes"), ("words", "plain")):
+                    want.update((r.doc_id, k, h) for k, h in of(c, w) if kind in kinds)
+                if "runs" in kinds:
+                    s = r["starts"]
+                    want.update((r.doc_id, s[k], h) for k, h in of("short", w) if s[k + w - 1] > s[k] + w - 1)
+        df = D._windows(coded, shapes)
+        assert collections.Counter(map(tuple, df.collect())) == want
+        assert shapes != {8: every} or "lambda" not in df._jdf.queryExecution().toString()
+
+
 def test_decontamination_sums_a_band(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     text = " ".join(x for i in range(0, 60, 11) for x in [*words[i : i + 11], "extra"])  # four windows on each diagonal
